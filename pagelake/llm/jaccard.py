@@ -18,12 +18,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
-from pagelake.llm.store import small, stash
-from pagelake.llm.text import WordHashes, mix, shingle_set
+from pagelake.llm.store import discard, small, stash
+from pagelake.llm.text import mix, shingle_set
 
 #: Sets with fewer shingles meet by single shingles; from here on groups of about one to two shingles are used.
 SMALL = 64
@@ -101,44 +101,33 @@ def _identity(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def profiles(documents: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, node (the set's name; null for an empty set), n_shingles of each row."""
+#: Rows with a null id get ids from here on, by their sets.
+NO_ID = 1 << 62
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t.as_py(), cache, words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_identity(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "node", "n_shingles"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, node long, n_shingles long")
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _memberships(documents: DataFrame, similar: Similar, words: int) -> DataFrame:
-    """block, node: each set in each of its blocks, once a task."""
+def profiles(documents: DataFrame, similar: Similar, words: int = 5) -> DataFrame:
+    """doc_id, node (doc_id, or a number from NO_ID on), name (the set's; null if empty), n, counts, blocks of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
         for b in batches:
-            blocks, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            size = 0
-            for t in b.column(0):
-                s = shingle_set(t.as_py(), cache, words)
-                if len(s) and (node := _identity(s)) not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    blocks.append(blocks_of(s, similar))
-                    nodes.append(np.full(len(blocks[-1]), node))
-                    size += len(blocks[-1])
-                if size > 200_000:
-                    yield _pairs(blocks, nodes)
-                    blocks, nodes, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-            yield _pairs(blocks, nodes)
-
-    return documents.select(F.col("text").cast("binary")).mapInArrow(run, "block long, node long")
-
-
-def _pairs(blocks: list, nodes: list, names: tuple[str, str] = ("block", "node")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).view(np.int64)), pa.array(np.concatenate(nodes))], names=list(names))
+            for k in range(0, b.num_rows, 500):
+                ids = b.column(0).slice(k, 500)
+                sets = [shingle_set(t.as_py(), words) for t in b.column(1).slice(k, 500)]
+                names = [_identity(s) if len(s) else None for s in sets]
+                nodes = [NO_ID + ((m or 0) + (1 << 63) >> 3) if i is None else i for i, m in zip(ids.to_pylist(), names, strict=True)]
+                blocks = [blocks_of(s, similar).view(np.int64) for s in sets]
+                offsets = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
+                columns = [
+                    ids, pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()),
+                    pa.array([point(s, grid(len(s))).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *blocks])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "name", "n", "counts", "blocks"])
+
+    return _keyed(documents).mapInArrow(run, "doc_id long, node long, name long, n long, counts binary, blocks array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,49 +160,57 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_l), pa.array(out_v)], names=["block", "leader", "node"])
 
 
-def _sets(documents: DataFrame, words: int) -> DataFrame:
-    """node, n, counts (its point) and hashes (its sorted set) of each row with words; copies of a set may come more than once."""
+def _sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, hashes (its sorted set) of the wanted nodes, once a row of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
-            rows = []
-            for t in b.column(0):
-                s = shingle_set(t.as_py(), cache, words)
-                if len(s):
-                    rows.append((_identity(s), len(s), point(s, grid(len(s))).tobytes(), s.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "n", "counts", "hashes"])
+            for k in range(0, b.num_rows, 500):
+                ids, sets = b.column(0).slice(k, 500).to_pylist(), [shingle_set(t.as_py(), words) for t in b.column(1).slice(k, 500)]
+                found = [(NO_ID + (_identity(s) + (1 << 63) >> 3) if i is None else i, s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
+                cols = list(zip(*found, strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["node", "hashes"])
 
-    return documents.select(F.col("text").cast("binary")).mapInArrow(run, "node long, n long, counts binary, hashes binary")
+    docs = _keyed(documents)
+    named = docs.join(small(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    return named.union(docs.where("doc_id is null")).mapInArrow(run, "node long, hashes binary")
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, similar: Similar) -> DataFrame:
+    """a, b, bound (in 1/1000): pairs whose sizes and points allow a link, with their similarity at most."""
+    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "c_a", "n_b", "c_b")
+    j = j.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar.percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = np.empty(len(n), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("c_a"), batch.column("c_b"), strict=True)):
+                most[k] = np.minimum(*_same_grid(np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16))).sum(dtype=np.int64)
+            keep = most >= similar.overlap(n)
+            bound = 1000 * most[keep] // np.maximum(1, n[keep] - most[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(bound)], names=["a", "b", "bound"])
+
+    return j.mapInArrow(run, "a long, b long, bound long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first by the bound on their points, then by the sets themselves."""
-    names = ["a", "b", "n_a", "c_a", "h_a", "n_b", "c_b", "h_b"]
-    j = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("c_b"), F.col("hashes").alias("h_b")), "b")
-    j = j.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("c_a"), F.col("hashes").alias("h_a")), "a")
+    """The pairs (a, b) whose sets are similar."""
+    j = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
+    j = j.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a").select("a", "b", "h_a", "h_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
-            for a, b, n_a, c_a, h_a, n_b, c_b, h_b in zip(*[batch.column(c) for c in names], strict=True):
-                n_a, n_b = n_a.as_py(), n_b.as_py()
-                if min(n_a, n_b) < similar.smallest(max(n_a, n_b)):
-                    continue
-                need = int(similar.overlap(np.int64(n_a + n_b)))
-                x, y = _same_grid(np.frombuffer(c_a.as_py(), np.uint16), np.frombuffer(c_b.as_py(), np.uint16))
-                if int(np.minimum(x, y).sum(dtype=np.int64)) < need:
-                    continue
-                both = np.concatenate([np.frombuffer(h_a.as_py(), np.uint64), np.frombuffer(h_b.as_py(), np.uint64)])
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("h_a"), batch.column("h_b"), strict=True)):
+                both = np.frombuffer(x.as_py() + y.as_py(), np.uint64).copy()
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= similar.percent * (n_a + n_b - common):
-                    out_a.append(a.as_py()), out_b.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                keep[k] = 100 * common >= similar.percent * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return j.select(*names).mapInArrow(run, "a long, b long")
+    return j.mapInArrow(run, "a long, b long")
 
 
 def _same_grid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,38 +256,84 @@ class CountTree:
         return q, self.levels[0][0][box]
 
 
+#: Blocks up to this size are compared together, larger ones through a tree each; rows handled at once.
+PAIRWISE, CHUNK = 48, 20_000
+
+
 def _search_blocks(similar: Similar):
-    def block_pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        node, comp, n, counts, tile, cross = rows
-        least = min(len(c) for c in counts)
-        points = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(least // 2, np.uint16))[0] for c in counts])
-        if cross:
-            left, right = np.flatnonzero(tile == tile.min()), np.flatnonzero(tile != tile.min())
-        else:
-            left = right = np.arange(len(node))
+    """a, b, bound of pairs of different components that rows sorted by (block, low, high) allow."""
+
+    def bounded(rows: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of pairs of row numbers, those whose points allow a link: on 64 groups first, then on all they have."""
+        n, node = rows["n"], rows["node"]
+        keep = (rows["comp"][a] != rows["comp"][b]) & (100 * np.minimum(n[a], n[b]) >= similar.percent * np.maximum(n[a], n[b]))
+        a, b = a[keep], b[keep]
+        need = similar.overlap(n[a] + n[b])
+        most = np.concatenate([np.empty(0, np.int64), *[np.minimum(rows["coarse"][a[k : k + 8192]], rows["coarse"][b[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(a), 8192)]])
+        keep = most >= need
+        a, b, need, most = a[keep], b[keep], need[keep], most[keep]
+        for k in range(len(a)):
+            x, y = rows["counts"][a[k]], rows["counts"][b[k]]
+            if min(len(x), len(y)) > 128:
+                most[k] = np.minimum(*_same_grid(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))).sum(dtype=np.int64)
+        keep = most >= need
+        a, b, most = a[keep], b[keep], most[keep]
+        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), 1000 * most // np.maximum(1, n[a] + n[b] - most)
+
+    def pairwise(rows: dict, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        out = [(np.empty(0, np.int64),) * 3]
+        names, local = np.unique(rows["node"], return_inverse=True)
+        at = np.zeros(len(names), np.int64)
+        at[local] = np.arange(len(local))
+        for m in np.unique(size):
+            i, j = np.triu_indices(m, 1)
+            first = start[size == m]
+            for k in range(0, len(first), max(1, 400_000 // len(i))):
+                base = first[k : k + max(1, 400_000 // len(i)), None]
+                a, b = local[(base + i).ravel()], local[(base + j).ravel()]
+                pair = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
+                out.append(bounded(rows, at[pair // len(names)], at[pair % len(names)]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def tree(rows: dict, cross: bool) -> tuple[np.ndarray, ...]:
+        least = min(len(c) for c in rows["counts"]) // 2
+        points = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(least, np.uint16))[0] for c in rows["counts"]])
+        n, tile = rows["n"], rows["tile"]
+        left = np.flatnonzero(tile == tile.min()) if cross else np.arange(len(n))
+        right = np.flatnonzero(tile != tile.min()) if cross else left
         q, s = CountTree(points[right], n[right]).search(points[left], n[left], similar)
         q, s = left[q], right[s]
-        keep = (comp[q] != comp[s]) & (cross | (node[q] < node[s]))
-        return node[q[keep]], node[s[keep]]
+        keep = (rows["node"][q] < rows["node"][s]) | cross
+        return bounded(rows, q[keep], s[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
-        key = None
-
-        def done() -> pa.RecordBatch:
-            cols = list(zip(*rest, strict=True))
-            a, b = block_pairs([np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), cols[3], np.array(cols[4]), key[1] != key[2]])
-            return _pairs([np.minimum(a, b)], [np.maximum(a, b)], ("a", "b"))
-
+        rest: pa.Table | None = None
         for batch in batches:
-            for block, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (block, low, high) != key:
-                    if len(rest) > 1:
-                        yield done()
-                    rest, key = [], (block, low, high)
-                rest.append(tuple(row))
-        if len(rest) > 1:
-            yield done()
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest.num_rows >= CHUNK:
+                keys = [rest.column(c).to_numpy() for c in ("block", "low", "high")]
+                last = np.logical_and.reduce([k == k[-1] for k in keys])
+                whole = int(np.argmax(last))  # the last block may go on
+                if whole:
+                    yield from search(rest.slice(0, whole))
+                    rest = rest.slice(whole)
+        if rest is not None:
+            yield from search(rest)
+
+    def search(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [t.column(c).to_numpy() for c in ("block", "low", "high")]
+        start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+        size = np.diff(np.append(start, t.num_rows))
+        rows = {c: t.column(c).to_numpy() for c in ("node", "comp", "n", "tile")} | {"counts": t.column("counts").to_pylist()}
+        rows["coarse"] = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(64, np.uint16))[0] for c in rows["counts"]])
+        cross = keys[1][start] != keys[2][start]
+        few = (size <= PAIRWISE) & ~cross
+        found = [pairwise(rows, start[few], size[few])] if few.any() else []
+        for k in np.flatnonzero(~few):
+            at = slice(start[k], start[k] + size[k])
+            found.append(tree({c: v[at] for c, v in rows.items()}, bool(cross[k])))
+        for f in found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in f], names=["a", "b", "bound"])
 
     return run
 
@@ -301,36 +344,71 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     Documents link when 100 * common >= percent * united distinct shingles of `words` words, A-Z lower-cased;
     a shorter text is one shingle; one without words, or null, links with nothing. component_id is the smallest
     doc_id reached by links (null ids count as larger than all; alone, such a row's component is null). Equal
-    sets are one node, so copies cost nothing twice; repeated rows come out as often as they came in.
+    sets are one node, named by their smallest doc_id, so copies cost nothing twice. Repeated rows come out as
+    often as they came in; rows with one doc_id and different texts are one document with the links of all.
     """
     similar = Similar(percent)
     docs = documents.select("doc_id", "text")
-    prof = stash(profiles(docs, words), "profiles")
-    m = _memberships(docs, similar, words).repartition("block").sortWithinPartitions("block", "node")
+    prof = stash(profiles(docs, similar, words), "profiles")
+    own = stash(prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root")), "names")
+    # later copies of a set (ids only) take no part; the rows that do keep their blocks where they were written
+    copies = prof.where("name is not null").select("node", "name").join(own, "name").where("node <> root").select("node").distinct()
+    nodes = prof.where("name is not null").join(small(stash(copies, "copies")), "node", "left_anti")
+    points = nodes.select("node", "n", "counts")
+    m = nodes.select(F.explode("blocks").alias("block"), "node")
+    m = m.repartition("block").sortWithinPartitions("block", "node")
     shared = stash(m.mapInArrow(_shared, "block long, leader long, node long"), "blocks")
-    star = stash(shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    # sets of the nodes that met, from the smallest document of each
-    met = star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "node")
-    ids = prof.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(met, "node", "left_semi").select("doc_id").distinct()
-    sets = stash(_sets(docs.join(small(ids), "doc_id", "left_semi").union(docs.where("doc_id is null")), words), "sets")
-    links = stash(_verified(star, sets, similar), "links")
-    comp = stash(connected_components(links), "components")
-    # blocks whose members aren't all in one component yet: search them by their points
+    met = stash(shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    star = stash(_bounded(met, points, similar), "pairs")
+    links, comp = _linked(star, None, docs, similar, words)
+    # blocks in which some member isn't in its leader's component: search them by their points
     of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
-    apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select(F.col("a").alias("leader"), F.col("b").alias("node"))
+    apart = met.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select(F.col("a").alias("leader"), F.col("b").alias("node"))
     open_ = shared.join(small(stash(apart, "apart")), ["leader", "node"], "left_semi").select("block").distinct()
-    rows = stash(shared.join(small(stash(open_, "open")), "block", "left_semi").select("block", "node").distinct(), "open-blocks")
-    sizes = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = rows.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    rows = rows.join(of("node").withColumnRenamed("node_of", "comp"), "node", "left").join(sets.select("node", "n", "counts"), "node")
+    rows = shared.join(small(stash(open_, "open")), "block", "left_semi").select("block", "node").distinct()
+    rows = stash(rows.join(of("node").withColumnRenamed("node_of", "comp"), "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp")), "open-blocks")
+    # (a leader's pairs are done, so a block of two is)
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("block", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(points, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", F.coalesce("comp", "node").alias("comp"), "n", "counts", "tile")
+    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "comp", "n", "counts", "tile")
     rows = rows.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    found = stash(rows.mapInArrow(_search_blocks(similar), "a long, b long").distinct(), "found")
-    late = _verified(found, sets, similar)
-    comp = stash(connected_components(links.union(late)), "components")
-    # from nodes to documents
-    labelled = prof.where("node is not null").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return named.union(prof.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = rows.mapInArrow(_search_blocks(similar), "a long, b long, bound long").distinct()
+    tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = stash(found.join(tried, ["a", "b"], "left_anti"), "found")
+    _, comp = _linked(found, (links, comp), docs, similar, words)
+    # from nodes to documents; an id beyond NO_ID stands for null
+    comp = comp.select(F.col("node").alias("root"), "component")
+    named = prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(own, "name", "left").join(comp, "root", "left")
+    least = F.coalesce("component", "root", "node")
+    return named.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"))
+
+
+def _linked(pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, docs: DataFrame, similar: Similar, words: int) -> tuple[DataFrame, DataFrame]:
+    """Links among the pairs (a, b, bound), as far as components need them, and the components with all links.
+
+    In rounds: of the pairs that join two components, each node's most promising one is verified, then the next
+    8, 64 and so on; what meanwhile lies inside a component needs no check, what failed is out. Ends when no
+    pair is left, so no link between components is lost.
+    """
+    links, comp = known or (None, None)
+    each = 1
+    while True:
+        if comp is not None:
+            of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+            pairs = stash(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select("a", "b", "bound"), "pairs")
+        if not pairs.limit(1).count():
+            break
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))
+        chosen = stash(pairs.withColumn("nth", best).where(F.col("nth") <= each).select("a", "b"), "chosen")
+        each *= 8
+        sets = stash(_sets(docs, chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct(), words), "sets")
+        new = stash(_verified(chosen, sets, similar).distinct(), "links")
+        discard(sets)
+        links = new if links is None else links.union(new)
+        comp = stash(connected_components(links), "components")
+        pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+    if comp is None:
+        none = docs.sparkSession.createDataFrame([], "a long, b long")
+        return none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return links, comp

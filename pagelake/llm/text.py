@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 #: Words are what bytes.split() returns: maximal runs without space, tab, \n, \v, \f, \r.
@@ -31,10 +28,46 @@ def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+#: A random odd number for each byte, the same for both cases of A-Z, and powers for the places in a word.
+_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
+#: Bytes hashed at once; a longer text goes in parts cut at white space.
+PART = 1 << 20
+
+
+def folded_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of a text with A-Z lower-cased, without making the words."""
+    if len(text) > PART:
+        out, at = [], 0
+        while at < len(text):
+            end = at + PART
+            while end < len(text) and not _SPACE[text[end]]:
+                end += 1
+            out.append(folded_hashes(text[at:end]) if end - at <= 2 * PART else np.array([xxhash.xxh3_64_intdigest(w) for w in text[at:end].lower().split()], np.uint64))
+            at = end
+        return np.concatenate(out)
+    raw = np.frombuffer(text, np.uint8)
+    blank = _SPACE[raw]
+    edge = np.flatnonzero(np.concatenate([[True], blank, [True]])[1:] != np.concatenate([[True], blank, [True]])[:-1])
+    start, end = edge[0::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64)
+    raw, start, end = raw[start[0] : end[-1]], start - start[0], end - start[0]
+    value = _BYTE[raw]
+    value[_SPACE[raw]] = 0
+    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+    value *= _POWER.take(place, mode="wrap")
+    return mix(np.add.reduceat(value, start))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -49,12 +82,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(acc)
 
 
-def shingle_set(text: bytes | None, cache: WordHashes, size: int = 5) -> np.ndarray:
+def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes of a text with A-Z lower-cased; empty without words."""
-    return np.unique(windows(word_hashes((text or b"").lower().split(), cache), size))
-
-
-def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with the Python values of some of its columns."""
-    for batch in batches:
-        yield batch, [batch.column(c).to_pylist() for c in columns]
+    found = np.sort(windows(folded_hashes(text or b""), size))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
