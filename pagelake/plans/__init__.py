@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""Every query of the engine by name."""
+
+from pagelake.plans import catalog, export, history, ordering, text
+from pagelake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "export", "history", "ordering", "text"]
