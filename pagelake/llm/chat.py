@@ -77,25 +77,30 @@ def _fixed(mapping: Mapping, field) -> Column:
     return F.array(*[turn(role, names) for role, names in mapping.fixed]).cast(TURNS)
 
 
-def mapping_of(schema: T.StructType) -> Mapping:
-    """The mapping that a schema's fingerprint selects."""
-    key = fingerprint([p for p in paths_of(schema) if p in FIELDS])
-    found = next((m for m in MAPPINGS if m.key == key), None)
-    if found is None:
-        raise ValueError(f"no mapping for the fields {paths_of(schema)}")
-    return found
+def _turn(role: str, text: str):
+    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+
+
+def mapping_of(schema: T.StructType, key: str = "") -> Mapping:
+    """The mapping that a schema's fingerprint selects, with its key column or, if that is none of a layout's, without."""
+    paths = [p for p in paths_of(schema) if p in FIELDS]
+    found = {m.key: m for m in MAPPINGS}
+    for chosen in (paths, [p for p in paths if p != key]):
+        if fingerprint(chosen) in found:
+            return found[fingerprint(chosen)]
+    raise ValueError(f"no mapping for the fields {paths_of(schema)}")
 
 
 def table_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, turn, role, text of a table in any mapped layout; its fingerprint comes from its schema, once."""
-    m = mapping_of(T.StructType([f for f in df.schema.fields if f.name != key or f.name in FIELDS]))
+    m = mapping_of(df.schema, key)
     if m.rows is not None:
         return df.select(*[F.col(c).alias(n) for c, n in zip(m.rows, (key, "turn", "role", "text"), strict=True)])
     if m.listed is None:
         turns = _fixed(m, lambda n: F.col(n).cast("string"))
     else:
         array, role, text = m.listed
-        turns = F.transform(F.coalesce(F.col(array), F.array()), lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))).cast(TURNS)
+        turns = F.transform(F.coalesce(F.col(array), F.array()), _turn(role, text)).cast(TURNS)
     return df.select(key, F.posexplode(turns).alias("turn", "said")).select(key, F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
 
 
@@ -119,7 +124,7 @@ def json_turns(text: Column) -> tuple[Column, Column]:
             made = _fixed(m, lambda n: F.try_variant_get(record, f"$.{n}", "string"))
         else:
             array, role, said = m.listed
-            made = F.transform(F.try_variant_get(record, f"$.{array}", "array<map<string,string>>"), lambda x, r=role, t=said: F.struct(_role(x[r]).alias("role"), F.coalesce(x[t], F.lit("")).alias("text"))).cast(TURNS)
+            made = F.transform(F.try_variant_get(record, f"$.{array}", "array<map<string,string>>"), _turn(role, said)).cast(TURNS)
         turns = F.when(key == m.key, made).otherwise(turns)
     return key, turns
 
