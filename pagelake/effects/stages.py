@@ -143,5 +143,6 @@ def resolve_model(installed: DataFrame, recommended: DataFrame, chosen: str | No
     out = recommended.select("role").distinct().join(best, "role", "left")
     if chosen is None:
         return out.select("role", "model", F.when(F.col("model").isNotNull(), "recommended").otherwise("none").alias("how"))
-    found = have.where(F.col("_k") == same(F.lit(chosen))).agg(F.first("model").alias("_own"))
-    return out.crossJoin(F.broadcast(found)).select("role", F.col("_own").alias("model"), F.when(F.col("_own").isNotNull(), "user").otherwise("configured_missing").alias("how"))
+    own = have.groupBy("_k").agg(F.first("model").alias("_own"))
+    j = out.withColumn("_k", same(F.lit(chosen))).join(own, "_k", "left")
+    return j.select("role", F.col("_own").alias("model"), F.when(F.col("_own").isNotNull(), "user").otherwise("configured_missing").alias("how"))
