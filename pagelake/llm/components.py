@@ -24,15 +24,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = stash(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         kept = _lowest(large)
         new = kept.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         new = stash(new.select("p.u", "p.v").where("u <> v").distinct(), "edges")
-        # a fixed point is a set of stars: no root has a parent, and no node has two
-        roots = new.select("v").distinct()
-        open_ = new.join(roots.withColumnRenamed("v", "u"), "u", "left_semi").limit(1).count()
-        twice = 0 if open_ else new.groupBy("u").count().where("count > 1").limit(1).count()
+        # a fixed point is a set of stars: no node has two parents, and no root has one
+        ends = new.select(F.explode(F.array(F.struct(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("p"))
+        done = ends.groupBy("p.k").agg(F.sum("p.up").alias("up"), F.max("p.down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
         discard(e)
         e = new
-        if not open_ and not twice:
+        if done:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -258,19 +258,28 @@ class CountTree:
 
 #: Blocks up to this size are compared together, larger ones through a tree each; rows handled at once.
 PAIRWISE, CHUNK = 48, 20_000
+#: Of a node's blocks, so many of the first ones tell whether a pair has met before.
+FIRST = 16
 
 
 def _search_blocks(similar: Similar):
     """a, b, bound of pairs of different components that rows sorted by (block, low, high) allow."""
 
-    def bounded(rows: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of pairs of row numbers, those whose points allow a link: on 64 groups first, then on all they have."""
+    def bounded(rows: dict, a: np.ndarray, b: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of pairs of row numbers that meet in a block, those whose points allow a link: on 64 groups, then on all.
+
+        A pair that is known to meet in an earlier block is left to that one, so a pair comes out about once.
+        """
         n, node = rows["n"], rows["node"]
         keep = (rows["comp"][a] != rows["comp"][b]) & (100 * np.minimum(n[a], n[b]) >= similar.percent * np.maximum(n[a], n[b]))
-        a, b = a[keep], b[keep]
+        a, b, block = a[keep], b[keep], block[keep]
         need = similar.overlap(n[a] + n[b])
         most = np.concatenate([np.empty(0, np.int64), *[np.minimum(rows["coarse"][a[k : k + 8192]], rows["coarse"][b[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(a), 8192)]])
         keep = most >= need
+        for k in range(0, len(a), 4096):
+            at = k + np.flatnonzero(keep[k : k + 4096])
+            x, y = rows["first"][a[at]][:, :, None], rows["first"][b[at]][:, None, :]
+            keep[at] = ~((x == y) & (x < block[at][:, None, None])).any((1, 2))
         a, b, need, most = a[keep], b[keep], need[keep], most[keep]
         for k in range(len(a)):
             x, y = rows["counts"][a[k]], rows["counts"][b[k]]
@@ -291,8 +300,8 @@ def _search_blocks(similar: Similar):
             for k in range(0, len(first), max(1, 400_000 // len(i))):
                 base = first[k : k + max(1, 400_000 // len(i)), None]
                 a, b = local[(base + i).ravel()], local[(base + j).ravel()]
-                pair = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
-                out.append(bounded(rows, at[pair // len(names)], at[pair % len(names)]))
+                pair, seen = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_index=True)  # in order of blocks
+                out.append(bounded(rows, at[pair // len(names)], at[pair % len(names)], rows["block"][base[seen // len(i), 0]]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def tree(rows: dict, cross: bool) -> tuple[np.ndarray, ...]:
@@ -304,7 +313,7 @@ def _search_blocks(similar: Similar):
         q, s = CountTree(points[right], n[right]).search(points[left], n[left], similar)
         q, s = left[q], right[s]
         keep = (rows["node"][q] < rows["node"][s]) | cross
-        return bounded(rows, q[keep], s[keep])
+        return bounded(rows, q[keep], s[keep], rows["block"][q[keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -324,8 +333,11 @@ def _search_blocks(similar: Similar):
         keys = [t.column(c).to_numpy() for c in ("block", "low", "high")]
         start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
         size = np.diff(np.append(start, t.num_rows))
-        rows = {c: t.column(c).to_numpy() for c in ("node", "comp", "n", "tile")} | {"counts": t.column("counts").to_pylist()}
+        rows = {c: t.column(c).to_numpy() for c in ("block", "node", "comp", "n", "tile")} | {"counts": t.column("counts").to_pylist()}
         rows["coarse"] = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(64, np.uint16))[0] for c in rows["counts"]])
+        rows["first"] = np.full((t.num_rows, FIRST), np.iinfo(np.int64).max)
+        for k, f in enumerate(t.column("first").to_pylist()):
+            rows["first"][k, : len(f)] = f
         cross = keys[1][start] != keys[2][start]
         few = (size <= PAIRWISE) & ~cross
         found = [pairwise(rows, start[few], size[few])] if few.any() else []
@@ -347,8 +359,7 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     sets are one node, named by their smallest doc_id, so copies cost nothing twice. Repeated rows come out as
     often as they came in; rows with one doc_id and different texts are one document with the links of all.
     """
-    similar = Similar(percent)
-    docs = documents.select("doc_id", "text")
+    similar, docs = Similar(percent), documents.select("doc_id", "text")
     prof = stash(profiles(docs, similar, words), "profiles")
     own = stash(prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root")), "names")
     # later copies of a set (ids only) take no part; the rows that do keep their blocks where they were written
@@ -369,9 +380,11 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     rows = stash(rows.join(of("node").withColumnRenamed("node_of", "comp"), "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp")), "open-blocks")
     # (a leader's pairs are done, so a block of two is)
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("block", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(points, "node")
+    rows = stash(rows.join(sizes, "block"), "searched")
+    first = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("block")), 1, FIRST).alias("first"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(points.join(first, "node"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "comp", "n", "counts", "tile")
+    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "comp", "n", "counts", "tile", "first")
     rows = rows.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
     found = rows.mapInArrow(_search_blocks(similar), "a long, b long, bound long").distinct()
     tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -388,25 +401,26 @@ def _linked(pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, docs: D
     """Links among the pairs (a, b, bound), as far as components need them, and the components with all links.
 
     In rounds: of the pairs that join two components, each node's most promising one is verified, then the next
-    8, 64 and so on; what meanwhile lies inside a component needs no check, what failed is out. Ends when no
+    64, 4096 and so on; what meanwhile lies inside a component needs no check, what failed is out. Ends when no
     pair is left, so no link between components is lost.
     """
     links, comp = known or (None, None)
-    each = 1
+    each = 64 if known else 1
     while True:
         if comp is not None:
             of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
             pairs = stash(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select("a", "b", "bound"), "pairs")
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             break
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))
         chosen = stash(pairs.withColumn("nth", best).where(F.col("nth") <= each).select("a", "b"), "chosen")
-        each *= 8
-        sets = stash(_sets(docs, chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct(), words), "sets")
-        new = stash(_verified(chosen, sets, similar).distinct(), "links")
+        each *= 64
+        sets = stash(_sets(docs, chosen.select(F.explode(F.array("a", "b")).alias("node")), words), "sets")
+        new = stash(_verified(chosen, sets, similar), "links")
         discard(sets)
-        links = new if links is None else links.union(new)
-        comp = stash(connected_components(links), "components")
+        if comp is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = connected_components(links)
         pairs = pairs.join(chosen, ["a", "b"], "left_anti")
     if comp is None:
         none = docs.sparkSession.createDataFrame([], "a long, b long")

@@ -36,4 +36,4 @@ def discard(df: DataFrame) -> None:
 
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count shows that it is within BROADCAST_ROWS, else df as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

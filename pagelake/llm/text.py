@@ -47,15 +47,17 @@ PART = 1 << 20
 
 def folded_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word of a text with A-Z lower-cased, without making the words."""
-    if len(text) > PART:
-        out, at = [], 0
-        while at < len(text):
-            end = at + PART
-            while end < len(text) and not _SPACE[text[end]]:
-                end += 1
-            out.append(folded_hashes(text[at:end]) if end - at <= 2 * PART else np.array([xxhash.xxh3_64_intdigest(w) for w in text[at:end].lower().split()], np.uint64))
-            at = end
-        return np.concatenate(out)
+    parts, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        end = min(at + PART, len(text))
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        parts.append(_part_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _part_hashes(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.concatenate([[True], blank, [True]])[1:] != np.concatenate([[True], blank, [True]])[:-1])
