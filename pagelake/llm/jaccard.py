@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
-from pagelake.llm.store import discard, small, stash
+from pagelake.llm.store import arrow_rows, discard, small, stash
 from pagelake.llm.text import mix, shingle_set
 
 #: Sets with fewer shingles meet by single shingles; from here on groups of about one to two shingles are used.
@@ -30,6 +30,8 @@ SMALL = 64
 #: Members of a block that are compared in one task; larger blocks are dealt out as pairs of tiles.
 TILE = 4096
 LEAF, FAN = 16, 8
+#: Points that a tree is searched for at once, and rows with whole texts or sets in a batch.
+QUERIES, BATCH = 256, 200
 
 
 class Similar:
@@ -236,7 +238,11 @@ class CountTree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
         """(query, stored) pairs whose sizes agree and whose summed smaller counts reach the overlap they need."""
-        q, box = np.arange(len(points)), np.zeros(len(points), np.int64)
+        found = [self._search(points, sizes, similar, np.arange(k, min(k + QUERIES, len(points)))) for k in range(0, max(1, len(points)), QUERIES)]
+        return np.concatenate([q for q, _ in found]), np.concatenate([s for _, s in found])
+
+    def _search(self, points: np.ndarray, sizes: np.ndarray, similar: Similar, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        box = np.zeros(len(q), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             order, top, low, high = self.levels[depth]
             keep = []
@@ -360,7 +366,8 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     often as they came in; rows with one doc_id and different texts are one document with the links of all.
     """
     similar, docs = Similar(percent), documents.select("doc_id", "text")
-    prof = stash(profiles(docs, similar, words), "profiles")
+    with arrow_rows(docs.sparkSession, BATCH):
+        prof = stash(profiles(docs, similar, words), "profiles")
     own = stash(prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root")), "names")
     # later copies of a set (ids only) take no part; the rows that do keep their blocks where they were written
     copies = prof.where("name is not null").select("node", "name").join(own, "name").where("node <> root").select("node").distinct()
@@ -415,8 +422,9 @@ def _linked(pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, docs: D
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))
         chosen = stash(pairs.withColumn("nth", best).where(F.col("nth") <= each).select("a", "b"), "chosen")
         each *= 64
-        sets = stash(_sets(docs, chosen.select(F.explode(F.array("a", "b")).alias("node")), words), "sets")
-        new = stash(_verified(chosen, sets, similar), "links")
+        with arrow_rows(docs.sparkSession, BATCH):
+            sets = stash(_sets(docs, chosen.select(F.explode(F.array("a", "b")).alias("node")), words), "sets")
+            new = stash(_verified(chosen, sets, similar), "links")
         discard(sets)
         if comp is None or not new.isEmpty():
             links = new if links is None else links.union(new)
