@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.store import small, stash
+from pagelake.llm.text import kept
 
 CAPACITY = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -108,7 +109,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, task, seen = TextIds(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        ids_of, task, seen = kept(f"ids of {tokenizer}", lambda: TextIds(tokenizer)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows: list[tuple] = []

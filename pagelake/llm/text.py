@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import xxhash
 
@@ -11,6 +14,14 @@ SPACES = b" \t\n\x0b\x0c\r"
 CACHE_WORDS = 400_000
 
 
+def kept(name: str, make):
+    """What make() gave first under this name in this process: worker processes, and so their caches, serve many tasks."""
+    box = sys.modules.setdefault("_pagelake_kept", types.ModuleType("_pagelake_kept")).__dict__
+    if name not in box:
+        box[name] = make()
+    return box[name]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, computed once a worker; emptied at CACHE_WORDS words, so memory stays bounded."""
 
