@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from pagelake.llm.text import WordHashes, word_hashes
+from pagelake.llm.text import WordHashes, parts, word_hashes
 
 #: Hashed words; then the structure statistics below.
 WORD_BINS = 1024
@@ -18,11 +18,15 @@ LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 def vector(text: bytes, cache: WordHashes) -> np.ndarray:
     """Word shares (unit length) and structure statistics of a text, each between 0 and about 1; zeros if empty."""
     out = np.zeros(WORD_BINS + len(STRUCTURE), np.float32)
-    words = text.split()
-    if not words:
+    found, stops = [np.empty(0, np.uint64)], 0
+    for part in parts(text):  # a long text's words are never there all at once
+        words = part.split()
+        stops += sum(w[-1:] in (b".", b"!", b"?") for w in words)
+        found.append(word_hashes([w.lower().strip(b".,!?;:#*$%&|") for w in words], cache))
+    hashed = np.concatenate(found)
+    n, size = len(hashed), len(text)
+    if not n:
         return out
-    n, size = len(words), len(text)
-    hashed = word_hashes([w.lower().strip(b".,!?;:#*$%&|") for w in words] if n < 50_000 else words, cache)
     bins = np.bincount((hashed >> np.uint64(40)).astype(np.int64) % WORD_BINS, minlength=WORD_BINS)
     out[:WORD_BINS] = bins / np.sqrt((bins * bins).sum())
     chars = max(1, size - text.count(b" ") - text.count(b"\n"))
@@ -31,6 +35,6 @@ def vector(text: bytes, cache: WordHashes) -> np.ndarray:
     out[WORD_BINS:] = (
         min(1.0, np.log1p(n) / 12), min(1.0, chars / n / 20), share(UPPER), share(DIGITS), min(1.0, 4 * share(SYMBOLS)), min(1.0, 4 * share(b".,;:")),
         min(1.0, 10 * share(b"!")), min(1.0, 10 * share(b"|")), 1 - len(set(lines)) / len(lines), 1 - len(np.unique(hashed)) / n,
-        sum(len(x) < 40 for x in lines) / len(lines), sum(w[-1:] in (b".", b"!", b"?") for w in words) / n,
+        sum(len(x) < 40 for x in lines) / len(lines), stops / n,
     )
     return out

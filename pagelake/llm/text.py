@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -56,16 +57,20 @@ _POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 PART = 1 << 20
 
 
-def folded_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of a text with A-Z lower-cased, without making the words."""
-    parts, at = [np.empty(0, np.uint64)], 0
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut at white space."""
+    at = 0
     while at < len(text):
         end = min(at + PART, len(text))
         while end < len(text) and not _SPACE[text[end]]:
             end += 1
-        parts.append(_part_hashes(text[at:end]))
+        yield text[at:end]
         at = end
-    return np.concatenate(parts)
+
+
+def folded_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of a text with A-Z lower-cased, without making the words."""
+    return np.concatenate([np.empty(0, np.uint64), *map(_part_hashes, parts(text))])
 
 
 def _part_hashes(text: bytes) -> np.ndarray:

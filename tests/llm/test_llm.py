@@ -11,7 +11,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, html, jaccard, language, mixing, packing, quality, queries, rules, text, topk, urls
+from pagelake.llm import chat, features, html, jaccard, language, mixing, packing, quality, queries, rules, text, topk, urls
 from pagelake.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -343,6 +343,15 @@ def test_quality_held_out(spark, awkward, nothing):
     assert quality.score(nothing, model).collect() == [] and quality.fit(nothing, spark.createDataFrame([], "doc_id long, quality int"), F.lit(False)).score(np.zeros((1, len(model.mean)), np.float32))[0] == pytest.approx(0.5)
 
 
+def test_features_are_the_same_at_every_length():
+    cache, part = text.WordHashes(), b"The cat, (and) THE dog. 12% of it!\n"
+    once = features.vector(part * 100, cache)
+    for times in (7_000, 60_000):  # 56,000 words, and 2 MB, more than one part
+        long = features.vector(part * times, cache)
+        assert np.allclose(long[: features.WORD_BINS], once[: features.WORD_BINS], atol=1e-6)
+        assert long[-1] == once[-1] and long[features.WORD_BINS + features.STRUCTURE.index("repeat_words")] == pytest.approx(1 - 7 / 8 / times)
+
+
 def test_factorisation_machine_is_its_formula():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(200, len(quality.STRUCTURE) + quality.WORD_BINS)).astype(np.float32), rng.integers(0, 2, 200).astype(np.float32)
