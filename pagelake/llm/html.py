@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A small tree builder reads the whole page; every node gets characters per tag, adjusted for link text; a node's
-density sum is that of its children's densities; the subtree with the largest sum is the article, cleaned of
-parts whose density falls below the smallest one on the way from the densest node up to the body.
+density sum is that of its children's densities; the subtree with the largest sum is the core of the article. It
+grows to the <article> (else <main>) it is in, and further while it has siblings of text: those as dense as the
+thinnest block on the way from the densest node up to the body, and a headline where it has none of its own.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "kids", "link_chars", "link_tags", "name", "sum", "tags", "up")
+    __slots__ = ("attrs", "chars", "density", "headed", "kids", "link_chars", "link_tags", "name", "sum", "tags", "up")
 
     def __init__(self, name: str, attrs: str, up: Node | None):
         self.name, self.attrs, self.up = name, attrs, up
@@ -150,11 +151,13 @@ def _weigh(root: Node) -> list[Node]:
         stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.headed = n.name == "h1"
         for k in n.kids:
             if isinstance(k, str):
                 n.chars += len(k.split()) and len(k.strip())
             else:
                 n.chars += k.chars
+                n.headed |= k.headed
                 n.tags += k.tags + (k.name in BLOCK or k.name == "a")  # bold, breaks and the like count as text
                 n.link_chars += k.chars if k.name == "a" else k.link_chars
                 n.link_tags += k.tags + 1 if k.name == "a" else k.link_tags
@@ -185,23 +188,37 @@ def main_text(page: str | None) -> str:
         best = body
     # the threshold: the smallest density on the way from the densest node up to the body
     n = max(order, key=lambda n: n.density)
-    floor = n.density
+    floor, thin = n.density, _thickness(n)
     while n is not None:
-        floor = min(floor, n.density) if n.name in BLOCK else floor
+        floor, thin = (min(floor, n.density), min(thin, _thickness(n))) if n.name in BLOCK else (floor, thin)
         n = n.up if n is not body else None
-    # an inline winner belongs to its block; one with siblings of its kind is a section of a larger article
-    while best is not body and (best.name not in BLOCK or any(_like(k, best, floor) for k in best.up.kids)):
+    # the core belongs to its article, an inline one to its block, and one with siblings of text to what holds them all
+    best = _outermost(best, body, "article") or _outermost(best, body, "main") or best
+    while best is not body and (best.name not in BLOCK or any(_text(k, best, floor, thin) for k in best.up.kids)):
         best = best.up
     best.kids = [k for k in best.kids if isinstance(k, str) or not (k.link_chars > 0.5 * k.chars and k.density < floor)]
     return " ".join(_blocks(best))
 
 
-#: A sibling with this share of the winner's density sum, or more, is text of the same article.
-SECTION_SHARE = 0.2
+def _outermost(n: Node, body: Node, name: str) -> Node | None:
+    found = None
+    while n is not body:
+        found, n = n if n.name == name else found, n.up
+    return found
 
 
-def _like(n: Node | str, best: Node, floor: float) -> bool:
-    return isinstance(n, Node) and n is not best and n.density >= floor and 2 * n.link_chars < n.chars and n.sum >= SECTION_SHARE * best.sum
+def _thickness(n: Node) -> float:
+    """Characters a tag, without links. Unlike density it doesn't grow with a block's size, so leaves and short sections compare."""
+    return (n.chars - n.link_chars) / max(n.tags - n.link_tags, 1)
+
+
+def _text(n: Node | str, best: Node, floor: float, thin: float) -> bool:
+    """Whether a sibling of `best` is text of the same article, and no list of links."""
+    if isinstance(n, str):
+        return len(n.strip()) >= max(thin, 1)
+    if n is best or not n.chars or 2 * n.link_chars >= n.chars:
+        return False
+    return n.density >= floor or (n.name in BLOCK and _thickness(n) >= thin) or (n.headed and not best.headed)
 
 
 def _blocks(top: Node) -> list[str]:

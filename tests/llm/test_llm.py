@@ -219,6 +219,26 @@ def test_main_text(wrap):
     assert html.main_text(PAGE % (wrap % ARTICLE)) == want
 
 
+def _paragraphs(n, start=0):
+    return "".join(f"<p>Paragraph {i} of the story has this many plain words in it, no more and no fewer.</p>" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize("article", [
+    f"<article><h1>T</h1><p>lead</p><div class=body>{_paragraphs(6)}</div></article>",
+    f"<main><h1>T</h1><p>lead</p><div class=body>{_paragraphs(6)}</div></main>",
+    f"<div class=post><h1>T</h1><p>lead</p><div class=body>{_paragraphs(6)}</div></div>",
+    f"<div class=post><div class=top><h1>T</h1></div><div class=body>{_paragraphs(6)}</div></div>",
+    f"<article><section>{_paragraphs(10)}</section><section>{_paragraphs(1, 10)}</section></article>",
+    f"<div><section>{_paragraphs(10)}</section><section>{_paragraphs(1, 10)}</section></div>",
+    f"<div><section>{_paragraphs(10)}</section>{_paragraphs(1, 10)}</div>",
+    f"<div>{_paragraphs(1).replace('<p>', '').replace('</p>', '')}<div>{_paragraphs(10, 1)}</div></div>",
+])
+def test_main_text_is_not_cut_to_its_largest_part(article):
+    want = " ".join(re.sub(r"<[^>]*>", " ", article).split())
+    assert html.main_text(PAGE % article) == want
+    assert html.main_text(f"<body>{article}<div class=more><a href=/1>One other story</a><a href=/2>Another story</a></div></body>") == want
+
+
 def test_extract_of_awkward_pages(spark):
     rows = [(1, None, None, "c"), (2, "u", "", "c"), (3, "u", "<p>only</p>", "c"), (3, "u", "<p>only</p>", "c"), (4, "u", "plain text &amp; <b>more", "c"), (5, "u", "<nav>menu</nav>", "c"), (None, "u", "<div>" * 3000 + "deep down text" + "</b>" * 50, "c"), (6, "u", "<p>" + LONG + "<script>", "c"), (7, "u", "<", "c"), (8, "u", "<p title='a>b'>x</p><!-- open", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
