@@ -9,6 +9,9 @@ their first (quarter + 1) groups' contents - without loss, and common passages m
 falls into their group. Blocks that link to one component through their smallest member are done after a
 linear number of checks. The points of any other block go into an R-tree of group counts, searched for pairs
 of different components whose overlap bound suffices. Surviving pairs are verified on the sets.
+
+That gives the components. All links lie inside them, so links() and pairs() compare every two different sets
+of a component, in tiles that read each set once a tile; no pair is left to a bound.
 """
 
 from __future__ import annotations
@@ -163,19 +166,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, hashes (its sorted set) of the wanted nodes, once a row of theirs."""
+    """node, name, hashes (its sorted set) of the wanted nodes, once a row of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 ids, sets = b.column(0).slice(k, 500).to_pylist(), [shingle_set(t.as_py(), words) for t in b.column(1).slice(k, 500)]
-                found = [(NO_ID + (_identity(s) + (1 << 63) >> 3) if i is None else i, s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
-                cols = list(zip(*found, strict=True)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["node", "hashes"])
+                found = [(i, _identity(s), s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
+                cols = list(zip(*[(NO_ID + (m + (1 << 63) >> 3) if i is None else i, m, h) for i, m, h in found], strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["node", "name", "hashes"])
 
     docs = _keyed(documents)
     named = docs.join(small(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return named.union(docs.where("doc_id is null")).mapInArrow(run, "node long, hashes binary")
+    return named.union(docs.where("doc_id is null")).mapInArrow(run, "node long, name long, hashes binary")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, similar: Similar) -> DataFrame:
@@ -365,7 +368,16 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     sets are one node, named by their smallest doc_id, so copies cost nothing twice. Repeated rows come out as
     often as they came in; rows with one doc_id and different texts are one document with the links of all.
     """
-    similar, docs = Similar(percent), documents.select("doc_id", "text")
+    prof, own, comp = _solved(documents, Similar(percent), words)
+    comp = comp.select(F.col("node").alias("root"), "component")
+    named = prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(own, "name", "left").join(comp, "root", "left")
+    least = F.coalesce("component", "root", "node")
+    return named.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"))
+
+
+def _solved(documents: DataFrame, similar: Similar, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The profiles, the root (smallest node) of each set's name, and the component of each root that links."""
+    docs = documents.select("doc_id", "text")
     with arrow_rows(docs.sparkSession, BATCH):
         prof = stash(profiles(docs, similar, words), "profiles")
     own = stash(prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root")), "names")
@@ -397,11 +409,99 @@ def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = stash(found.join(tried, ["a", "b"], "left_anti"), "found")
     _, comp = _linked(found, (links, comp), docs, similar, words)
-    # from nodes to documents; an id beyond NO_ID stands for null
-    comp = comp.select(F.col("node").alias("root"), "component")
-    named = prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(own, "name", "left").join(comp, "root", "left")
-    least = F.coalesce("component", "root", "node")
-    return named.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"))
+    return prof, own, comp
+
+
+#: Different sets, and shingles in them, of a tile whose sets are all compared in one task.
+TILE_SETS, TILE_SHINGLES = 256, 1 << 20
+
+
+def _compared(documents: DataFrame, similar: Similar, words: int, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows by class, and what comparing all different sets of each component gives: pairs, or links of each name."""
+    prof, _, comp = _solved(documents, similar, words)
+    classes = prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    classes = classes.join(comp.select(F.col("node").alias("root"), "component"), "root", "left").withColumn("component", F.coalesce("component", "root"))
+    classes = stash(classes, "classes")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("members"), tiles.alias("tiles")).where("members > 1").select("component", "tiles")
+    several = stash(classes.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int")), "several")
+    with arrow_rows(documents.sparkSession, BATCH):
+        sets = stash(_sets(documents, several.select(F.col("root").alias("node")).distinct(), words).select("name", "hashes"), "sets")
+        rows = several.join(sets, "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("component", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "name", "root", "rows", "hashes")
+        rows = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+        found = stash(rows.mapInArrow(_compare(similar, as_pairs), "a long, b long, common long" if as_pairs else "name long, links long"), "compared")
+    discard(sets)
+    return prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(classes.drop("n"), "name", "left"), found
+
+
+def _compare(similar: Similar, as_pairs: bool):
+    """Links between the sets of rows sorted by (component, low, high): of tile low with tile high, or inside one tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, {}
+        for b in batches:
+            for *at, tile, name, root, rows, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != key:
+                    yield from compare(key, members)
+                    key, members = at, {}
+                members[name] = tile, root, rows, np.frombuffer(hashes, np.uint64)  # repeated rows give their set again
+        yield from compare(key, members)
+
+    def compare(key: list | None, members: dict) -> Iterator[pa.RecordBatch]:
+        if len(members) < 2:
+            return
+        _, low, high = key
+        tile, root, rows = (np.array([m[k] for m in members.values()], np.int64) for k in range(3))
+        sets = [m[3] for m in members.values()]
+        left = np.flatnonzero(tile == low)
+        right = np.flatnonzero(tile == high)
+        if not len(left) or not len(right):
+            return
+        of, n = np.concatenate([sets[j] for j in right]), np.array([len(x) for x in sets], np.int64)
+        known, of = np.unique(of, return_inverse=True)
+        starts = np.cumsum(np.append(0, n[right][:-1]))
+        links, found = np.zeros(len(sets), np.int64), [np.empty((3, 0), np.int64)]
+        for i in left:
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            here = np.zeros(len(known), bool)
+            here[at[known[at] == sets[i]]] = True
+            common = np.add.reduceat(here[of], starts, dtype=np.int64)
+            linked = 100 * common >= similar.percent * (n[i] + n[right] - common)
+            if low == high:
+                linked &= right > i
+            j = right[linked]
+            links[i] += rows[j].sum()
+            links[j] += rows[i]
+            if as_pairs:
+                found.append(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), common[linked]]))
+        if as_pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b", "common"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(members), np.int64)), pa.array(links)], names=["name", "links"])
+
+    return run
+
+
+def links(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id as join() has them; class_id, the smallest doc_id with the same set; n_links.
+
+    n_links is the number of other rows whose text links with the row's: the copies of its set, and all rows of every
+    different set that links with it. Rows without words have no class and no links.
+    """
+    rows, found = _compared(documents, Similar(percent), words, False)
+    out = rows.join(found.groupBy("name").agg(F.sum("links").alias("links")), "name", "left")
+    given = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    least = F.coalesce("component", "node")
+    n_links = F.coalesce(F.col("rows") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return out.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"), given("root").alias("class_id"), n_links.alias("n_links"))
+
+
+def pairs(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """a, b, common: class_ids (see links) of every two different sets that link, and their common shingles; null ids last."""
+    _, found = _compared(documents, Similar(percent), words, True)
+    given = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return found.select(given("a"), given("b"), "common")
 
 
 def _linked(pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, docs: DataFrame, similar: Similar, words: int) -> tuple[DataFrame, DataFrame]:

@@ -86,9 +86,13 @@ def op9_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablation(rules.ledger(read(spark, sf_dir, "documents")), rules.STRICT)
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op9_rule_ablation)
+    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op9_rule_ablation, op1_jaccard_links)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -160,3 +164,8 @@ b(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in rules.B
 SELECT '{rules.STRICT.version}' AS policy, rule, count(*) FILTER ((failed & bit) <> 0) AS failing, count(*) FILTER (failed = bit) AS only_this FROM l, b GROUP BY rule
 UNION ALL SELECT '{rules.STRICT.version}', 'all', count(*) FILTER (failed <> 0), 0 FROM l""",
 }
+ORACLES["op1_jaccard_links"] = f"""{ORACLES["op1_jaccard_join"].rsplit(chr(10) + "SELECT", 1)[0]},
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY xs) AS class_id FROM (SELECT doc_id, list(x ORDER BY x) AS xs FROM s GROUP BY doc_id)),
+c AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = w.doc_id), w.doc_id)) AS component_id, class_id, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c ON a = w.doc_id"""

@@ -102,6 +102,42 @@ def test_join_of_awkward_rows(awkward, nothing):
     assert jaccard.join(nothing).collect() == []
 
 
+def brute_links(rows, percent=80):
+    sets = []
+    for _, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    like = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    classes = {x: min((d for (d, _), y in zip(rows, sets, strict=True) if x == y and d is not None), default=None) for x in sets if x}
+    counts = Counter((d, classes.get(x), sum(bool(like(x, y)) for j, y in enumerate(sets) if j != i)) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True)))
+    names = list(classes)
+    return counts, Counter((*sorted((classes[x], classes[y])), len(x & y)) for i, x in enumerate(names) for y in names[:i] if like(x, y))
+
+
+@pytest.mark.parametrize("tile", [None, 4])
+def test_all_links_equal_brute_force(spark, monkeypatch, tile):
+    if tile:
+        monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    rows = near_copies(3)
+    rows += [(1000 + d, t.lower()) for d, t in rows[::3]]  # copies, so classes have sizes
+    counts, pairs = brute_links(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.links(df).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == counts
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert Counter(map(tuple, jaccard.pairs(df).collect())) == pairs and max(n for *_, n in counts) > 2
+
+
+def test_links_of_awkward_rows(awkward, nothing):
+    got = jaccard.links(awkward).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_links([r[:2] for r in AWKWARD])[0]
+    assert jaccard.links(nothing).collect() == jaccard.pairs(nothing).collect() == []
+
+
+def test_links_equal_their_sql(spark, sf_dir):
+    same(spark, sf_dir, queries.QUERIES["op1_jaccard_links"], queries.ORACLES["op1_jaccard_links"])
+
+
 def test_blocks_meet_and_bounds_hold():
     rng, similar = np.random.default_rng(0), jaccard.Similar()
     for _ in range(400):
