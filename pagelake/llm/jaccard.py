@@ -219,10 +219,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
 
 
 def _same_grid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both points on the coarser grid; added in 32 bits, as sums of 16-bit counts may not fit in 16."""
     while len(x) > len(y):
-        x = x[::2] + x[1::2]
+        x = np.add(x[::2], x[1::2], dtype=np.uint32)
     while len(y) > len(x):
-        y = y[::2] + y[1::2]
+        y = np.add(y[::2], y[1::2], dtype=np.uint32)
     return x, y
 
 

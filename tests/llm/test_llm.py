@@ -152,6 +152,12 @@ def test_blocks_meet_and_bounds_hold():
             assert np.minimum(x, y).sum() >= both >= similar.overlap(np.int64(len(a) + len(b)))
 
 
+def test_folded_points_of_huge_sets_stay_bounds():
+    fine = np.full(4096, 2000, np.uint16)  # 8 million shingles
+    x, y = jaccard._same_grid(fine, np.empty(64, np.uint16))
+    assert len(x) == 64 and x.sum(dtype=np.int64) == 4096 * 2000 and len(y) == 64
+
+
 def test_tree_finds_what_a_scan_finds():
     rng, similar = np.random.default_rng(3), jaccard.Similar()
     p = rng.poisson(1.5, (300, 64)).astype(np.uint16)
