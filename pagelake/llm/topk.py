@@ -66,18 +66,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     gives its best. Fewer candidates than k: all of them. Null ids or parts and non-finite parts: left out.
     """
     rows = stash(quantised(vectors).distinct(), "vectors")
-    cands = stash(_blocks(rows, BLOCK), "blocks")
+    most = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    # an id's vectors lie side by side and count once a block, so in 1 + ceil((most - 1) / BLOCK) blocks at most:
+    # the best `depth` values hold k different ids
+    depth = k * (1 + math.ceil((most - 1) / BLOCK))
+    cands = stash(_blocks(rows.repartition("vec_id").sortWithinPartitions("vec_id") if most > 1 else rows, BLOCK), "blocks")
     asked = stash(_blocks(rows.where(is_query).repartition(max(1, math.ceil(rows.where(is_query).count() / QUERY_BLOCK))), QUERY_BLOCK), "queries")
     pairs = stash(asked.select(F.col("block").alias("q"), F.col("dims").alias("q_dims")).join(cands.select(F.col("block").alias("c"), "dims"), F.col("q_dims") == F.col("dims")).select("q", "c"), "pairs")
     joined = pairs.join(asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), "dims", F.col("data").alias("q_data")), "q")
     joined = joined.join(cands.select(F.col("block").alias("c"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")), "c")
     floors: DataFrame | None = None
     for bits in (COARSE_BITS, 0):
-        bins = _histogram(joined, floors, bits, k)
+        bins = _histogram(joined, floors, bits, depth)
         bins = bins.groupBy("q", "query_id", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("q", "query_id").orderBy(F.desc("bin")))
-        # the k-th value's bin: the last that the k best reach
-        found = bins.withColumn("above", above).where(F.col("above") - F.col("n") < k).groupBy("q", "query_id").agg((F.min("bin") * (1 << bits)).alias("floor"))
+        # the bin of the value at `depth`: the last that the best ones reach
+        found = bins.withColumn("above", above).where(F.col("above") - F.col("n") < depth).groupBy("q", "query_id").agg((F.min("bin") * (1 << bits)).alias("floor"))
         floors = stash(found.groupBy("q").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors")), "floors")
     best = _scored(joined, floors, k)
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -86,13 +90,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and scores; a query's own rows score below everything. Exact: all parts are whole."""
+    """Different query ids and candidate ids and their best scores; a query's own rows score below everything.
+
+    Exact: all parts are whole.
+    """
     q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
     s = np.frombuffer(row["q_data"]).reshape(len(q_ids), -1) @ np.frombuffer(row["c_data"]).reshape(len(c_ids), -1).T
     s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    c_ids, s = _best(c_ids, s, 1)
+    q_ids, s = _best(q_ids, s, 0)
     return q_ids, c_ids, s
 
 
+def _best(ids: np.ndarray, s: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids once each, with their largest scores."""
+    names, n = np.unique(ids, return_counts=True)
+    if len(names) == len(ids):
+        return ids, s
+    return names, np.maximum.reduceat(s.take(np.argsort(ids, kind="stable"), axis), np.cumsum(n) - n, axis=axis)
+
+
 def _floor_of(row: dict, q_ids: np.ndarray) -> np.ndarray:
     if "floors" not in row:
         return np.full(len(q_ids), -np.inf)

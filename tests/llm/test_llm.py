@@ -390,6 +390,28 @@ def test_top_k_of_awkward_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+@pytest.mark.parametrize("block", [None, 7])
+def test_top_k_of_ids_with_several_vectors(spark, monkeypatch, block):
+    if block:  # blocks that cut through an id's vectors
+        monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(-64, 64, 4) / 64).tolist()) for i in range(60)]
+    rows += [(7, [1.0, 1.0, 1.0, 1.0 + i / 64]) for i in range(30)] + [(8, [2.0, 1.0, 1.0, i / 64]) for i in range(12)]
+    rows += [(0, [0.5, 0.5, 0.5, i / 64]) for i in range(5)] + [(20, [1.0, 0.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 10).collect()))
+    want = []
+    for q in (0, 20, 40):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if j == q != i:
+                    best[i] = max(best.get(i, -(1 << 60)), int(np.floor(1024 * np.array(v)) @ np.floor(1024 * np.array(w))))
+        want += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10])]
+    assert got == want
+
+
 # classifiers
 
 
