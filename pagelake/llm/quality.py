@@ -66,16 +66,21 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def _n_chars(documents: DataFrame) -> Column:
+    """The metadata that is a feature; null where the table has none."""
+    return (F.col("n_chars") if "n_chars" in documents.columns else F.lit(None)).cast("long").alias("_n_chars_")
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> FactorisationMachine:
     """The model from labelled documents that aren't held out: `sample` of them at most, by a hash of the id.
 
-    Only doc_id finds the label; label, lang, source and doc_id are no features. Without labels of both classes
+    Only doc_id finds the label; label, lang, source and doc_id are no features; n_chars is one. Without labels of both classes
     the model gives everything the share of ones (1/2 without any).
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.crc32(F.md5(F.col("doc_id").cast("string").cast("binary")).cast("binary")), "doc_id").limit(sample)  # a bounded side
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id").mapInArrow(_vectors, "doc_id long, quality int, x binary")
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"), _n_chars(documents)).join(F.broadcast(known), "doc_id").mapInArrow(_vectors, "doc_id long, quality int, x binary")
     got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.collect())
     y = np.array([q for _, q, _ in got], np.float32)
     d = WORD_BINS + len(STRUCTURE)
@@ -89,7 +94,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int =
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for b in batches:
-        x = [vector(t or b"", cache).tobytes() for t in b.column("text").to_pylist()]
+        x = [vector(t or b"", cache, n).tobytes() for t, n in zip(b.column("text").to_pylist(), b.column("_n_chars_").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
 
@@ -100,10 +105,10 @@ def score(documents: DataFrame, model: FactorisationMachine, keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            texts = b.column("_text_")
-            x = (np.stack([vector(texts[i].as_py() or b"", cache) for i in range(k, min(k + 2000, len(texts)))]) for k in range(0, len(texts), 2000))
+            texts, sizes = b.column("_text_"), b.column("_n_chars_").to_pylist()
+            x = (np.stack([vector(texts[i].as_py() or b"", cache, sizes[i]) for i in range(k, min(k + 2000, len(texts)))]) for k in range(0, len(texts), 2000))
             scores = np.concatenate([model.score(part) for part in x] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    rows = documents.select(*keep, F.col("text").cast("binary").alias("_text_"))
+    rows = documents.select(*keep, F.col("text").cast("binary").alias("_text_"), _n_chars(documents))
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")

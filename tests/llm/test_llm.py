@@ -433,7 +433,17 @@ def test_features_are_the_same_at_every_length():
     for times in (7_000, 60_000):  # 56,000 words, and 2 MB, more than one part
         long = features.vector(part * times, cache)
         assert np.allclose(long[: features.WORD_BINS], once[: features.WORD_BINS], atol=1e-6)
-        assert long[-1] == once[-1] and long[features.WORD_BINS + features.STRUCTURE.index("repeat_words")] == pytest.approx(1 - 7 / 8 / times)
+        assert long[features.WORD_BINS + features.STRUCTURE.index("stops")] == once[features.WORD_BINS + features.STRUCTURE.index("stops")] and long[features.WORD_BINS + features.STRUCTURE.index("repeat_words")] == pytest.approx(1 - 7 / 8 / times)
+
+
+def test_quality_reads_n_chars(spark):
+    rows = [(i, "the same words in all of them", "en", "s", (10, 100_000)[i % 2] if i % 10 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i, *_, n in rows if n is not None], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(False))
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert len(scores) == 400 and scores[1] > 0.7 > 0.3 > scores[2] and 0 <= scores[0] <= 1
+    assert quality.score(docs.drop("n_chars"), model).count() == 400
 
 
 def test_factorisation_machine_is_its_formula():
