@@ -84,7 +84,9 @@ def _part_hashes(text: bytes) -> np.ndarray:
     value = _BYTE[raw]
     value[_SPACE[raw]] = 0
     place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
-    value *= _POWER.take(place, mode="wrap")
+    value *= _POWER[place & 4095]
+    if place.max() > 4095:  # further places of a very long word get multipliers of their own
+        value *= mix((place >> 12).astype(np.uint64)) | np.uint64(1)
     return mix(np.add.reduceat(value, start))
 
 
