@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Documents that training uses at most, by language: those with the smallest CRC-32 of their MD5.
-SAMPLE = 1500
+from pagelake.llm.store import schema_of, with_text
+
+#: Documents that training uses at most, by language and of all languages: those with the smallest CRC-32 of their MD5.
+SAMPLE, TOTAL = 1500, 12_000
 NGRAM_BINS, EPOCHS, BATCH, RATE = 4096, 12, 64, 0.05
 #: The winner's share of the likelihood under which a text counts as ambiguous.
 AMBIGUOUS = 0.5
@@ -103,16 +106,19 @@ def train(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], seed: int =
 
 
 def fit(documents: DataFrame, held_out: Column, sample: int = SAMPLE) -> Decoder:
-    """The decoder from texts with a known language that aren't held out: `sample` a language at most.
+    """The decoder from texts with a known language that aren't held out: about `sample` a language at most, and TOTAL of all.
 
-    The sample comes from ids alone, by hash; lang is the label and no feature. Without any, all is 'und'.
+    So the driver's memory doesn't grow with the number of languages. The sample comes from ids alone, by hash; lang is the
+    label and no feature. Null texts and languages, and null ids that the fold leaves open, aren't learnt from; an empty text
+    counts as one without letters; repeated rows count as often as they are there; further columns are ignored. Without any
+    row, all is 'und'.
     """
     key = F.crc32(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).cast("binary"))
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).select("doc_id", "lang", key.alias("k"))
     sizes = known.groupBy("lang").count().collect()  # one row a language
     total = {r["lang"]: r["count"] for r in sizes}
     # every document of a small language; of a large one those below a bound on the hash, about `sample`
-    most = F.create_map(*[F.lit(v) for c in total for v in (c, int(min(1.0, sample / total[c]) * 2**32))]) if total else None
+    most = F.create_map(*[F.lit(v) for c in total for v in (c, int(min(1.0, min(sample, TOTAL / len(total)) / total[c]) * 2**32))]) if total else None
     if most is None:
         return Decoder((), np.zeros((0, 1), np.int8), np.zeros((NGRAM_BINS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).where(key < most[F.col("lang")])
@@ -131,16 +137,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
 
 
-def predict(documents: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and lang_pred, score (0 to 1) and ambiguous of each whole text. No shuffle.
+def predict(documents: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns of `keep`, and lang_pred, score (0 to 1) and ambiguous of each whole text, however long. No shuffle.
 
-    A null text, one without a letter, or a decoder without languages: 'und', score 0, not ambiguous.
+    A null text, one without a letter, or a decoder without languages: 'und', score 0, not ambiguous. Null ids and repeated
+    rows are rows like others; an empty table gives an empty result. Where a column of `keep` has the name of one that is
+    added, a prefix for the added ones is asked for.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    rows, at = with_text(documents, keep)
+    added = {f"{prefix}lang_pred": T.StringType(), f"{prefix}score": T.DoubleType(), f"{prefix}ambiguous": T.BooleanType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("_text_")
+            texts = b.column(at).cast(pa.binary())
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for k in range(0, len(texts), 500):
                 part = [(i, t) for i in range(k, min(k + 500, len(texts))) if (t := texts[i].as_py()) and decoder.languages and has_letter(t)]
@@ -149,7 +158,6 @@ def predict(documents: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("do
                     for (i, _), j, s in zip(part, best.tolist(), share.tolist(), strict=True):
                         names[i], scores[i] = decoder.languages[j], s
             close = [n != UNKNOWN and s < AMBIGUOUS for n, s in zip(names, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(names), pa.array(scores, pa.float64()), pa.array(close)], names=[*keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=[*keep, *added])
 
-    rows = documents.select(*keep, F.col("text").cast("binary").alias("_text_"))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(run, schema_of(documents, keep, **added))

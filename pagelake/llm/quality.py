@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.llm.features import STRUCTURE, WORD_BINS, vector
+from pagelake.llm.store import schema_of, with_text
 from pagelake.llm.text import WordHashes
 
 #: Labelled documents that training uses at most: those with the smallest CRC-32 of their MD5.
@@ -74,14 +76,17 @@ def _n_chars(documents: DataFrame) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> FactorisationMachine:
     """The model from labelled documents that aren't held out: `sample` of them at most, by a hash of the id.
 
-    Only doc_id finds the label; label, lang, source and doc_id are no features; n_chars is one. Without labels of both classes
-    the model gives everything the share of ones (1/2 without any).
+    Only doc_id finds the label; label, lang, source and doc_id are no features; n_chars is one. Null ids and labels other than
+    0 and 1 aren't learnt from; null and empty texts are. A label given twice counts as 1 if one is; of repeated rows, texts and
+    ids, `sample` rows are taken at most. Further columns are ignored. Without labels of both classes, or rows, the model gives
+    everything the share of ones (1/2 without any).
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.crc32(F.md5(F.col("doc_id").cast("string").cast("binary")).cast("binary")), "doc_id").limit(sample)  # a bounded side
+    key = F.crc32(F.md5(F.col("doc_id").cast("string").cast("binary")).cast("binary"))
+    known = known.orderBy(key, "doc_id").limit(sample)  # a bounded side
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"), _n_chars(documents)).join(F.broadcast(known), "doc_id").mapInArrow(_vectors, "doc_id long, quality int, x binary")
-    got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.collect())
+    got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.orderBy(key, "doc_id", "x").limit(sample).collect())
     y = np.array([q for _, q, _ in got], np.float32)
     d = WORD_BINS + len(STRUCTURE)
     if not len(y) or y.min() == y.max():
@@ -98,17 +103,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
 
-def score(documents: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and score from 0 to 1 of each whole text. No shuffle; null and empty texts get a score too."""
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+def score(documents: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns of `keep`, and score from 0 to 1 of each whole text, however long. No shuffle.
+
+    Null and empty texts get a score too; null ids and repeated rows are rows like others; an empty table gives an empty
+    result. Where `keep` has a column score, a prefix for the added one is asked for.
+    """
+    rows, at = with_text(documents, keep, _n_chars(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            texts, sizes = b.column("_text_"), b.column("_n_chars_").to_pylist()
+            texts, sizes = b.column(at).cast(pa.binary()), b.columns[-1].to_pylist()
             x = (np.stack([vector(texts[i].as_py() or b"", cache, sizes[i]) for i in range(k, min(k + 2000, len(texts)))]) for k in range(0, len(texts), 2000))
             scores = np.concatenate([model.score(part) for part in x] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, f"{prefix}score"])
 
-    rows = documents.select(*keep, F.col("text").cast("binary").alias("_text_"), _n_chars(documents))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return rows.mapInArrow(run, schema_of(documents, keep, **{f"{prefix}score": T.DoubleType()}))

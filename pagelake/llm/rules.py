@@ -5,6 +5,7 @@ A policy is a mask of bits with a version; applying one, or asking what a rule a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagelake.llm.store import schema_of, with_text
 from pagelake.llm.text import SPACES, WordHashes, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -69,29 +72,32 @@ def measure(text: bytes, cache: WordHashes) -> tuple[int, ...]:
     return n, chars, missing(SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), upper, letters, missing(b"!")
 
 
-def ledger(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def ledger(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns of `keep`, MEASURES (long) and failed (long, a bit a rule) of each document.
 
     Null, empty and blank texts have 0 everywhere and fail the rules that hold for 0 words. Each row is read on
-    its own and whole; repeated rows and null ids stay. No shuffle.
+    its own and whole, however long; repeated rows and null ids stay; an empty table gives an empty ledger. Where
+    a column of `keep` has the name of one that is added, a prefix for the added ones is asked for. No shuffle.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    rows, at = with_text(documents, keep)
+    names = [prefix + m for m in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            found = np.array([measure(t.as_py() or b"", cache) for t in b.column("_text_")], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(found[:, k]) for k in range(len(MEASURES))]], names=[*keep, *MEASURES])
+            found = np.array([measure(t.as_py() or b"", cache) for t in b.column(at).cast(pa.binary())], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(found[:, k]) for k in range(len(MEASURES))]], names=[*keep, *names])
 
-    rows = documents.select(*keep, F.col("text").cast("binary").alias("_text_"))
-    rows = rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{m} long" for m in MEASURES]))
-    failed = sum((F.when(F.expr(rule), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items()), F.lit(0))
-    return rows.withColumn("failed", failed.cast("long"))
+    schema = schema_of(documents, keep, **dict.fromkeys([*names, f"{prefix}failed"], T.LongType()))
+    rows = rows.mapInArrow(run, T.StructType(schema.fields[:-1]))
+    measured = {m: f"`{prefix}{m}`" for m in MEASURES}
+    fails = [F.when(F.expr(re.sub(r"[a-z_]{5,}", lambda m: measured.get(m[0], m[0]), rule)), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items()]
+    return rows.withColumn(f"{prefix}failed", sum(fails, F.lit(0)).cast("long"))
 
 
-def passes(policy: Policy):
+def passes(policy: Policy, prefix: str = ""):
     """Whether a ledger row fails no rule of the policy."""
-    return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
+    return F.col(f"{prefix}failed").bitwiseAND(F.lit(policy.mask)) == 0
 
 
 def ablation(rows: DataFrame, policy: Policy) -> DataFrame:

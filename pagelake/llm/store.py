@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a one- or two-key side that may be broadcast (under 64 MB); above it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -17,9 +18,32 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{tempfile.gettempdir()}/pagelake-checkpoints").rstrip("/")
 
 
+def unused(name: str, columns: list[str] | tuple[str, ...]) -> str:
+    """name, with underscores until no column begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
+def with_text(documents: DataFrame, keep: tuple[str, ...], *more: Column) -> tuple[DataFrame, int]:
+    """The columns of keep, the text unless it's among them, and more; and the place of the text."""
+    if "text" in keep:
+        return documents.select(*keep, *more), keep.index("text")
+    return documents.select(*keep, F.col("text").alias(unused("text_", keep)), *more), len(keep)
+
+
+def schema_of(documents: DataFrame, keep: tuple[str, ...], **added: T.DataType) -> T.StructType:
+    clash = set(keep) & set(added)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be there twice; give a prefix")
+    return T.StructType([*(documents.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added.items())])
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below the shared folder and read again."""
     spark = df.sparkSession
@@ -30,10 +54,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        drop_folder(df.sparkSession, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 @contextlib.contextmanager
