@@ -1,17 +1,21 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are similar, and their components.
 
-Every shingle is hashed to a group; a document is the point of its group counts. Two sets overlap in no more
-than the sum of the smaller count of each group, which bounds their similarity before any set is read.
-
-Which points meet. Linked sets differ in few shingles: at 0.8, in at most a quarter of either. With more
-non-empty groups than that, at least one group has equal content in both, so documents meet in the blocks of
-their first (quarter + 1) groups' contents - without loss, and common passages meet only where nothing else
-falls into their group. Blocks that link to one component through their smallest member are done after a
-linear number of checks. The points of any other block go into an R-tree of group counts, searched for pairs
-of different components whose overlap bound suffices. Surviving pairs are verified on the sets.
-
-That gives the components. All links lie inside them, so links() and pairs() compare every two different sets
-of a component, in tiles that read each set once a tile; no pair is left to a bound.
+Every shingle is hashed to a group; a set is the point of its group counts. Two sets overlap in no more than the
+sum of the smaller count of each group, which bounds their similarity before any set is read.
+
+1. Sets get 128-bit names; documents with equal sets are one class, so copies cost nothing twice.
+2. A linked pair shares one of the first shingles of either set under any order that is the same for all sets, so
+   classes meet, without loss, in the blocks of their first fifth of shingles. Frequent shingles come last in that
+   order, so a common line or passage makes a block only of texts that have little else. Blocks with the same
+   smallest member are put together.
+3. Each task holds its blocks in one packed R-tree of points, searched for the points whose summed minima reach the
+   overlap they need. Only a spanning forest of what is found leaves the task: a row for each member of a block at
+   most, whatever the number of pairs. Forests of all tasks together give the candidate groups.
+4. The sets of a candidate group are compared in tiles that read each set once, again giving a spanning forest; tiles
+   of one group are tied together by a member that all of them get, and where that leaves a group in several
+   components, all their sets meet in pairs of tiles.
+
+Groups hold all links. links() and pairs() compare every two different sets of a group; no pair is left to a bound.
 """
 
 from __future__ import annotations
@@ -21,20 +25,24 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
-from pagelake.llm.store import arrow_rows, discard, small, stash
+from pagelake.llm.store import arrow_rows, discard, small, stash, unused
 from pagelake.llm.text import mix, shingle_set
 
-#: Sets with fewer shingles meet by single shingles; from here on groups of about one to two shingles are used.
-SMALL = 64
-#: Members of a block that are compared in one task; larger blocks are dealt out as pairs of tiles.
-TILE = 4096
+#: Members of a block in one tree; larger blocks are dealt out as pairs of tiles.
+TILE = 2048
 LEAF, FAN = 16, 8
 #: Points that a tree is searched for at once, and rows with whole texts or sets in a batch.
 QUERIES, BATCH = 256, 200
+#: Rows, and bytes of points, whose blocks make one tree. Members that a block searches for after its first; then twice as many.
+CHUNK, CHUNK_BYTES, PAIRWISE = 20_000, 32 << 20, 48
+#: Frequent shingles that a task reports, and of which all sets take theirs last. Which these are never changes a result.
+HOT_TASK, HOT = 4096, 65_536
+#: Different sets, and shingles in them, of a tile whose sets are all compared in one task.
+TILE_SETS, TILE_SHINGLES = 256, 1 << 20
 
 
 class Similar:
@@ -51,7 +59,7 @@ class Similar:
         return n * (100 - self.percent) // self.percent
 
     def smallest(self, n: int) -> int:
-        """Size of the smallest set that links with one of n."""
+        """Size of the smallest set that links with one of n; also the least overlap that n needs."""
         return -(-n * self.percent // 100)
 
     def overlap(self, sizes: np.ndarray) -> np.ndarray:
@@ -59,163 +67,160 @@ class Similar:
         return -(-self.percent * sizes // (100 + self.percent))
 
 
-def _class(n: int) -> int:
-    """Size class: 0 below SMALL, then one for each doubling."""
-    return 0 if n < SMALL else n.bit_length()
-
-
 def grid(n: int) -> int:
-    """Groups of the point of a set in n's class; a power of two, so a finer point folds to a coarser one."""
-    return min(4096, max(64, 1 << _class(n) >> 3))
+    """Groups of the point of a set of n: one for two to four shingles; a power of two, so a finer point folds to a coarser one."""
+    return min(4096, max(64, 1 << n.bit_length() >> 2))
 
 
 def point(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
-def blocks_of(hashes: np.ndarray, similar: Similar) -> np.ndarray:
-    """Blocks in which a sorted set meets all it links with; it is in its own class and where smaller partners are.
+def _packed(hashes: np.ndarray) -> bytes:
+    """A set's point; a byte for each count if that is enough."""
+    counts = point(hashes, grid(len(hashes)))
+    return (counts.astype(np.uint8) if counts.max() < 256 else counts).tobytes()
+
+
+def _unpacked(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8 if len(counts) == grid(n) else np.uint16)
+
+
+def _prefix(n: int, similar: Similar) -> int:
+    """How many first shingles a set of n needs to meet all it links with; 0 if it links with equal sets only."""
+    return 0 if similar.differ(n) == 0 and similar.smallest(n) == n else n - similar.smallest(n) + 1
+
+
+def blocks_of(hashes: np.ndarray, similar: Similar, hot: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Blocks in which a sorted set meets all it links with: its first shingles, the rest being fewer than a link needs.
 
-    A group's content is the wrapping sum of its mixed hashes. Groups of the class are numbered by the hashes'
-    high bits, so they are runs of the sorted array, and taking the first (differ + 1) of them is the same
-    choice in both partners. (Their number falls short with a probability below 1e-18 only.)
+    The order is that of the hashes, but for the frequent ones of `hot` (sorted hashes, and their places), which come last.
     """
-    n = len(hashes)
-    need = similar.differ(n) + 1
-    if need < 2 and similar.smallest(n) == n:
-        return np.empty(0, np.uint64)  # links with equal sets only
-    out = []
-    for c in {_class(n), _class(max(1, similar.smallest(n)))}:
-        if c == 0:
-            content = mix(hashes[:need] + np.uint64(1))
-        else:
-            groups = np.uint64(1 << (c - 1))
-            number = ((hashes >> np.uint64(32)) * groups) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))[: need + 1]
-            last = starts[-1] if len(starts) > need else n
-            starts = starts[:need]
-            content = np.add.reduceat(mix(hashes[:last] ^ groups), starts) + number[starts]
-        out.append(mix(content ^ np.uint64(c * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-    return np.concatenate(out)
-
-
-def _identity(hashes: np.ndarray) -> int:
-    """A set's 64-bit name; wrong merges have a probability of about (sets)^2 / 2^65."""
+    need = _prefix(len(hashes), similar)
+    if not need or hot is None or not len(hot[0]):
+        return hashes[:need]
+    at = np.minimum(np.searchsorted(hot[0], hashes), len(hot[0]) - 1)
+    common = hot[0][at] == hashes
+    rare = hashes[~common][:need]
+    if len(rare) == need:
+        return rare
+    last = hashes[common][np.argsort(hot[1][at[common]], kind="stable")]
+    return np.concatenate([rare, last[: need - len(rare)]])
+
+
+def _name(hashes: np.ndarray) -> bytes:
+    """A set's 128-bit name."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _keys(names: list[bytes | None]) -> pa.Array:
+    """64 bits of each name, for what tells candidates only: two names with one key are both taken."""
+    return pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64())
 
 
-#: Rows with a null id get ids from here on, by their sets.
-NO_ID = 1 << 62
+class _Frequent:
+    """The most frequent of the hashes that a task has seen, by counts over a million at a time."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.rows = 0
+        self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append(hashes)
+        self.rows += len(hashes)
+        if self.rows > 1 << 20:
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.held:
+            return
+        found, counts = np.unique(np.concatenate(self.held), return_counts=True)
+        found, counts = found[counts >= 8], counts[counts >= 8]
+        every, at = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([self.counts, counts]), len(every)).astype(np.int64)
+        top = np.argsort(-sums, kind="stable")[: 4 * HOT_TASK]
+        self.hashes, self.counts, self.held, self.rows = every[top], sums[top], [], 0
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def profiles(documents: DataFrame, similar: Similar, words: int = 5) -> DataFrame:
-    """doc_id, node (doc_id, or a number from NO_ID on), name (the set's; null if empty), n, counts, blocks of each row."""
+def _named(documents: DataFrame, similar: Similar, words: int) -> DataFrame:
+    """doc_id, name (null without words), key, n of each row; and a row a task with n -1, its frequent shingles and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                ids = b.column(0).slice(k, 500)
-                sets = [shingle_set(t.as_py(), words) for t in b.column(1).slice(k, 500)]
-                names = [_identity(s) if len(s) else None for s in sets]
-                nodes = [NO_ID + ((m or 0) + (1 << 63) >> 3) if i is None else i for i, m in zip(ids.to_pylist(), names, strict=True)]
-                blocks = [blocks_of(s, similar).view(np.int64) for s in sets]
-                offsets = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
-                columns = [
-                    ids, pa.array(nodes, pa.int64()), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()),
-                    pa.array([point(s, grid(len(s))).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *blocks])),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "name", "n", "counts", "blocks"])
-
-    return _keyed(documents).mapInArrow(run, "doc_id long, node long, name long, n long, counts binary, blocks array<long>")
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            for s in sets:
+                frequent.add(s[: 2 * _prefix(len(s), similar)])
+            names = [_name(s) if len(s) else None for s in sets]
+            lists = pa.array([None] * b.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), _keys(names), pa.array(map(len, sets), pa.int64()), lists, lists], names=columns)
+        frequent.fold()
+        top = slice(0, HOT_TASK)
+        lists = [pa.array([x[top]], pa.list_(pa.int64())) for x in (frequent.hashes.view(np.int64), frequent.counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), *lists], names=columns)
 
+    columns = ["doc_id", "name", "key", "n", "hot", "counts"]
+    return _keyed(documents).mapInArrow(run, "doc_id long, name binary, key long, n long, hot array<long>, counts array<long>")
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and node -> block, leader (its smallest node), node, of blocks with several nodes.
-
-    Streams: of a block only its leader is remembered, so no block is too large.
-    """
-    block, leader, told = None, 0, False
-    for b in batches:
-        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(k):
-            continue
-        starts = np.concatenate([[k[0] != block], k[1:] != k[:-1]])
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
-        lead = np.where(run < 0, leader, v[np.maximum(run, 0)])
-        other = v != lead
-        keep = other.copy()
-        # a leader's own row comes with the first other node
-        firsts = np.flatnonzero(other & np.concatenate([[True], ~other[:-1] | starts[1:]]))
-        _, at = np.unique(run[firsts], return_index=True)
-        firsts = firsts[at]
-        firsts = firsts[(run[firsts] >= 0) | (not told)]
-        if run[-1] >= 0:
-            block, leader, told = k[-1], v[run[-1]], bool(other[run[-1] :].any())
-        else:
-            told = told or bool(other.any())
-        out_k = np.concatenate([k[keep], k[firsts]])
-        out_l = np.concatenate([lead[keep], lead[firsts]])
-        out_v = np.concatenate([v[keep], lead[firsts]])
-        yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_l), pa.array(out_v)], names=["block", "leader", "node"])
 
-
-def _sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, name, hashes (its sorted set) of the wanted nodes, once a row of theirs."""
+def _points(documents: DataFrame, similar: Similar, words: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, name, key, n, counts (the point), blocks of each row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                ids, sets = b.column(0).slice(k, 500).to_pylist(), [shingle_set(t.as_py(), words) for t in b.column(1).slice(k, 500)]
-                found = [(i, _identity(s), s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
-                cols = list(zip(*[(NO_ID + (m + (1 << 63) >> 3) if i is None else i, m, h) for i, m, h in found], strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["node", "name", "hashes"])
+            found = [(i, shingle_set(t.as_py(), words)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            found = [(i, s) for i, s in found if len(s)]
+            names = [_name(s) for _, s in found]
+            blocks = [blocks_of(s, similar, hot).view(np.int64) for _, s in found]
+            offsets = pa.array(np.cumsum([0, *map(len, blocks)]).astype(np.int32))
+            cols = [
+                pa.array([i for i, _ in found], pa.int64()), pa.array(names, pa.binary()), _keys(names), pa.array([len(s) for _, s in found], pa.int64()),
+                pa.array([_packed(s) for _, s in found], pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *blocks])),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "name", "key", "n", "counts", "blocks"])
 
-    docs = _keyed(documents)
-    named = docs.join(small(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return named.union(docs.where("doc_id is null")).mapInArrow(run, "node long, name long, hashes binary")
+    return _keyed(documents).mapInArrow(run, "doc_id long, name binary, key long, n long, counts binary, blocks array<long>")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, similar: Similar) -> DataFrame:
-    """a, b, bound (in 1/1000): pairs whose sizes and points allow a link, with their similarity at most."""
-    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "c_a", "n_b", "c_b")
-    j = j.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar.percent)
+def _sets(documents: DataFrame, roots: DataFrame, words: int) -> DataFrame:
+    """name, hashes (its sorted set) of the rows with a wanted id (root), and of all rows without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            most = np.empty(len(n), np.int64)
-            for k, (x, y) in enumerate(zip(batch.column("c_a"), batch.column("c_b"), strict=True)):
-                most[k] = np.minimum(*_same_grid(np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16))).sum(dtype=np.int64)
-            keep = most >= similar.overlap(n)
-            bound = 1000 * most[keep] // np.maximum(1, n[keep] - most[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(bound)], names=["a", "b", "bound"])
-
-    return j.mapInArrow(run, "a long, b long, bound long")
+        for b in batches:
+            sets = [s for t in b.column(1) if len(s := shingle_set(t.as_py(), words))]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "hashes"])
 
+    docs = _keyed(documents)
+    wanted = docs.join(small(roots.select(F.col("root").alias("doc_id"))), "doc_id", "left_semi")
+    return wanted.union(docs.where("doc_id is null")).mapInArrow(run, "name binary, hashes binary")
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: Similar) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    j = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
-    j = j.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a").select("a", "b", "h_a", "h_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("h_a"), batch.column("h_b"), strict=True)):
-                both = np.frombuffer(x.as_py() + y.as_py(), np.uint64).copy()
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = 100 * common >= similar.percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, key) -> leader, key: the members of blocks with several, by their block's smallest key.
 
-    return j.mapInArrow(run, "a long, b long")
+    Blocks with one leader are searched together, so a member's point travels once for each leader and not for each
+    block. Of a block only its leader is remembered, so none is too long.
+    """
+    block, leader = None, 0
+    for b in batches:
+        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(k):
+            continue
+        starts = np.concatenate([[k[0] != block], k[1:] != k[:-1]])
+        run = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
+        lead = np.where(run < 0, leader, v[np.maximum(run, 0)])
+        block, leader = k[-1], lead[-1]
+        pairs = np.stack([lead, v])[:, lead != v]
+        if pairs.size:
+            pairs = np.unique(np.concatenate([pairs, pairs[[0, 0]]], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["block", "key"])
 
 
 def _same_grid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,34 +233,34 @@ def _same_grid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CountTree:
-    """A packed R-tree of count vectors. Boxes keep the largest count of each group and their sizes' range."""
+    """A packed R-tree of count vectors. Boxes keep the largest count of each group and the ranges of sizes and blocks."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points[:, 0], points.argmax(1), sizes)) if len(points) else np.empty(0, np.int64)
-        self.levels = [(order, points[order], sizes[order], sizes[order])]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None):
+        blocks = np.zeros(len(points), np.int64) if blocks is None else blocks
+        order = np.lexsort((points[:, 0], points.argmax(1), sizes, blocks)) if len(points) else np.empty(0, np.int64)
+        self.levels = [(order, points[order], sizes[order], sizes[order], blocks[order], blocks[order])]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
-            _, top, low, high = self.levels[-1]
+            _, top, low, high, first, last = self.levels[-1]
             at = np.arange(0, len(top), width)
-            self.levels.append((at, np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            self.levels.append((at, np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
             width = FAN
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
-        """(query, stored) pairs whose sizes agree and whose summed smaller counts reach the overlap they need."""
-        found = [self._search(points, sizes, similar, np.arange(k, min(k + QUERIES, len(points)))) for k in range(0, max(1, len(points)), QUERIES)]
+    def search(self, points: np.ndarray, sizes: np.ndarray, similar: Similar, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, stored) pairs of one block whose sizes agree and whose summed smaller counts reach the overlap they need."""
+        blocks = np.zeros(len(points), np.int64) if blocks is None else blocks
+        found = [self._search(points, sizes, blocks, similar, np.arange(k, min(k + QUERIES, len(points)))) for k in range(0, max(1, len(points)), QUERIES)]
         return np.concatenate([q for q, _ in found]), np.concatenate([s for _, s in found])
 
-    def _search(self, points: np.ndarray, sizes: np.ndarray, similar: Similar, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, similar: Similar, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         box = np.zeros(len(q), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            order, top, low, high = self.levels[depth]
-            keep = []
-            for k in range(0, len(q), 1 << 14):
-                a, b = q[k : k + (1 << 14)], box[k : k + (1 << 14)]
-                n = sizes[a]
-                fits = (high[b] * 100 >= similar.percent * n) & (low[b] * similar.percent <= 100 * n)
-                bound = np.minimum(points[a], top[b]).sum(1, dtype=np.int64)
-                keep.append(fits & (bound >= similar.overlap(n + np.maximum(low[b], similar.percent * n // 100))))
+            order, top, low, high, first, last = self.levels[depth]
+            n, block = sizes[q], blocks[q]
+            fits = (first[box] <= block) & (block <= last[box]) & (high[box] * 100 >= similar.percent * n) & (low[box] * similar.percent <= 100 * n)
+            q, box = q[fits], box[fits]
+            need = similar.overlap(sizes[q] + np.maximum(low[box], similar.percent * sizes[q] // 100))
+            keep = [np.minimum(points[q[k : k + 8192]], top[box[k : k + 8192]]).sum(1, dtype=np.int64) >= need[k : k + 8192] for k in range(0, len(q), 8192)]
             keep = np.concatenate(keep) if keep else np.empty(0, bool)
             q, box = q[keep], box[keep]
             if depth:
@@ -266,272 +271,347 @@ class CountTree:
         return q, self.levels[0][0][box]
 
 
-#: Blocks up to this size are compared together, larger ones through a tree each; rows handled at once.
-PAIRWISE, CHUNK = 48, 20_000
-#: Of a node's blocks, so many of the first ones tell whether a pair has met before.
-FIRST = 16
+class Forest:
+    """Sets that only ever merge; what joins two of them is an edge of a spanning forest."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def roots(self) -> np.ndarray:
+        at = np.array(self.parent, np.int64)
+        while (at[at] != at).any():
+            at = at[at]
+        return at
 
 
 def _search_blocks(similar: Similar):
-    """a, b, bound of pairs of different components that rows sorted by (block, low, high) allow."""
-
-    def bounded(rows: dict, a: np.ndarray, b: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of pairs of row numbers that meet in a block, those whose points allow a link: on 64 groups, then on all.
-
-        A pair that is known to meet in an earlier block is left to that one, so a pair comes out about once.
-        """
-        n, node = rows["n"], rows["node"]
-        keep = (rows["comp"][a] != rows["comp"][b]) & (100 * np.minimum(n[a], n[b]) >= similar.percent * np.maximum(n[a], n[b]))
-        a, b, block = a[keep], b[keep], block[keep]
-        need = similar.overlap(n[a] + n[b])
-        most = np.concatenate([np.empty(0, np.int64), *[np.minimum(rows["coarse"][a[k : k + 8192]], rows["coarse"][b[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(a), 8192)]])
-        keep = most >= need
-        for k in range(0, len(a), 4096):
-            at = k + np.flatnonzero(keep[k : k + 4096])
-            x, y = rows["first"][a[at]][:, :, None], rows["first"][b[at]][:, None, :]
-            keep[at] = ~((x == y) & (x < block[at][:, None, None])).any((1, 2))
-        a, b, need, most = a[keep], b[keep], need[keep], most[keep]
-        for k in range(len(a)):
-            x, y = rows["counts"][a[k]], rows["counts"][b[k]]
-            if min(len(x), len(y)) > 128:
-                most[k] = np.minimum(*_same_grid(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))).sum(dtype=np.int64)
-        keep = most >= need
-        a, b, most = a[keep], b[keep], most[keep]
-        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), 1000 * most // np.maximum(1, n[a] + n[b] - most)
-
-    def pairwise(rows: dict, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        out = [(np.empty(0, np.int64),) * 3]
-        names, local = np.unique(rows["node"], return_inverse=True)
-        at = np.zeros(len(names), np.int64)
-        at[local] = np.arange(len(local))
-        for m in np.unique(size):
-            i, j = np.triu_indices(m, 1)
-            first = start[size == m]
-            for k in range(0, len(first), max(1, 400_000 // len(i))):
-                base = first[k : k + max(1, 400_000 // len(i)), None]
-                a, b = local[(base + i).ravel()], local[(base + j).ravel()]
-                pair, seen = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_index=True)  # in order of blocks
-                out.append(bounded(rows, at[pair // len(names)], at[pair % len(names)], rows["block"][base[seen // len(i), 0]]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-    def tree(rows: dict, cross: bool) -> tuple[np.ndarray, ...]:
-        least = min(len(c) for c in rows["counts"]) // 2
-        points = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(least, np.uint16))[0] for c in rows["counts"]])
-        n, tile = rows["n"], rows["tile"]
-        left = np.flatnonzero(tile == tile.min()) if cross else np.arange(len(n))
-        right = np.flatnonzero(tile != tile.min()) if cross else left
-        q, s = CountTree(points[right], n[right]).search(points[left], n[left], similar)
-        q, s = left[q], right[s]
-        keep = (rows["node"][q] < rows["node"][s]) | cross
-        return bounded(rows, q[keep], s[keep], rows["block"][q[keep]])
+    """a, b: the components (b in that of a, their smallest key) of the pairs, within each run of (block, low, high), whose points allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if rest.num_rows >= CHUNK:
+            if rest.num_rows >= CHUNK or rest.nbytes >= CHUNK_BYTES:
                 keys = [rest.column(c).to_numpy() for c in ("block", "low", "high")]
-                last = np.logical_and.reduce([k == k[-1] for k in keys])
-                whole = int(np.argmax(last))  # the last block may go on
+                whole = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))  # the last block may go on
                 if whole:
-                    yield from search(rest.slice(0, whole))
+                    yield search(rest.slice(0, whole))
                     rest = rest.slice(whole)
-        if rest is not None:
-            yield from search(rest)
+        if rest is not None and rest.num_rows:
+            yield search(rest)
 
-    def search(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def search(t: pa.Table) -> pa.RecordBatch:
         keys = [t.column(c).to_numpy() for c in ("block", "low", "high")]
         start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
-        size = np.diff(np.append(start, t.num_rows))
-        rows = {c: t.column(c).to_numpy() for c in ("block", "node", "comp", "n", "tile")} | {"counts": t.column("counts").to_pylist()}
-        rows["coarse"] = np.stack([_same_grid(np.frombuffer(c, np.uint16), np.empty(64, np.uint16))[0] for c in rows["counts"]])
-        rows["first"] = np.full((t.num_rows, FIRST), np.iinfo(np.int64).max)
-        for k, f in enumerate(t.column("first").to_pylist()):
-            rows["first"][k, : len(f)] = f
-        cross = keys[1][start] != keys[2][start]
-        few = (size <= PAIRWISE) & ~cross
-        found = [pairwise(rows, start[few], size[few])] if few.any() else []
-        for k in np.flatnonzero(~few):
-            at = slice(start[k], start[k] + size[k])
-            found.append(tree({c: v[at] for c, v in rows.items()}, bool(cross[k])))
-        for f in found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in f], names=["a", "b", "bound"])
+        block = np.repeat(np.arange(len(start)), np.diff(np.append(start, t.num_rows)))
+        names, node = np.unique(t.column("key").to_numpy(), return_inverse=True)
+        n = t.column("n").to_numpy()
+        counts = [_unpacked(c, k) for c, k in zip(t.column("counts").to_pylist(), n.tolist(), strict=True)]
+        coarse = np.stack([_same_grid(c, np.empty(64, np.uint16))[0] for c in counts]).astype(np.uint32)
+        tree, forest = CountTree(coarse, n, block), Forest(len(names))
+        asked, queries, width = np.zeros(len(n), bool), start, PAIRWISE
+        # Once all members that aren't joined to their block's first have been searched for, no pair of two sets is left out.
+        while len(queries):
+            asked[queries] = True
+            q, s = tree.search(coarse[queries], n[queries], similar, block[queries])
+            for i, j in zip(queries[q].tolist(), s.tolist(), strict=True):
+                x, y = int(node[i]), int(node[j])
+                if forest.find(x) != forest.find(y):
+                    most = np.minimum(*_same_grid(counts[i], counts[j])).sum(dtype=np.int64)
+                    if most >= similar.overlap(n[i] + n[j]):
+                        forest.join(x, y)
+            at = forest.roots()[node]
+            left = np.flatnonzero((at != at[start][block]) & ~asked)
+            place = np.arange(len(left)) - np.searchsorted(block[left], block[left], "left")
+            queries, width = left[place < width], 2 * width
+        at = forest.roots()
+        joined = at != np.arange(len(at))
+        return pa.RecordBatch.from_arrays([pa.array(names[at[joined]]), pa.array(names[joined])], names=["a", "b"])
 
     return run
 
 
-def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+def _compare(similar: Similar, want: str):
+    """Compares the sets of rows sorted by (group, low, high): those of tile low with those of tile high, or within one tile.
 
-    Documents link when 100 * common >= percent * united distinct shingles of `words` words, A-Z lower-cased;
-    a shorter text is one shingle; one without words, or null, links with nothing. component_id is the smallest
-    doc_id reached by links (null ids count as larger than all; alone, such a row's component is null). Equal
-    sets are one node, named by their smallest doc_id, so copies cost nothing twice. Repeated rows come out as
-    often as they came in; rows with one doc_id and different texts are one document with the links of all.
+    want "forest": other, the smallest name of its component, for each further name, sets of one comp being joined to begin
+    with. "links": besides, the number of rows that each name links with. "pairs": all pairs that link.
     """
-    prof, own, comp = _solved(documents, Similar(percent), words)
-    comp = comp.select(F.col("node").alias("root"), "component")
-    named = prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(own, "name", "left").join(comp, "root", "left")
-    least = F.coalesce("component", "root", "node")
-    return named.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"))
-
-
-def _solved(documents: DataFrame, similar: Similar, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The profiles, the root (smallest node) of each set's name, and the component of each root that links."""
-    docs = documents.select("doc_id", "text")
-    with arrow_rows(docs.sparkSession, BATCH):
-        prof = stash(profiles(docs, similar, words), "profiles")
-    own = stash(prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root")), "names")
-    # later copies of a set (ids only) take no part; the rows that do keep their blocks where they were written
-    copies = prof.where("name is not null").select("node", "name").join(own, "name").where("node <> root").select("node").distinct()
-    nodes = prof.where("name is not null").join(small(stash(copies, "copies")), "node", "left_anti")
-    points = nodes.select("node", "n", "counts")
-    m = nodes.select(F.explode("blocks").alias("block"), "node")
-    m = m.repartition("block").sortWithinPartitions("block", "node")
-    shared = stash(m.mapInArrow(_shared, "block long, leader long, node long"), "blocks")
-    met = stash(shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
-    star = stash(_bounded(met, points, similar), "pairs")
-    links, comp = _linked(star, None, docs, similar, words)
-    # blocks in which some member isn't in its leader's component: search them by their points
-    of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
-    apart = met.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select(F.col("a").alias("leader"), F.col("b").alias("node"))
-    open_ = shared.join(small(stash(apart, "apart")), ["leader", "node"], "left_semi").select("block").distinct()
-    rows = shared.join(small(stash(open_, "open")), "block", "left_semi").select("block", "node").distinct()
-    rows = stash(rows.join(of("node").withColumnRenamed("node_of", "comp"), "node", "left").select("block", "node", F.coalesce("comp", "node").alias("comp")), "open-blocks")
-    # (a leader's pairs are done, so a block of two is)
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 2").select("block", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    rows = stash(rows.join(sizes, "block"), "searched")
-    first = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("block")), 1, FIRST).alias("first"))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(points.join(first, "node"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "comp", "n", "counts", "tile", "first")
-    rows = rows.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    found = rows.mapInArrow(_search_blocks(similar), "a long, b long, bound long").distinct()
-    tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = stash(found.join(tried, ["a", "b"], "left_anti"), "found")
-    _, comp = _linked(found, (links, comp), docs, similar, words)
-    return prof, own, comp
-
-
-#: Different sets, and shingles in them, of a tile whose sets are all compared in one task.
-TILE_SETS, TILE_SHINGLES = 256, 1 << 20
-
-
-def _compared(documents: DataFrame, similar: Similar, words: int, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows by class, and what comparing all different sets of each component gives: pairs, or links of each name."""
-    prof, _, comp = _solved(documents, similar, words)
-    classes = prof.where("name is not null").groupBy("name").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
-    classes = classes.join(comp.select(F.col("node").alias("root"), "component"), "root", "left").withColumn("component", F.coalesce("component", "root"))
-    classes = stash(classes, "classes")
-    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES)).cast("int")
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("members"), tiles.alias("tiles")).where("members > 1").select("component", "tiles")
-    several = stash(classes.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int")), "several")
-    with arrow_rows(documents.sparkSession, BATCH):
-        sets = stash(_sets(documents, several.select(F.col("root").alias("node")).distinct(), words).select("name", "hashes"), "sets")
-        rows = several.join(sets, "name").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("component", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "name", "root", "rows", "hashes")
-        rows = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-        found = stash(rows.mapInArrow(_compare(similar, as_pairs), "a long, b long, common long" if as_pairs else "name long, links long"), "compared")
-    discard(sets)
-    return prof.select("doc_id", "node", "name", F.col("n").alias("n_shingles")).join(classes.drop("n"), "name", "left"), found
-
-
-def _compare(similar: Similar, as_pairs: bool):
-    """Links between the sets of rows sorted by (component, low, high): of tile low with tile high, or inside one tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, {}
         for b in batches:
-            for *at, tile, name, root, rows, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *at, tile, name, comp, root, rows, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != key:
-                    yield from compare(key, members)
+                    if len(members) > 1:
+                        yield compare(key, members)
                     key, members = at, {}
-                members[name] = tile, root, rows, np.frombuffer(hashes, np.uint64)  # repeated rows give their set again
-        yield from compare(key, members)
+                members[name] = tile, comp, root, rows, np.frombuffer(hashes, np.uint64)  # repeated rows give their set again
+        if len(members) > 1:
+            yield compare(key, members)
 
-    def compare(key: list | None, members: dict) -> Iterator[pa.RecordBatch]:
-        if len(members) < 2:
-            return
+    def compare(key: list, members: dict) -> pa.RecordBatch:
         _, low, high = key
-        tile, root, rows = (np.array([m[k] for m in members.values()], np.int64) for k in range(3))
-        sets = [m[3] for m in members.values()]
-        left = np.flatnonzero(tile == low)
-        right = np.flatnonzero(tile == high)
-        if not len(left) or not len(right):
-            return
-        of, n = np.concatenate([sets[j] for j in right]), np.array([len(x) for x in sets], np.int64)
-        known, of = np.unique(of, return_inverse=True)
-        starts = np.cumsum(np.append(0, n[right][:-1]))
-        links, found = np.zeros(len(sets), np.int64), [np.empty((3, 0), np.int64)]
-        for i in left:
-            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
-            here = np.zeros(len(known), bool)
-            here[at[known[at] == sets[i]]] = True
-            common = np.add.reduceat(here[of], starts, dtype=np.int64)
-            linked = 100 * common >= similar.percent * (n[i] + n[right] - common)
-            if low == high:
-                linked &= right > i
-            j = right[linked]
-            links[i] += rows[j].sum()
-            links[j] += rows[i]
-            if as_pairs:
-                found.append(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), common[linked]]))
-        if as_pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b", "common"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(members), np.int64)), pa.array(links)], names=["name", "links"])
+        names = list(members)
+        tile, comp, root, rows, sets = (list(x) for x in zip(*members.values(), strict=True))
+        n, rows, tile = np.array([len(x) for x in sets], np.int64), np.array(rows, np.int64), np.array(tile)
+        left, right = np.flatnonzero(tile != high if low != high else tile == low), np.flatnonzero(tile == high)
+        forest, first = Forest(len(names)), {}
+        for i, c in enumerate(comp):
+            forest.join(first.setdefault(c, i), i)
+        links, found = np.zeros(len(names), np.int64), []
+        if len(left) and len(right):
+            known, of = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
+            starts = np.cumsum(np.append(0, n[right][:-1]))
+            for i in left:
+                to = right
+                if want == "forest":
+                    at = forest.roots()
+                    # sets that are joined to the first one are compared when the others' turn comes
+                    if low == high and i != left[0] and at[i] == at[left[0]] or (at[right] == at[i]).all():
+                        continue
+                    to = right[at[right] != at[i]]
+                here = np.zeros(len(known) + 1, bool)
+                at = np.searchsorted(known, sets[i])
+                here[at[known[np.minimum(at, len(known) - 1)] == sets[i]]] = True
+                common = np.add.reduceat(here[of], starts, dtype=np.int64)
+                linked = 100 * common >= similar.percent * (n[i] + n[right] - common)
+                linked &= (right > i) if low == high and want != "forest" else (right != i)
+                j = right[linked]
+                if want == "forest":
+                    j = np.intersect1d(j, to)
+                links[i] += rows[j].sum()
+                links[j] += rows[i]
+                if want == "pairs":
+                    found += [(root[i], root[x], int(c)) for x, c in zip(j, common[linked], strict=True)]
+                for x in j.tolist():
+                    forest.join(int(i), x)
+        if want == "pairs":
+            a, b, c = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "common"])
+        at, least = forest.roots().tolist(), {}
+        for k, name in enumerate(names):
+            least[at[k]] = min(name, least.get(at[k], name))
+        other = [least[at[k]] if least[at[k]] != name else None for k, name in enumerate(names)]
+        keep = [k for k, x in enumerate(other) if x is not None or want == "links" and links[k]]
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.binary()), pa.array([other[k] for k in keep], pa.binary()), pa.array(links[keep])], names=["name", "other", "links"])
 
     return run
 
 
+class _Solved:
+    """Classes of equal sets, candidate groups of classes, and the comparisons inside them."""
+
+    def __init__(self, documents: DataFrame, percent: int, words: int):
+        self.similar, self.words = Similar(percent), words
+        self.docs = documents.select("doc_id", "text")
+        self.spark = documents.sparkSession
+        self.scratch: list[DataFrame] = []
+        with arrow_rows(self.spark, BATCH):
+            every = stash(_named(self.docs, self.similar, words), "names")
+        self.rows = every.where("n >= 0").select("doc_id", "name", "key", "n")
+        hot = every.where("n < 0").select(F.explode(F.arrays_zip("hot", "counts")).alias("h")).groupBy(F.col("h.hot").alias("hot")).agg(F.sum("h.counts").alias("c"))
+        hot = hot.orderBy(F.desc("c"), "hot").limit(HOT).collect()  # HOT rows at most
+        shingles, place = np.array([r["hot"] for r in hot], np.int64).view(np.uint64), -np.arange(len(hot))
+        order = np.argsort(shingles)
+        self.hot = shingles[order], place[order]
+        named = self.rows.where("name is not null")
+        self.classes = self.keep(named.groupBy("name").agg(F.first("key").alias("key"), F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")), "classes")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.scratch.append(stash(df, name))
+        return self.scratch[-1]
+
+    def done(self, result: DataFrame) -> DataFrame:
+        """The result, written, so that the tables it was made from can go."""
+        result = stash(result, "resolved")
+        for t in self.scratch:
+            discard(t)
+        return result
+
+    def members(self) -> DataFrame:
+        """name, root, rows, n, grp: the classes that share a candidate group with others."""
+        with arrow_rows(self.spark, BATCH):
+            points = self.keep(_points(self.docs, self.similar, self.words, self.hot), "points")
+        # copies of a class take no part: of each class the rows with its smallest id do
+        copied = self.classes.where("rows > 1 and root is not null").select("name", "root")
+        one = points.join(small(copied), "name", "left").where("root is null or doc_id = root")
+        met = one.select(F.explode("blocks").alias("block"), "key").repartition("block").sortWithinPartitions("block", "key")
+        met = self.keep(met.mapInArrow(_shared, "block long, key long").distinct(), "blocks")
+        large = met.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > TILE).select("block", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+        wanted = one.select("key", "n", "counts").join(small(met.select("key").distinct()), "key", "left_semi")
+        rows = met.join(wanted, "key")
+        if large.isEmpty():
+            rows = rows.select("block", F.lit(0).alias("low"), F.lit(0).alias("high"), "key", "n", "counts")
+        else:
+            rows = rows.join(small(large), "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+            rows = rows.withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            rows = rows.where("tiles = 1 or tile <> other").select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "key", "n", "counts")
+        rows = rows.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "key")
+        groups = connected_components(rows.mapInArrow(_search_blocks(self.similar), "a long, b long"))
+        self.scratch.append(groups)
+        return self.keep(self.classes.join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key"), "members")
+
+    def sets(self, members: DataFrame) -> DataFrame:
+        return _sets(self.docs, members.where("root is not null").select("root").distinct(), self.words)
+
+    def compared(self, rows: DataFrame, sets: DataFrame, want: str) -> DataFrame:
+        """rows: grp, low, high, tile, name, comp, root, rows."""
+        rows = rows.join(sets, "name").select("grp", "low", "high", "tile", "name", "comp", "root", "rows", "hashes")
+        rows = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "name")
+        return rows.mapInArrow(_compare(self.similar, want), "a long, b long, common long" if want == "pairs" else "name binary, other binary, links long")
+
+    def everything(self, want: str) -> DataFrame:
+        """All different sets of each group compared, tile by tile."""
+        members = self.members()
+        tiled = members.join(members.groupBy("grp").agg(_tiles().alias("tiles")), "grp").withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int"))
+        tiled = tiled.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = tiled.select("grp", F.least("tile", "to").alias("low"), F.greatest("tile", "to").alias("high"), "tile", "name", F.col("name").alias("comp"), "root", "rows")
+        with arrow_rows(self.spark, BATCH):
+            return self.keep(self.compared(rows, self.sets(members), want), "compared")
+
+    def linked(self) -> DataFrame:
+        """name, comp: the component (a name) of each class that links with another."""
+        members = self.members()
+        sets = self.sets(members)
+        tiles = members.groupBy("grp").agg(_tiles().alias("tiles"), F.min("key").alias("least"))
+        tiled = members.join(tiles, "grp").withColumn("tile", F.pmod(F.xxhash64("name"), "tiles").cast("int"))
+        # the member with the group's smallest key goes to all of its tiles
+        every = F.when(F.col("key") == F.col("least"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
+        tied = tiled.withColumn("tile", F.explode(every))
+        with arrow_rows(self.spark, BATCH):
+            comps = self.components(self.compared(tied.select("grp", F.col("tile").alias("low"), F.col("tile").alias("high"), "tile", "name", F.col("name").alias("comp"), "root", "rows"), sets, "forest"))
+        large = tiles.where("tiles > 1").select("grp")
+        if large.isEmpty():
+            return comps
+        # groups of several tiles that are in several components: the largest one's sets are compared with all others
+        rows = members.join(small(large), "grp", "left_semi").join(comps, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+        sizes = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"))
+        best = sizes.groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("best"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        best = self.keep(best.select("grp", F.col("best.comp").alias("main"), F.ceil((F.col("all") - F.col("best.c")) / TILE_SETS).cast("int").alias("o"), F.ceil(F.col("best.c") / TILE_SETS).cast("int").alias("m")), "open")
+        if best.isEmpty():
+            return comps
+        rows = rows.join(small(best), "grp")
+        tile = F.when(F.col("comp") == F.col("main"), F.col("o") + F.pmod(F.xxhash64("name"), "m")).otherwise(F.pmod(F.xxhash64("name"), "o")).cast("int")
+        rows = rows.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("o") + F.col("m") - 1))).where("least(tile, to) < o")
+        rows = rows.select("grp", F.least("tile", "to").alias("low"), F.greatest("tile", "to").alias("high"), "tile", "name", "comp", "root", "rows")
+        known = comps.select("name", F.col("comp").alias("other"))
+        with arrow_rows(self.spark, BATCH):
+            return self.components(self.compared(rows, sets, "forest").select("name", "other").union(known))
+
+    def components(self, links: DataFrame) -> DataFrame:
+        found = connected_components(links.where("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")))
+        self.scratch.append(found)
+        return found.select(F.col("node").alias("name"), F.col("component").alias("comp"))
+
+    def labelled(self, comps: DataFrame) -> DataFrame:
+        """name, root, rows, component_id of the classes with copies or links, or with an id that has several texts."""
+        texts = self.rows.where("doc_id is not null and name is not null").groupBy("doc_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
+        texts = texts.select("doc_id", "a")
+        if not texts.isEmpty():  # all texts of one id are one document
+            same = self.rows.where("name is not null").join(small(texts), "doc_id").select("a", F.col("name").alias("b"))
+            comps = self.components(same.select(F.col("a").alias("name"), F.col("b").alias("other")).union(comps.select("name", "comp")))
+        found = self.classes.join(comps, "name", "left").where("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "name"))
+        least = found.groupBy("comp").agg(F.min("root").alias("component_id"))
+        return found.join(least, "comp").select("name", "root", F.col("rows").alias("copies"), "component_id")
+
+
+def _tiles() -> Column:
+    return F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES)).cast("int")
+
+
+def join(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Documents link when 100 * common >= percent * united distinct shingles of `words` words, A-Z lower-cased; a shorter
+    text is one shingle; one without words, or null, links with nothing. component_id is the smallest doc_id reached by
+    links; null ids count as larger than all, so a component of such rows only has null. Equal sets are one class, so
+    copies cost nothing twice. Repeated rows come out as often as they came in; rows with one doc_id and different texts
+    are one document with the links of all. Further columns are ignored; an empty table gives an empty result.
+    """
+    s = _Solved(documents, percent, words)
+    named = s.done(s.labelled(s.linked()).select("name", "component_id"))
+    out = s.rows.join(small(named), "name", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def links(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id as join() has them; class_id, the smallest doc_id with the same set; n_links.
 
     n_links is the number of other rows whose text links with the row's: the copies of its set, and all rows of every
     different set that links with it. Rows without words have no class and no links.
     """
-    rows, found = _compared(documents, Similar(percent), words, False)
-    out = rows.join(found.groupBy("name").agg(F.sum("links").alias("links")), "name", "left")
-    given = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    least = F.coalesce("component", "node")
-    n_links = F.coalesce(F.col("rows") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
-    return out.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"), given("root").alias("class_id"), n_links.alias("n_links"))
+    s = _Solved(documents, percent, words)
+    found = s.everything("links")
+    counts = found.groupBy("name").agg(F.sum("links").alias("links"))
+    named = s.labelled(s.components(found)).join(counts, "name", "left")
+    named = s.done(named.select("name", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n")).withColumnRenamed("n", "linked"))
+    out = s.rows.join(small(named), "name", "left")
+    own = F.when(F.col("name").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), own.alias("class_id"), F.coalesce("linked", F.lit(0)).alias("n_links"))
 
 
 def pairs(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """a, b, common: class_ids (see links) of every two different sets that link, and their common shingles; null ids last."""
-    _, found = _compared(documents, Similar(percent), words, True)
-    given = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
-    return found.select(given("a"), given("b"), "common")
+    """a, b, common: class_ids (see links) of every two different sets that link, a <= b, and their common shingles; null ids last."""
+    s = _Solved(documents, percent, words)
+    found = s.done(s.everything("pairs"))
+    return found.select(F.least("a", "b").alias("a"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b")).alias("b"), "common")
 
 
-def _linked(pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, docs: DataFrame, similar: Similar, words: int) -> tuple[DataFrame, DataFrame]:
-    """Links among the pairs (a, b, bound), as far as components need them, and the components with all links.
+def one_of_each(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """One row of each component of linked sets, with all its columns, and every row without words.
 
-    In rounds: of the pairs that join two components, each node's most promising one is verified, then the next
-    64, 4096 and so on; what meanwhile lies inside a component needs no check, what failed is out. Ends when no
-    pair is left, so no link between components is lost.
+    Of a component the row with the smallest doc_id stays (null ids last; then the smallest set name), and of its
+    repeated rows any one. Here components are of texts: two different texts under one doc_id go or stay each by itself.
     """
-    links, comp = known or (None, None)
-    each = 64 if known else 1
-    while True:
-        if comp is not None:
-            of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
-            pairs = stash(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_of, a) <> coalesce(b_of, b)").select("a", "b", "bound"), "pairs")
-        if pairs.isEmpty():
-            break
-        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bound"), "a"))
-        chosen = stash(pairs.withColumn("nth", best).where(F.col("nth") <= each).select("a", "b"), "chosen")
-        each *= 64
-        with arrow_rows(docs.sparkSession, BATCH):
-            sets = stash(_sets(docs, chosen.select(F.explode(F.array("a", "b")).alias("node")), words), "sets")
-            new = stash(_verified(chosen, sets, similar), "links")
-        discard(sets)
-        if comp is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            comp = connected_components(links)
-        pairs = pairs.join(chosen, ["a", "b"], "left_anti")
-    if comp is None:
-        none = docs.sparkSession.createDataFrame([], "a long, b long")
-        return none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return links, comp
+    s = _Solved(documents, percent, words)
+    comps = s.linked()
+    found = s.classes.join(comps, "name", "left").where("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "name"))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("root").isNull().alias("no_id"), "root", "name")).alias("first"))
+    named = s.done(found.join(first, "comp").select("name", F.col("first.root").alias("root"), F.col("first.name").alias("stays")))
+    stay = F.when(F.col("stays").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("root")) & (F.col("name") == F.col("stays")))
+    judged = s.rows.join(small(named), "name", "left").withColumn("stay", stay)
+    several = stash(s.rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "several")
+    gone = stash(judged.where("not stay and doc_id is not null").select("doc_id").distinct(), "gone")
+    no_ids, repeated = not s.rows.where("doc_id is null").isEmpty(), not several.isEmpty()
+    key = F.col("doc_id").cast("long")
+    if not (no_ids or repeated):
+        return _without(documents, gone, key)
+    # ids don't tell these rows apart: their names do
+    plain = _without(_without(documents.where(key.isNotNull()), several, key), gone, key)
+    odd = documents.where(key.isNull()).union(_without(documents, several, key, "left_semi"))
+    name = unused("set_name", documents.columns)
+    with_names = stash(_with_names(odd, name, words), "odd")
+    stay = judged.where("stay and name is not null").select(F.col("doc_id").alias("stay_id"), F.col("name").alias("stay_name")).distinct()
+    kept = with_names.join(stay, (F.col(name) == stay["stay_name"]) & key.eqNullSafe(stay["stay_id"]), "left_semi").dropDuplicates(["doc_id", name])
+    return plain.union(kept.drop(name)).union(with_names.where(F.col(name).isNull()).drop(name))
+
+
+def _without(documents: DataFrame, ids: DataFrame, key: Column, how: str = "left_anti") -> DataFrame:
+    named = small(ids.select(F.col("doc_id").alias("other_doc_id")))
+    return documents.join(named, key == named["other_doc_id"], how)
+
+
+def _with_names(documents: DataFrame, column: str, words: int) -> DataFrame:
+    """The rows with their set's name in one more column."""
+    at, fields = documents.columns.index("text"), [f.name for f in documents.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(None if t is None else t.encode(), words) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_name(x) if len(x) else None for x in sets], pa.binary())], names=[*fields, column])
+
+    from pyspark.sql import types as T
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(column, T.BinaryType())]))
