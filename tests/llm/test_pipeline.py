@@ -54,3 +54,17 @@ def test_awkward_documents_pass_through(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in P.STAGES[-1][1](spark, docs, "").collect()} <= {1, 3}
     assert P.STAGES[-1][1](spark, docs.limit(0), "").collect() == []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = ("score", "ambiguous", "lang_pred", "n_words", "failed", "component_id", "taken", "epochs", "text_", "_text_", "stage_")
+    text = "the quick brown fox jumps over the lazy dog and runs away from it"
+    rows = [(k, f"{text} w{k % 3}.{i}" if k else None, "en", f"s{k % 2}", *names) for i in range(2) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        found = docs.collect()
+        assert found and all(r[n] == n for r in found for n in names)
+    assert P.STAGES[-1][1](spark, docs, "").count() == docs.count()
