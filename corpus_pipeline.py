@@ -13,38 +13,42 @@ from pyspark.sql import functions as F
 
 from pagelake.llm import jaccard, language, mixing, packing, rules
 from pagelake.llm.queries import remainder, tokenizer_path
-from pagelake.llm.store import shared_dir, small, stash
+from pagelake.llm.store import drop_folder, shared_dir, unused
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: 'und' ones and ambiguous ones go."""
-    decoder = language.fit(docs, remainder(3) == 1)
-    found = language.predict(docs, decoder, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    """Documents in a known language: null texts, those without a letter and ambiguous ones go.
+
+    Null ids and repeated rows are documents like others. An empty table, or one without a known language, gives none.
+    """
+    decoder, own = language.fit(docs, remainder(3) == 1), unused("stage_", docs.columns)
+    found = language.predict(docs, decoder, keep=tuple(docs.columns), prefix=own)
+    return found.where((F.col(f"{own}lang_pred") != language.UNKNOWN) & ~F.col(f"{own}ambiguous")).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the strict policy."""
-    rows = rules.ledger(docs, keep=tuple(docs.columns))
-    return rows.where(rules.passes(rules.STRICT)).select(*docs.columns)
+    """Documents that fail no rule of the strict policy; null and empty texts fail. Null ids and repeated rows stay; an empty table gives none."""
+    own = unused("stage_", docs.columns)
+    rows = rules.ledger(docs, keep=tuple(docs.columns), prefix=own)
+    return rows.where(rules.passes(rules.STRICT, own)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; repeated rows of it count once."""
-    named = stash(jaccard.join(docs).select("doc_id", "component_id"), "named")
-    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null")) if again else left
+    """One document of each group of near copies: the one with the smallest id, null ids last; repeated rows count once.
+
+    Groups are of texts: two different texts under one id, or without ids, each stay unless another text of their group does.
+    Documents without words all stay. An empty table gives none.
+    """
+    return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one in which a source's budget ends is cut there."""
+    """Documents as often as the mix takes them; the one in which a source's budget ends is cut there. Awkward rows: see mixing.mixed_documents."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places."""
+    """Pieces of at most 4096 tokens and their places. Awkward rows: see packing.pack."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -55,10 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; of their tables only the last one, which is the result, stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pagelake-pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pagelake-pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{base}/{name}"
     return docs
