@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
 from pagelake.llm.store import arrow_rows, discard, small, stash, unused
-from pagelake.llm.text import mix, shingle_set
+from pagelake.llm.text import give_back, mix, shingle_set
 
 #: Members of a block in one tree; larger blocks are dealt out as pairs of tiles.
 TILE = 2048
@@ -162,6 +162,7 @@ def _named(documents: DataFrame, similar: Similar, words: int) -> DataFrame:
             lists = pa.array([None] * b.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), _keys(names), pa.array(map(len, sets), pa.int64()), lists, lists], names=columns)
         frequent.fold()
+        give_back()
         top = slice(0, HOT_TASK)
         lists = [pa.array([x[top]], pa.list_(pa.int64())) for x in (frequent.hashes.view(np.int64), frequent.counts)]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), *lists], names=columns)

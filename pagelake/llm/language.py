@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.store import schema_of, with_text
+from pagelake.llm.text import give_back
 
 #: Documents that training uses at most, by language and of all languages: those with the smallest CRC-32 of their MD5.
 SAMPLE, TOTAL = 1500, 12_000
@@ -135,6 +136,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [ngrams(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
+    give_back()
 
 
 def predict(documents: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -159,5 +161,6 @@ def predict(documents: DataFrame, decoder: Decoder, keep: tuple[str, ...] = ("do
                         names[i], scores[i] = decoder.languages[j], s
             close = [n != UNKNOWN and s < AMBIGUOUS for n, s in zip(names, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=[*keep, *added])
+        give_back()
 
     return rows.mapInArrow(run, schema_of(documents, keep, **added))

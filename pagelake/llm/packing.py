@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import small, stash
-from pagelake.llm.text import kept
+from pagelake.llm.store import arrow_rows, small, stash
+from pagelake.llm.text import give_back, kept
 
 CAPACITY = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
+#: Rows with whole texts in a batch.
+BATCH = 1000
 #: Pre-tokens that a worker keeps, and letters-only ones that one call of the tokenizer gets.
-CACHE_TOKENS, JOINED = 1_000_000, 2000
+CACHE_TOKENS, JOINED = 500_000, 2000
 # The classes of the tokenizer's split pattern within Latin-1, after its lower-casing.
 LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 NUMBERS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -125,6 +127,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
                         rows = []
             if rows:
                 yield _batch(rows, with_ids)
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECE + ", ids binary" * with_ids)
 
@@ -291,7 +294,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     texts and repeated rows are documents like others; an empty table gives no rows. The texts are tokenised
     once: the pieces' digests are written to the shared folder, so ranks agree whatever runs again.
     """
-    p = stash(pieces(documents, tokenizer, capacity, end_id, with_ids), "pieces")
+    with arrow_rows(documents.sparkSession, BATCH):
+        p = stash(pieces(documents, tokenizer, capacity, end_id, with_ids), "pieces")
     per_task = p.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     per_task = stash(per_task.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "ranks")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from pagelake.llm.features import STRUCTURE, WORD_BINS, vector
 from pagelake.llm.store import schema_of, with_text
-from pagelake.llm.text import WordHashes
+from pagelake.llm.text import WordHashes, give_back
 
 #: Labelled documents that training uses at most: those with the smallest CRC-32 of their MD5.
 SAMPLE = 6000
@@ -118,5 +118,7 @@ def score(documents: DataFrame, model: FactorisationMachine, keep: tuple[str, ..
             x = (np.stack([vector(texts[i].as_py() or b"", cache, sizes[i]) for i in range(k, min(k + 2000, len(texts)))]) for k in range(0, len(texts), 2000))
             scores = np.concatenate([model.score(part) for part in x] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, f"{prefix}score"])
+        del cache
+        give_back()
 
     return rows.mapInArrow(run, schema_of(documents, keep, **{f"{prefix}score": T.DoubleType()}))

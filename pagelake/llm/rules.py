@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.store import schema_of, with_text
-from pagelake.llm.text import SPACES, WordHashes, windows, word_hashes
+from pagelake.llm.text import SPACES, WordHashes, give_back, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs")
@@ -87,6 +87,8 @@ def ledger(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: st
         for b in batches:
             found = np.array([measure(t.as_py() or b"", cache) for t in b.column(at).cast(pa.binary())], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(found[:, k]) for k in range(len(MEASURES))]], names=[*keep, *names])
+        del cache
+        give_back()
 
     schema = schema_of(documents, keep, **dict.fromkeys([*names, f"{prefix}failed"], T.LongType()))
     rows = rows.mapInArrow(run, T.StructType(schema.fields[:-1]))

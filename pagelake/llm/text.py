@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words are what bytes.split() returns: maximal runs without space, tab, \n, \v, \f, \r.
@@ -23,6 +26,13 @@ def kept(name: str, make):
     return box[name]
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system, as its worker process goes on to serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, computed once a worker; emptied at CACHE_WORDS words, so memory stays bounded."""
 
