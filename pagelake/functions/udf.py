@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,15 @@ RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 def deleted_words(raw: str, cleaned: str) -> int:
     """Words of raw that a word-level edit script deletes; replaced words don't count."""
     a, b = _WORD.findall(raw), _WORD.findall(cleaned)
-    return sum(hi - lo for op, lo, hi, *_ in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes() if op == "delete")
+    if a == b or not a or not b:
+        return 0 if b else len(a)
+    number = {w: k for k, w in enumerate({*a, *b})}  # whole numbers compare faster than words
+    blocks = difflib.SequenceMatcher(a=[number[w] for w in a], b=[number[w] for w in b], autojunk=False).get_matching_blocks()
+    i = j = gone = 0
+    for m in blocks:
+        gone += m.a - i if m.b == j else 0
+        i, j = m.a + m.size, m.b + m.size
+    return gone
 
 
 @F.pandas_udf(T.IntegerType())
@@ -27,21 +37,28 @@ def words_deleted(raw: pd.Series, cleaned: pd.Series) -> pd.Series:
     return pd.Series([deleted_words(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)])
 
 
+def _spans(text: str) -> tuple[list[str], list[int]]:
+    """Words, and where each one and at last the end is; places count from the first word."""
+    found = list(re.finditer(r"\S+\s*", text))
+    edges = [m.start() for m in found] + [len(text)]
+    return [m[0].rstrip() for m in found], [e - edges[0] for e in edges]
+
+
 def changed_ranges(raw: str, cleaned: str) -> dict[str, list[tuple[int, int, str]]]:
-    """Ranges of either text that differ, word by word. Offsets count from the first word, not from the text's start."""
-    sides = []
-    for text in (raw, cleaned):
-        parts, at, starts = re.findall(r"\S+\s*", text), 0, []
-        for p in parts:
-            starts.append(at)
-            at += len(p)
-        sides.append((parts, [*starts, at]))
-    (a, at_a), (b, at_b) = sides
-    ops = difflib.SequenceMatcher(a=[x.strip() for x in a], b=[x.strip() for x in b], autojunk=False).get_opcodes()
-    return {
-        "raw": [(at_a[i], at_a[j], f"{op}_") for op, i, j, _, _ in ops if op in ("delete", "replace")],
-        "cleaned": [(at_b[i], at_b[j], f"{op}_") for op, _, _, i, j in ops if op in ("insert", "replace")],
-    }
+    """Ranges of either text between the runs of words that both have. Offsets count from the first word, not from the text's start."""
+    sides = {"raw": _spans(raw), "cleaned": _spans(cleaned)}
+    runs = difflib.SequenceMatcher(a=sides["raw"][0], b=sides["cleaned"][0], autojunk=False).get_matching_blocks()
+    out: dict[str, list[tuple[int, int, str]]] = {side: [] for side in sides}
+    last = {side: 0 for side in sides}
+    for m in runs:
+        gap = {"raw": (last["raw"], m.a), "cleaned": (last["cleaned"], m.b)}
+        filled = [side for side, (i, j) in gap.items() if j > i]
+        tag = "replace_" if len(filled) == 2 else "delete_" if filled == ["raw"] else "insert_"
+        for side in filled:
+            edges = sides[side][1]
+            out[side].append((edges[gap[side][0]], edges[gap[side][1]], tag))
+        last = {"raw": m.a + m.size, "cleaned": m.b + m.size}
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField("raw", RANGES), T.StructField("cleaned", RANGES)]))
@@ -62,82 +79,65 @@ def marker_ranges(text: pd.Series) -> pd.Series:
     return pd.Series([[{"start": s, "end": e, "tag": t} for s, e, t in marked(x or "")] for x in text])
 
 
-class Packer:
-    """Greedy packing of fragments into chunks of `room` characters, each starting with the last one's tail."""
-
-    def __init__(self, room: int, tail: int, glue: str):
-        self.room, self.tail, self.glue = room, tail, glue
-        self.done: list[str] = []
-        self.now = ""
-
-    def fits(self, part: str) -> bool:
-        return len(self.now) + len(part) + len(self.glue) <= self.room
+def _edges(parts: list[str], gap: int) -> list[int]:
+    """Where each part begins, and at last the end, if all stand in a row with gaps after them."""
+    return [0, *itertools.accumulate(len(p) + gap for p in parts)]
 
-    def join(self, part: str) -> None:
-        self.now = (self.now + self.glue + part).strip() if self.now else part
 
-    def turn(self, part: str) -> None:
-        """Close the current chunk and begin the next with its tail and part."""
-        self.done.append(self.now)
-        self.now = self.now[-self.tail :] + self.glue + part if self.tail and len(self.now) > self.tail else part
+def _by_words(text: str, room: int) -> list[str]:
+    """Runs of words, as long as the room allows; a word longer than that is a run by itself."""
+    words = text.split()
+    edges, cuts = _edges(words, 1), [0]
+    while cuts[-1] < len(words):
+        cuts.append(max(cuts[-1] + 1, bisect.bisect_right(edges, edges[cuts[-1]] + room + 1) - 1))
+    return [" ".join(words[i:j]) for i, j in itertools.pairwise(cuts)]
 
-    def end(self) -> list[str]:
-        return self.done + ([last] if (last := self.now.strip()) else [])
 
+def _by_parts(parts: list[str], room: int, tail: int, glue: str, inside: bool) -> list[str]:
+    """Chunks of consecutive parts. How far a chunk goes is read off the parts' cumulative lengths; it starts with the end
+    of the one before, `tail` characters.
 
-def _fragments(parts: list[str], room: int, tail: int, glue: str) -> list[str]:
-    p = Packer(room, tail, glue)
-    for part in filter(None, (x.strip() for x in parts)):
-        if p.fits(part):
-            p.join(part)
-        elif p.now:
-            p.turn(part)
-        else:  # one fragment that is too long by itself: word by word, without a tail
-            inner = Packer(room, 0, " ")
-            for w in part.split():
-                if inner.fits(w):
-                    inner.join(w)
-                else:
-                    if inner.now:
-                        inner.done.append(inner.now)
-                    inner.now = w
-            p.done += inner.done
-            p.now = inner.now
-    return p.end()
+    Paragraphs: what is longer than the room, with the tail before it or alone, becomes chunks of its own. Inside such a one
+    (inside): a part that doesn't fit a chunk of its own goes by words, and the next parts go on from its last run.
+    """
+    parts = [p for part in parts if (p := part.strip())]
+    edges, out, start, i = _edges(parts, len(glue)), [], "", 0
+    while start or i < len(parts):
+        if not start:
+            start, i = parts[i], i + 1
+            if inside and len(start) + len(glue) > room:
+                *closed, start = _by_words(start, room)
+                out += closed
+            elif not inside and len(start) > room:
+                out, start = out + _oversize(start, room, tail, glue), ""
+                continue
+        reach = bisect.bisect_right(edges, edges[i] + room - len(start)) - 1
+        if reach > i:  # white space at the start of a tail goes with the first part that follows
+            start = start.lstrip()
+            reach = bisect.bisect_right(edges, edges[i] + room - len(start)) - 1
+            start, i = glue.join([start, *parts[i:reach]]), reach
+        if i == len(parts):
+            return out + [start.strip()] * bool(start.strip())
+        out.append(start)
+        start, i = (start[-tail:] + glue if 0 < tail < len(start) else "") + parts[i], i + 1
+        if not inside and len(start) > room:
+            out, start = out + _oversize(start, room, tail, glue), ""
+    return out
 
 
 def _oversize(text: str, room: int, tail: int, glue: str) -> list[str]:
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    if len(sentences) > 1:
-        return _fragments(sentences, room, tail, glue)
-    words = text.split()
-    return _fragments(words, room, tail, " ") if len(words) > 1 else [text]
+    """A text longer than the room: by sentences, if there are several, else by words, else as it is."""
+    for parts, between in ((re.split(r"(?<=[.!?])\s+", text), glue), (text.split(), " ")):
+        if sum(map(bool, map(str.strip, parts))) > 1:
+            return _by_parts(parts, room, tail, between, True)
+    return [text]
 
 
 def chunks(text: str, max_tokens: int = 3500, overlap: int = 200, glue: str = "\n\n") -> list[str]:
     """Chunks of a text under an estimated token limit, by paragraph, else sentence, else word; a text that fits is one."""
-    room, tail = int(max_tokens * _DIGIT), int(overlap * _DIGIT)
     if int(len(text) / _DIGIT) <= max_tokens:
         return [text]
-    p = Packer(room, tail, glue)
-    for part in filter(None, (x.strip() for x in text.split(glue))):
-        if p.fits(part):
-            p.join(part)
-        elif p.now:
-            p.turn(part)
-            if len(p.now) > room:
-                p.done += _oversize(p.now, room, tail, glue)
-                p.now = ""
-        elif len(part) > room:
-            p.done += _oversize(part, room, tail, glue)
-        else:
-            p.now = part
-    return p.end()
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_text(text: pd.Series) -> pd.Series:
-    return pd.Series([chunks(t) if t is not None else None for t in text])
+    return _by_parts(text.split(glue), int(max_tokens * _DIGIT), int(overlap * _DIGIT), glue, False)
 
 
 def chunk_rows(df, text: str = "text", max_tokens: int = 3500, overlap: int = 200, dedupe: bool = False):

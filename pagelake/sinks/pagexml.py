@@ -1,9 +1,14 @@
-"""Nested page rows to page-layout XML bytes: element order and layout are fixed, so equal pages give equal bytes."""
+"""Nested page rows to page-layout XML bytes: element order and layout are fixed, so equal pages give equal bytes.
+
+What an element has is said once, in ELEMENTS; one emitter follows that for any of them.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,59 +19,107 @@ from pagelake.sources.pagexml import NAMESPACE
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 
 
-def _stamp(t: dt.datetime) -> str:
-    t = t if t.tzinfo else t.replace(tzinfo=dt.UTC)
-    return t.astimezone(dt.UTC).isoformat().replace("+00:00", "Z")
+def given(value: Any) -> bool:
+    """Whether a field is there: no null, NaN, NaT, empty text or empty list."""
+    return len(value) > 0 if hasattr(value, "__len__") else value is not None and not pd.isna(value)
+
+
+def utc(t: dt.datetime) -> str:
+    """A time as UTC with a Z; one without a zone is UTC already. Fractions only if there are any."""
+    moment = pd.Timestamp(t)
+    moment = moment.tz_localize("UTC") if moment.tzinfo is None else moment.tz_convert("UTC")
+    return moment.tz_localize(None).isoformat() + "Z"
+
+
+def corners(points: Any) -> str:
+    return " ".join("{x},{y}".format_map(p) for p in points if p is not None)
+
+
+class Element(NamedTuple):
+    """attributes: (name, field, as text, always there). children: (element, rows of it from its parent's row). text: field and as text."""
+
+    attributes: tuple[tuple[str, str, Callable[[Any], str], bool], ...] = ()
+    children: tuple[tuple[str, Callable[[dict], list[dict]]], ...] = ()
+    text: tuple[str, Callable[[Any], str]] | None = None
+
+
+def _same(row: dict) -> list[dict]:
+    return [row]
+
 
+def _rows(field: str) -> Callable[[dict], list[dict]]:
+    return lambda row: list(row[field]) if given(row.get(field)) else []
 
-def _xy(points) -> str:
-    return " ".join(f"{p['x']},{p['y']}" for p in points if p is not None)
+
+def _with(field: str) -> Callable[[dict], list[dict]]:
+    return lambda row: [row] if given(row.get(field)) else []
+
+
+def _ordered(page: dict) -> list[dict]:
+    """The reading order, or else the regions' own, with its places."""
+    ids = page["reading_order"] if given(page.get("reading_order")) else [r["id"] for r in page["regions"]]
+    return [{"index": k, "id": i} for k, i in enumerate(ids)]
+
+
+def _by_index(row: dict) -> list[dict]:
+    return sorted(_rows("equivs")(row), key=lambda e: e["index"])
+
+
+ELEMENTS = {
+    "PcGts": Element((("pcGtsId", "pc_gts_id", str, False),), (("Metadata", _same), ("Page", _same))),
+    "Metadata": Element(children=(("Creator", _same), ("Created", _same), ("LastChange", _same), ("MetadataItem", _rows("steps")))),
+    "Creator": Element(text=("creator", str)),
+    "Created": Element(text=("created", utc)),
+    "LastChange": Element(text=("last_change", utc)),
+    "MetadataItem": Element((("type", "type", str, True), ("name", "name", str, True), ("value", "value", str, True), ("date", "date", utc, False))),
+    "Page": Element(
+        (("imageFilename", "image_filename", str, True), ("imageWidth", "image_width", str, True), ("imageHeight", "image_height", str, True)),
+        (("ReadingOrder", lambda page: [page] if _ordered(page) else []), ("TextRegion", _rows("regions"))),
+    ),
+    "ReadingOrder": Element(children=(("OrderedGroup", _same),)),
+    "OrderedGroup": Element((("id", "group_id", str, True),), (("RegionRefIndexed", _ordered),)),
+    "RegionRefIndexed": Element((("index", "index", str, True), ("regionRef", "id", str, True))),
+    "TextRegion": Element((("id", "id", str, True), ("type", "type", str, True), ("custom", "custom", str, False)), (("Coords", _same), ("TextLine", _rows("lines")), ("TextEquiv", _by_index))),
+    "TextLine": Element((("id", "id", str, True),), (("Coords", lambda line: [{"polygon": line["polygon"]}]), ("Baseline", _with("baseline")), ("TextEquiv", _by_index))),
+    "Coords": Element((("points", "polygon", corners, True), ("conf", "confidence", lambda x: str(float(x)), False))),
+    "Baseline": Element((("points", "baseline", corners, True),)),
+    "TextEquiv": Element((("index", "index", str, True),), (("Unicode", _same),)),
+    "Unicode": Element(text=("unicode", str)),
+}
+#: What stands for a field that isn't given.
+ELSE = {"group_id": "reading-order", "type": "processingStep"}
+
+
+def emit(name: str, row: dict, up: ET.Element | None = None) -> ET.Element:
+    shape, tag = ELEMENTS[name], f"{{{NAMESPACE}}}{name}"
+    node = ET.Element(tag) if up is None else ET.SubElement(up, tag)
+    for attribute, field, text, always in shape.attributes:
+        value = row.get(field)
+        if not given(value) and field in ELSE:
+            value = ELSE[field]
+        if always or given(value):
+            node.set(attribute, text(value))
+    if shape.text:
+        field, text = shape.text
+        node.text = None if row[field] is None else text(row[field])
+    for child, rows in shape.children:
+        for r in rows(row):
+            emit(child, r, node)
+    return node
 
 
 def render(page: dict) -> bytes:
-    """One page; texts by index, the regions' own order if no reading order is given."""
+    """One page as XML; texts by index, the regions' own order if no reading order is given."""
     ET.register_namespace("", NAMESPACE)
     ET.register_namespace("xsi", XSI)
-    add = lambda up, tag, attrs=None, text=None: _add(up, f"{{{NAMESPACE}}}{tag}", attrs or {}, text)
-    has = lambda x: x is not None and len(x) > 0
-    root = ET.Element(f"{{{NAMESPACE}}}PcGts", {f"{{{XSI}}}schemaLocation": f"{NAMESPACE} {NAMESPACE}/pagecontent.xsd"} | ({"pcGtsId": page["pc_gts_id"]} if page.get("pc_gts_id") else {}))
-    meta = add(root, "Metadata")
-    for tag, key in (("Creator", "creator"), ("Created", "created"), ("LastChange", "last_change")):
-        add(meta, tag, text=page[key] if tag == "Creator" else _stamp(page[key]))
-    for s in page["steps"] if has(page.get("steps")) else ():
-        add(meta, "MetadataItem", {"type": "processingStep", "name": s["name"], "value": s["value"]} | ({"date": _stamp(s["date"])} if s["date"] is not None and not pd.isna(s["date"]) else {}))
-    body = add(root, "Page", {"imageFilename": page["image_filename"], "imageWidth": str(page["image_width"]), "imageHeight": str(page["image_height"])})
-    order = list(page["reading_order"]) if has(page.get("reading_order")) else [r["id"] for r in page["regions"]]
-    if order:
-        group = add(add(body, "ReadingOrder"), "OrderedGroup", {"id": page.get("group_id") or "reading-order"})
-        for k, ref in enumerate(order):
-            add(group, "RegionRefIndexed", {"index": str(k), "regionRef": ref})
-
-    def texts(up: ET.Element, equivs) -> None:
-        for e in sorted(equivs if has(equivs) else (), key=lambda e: e["index"]):
-            add(add(up, "TextEquiv", {"index": str(e["index"])}), "Unicode", text=e["unicode"])
-
-    for r in page["regions"]:
-        region = add(body, "TextRegion", {"id": r["id"], "type": r["type"]} | ({"custom": r["custom"]} if r["custom"] else {}))
-        sure = r["confidence"]
-        add(region, "Coords", {"points": _xy(r["polygon"])} | ({} if sure is None or pd.isna(sure) else {"conf": str(float(sure))}))
-        for x in r["lines"] if has(r["lines"]) else ():
-            row = add(region, "TextLine", {"id": x["id"]})
-            add(row, "Coords", {"points": _xy(x["polygon"])})
-            if has(x["baseline"]):
-                add(row, "Baseline", {"points": _xy(x["baseline"])})
-            texts(row, x["equivs"])
-        texts(region, r["equivs"])
+    root = emit("PcGts", page)
+    known = dict(root.attrib)
+    root.attrib.clear()
+    root.attrib.update({f"{{{XSI}}}schemaLocation": f"{NAMESPACE} {NAMESPACE}/pagecontent.xsd"} | known)
     ET.indent(root, space="  ")
     return ET.tostring(root, encoding="utf-8", xml_declaration=True) + b"\n"
 
 
-def _add(up: ET.Element, tag: str, attrs: dict, text: str | None) -> ET.Element:
-    e = ET.SubElement(up, tag, attrs)
-    e.text = text
-    return e
-
-
 @F.pandas_udf(T.BinaryType())
 def to_page_xml(page: pd.DataFrame) -> pd.Series:
     return pd.Series([render(row) for row in page.to_dict("records")])
