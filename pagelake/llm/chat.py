@@ -1,7 +1,9 @@
 """Chat formatting with DataFrame functions only.
 
 A record's layout is told by a fingerprint, the SHA-256 of its nested field paths. A registry maps fingerprints
-to declarative mappings; each mapping says which paths make which turns.
+to declarative mappings; each mapping says which paths make which turns. Paths that a mapping doesn't own (ids, dates,
+other texts) don't count for it, so further fields never hide a layout; of several layouts that a record has, tables with
+a row a turn come first, then lists of turns, then those of most fields. A list without elements has no layout.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ MAPPINGS = (
     Mapping(("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
     Mapping(("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
 )
-#: Fields that no mapping names, such as ids, dates or tags, don't change a layout.
+#: In order of precedence.
+RANKED = tuple(sorted(MAPPINGS, key=lambda m: (m.rows is None, m.listed is None, -len(m.paths))))
 FIELDS = tuple(sorted({p for m in MAPPINGS for p in m.paths}))
 
 
@@ -81,19 +84,22 @@ def _turn(role: str, text: str):
     return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
 
 
-def mapping_of(schema: T.StructType, key: str = "") -> Mapping:
-    """The mapping that a schema's fingerprint selects, with its key column or, if that is none of a layout's, without."""
-    paths = [p for p in paths_of(schema) if p in FIELDS]
-    found = {m.key: m for m in MAPPINGS}
-    for chosen in (paths, [p for p in paths if p != key]):
-        if fingerprint(chosen) in found:
-            return found[fingerprint(chosen)]
-    raise ValueError(f"no mapping for the fields {paths_of(schema)}")
+def mapping_of(schema: T.StructType) -> Mapping:
+    """The first mapping whose fingerprint the schema's paths give, as far as it owns them."""
+    paths = paths_of(schema)
+    for m in RANKED:
+        if fingerprint([p for p in paths if p in m.paths]) == m.key:
+            return m
+    raise ValueError(f"no mapping for the fields {paths}")
 
 
 def table_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, turn, role, text of a table in any mapped layout; its fingerprint comes from its schema, once."""
-    m = mapping_of(df.schema, key)
+    """key, turn, role, text of a table in any mapped layout; its fingerprint comes from its schema, once.
+
+    Null fields are empty texts, a null or empty list has no turns; rows are taken as they are, repeated ones and those
+    without a key too. Further columns are ignored, whatever their names; an empty table gives no turns.
+    """
+    m = mapping_of(df.schema)
     if m.rows is not None:
         return df.select(*[F.col(c).alias(n) for c, n in zip(m.rows, (key, "turn", "role", "text"), strict=True)])
     if m.listed is None:
@@ -113,19 +119,22 @@ def json_paths(record: Column) -> Column:
 
 
 def json_turns(text: Column) -> tuple[Column, Column]:
-    """(fingerprint, turns) of a JSON text, each row by its own layout; turns are null if none maps it or it is no JSON."""
+    """(fingerprint, turns) of a JSON text, each row by its own layout; turns are null if none maps it or it is no JSON.
+
+    The fingerprint is the chosen mapping's, else that of all known paths. Null fields are empty texts; a list without
+    elements has no layout, so its turns are null too.
+    """
     record = F.try_parse_json(text)
-    key = F.sha2(F.array_join(json_paths(record), "\n"), 256)
-    turns = F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
-        if m.rows is not None:
-            continue
+    paths = json_paths(record)
+    key, turns = F.sha2(F.array_join(paths, "\n"), 256), F.lit(None).cast(TURNS)
+    for m in reversed([m for m in RANKED if m.rows is None]):
+        owned = F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in m.paths]))), "\n"), 256)
         if m.listed is None:
             made = _fixed(m, lambda n: F.try_variant_get(record, f"$.{n}", "string"))
         else:
             array, role, said = m.listed
             made = F.transform(F.try_variant_get(record, f"$.{array}", "array<map<string,string>>"), _turn(role, said)).cast(TURNS)
-        turns = F.when(key == m.key, made).otherwise(turns)
+        key, turns = F.when(owned == m.key, F.lit(m.key)).otherwise(key), F.when(owned == m.key, made).otherwise(turns)
     return key, turns
 
 
@@ -177,7 +186,10 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(chats: DataFrame, key: str) -> DataFrame:
-    """What can be read back from formatted chats: turns by the template, trained text by the loss spans."""
+    """What can be read back from formatted chats: turns by the template, trained text by the loss spans.
+
+    A row a chat, repeated ones and null keys too; none for an empty table.
+    """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"].cast("int"), s["length"].cast("int")))), "")
     c = chats.withColumn("turns", read_turns(F.col("formatted"))).withColumn("under", under)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Opening one of these closes an open paragraph.
+OTHER_BLOCK = BLOCK - {"p"}
 ENDS_P = BLOCK - frozenset("html body option optgroup button caption tbody td tfoot th thead tr legend frameset iframe".split())
 #: An opening tag closes an open element of the set, searched up to one of SCOPE.
 SIBLINGS = {
@@ -45,7 +47,6 @@ HEADER_MARKS = frozenset("header masthead banner".split())
 KEPT = frozenset("html body main article".split())
 
 TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>?)", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 
 
@@ -74,6 +75,20 @@ def parse(page: str) -> Node:
     root = Node("html", "", None)
     at, i = root, 0
     find, end = TAG.search, len(page)
+    opened: Counter[str] = Counter()  # so that a closing tag without an open one costs nothing
+
+    def leave(n: Node) -> Node:
+        """Close n and all that is open inside it."""
+        nonlocal at
+        while at is not n:
+            opened[at.name] -= 1
+            at = at.up
+        opened[n.name] -= 1
+        return n.up
+
+    def inside(names: set[str]) -> bool:
+        return any(opened[x] for x in names)
+
     while i < end:
         m = find(page, i)
         if m is None:
@@ -87,25 +102,22 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[2]:
-            if name == "p" and not _open(at, {"p"}):
+            if name == "p" and not opened["p"]:
                 at.kids.append(Node("p", "", at))
-            elif (n := _open(at, {name})) is not None and n.up is not None:
-                at = n.up
+            elif opened[name]:
+                at = leave(_open(at, {name}))
             continue
-        if name == "html" or (name == "body" and _open(at, {"body"})):
+        if name == "html" or (name == "body" and opened["body"]):
             continue
         if name == "body":
+            opened.clear()
             at = root
         elif at.name == "head" and name not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
+            opened.clear()
             at = root
-        if name in ENDS_P and (n := _open(at, {"p"}, BLOCK - {"p"})) is not None:
-            at = n.up
-        if name in SIBLINGS and (n := _open(at, SIBLINGS[name], SCOPE)) is not None:
-            at = n.up
-            while (n := _open(at, SIBLINGS[name], SCOPE)) is not None:
-                at = n.up
-        if name == "a" and (n := _open(at, {"a"}, BLOCK)) is not None:
-            at = n.up
+        for ends, names, stop in ((name in ENDS_P, {"p"}, OTHER_BLOCK), (name in SIBLINGS, SIBLINGS.get(name, set()), SCOPE), (name == "a", {"a"}, BLOCK)):
+            while ends and inside(names) and (n := _open(at, names, stop)) is not None:
+                at = leave(n)
         node = Node(name, m[4] or "", at)
         at.kids.append(node)
         if name in VOID or (m[4] or "").endswith("/") and name not in BLOCK:
@@ -118,6 +130,7 @@ def parse(page: str) -> Node:
                 node.kids.append(page[i : close.start()])
                 i = close.end()
             continue
+        opened[name] += 1
         at = node
     return root
 
@@ -251,8 +264,8 @@ def _blocks(top: Node) -> list[str]:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with text (main text, '' if none) and n_chars (its code points) in place of columns of these names.
 
-    Null, empty and text-free pages give ''. Each row is read on its own, whole; all other columns are carried
-    along, so repeated rows and null keys stay as they are. No shuffle.
+    Null, empty and text-free pages give ''. Each row is read on its own, whole, however long or deep; all other columns are
+    carried along, so repeated rows and null keys stay as they are. An empty table gives an empty result. No shuffle.
     """
     out = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
     rows = pages.select(*[F.col(f.name) for f in out], F.col(html).alias("_html_"))

@@ -90,9 +90,37 @@ def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(read(spark, sf_dir, "documents"))
 
 
+def op3_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a JSON record in one of three layouts, told by its fingerprint and read back into turns."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    alias = F.create_map(*[F.lit(x) for pair in (("user", "human"), ("assistant", "gpt")) for x in pair])
+    other = lambda r: F.coalesce(alias[r], r)
+    layouts = [
+        F.to_json(F.struct(F.col("conv_id").alias("id"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))),
+        F.to_json(F.struct(F.transform("t", lambda x: F.struct(other(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"))),
+        F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["turn"].alias("turn"))).alias("messages"))),
+    ]
+    kind = F.pmod("conv_id", F.lit(len(layouts)))
+    record = F.when(kind == 0, layouts[0]).when(kind == 1, layouts[1]).otherwise(layouts[2])
+    key, turns = chat.json_turns(F.col("record"))
+    read_ = chats.select("conv_id", record.alias("record")).select("conv_id", key.alias("layout"), turns.alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"))
+
+
+def op8_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, each with a redirect to a hub that five pages share, and a relative canonical link in its markup that seven ids share."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    nth = lambda n: F.floor(F.col("page_id") / n).cast("string")
+    link = F.concat(F.lit('<link href="../m/./x/../'), nth(7), F.lit('" rel="alternate canonical"><!-- <link rel=canonical href="/no"> -->'), F.coalesce("html", F.lit("")))
+    redirects = pages.select(F.col("url").alias("from_url"), F.concat(F.lit("http://hub.example.net/"), nth(5), F.lit("#top")).alias("to_url"))
+    return urls.judge(pages.withColumn("html", link), URL_RULES, redirects)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op9_rule_ablation, op1_jaccard_links)
+    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op9_rule_ablation, op1_jaccard_links, op3_mixed_layouts, op8_url_aliases)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -169,3 +197,23 @@ k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY xs) AS class_id FROM (SELECT
 c AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = w.doc_id), w.doc_id)) AS component_id, class_id, coalesce(n_links, 0) AS n_links
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c ON a = w.doc_id"""
+
+ORACLES["op3_mixed_layouts"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN '{chat.MAPPINGS[6].key}' WHEN 1 THEN '{chat.MAPPINGS[8].key}' ELSE '{chat.MAPPINGS[7].key}' END AS layout,
+  count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256
+FROM c GROUP BY conv_id"""
+ORACLES["op8_url_aliases"] = r"""
+WITH RECURSIVE k AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1) AS tail FROM pages),
+rules(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+e AS (SELECT host || tail AS a, 'hub.example.net/' || CAST(page_id // 5 AS VARCHAR) AS b FROM k WHERE host <> ''
+  UNION SELECT host || tail, host || regexp_replace(path, '[^/]*/[^/]*$', '') || 'm/' || CAST(page_id // 7 AS VARCHAR) FROM k WHERE host <> ''),
+ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ee UNION SELECT reach.a, ee.b FROM reach JOIN ee ON reach.b = ee.a),
+node AS (SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+own AS (SELECT b, arg_max(v, length(h || p)) AS v FROM node JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY b),
+alias AS (SELECT a, bool_or(v = 'allow') AS allowed, bool_or(v = 'block') AS blocked FROM reach JOIN own USING (b) GROUP BY a),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM k JOIN rules ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT k.page_id, host, path, rule, coalesce(v, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN fit USING (page_id) LEFT JOIN alias ON alias.a = host || tail"""

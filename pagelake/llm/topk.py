@@ -21,17 +21,19 @@ BLOCK, QUERY_BLOCK = 2048, 1024
 #: Bits of a score below the first, coarse histogram's bins.
 COARSE_BITS = 12
 SCALE = 1024.0
+#: Parts stay within this, and scores within 64 bits; the smallest number is no score.
+LARGEST, NONE = 9e18, np.iinfo(np.int64).min
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(SCALE * x) of every component as a double; rows with a null or non-finite part are left out."""
-    x = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    """vec_id, v: floor(SCALE * x) of every component, whole; rows with a null or non-finite part are left out. Beyond 9e18 a part stays there."""
+    x = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x.cast("double") * SCALE))))
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(whole).select(F.col("vec_id").cast("long"), x.alias("v"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """block, ids, dims, data: up to `size` vectors of one length each; numbered by task, so nothing moves."""
+    """block, ids, dims, data: up to `size` vectors of one length each, in 32 bits a part if that is enough; numbered by task, so nothing moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,7 +45,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             nonlocal made
             ids, data = kept.pop(dims)
             made += 1
-            values = [[(task << 32) + made], [np.array(ids, np.int64).tobytes()], [dims], [np.array(data, np.float64).tobytes()]]
+            parts = np.array(data, np.int64)
+            parts = parts.astype(np.int32) if parts.size and np.abs(parts).max() < 1 << 31 else parts
+            values = [[(task << 32) + made], [np.array(ids, np.int64).tobytes()], [dims], [parts.tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["block", "ids", "dims", "data"])
 
         for b in batches:
@@ -63,7 +67,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     Candidates are all rows but those with the query's own vec_id. Vectors of different lengths don't meet.
     Equal rows (vec_id and vector) count once as query and once as candidate; a vec_id with several vectors
-    gives its best. Fewer candidates than k: all of them. Null ids or parts and non-finite parts: left out.
+    gives its best. Fewer candidates than k: all of them. Null ids or parts and non-finite parts: left out. Scores are
+    exact whole numbers; one beyond 64 bits stays at the largest (or smallest) of them. Further columns are ignored; an
+    empty table, or one without a query, gives an empty result.
     """
     rows = stash(quantised(vectors).distinct(), "vectors")
     most = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
@@ -90,18 +96,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different query ids and candidate ids and their best scores; a query's own rows score below everything.
-
-    Exact: all parts are whole.
-    """
+    """Different query ids and candidate ids and their best scores, whole numbers; a query's own rows have NONE."""
     q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-    s = np.frombuffer(row["q_data"]).reshape(len(q_ids), -1) @ np.frombuffer(row["c_data"]).reshape(len(c_ids), -1).T
-    s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    s = products(_parts(row["q_data"], len(q_ids), row["dims"]), _parts(row["c_data"], len(c_ids), row["dims"]))
+    s[q_ids[:, None] == c_ids[None, :]] = NONE
     c_ids, s = _best(c_ids, s, 1)
     q_ids, s = _best(q_ids, s, 0)
     return q_ids, c_ids, s
 
 
+def _parts(data: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * rows * dims else np.int64).reshape(rows, dims)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows: in doubles while these hold every sum, else in 64 bits, else in numbers of any size."""
+    large = lambda x: int(max(-int(x.min()), int(x.max()))) if x.size else 0
+    most = large(a) * large(b) * a.shape[1]
+    if most < 1 << 53:
+        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if most < 1 << 63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    wide = [[sum(x * y for x, y in zip(u, v, strict=True)) for v in b.tolist()] for u in a.tolist()]
+    return np.array([[max(NONE + 1, min(-(NONE + 1), x)) for x in r] for r in wide], np.int64).reshape(len(a), len(b))
+
+
 def _best(ids: np.ndarray, s: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids once each, with their largest scores."""
     names, n = np.unique(ids, return_counts=True)
@@ -111,10 +130,8 @@ def _best(ids: np.ndarray, s: np.ndarray, axis: int) -> tuple[np.ndarray, np.nda
 
 
 def _floor_of(row: dict, q_ids: np.ndarray) -> np.ndarray:
-    if "floors" not in row:
-        return np.full(len(q_ids), -np.inf)
-    known = {f["query_id"]: f["floor"] for f in row["floors"]}
-    return np.array([known.get(i, -np.inf) for i in q_ids.tolist()], float)
+    known = {f["query_id"]: f["floor"] for f in row.get("floors", ())}
+    return np.array([known.get(i, NONE + 1) for i in q_ids.tolist()], np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -136,9 +153,9 @@ def _histogram(joined: DataFrame, floors: DataFrame | None, bits: int, k: int) -
             q_ids, _, s = _scores(row)
             low = _floor_of(row, q_ids)
             if s.shape[1] > k:
-                low = np.maximum(low, np.floor(np.partition(s, -k, axis=1)[:, -k] / 2.0**bits) * 2.0**bits)
-            at, col = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-            pair = np.stack([q_ids[at], np.floor(s[at, col] / 2.0**bits).astype(np.int64)])
+                low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k] >> bits << bits)
+            at, col = np.nonzero((s >= low[:, None]) & (s > NONE))
+            pair = np.stack([q_ids[at], s[at, col] >> bits])
             (ids, bins), n = np.unique(pair, axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["q"])), pa.array(ids), pa.array(bins), pa.array(n.astype(np.int64))], names=["q", "query_id", "bin", "n"])
 
@@ -156,7 +173,7 @@ def _scored(joined: DataFrame, floors: DataFrame, k: int) -> DataFrame:
             s, c_ids = s[:, order], c_ids[order]
             tied = s == low[:, None]
             keep = (s > low[:, None]) | (tied & (np.cumsum(tied, axis=1) <= k))
-            at, col = np.nonzero(keep & (s > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(c_ids[col]), pa.array(s[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            at, col = np.nonzero(keep & (s > NONE))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(c_ids[col]), pa.array(s[at, col])], names=["query_id", "vec_id", "score"])
 
     return joined.join(floors, "q").mapInArrow(run, "query_id long, vec_id long, score long")

@@ -38,8 +38,9 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """What tells URLs apart: host, path and query; scheme and fragment don't."""
-    return F.concat(host_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    """What tells URLs apart: host, path ('/' if empty) and query; scheme and fragment don't."""
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.concat(host_of(url), F.when((host_of(url) != "") & ~rest.startswith("/"), F.lit("/")).otherwise(F.lit("")), rest)
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -51,18 +52,54 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
+#: Character references that stand in URLs.
+REFERENCES = {"&amp;": "&", "&quot;": '"', "&apos;": "'", "&sol;": "/", "&colon;": ":", "&quest;": "?", "&equals;": "=", "&num;": "#", "&period;": "."}
+REFERENCES |= {form % ord(c): c for c in "/:?=#.-_&" for form in ("&#%d;", "&#x%x;", "&#x%X;", "&#X%X;")}
+
+
+def decoded(text: Column) -> Column:
+    """Character references of REFERENCES replaced, those of '&' last, so that none is made anew."""
+    for name, c in sorted(REFERENCES.items(), key=lambda x: x[1] == "&"):
+        text = F.replace(text, F.lit(name), F.lit(c))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, decoded; '' without one."""
+    value = lambda form: F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{form}", 1)
+    return F.trim(decoded(F.coalesce(*[F.nullif(value(form), F.lit("")) for form in (r'"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")], F.lit(""))))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link as an absolute URL, seen from a base URL: with a scheme, from '//', from '/', from '?', else beside the base's last path segment."""
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    plain = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    path = F.when(plain == "", path_of(base)).when(plain.startswith("/"), plain).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), plain))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    segments = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    path = F.array_join(F.aggregate(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.element_at(segments, 1)), step), "/")
+    return (
+        F.when(link.rlike(r"(?s)^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
+        .otherwise(F.concat(origin, path, tail))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """a, b: keys of a page's URL and of its canonical link or refresh target, if absolute or starting with one '/'."""
+    """a, b: keys of a page's URL and of its canonical link or refresh target, relative ones resolved; comments and scripts are no markup."""
     html = F.coalesce("html", F.lit(""))
-    tags = F.concat(
-        F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?canonical\b")),
-        F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?refresh\b")),
-    )
-    target = lambda t: F.regexp_extract(t, r"(?is)(?:\shref\s*=\s*[\"']?|\burl\s*=\s*['\"]?)([^\"'>\s]+)", 1)
-    rows = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    link = F.replace(target(F.col("tag")), F.lit("&amp;"), F.lit("&"))
-    full = F.when(link.rlike("^/(?!/)"), F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), link)).when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link)
-    return rows.select(key_of(F.col("url")).alias("a"), key_of(full).alias("b")).where("a <> '' and b <> ''")
+    rows = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv")).select("url", html.alias("html"))
+    markup = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|$)", " ")
+    every = lambda name: F.regexp_extract_all(markup, F.lit(rf"(?is)<{name}(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"), F.lit(0))
+    canonical = F.filter(every("link"), lambda t: attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    refresh = F.filter(every("meta"), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    target = lambda t: F.trim(F.regexp_replace(F.regexp_extract(attribute(t, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1), r"""^["']|["'].*$""", ""))
+    links = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, target))
+    based = F.filter(F.transform(every("base"), lambda t: attribute(t, "href")), lambda x: x != "")
+    base = F.when(F.size(based) > 0, resolved(F.element_at(based, 1), F.col("url"))).otherwise(F.col("url"))
+    rows = rows.select("url", base.alias("base"), F.explode(F.filter(links, lambda x: x != "")).alias("link"))
+    return rows.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("link"), F.col("base"))).alias("b")).where("a <> '' and b <> '' and a <> b")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None = None) -> DataFrame:
@@ -70,7 +107,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None
 
     Without a rule of its own, a URL follows its aliases: allow if a rule allows one of them, else block if a
     rule blocks one, else allow. redirects: further edges, columns from_url and to_url. Null URLs and ones
-    without '://' have empty host and path, fit no rule and have no alias. Each row is judged, repeated ones too.
+    without '://' have empty host and path, fit no rule and have no alias. Each row is judged, repeated ones and those
+    without page_id too; null html has no links. Further columns are ignored; an empty table gives an empty result.
     Decisions are joined by URL, so neither pages nor edges need to fit anywhere.
     """
     edges = page_links(pages)
