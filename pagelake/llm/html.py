@@ -228,10 +228,12 @@ def _thickness(n: Node) -> float:
 def _text(n: Node | str, best: Node, floor: float, thin: float) -> bool:
     """Whether a sibling of `best` is text of the same article, and no list of links."""
     if isinstance(n, str):
-        return len(n.strip()) >= max(thin, 1)
+        return not best.headed and len(n.strip()) >= max(thin, 1)
     if n is best or not n.chars or 2 * n.link_chars >= n.chars:
         return False
-    return n.density >= floor or (n.name in BLOCK and _thickness(n) >= thin) or (n.headed and not best.headed)
+    if best.headed:  # an article with its headline is whole, but for parts as heavy as its paragraphs
+        return n.sum >= floor
+    return n.density >= floor or (n.name in BLOCK and _thickness(n) >= thin) or n.headed
 
 
 def _blocks(top: Node) -> list[str]:

@@ -184,3 +184,14 @@ def test_crc_of_ids_is_that_of_their_text(spark):
     df = spark.createDataFrame([(i,) for i in (0, 7, -3, 10**12, None)], "doc_id long")
     got = {r[0]: r[1] for r in df.select("doc_id", quality.crc32_of_id(F.col("doc_id"))).collect()}
     assert got == {i: zlib.crc32(b"" if i is None else str(i).encode()) for i in got}
+
+
+def test_density_finds_articles_without_word_lists(spark, monkeypatch):
+    import html as entities
+
+    monkeypatch.setattr(html, "_furniture", lambda n: n.name in ("script", "style", "noscript", "template", "head", "title"))
+    monkeypatch.setattr(html, "_outermost", lambda *a: None)
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    inside = [re.search(r"<article>(.*)</article>", h, re.S)[1] for h in rows]
+    want = [" ".join(entities.unescape(re.sub(r"</?(?:p|h1|br)[^>]*>", " ", re.sub(r"</?b>", "", x))).split()) for x in inside]
+    assert sum(html.main_text(h) == w for h, w in zip(rows, want, strict=True)) >= 0.95 * len(rows)
