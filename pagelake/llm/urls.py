@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
+from pagelake.llm.store import discard, stash
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -52,15 +53,13 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-#: Character references that stand in URLs.
-REFERENCES = {"&amp;": "&", "&quot;": '"', "&apos;": "'", "&sol;": "/", "&colon;": ":", "&quest;": "?", "&equals;": "=", "&num;": "#", "&period;": "."}
-REFERENCES |= {form % ord(c): c for c in "/:?=#.-_&" for form in ("&#%d;", "&#x%x;", "&#x%X;", "&#X%X;")}
+#: Characters of URLs and how references to them may be written; '&' comes last, so that none is made anew.
+REFERENCES = {c: f"&{name};|&#0*{ord(c)};|&#[xX]0*{ord(c):x};|&#[xX]0*{ord(c):X};" for c, name in (("/", "sol"), (":", "colon"), ("?", "quest"), ("=", "equals"), ("#", "num"), (".", "period"), ("&", "amp"))}
 
 
 def decoded(text: Column) -> Column:
-    """Character references of REFERENCES replaced, those of '&' last, so that none is made anew."""
-    for name, c in sorted(REFERENCES.items(), key=lambda x: x[1] == "&"):
-        text = F.replace(text, F.lit(name), F.lit(c))
+    for c, written in REFERENCES.items():
+        text = F.regexp_replace(text, written, c)
     return text
 
 
@@ -89,17 +88,19 @@ def resolved(link: Column, base: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """a, b: keys of a page's URL and of its canonical link or refresh target, relative ones resolved; comments and scripts are no markup."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv")).select("url", html.alias("html"))
-    markup = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|$)", " ")
-    every = lambda name: F.regexp_extract_all(markup, F.lit(rf"(?is)<{name}(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"), F.lit(0))
-    canonical = F.filter(every("link"), lambda t: attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
-    refresh = F.filter(every("meta"), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
-    target = lambda t: F.trim(F.regexp_replace(F.regexp_extract(attribute(t, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1), r"""^["']|["'].*$""", ""))
-    links = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), F.transform(refresh, target))
-    based = F.filter(F.transform(every("base"), lambda t: attribute(t, "href")), lambda x: x != "")
-    base = F.when(F.size(based) > 0, resolved(F.element_at(based, 1), F.col("url"))).otherwise(F.col("url"))
-    rows = rows.select("url", base.alias("base"), F.explode(F.filter(links, lambda x: x != "")).alias("link"))
-    return rows.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("link"), F.col("base"))).alias("b")).where("a <> '' and b <> '' and a <> b")
+    rows = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv"))
+    rows = rows.select("url", F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|$)", " ").alias("markup"))
+    every = lambda names: F.regexp_extract_all("markup", F.lit(rf"(?is)<(?:{names})(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"), F.lit(0))
+    rows = rows.select("url", F.try_element_at(every("base"), F.lit(1)).alias("base"), F.explode(every("link|meta")).alias("tag"))
+    tag = F.col("tag")
+    canonical = attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refresh = F.lower(attribute(tag, "http-equiv")) == "refresh"
+    target = F.regexp_extract(attribute(tag, "content"), r"""(?is)^[^;,]*[;,]\s*url\s*=\s*["']?([^"']*)""", 1)
+    link = F.when(tag.rlike("(?i)^<link") & canonical, attribute(tag, "href")).when(tag.rlike("(?i)^<meta") & refresh, F.trim(target))
+    rows = rows.select("url", attribute(F.coalesce("base", F.lit("")), "href").alias("base"), link.alias("link")).where("link <> ''")
+    rows = rows.select("url", "link", F.when(F.col("base") == "", F.col("url")).otherwise(resolved(F.col("base"), F.col("url"))).alias("base"))
+    rows = rows.select("url", resolved(F.col("link"), F.col("base")).alias("to_url"))
+    return rows.select(key_of(F.col("url")).alias("a"), key_of(F.col("to_url")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None = None) -> DataFrame:
@@ -114,8 +115,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None
     edges = page_links(pages)
     if redirects is not None:
         given = redirects.select(key_of(F.col("from_url")).alias("a"), key_of(F.col("to_url")).alias("b"))
-        edges = edges.union(given.where("a <> '' and b <> ''"))
-    alias = connected_components(edges)  # node, component: only URLs with an edge
+        edges = edges.union(given)
+    edges = stash(edges, "links")
+    alias = connected_components(edges.where("a <> '' and b <> ''"))  # node, component: only URLs with an edge
+    discard(edges)
     url = F.concat(F.lit("x://"), F.col("node"))
     own = rule_of(host_of(url), path_of(url), rules)["verdict"]
     decided = alias.withColumn("own", own).groupBy("component").agg(F.bool_or(F.col("own") == ALLOW).alias("allowed"), F.bool_or(F.col("own") == BLOCK).alias("blocked"))
