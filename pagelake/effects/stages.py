@@ -66,7 +66,7 @@ def call(df: DataFrame, model: ModelFn, text: str = "text", out: str = "answer",
             got = [a for k in range(0, len(b), batch) for a in answer([t or "" for t in b[text].iloc[k : k + batch]])]
             yield b[list(keys)].assign(**{out: [g[0] for g in got], "error": [g[1] for g in got]})
 
-    return df.select(*keys, text).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{out}` string, error string")
+    return df.select(*dict.fromkeys([*keys, text])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{out}` string, error string")
 
 
 def read_pages(pages: DataFrame, vision: ModelFn, fallback: ModelFn | None = None, text: str = "image", blank: str = "blank") -> tuple[DataFrame, DataFrame]:
@@ -88,15 +88,18 @@ def read_pages(pages: DataFrame, vision: ModelFn, fallback: ModelFn | None = Non
 
 
 def by_chunks(df: DataFrame, model: ModelFn, text: str, max_tokens: int = 3500, overlap: int = 200) -> DataFrame:
-    """doc_id, answer, error: chunk, call, put together in order."""
-    said = call(chunk_rows(df, text, max_tokens, overlap), model, "chunk", "said", ("doc_id", "chunk_id"))
-    return said.groupBy("doc_id").agg(reassembled("chunk_id", "said").alias("answer"), F.first("error", ignorenulls=True).alias("error"))
+    """df with answer and error: chunk, call, put together in order. Rows are told apart by doc_id and text, so equal ones share a call."""
+    row = df.withColumn("_row", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    once = row.select("doc_id", "_row", F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["doc_id", "_row"])
+    said = call(chunk_rows(once, text, max_tokens, overlap, keys=("doc_id", "_row")), model, "chunk", "said", ("doc_id", "_row", "chunk_id"))
+    said = said.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_of")).agg(reassembled("chunk_id", "said").alias("answer"), F.first("error", ignorenulls=True).alias("error"))
+    return row.join(said, (F.col("_row") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_row", "_of", "_id")
 
 
 def clean(pages: DataFrame, model: ModelFn) -> DataFrame:
     """doc_id, cleaned, ok, error: repairs, then the model, then the guard; what it rejects keeps the repaired text."""
     r = repair(pages.select("doc_id", "text")).select("doc_id", F.col("repaired").alias("text"))
-    j = r.join(by_chunks(r, model, "text"), "doc_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    j = by_chunks(r, model, "text").withColumn("answer", F.coalesce("answer", F.lit("")))
     a, b = F.col("text"), F.col("answer")
     j = j.withColumn("gone", words_deleted(a, b))
     ok = ~T.is_blank(b) & (F.col("gone") <= 2) & (T.letters_ratio(a, b) >= 0.97) & (F.size(T.dropped_nouns(a, b)) == 0) & ~T.accents_introduced(a, b) & F.col("error").isNull()
@@ -105,26 +108,40 @@ def clean(pages: DataFrame, model: ModelFn) -> DataFrame:
 
 def structure(pages: DataFrame, model: ModelFn) -> DataFrame:
     """doc_id, structured, ok: paragraphs only; if a word changes, the text stays as it was."""
-    j = pages.select("doc_id", "text").join(by_chunks(pages, model, "text", overlap=0), "doc_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    j = by_chunks(pages.select("doc_id", "text"), model, "text", overlap=0).withColumn("answer", F.coalesce("answer", F.lit("")))
     v = T.structure_verdict(F.col("text"), F.col("answer"), T.words(F.col("text")), T.words(F.col("answer")))
     return j.select("doc_id", F.when(v["ok"], F.col("answer")).otherwise(F.col("text")).alias("structured"), v["ok"].alias("ok"))
 
 
-def translate(pages: DataFrame, detect: ModelFn, model: ModelFn) -> DataFrame:
-    """doc_id, source_language, translated, skipped, score: English texts are split off before any call."""
-    said = call(pages.withColumn("head", F.left("text", F.lit(2000))), detect, "head", "code")
-    p = pages.select("doc_id", "text").join(said.select("doc_id", T.language_code(F.coalesce("code", F.lit(""))).alias("source_language")), "doc_id")
+def translate(pages: DataFrame, detect: ModelFn, model: ModelFn, assess: ModelFn | None = None) -> DataFrame:
+    """doc_id, source_language, translated, skipped, score: English texts are split off before any call.
+
+    score: 60 : 40 of the markers in both texts and the score that assess gives them (a number from 0 to 100 first thing in
+    its answer; a failed call: 50), without assess of the markers alone.
+    """
+    p = pages.select("doc_id", "text").withColumn("_head", F.coalesce(F.left("text", F.lit(2000)), F.lit("")))
+    said = call(p.select("doc_id", "_head").distinct(), detect, "_head", "code", ("doc_id", "_head"))
+    said = said.select(F.col("doc_id").alias("_id"), F.col("_head").alias("_of"), T.language_code(F.coalesce("code", F.lit(""))).alias("source_language"))
+    p = p.join(said, (F.col("_head") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_of", "_head")
     todo = p.where("source_language <> 'en'")
-    done = todo.join(by_chunks(todo, model, "text"), "doc_id").withColumn("both", F.concat_ws(" ", "text", "answer"))
+    done = by_chunks(todo, model, "text").withColumn("both", F.concat_ws(" ", "text", "answer"))
     score = T.heuristic_score(T.marker_count(F.col("both")), T.word_count(F.col("both")))
+    own = score
+    if assess is not None:
+        said = call(done.select("doc_id", "both").distinct(), assess, "both", "rated", ("doc_id", "both"))
+        rated = F.when(F.col("error").isNull(), F.nullif(F.regexp_extract("rated", r"^\D*(\d{1,3})", 1), F.lit("")).cast("int"))
+        said = said.select(F.col("doc_id").alias("_id"), F.col("both").alias("_both"), F.when(rated.isNotNull(), F.least(rated, F.lit(100))).alias("_rated"))
+        done = done.join(said, (F.col("both") == F.col("_both")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        own = F.col("_rated")
+    score = T.overall_score(score, own)
     out = done.select("doc_id", "source_language", F.col("answer").alias("translated"), F.lit(False).alias("skipped"), score.alias("score"))
     same = p.where("source_language = 'en'").select("doc_id", "source_language", F.col("text").alias("translated"), F.lit(True).alias("skipped"), F.lit(None).cast("int").alias("score"))
     return out.unionByName(same)
 
 
 def titles(pages: DataFrame, model: ModelFn, most: int = 120) -> DataFrame:
-    """doc_id, title, generated: an answer that fails, is no JSON with a title, or loops gives the page's stem."""
-    said = call(pages, model, "text", "said")
+    """doc_id, title, generated: an answer that fails, is no JSON with a title, or loops gives the page's stem. The model sees 2,000 characters."""
+    said = call(pages.withColumn("text", F.left("text", F.lit(2000))), model, "text", "said")
     title = F.left(F.trim(F.get_json_object(T.fenced_json(F.col("said")), "$.title")), F.lit(most))
     j = pages.select("doc_id", "stem").join(said.select("doc_id", title.alias("t")), "doc_id", "left")
     good = F.coalesce(F.col("t"), F.lit("")) != ""

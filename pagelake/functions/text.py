@@ -53,12 +53,13 @@ def ngrams(tokens: Column, n: int = 4) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def repetition_reason(text: Column, tokens: Column, rows: Column, min_lines: int = 20, max_unique: float = 0.3, n: int = 4, min_tokens: int = 40, max_distinct: float = 0.2) -> Column:
-    """Why a text looks like a decoding loop: 'empty', 'lines', 'ngrams' or null. tokens, rows: of the text."""
+def repetition_reason(text: Column, tokens: Column, rows: Column, min_lines: int = 20, max_unique: float = 0.3, n: int = 4, min_tokens: int = 40, max_distinct: float = 0.2, ratios: tuple[Column, Column] | None = None) -> Column:
+    """Why a text looks like a decoding loop: 'empty', 'lines', 'ngrams' or null. tokens, rows: of the text; ratios of lines and n-grams, if known."""
+    lines_, grams = ratios or (distinct_ratio(rows), distinct_ratio(ngrams(tokens, n)))
     return (
         F.when(is_blank(text), "empty")
-        .when((F.size(rows) >= min_lines) & (distinct_ratio(rows) < F.lit(max_unique)), "lines")
-        .when((F.size(tokens) >= min_tokens) & (distinct_ratio(ngrams(tokens, n)) < F.lit(max_distinct)), "ngrams")
+        .when((F.size(rows) >= min_lines) & (lines_ < F.lit(max_unique)), "lines")
+        .when((F.size(tokens) >= min_tokens) & (grams < F.lit(max_distinct)), "ngrams")
     )
 
 
@@ -184,9 +185,10 @@ def note_text(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sorts digit runs by value and the rest without case: digit runs are padded with zeros."""
-    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\d+|[^\d]+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x))
+def natural_key(name: Column) -> Column:
+    """Sorts digit runs by value, however long, and the rest without case: their length goes before digits without leading zeros."""
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"\d+|[^\d]+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 9, "0"), digits(x))).otherwise(x))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -212,5 +214,6 @@ def rotation_code(osd: Column) -> Column:
 
 
 def positive_int(value: Column) -> Column:
-    number = F.expr("try_cast(v AS int)") if isinstance(value, str) else value.try_cast("int")
+    """A natural number, or null for anything else."""
+    number = value.try_cast("int")
     return F.when(number > 0, number)

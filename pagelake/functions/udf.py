@@ -6,6 +6,7 @@ import bisect
 import difflib
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from pagelake.functions.text import MARKERS
 
 _WORD, _DIGIT = re.compile(r"[^\W\d_]+"), 3.5
+#: What stands before a sentence's first word.
+STARTS = frozenset(("", ".", "!", "?", ":", ";"))
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tag", T.StringType())]))
 
 
@@ -37,6 +40,21 @@ def words_deleted(raw: pd.Series, cleaned: pd.Series) -> pd.Series:
     return pd.Series([deleted_words(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)])
 
 
+def lost_nouns(raw: str, cleaned: str) -> list[str]:
+    """Sorted capitalised words of four letters or more, not at a sentence's start, that occur less often in the cleaned text."""
+    found = []
+    for t in (raw, cleaned):
+        at = (m for m in _WORD.finditer(t) if m.end() - m.start() >= 4 and t[m.start()].isupper())
+        found.append(Counter(m[0] for m in at if t[max(0, m.start() - 2) : m.start()].strip() not in STARTS))
+    return sorted(found[0] - found[1])
+
+
+@F.pandas_udf(T.StructType([T.StructField("words_deleted", T.IntegerType()), T.StructField("nouns_dropped", T.ArrayType(T.StringType()))]))
+def word_changes(raw: pd.Series, cleaned: pd.Series) -> pd.DataFrame:
+    pairs = [(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)]
+    return pd.DataFrame({"words_deleted": [deleted_words(a, b) for a, b in pairs], "nouns_dropped": [lost_nouns(a, b) for a, b in pairs]})
+
+
 def _spans(text: str) -> tuple[list[str], list[int]]:
     """Words, and where each one and at last the end is; places count from the first word."""
     found = list(re.finditer(r"\S+\s*", text))
@@ -140,8 +158,8 @@ def chunks(text: str, max_tokens: int = 3500, overlap: int = 200, glue: str = "\
     return _by_parts(text.split(glue), int(max_tokens * _DIGIT), int(overlap * _DIGIT), glue, False)
 
 
-def chunk_rows(df, text: str = "text", max_tokens: int = 3500, overlap: int = 200, dedupe: bool = False):
-    """doc_id, chunk_id, chunk: texts that fit pass through in the JVM, only longer ones go to Python.
+def chunk_rows(df, text: str = "text", max_tokens: int = 3500, overlap: int = 200, dedupe: bool = False, keys: tuple[str, ...] = ("doc_id",)):
+    """The keys, chunk_id, chunk: texts that fit pass through in the JVM, only longer ones go to Python.
 
     The tail that a chunk repeats stays, unless `dedupe` asks for chunks without one.
     """
@@ -149,11 +167,14 @@ def chunk_rows(df, text: str = "text", max_tokens: int = 3500, overlap: int = 20
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, k, c) for d, t in zip(b["doc_id"], b["text"], strict=True) for k, c in enumerate(chunks(t, max_tokens, 0 if dedupe else overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "chunk"])
-
-    whole = df.where(~long).select("doc_id", F.lit(0).alias("chunk_id"), F.col(text).alias("chunk"))
-    return whole.unionByName(df.where(long).select("doc_id", F.col(text).alias("text")).mapInPandas(run, "doc_id long, chunk_id int, chunk string"))
+            parts = [chunks(t, max_tokens, 0 if dedupe else overlap) for t in b.iloc[:, -1]]
+            out = b[list(keys)].assign(chunk_id=[range(len(p)) for p in parts], chunk=parts)
+            yield out.explode(["chunk_id", "chunk"]).astype({"chunk_id": "int32"})
+
+    whole = df.where(~long).select(*keys, F.lit(0).alias("chunk_id"), F.col(text).alias("chunk"))
+    kinds = [df.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("chunk_id", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    return whole.unionByName(df.where(long).select(*keys, F.col(text).alias("text")).mapInPandas(run, schema))
 
 
 def reassembled(order: str = "chunk_id", text: str = "chunk", glue: str = "\n\n"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.functions.text import stripped
 from pagelake.store import stash
 
 # Properties that hold a title, in order, and what photo paths may and may not be.
@@ -49,15 +50,15 @@ def items_by_tag(items: DataFrame, taggings: DataFrame, tags: DataFrame, trash:
 
 
 def titles(items: DataFrame, values: DataFrame, photos: DataFrame) -> DataFrame:
-    """id, title: from the metadata (by property if there are several), else the first photo's file name, else 'Item n'.
+    """id, title: from the metadata (by property if there are several), else the first photo's file name, else 'Item n'; stripped.
 
-    One join a source instead of lookups for each item. values: id, property, text.
+    A first value or photo that is blank counts as none; a later one doesn't take its place. One join a source instead of
+    lookups for each item. values: id, property, text.
     """
-    own = values.where(F.col("property").isin(*TITLE_PROPERTIES) & (F.trim("text") != "")).groupBy("id").agg(F.min_by("text", "property").alias("_own"))
-    name = F.regexp_replace(F.element_at(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), -1), r"(?<=[^.])\.[^.]*$", "")
-    first = photos.select("item_id", F.struct("position", "photo_id").alias("_at"), F.coalesce(F.nullif("filename", F.lit("")), name).alias("_name"))
-    first = first.groupBy(F.col("item_id").alias("id")).agg(F.min_by("_name", "_at").alias("_file"))
-    return items.join(own, "id", "left").join(first, "id", "left").select("id", F.coalesce("_own", F.nullif("_file", F.lit("")), F.concat(F.lit("Item "), F.col("id").cast("string"))).alias("title"))
+    own = values.where(F.col("property").isin(*TITLE_PROPERTIES)).groupBy("id").agg(F.min_by("text", "property").alias("_own"))
+    first = photos.groupBy(F.col("item_id").alias("id")).agg(F.min_by("filename", F.struct("position", "photo_id")).alias("_file"))
+    known = lambda c: F.nullif(stripped(F.col(c)), F.lit(""))
+    return items.join(own, "id", "left").join(first, "id", "left").select("id", F.coalesce(known("_own"), known("_file"), F.concat(F.lit("Item "), F.col("id").cast("string"))).alias("title"))
 
 
 def nested_photos(items: DataFrame, photos: DataFrame) -> DataFrame:

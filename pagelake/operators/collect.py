@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.functions.text import safe_name
 from pagelake.operators.ordering import section_header
-
-
-def file_stem(path: Column) -> Column:
-    """The last segment without its last suffix; a leading dot is no suffix."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^.])\.[^.]*$", "")
+from pagelake.sources.files import stem_of as file_stem
 
 
 def match_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -66,10 +63,10 @@ def bilingual_table(original: Column, translated: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(F.lit("| Original | Translation |\n|---|---|\n"), F.array_join(rows, "\n"))).otherwise("")
 
 
-def batch_name(folders: Column, minute: Column) -> Column:
-    """The batch's one top folder, else 'batch', and a minute stamp."""
-    tops = F.array_distinct(folders)
-    return F.concat_ws("_", F.when(F.size(tops) == 1, tops[0]).otherwise("batch"), minute)
+def batch_name(stems: Column, minute: Column) -> Column:
+    """The one top folder that all stems of a batch lie in, else 'batch', and a minute stamp."""
+    tops = F.array_distinct(F.transform(stems, lambda s: F.when(F.contains(s, F.lit("/")), F.substring_index(s, "/", 1))))
+    return F.concat_ws("-", safe_name(F.when(F.size(tops) == 1, F.coalesce(tops[0], F.lit("batch"))).otherwise("batch")), minute)
 
 
 def note_plan(entries: DataFrame, photos: DataFrame, notes: DataFrame, target: str) -> DataFrame:

@@ -26,7 +26,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "list_items": c.select(F.col("c_nationkey").alias("list_id"), k.alias("id"), F.when(k % 7 == 0, "x").alias("deleted")),
         "tags": c.select("c_mktsegment").distinct().select(F.crc32(F.col("c_mktsegment").cast("binary")).alias("tag_id"), F.initcap("c_mktsegment").alias("name")),
         "taggings": c.select(k.alias("id"), F.crc32(F.col("c_mktsegment").cast("binary")).alias("tag_id")),
-        "values": c.where(k % 3 == 0).select(k.alias("id"), F.lit(C.TITLE_PROPERTIES[0]).alias("property"), F.concat(F.lit("Title "), k).alias("text")).union(c.where(k % 6 == 0).select(k.alias("id"), F.lit(C.TITLE_PROPERTIES[1]), F.concat(F.lit("Second "), k))),
+        "values": c.where(k % 3 == 0).select(k.alias("id"), F.lit(C.TITLE_PROPERTIES[0]).alias("property"), F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit("  Title "), k, F.lit(" "))).alias("text")).union(c.where(k % 6 == 0).select(k.alias("id"), F.lit(C.TITLE_PROPERTIES[1]), F.concat(F.lit("Second "), k))),
         "photos": o.select(F.col("o_custkey").alias("item_id"), F.col("o_orderkey").alias("photo_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 3).alias("position"), F.concat(F.lit("Box\\scan."), "o_orderkey", F.lit(".jpg")).alias("path"), F.when(F.col("o_orderkey") % 4 == 0, "named").alias("filename"), (F.col("o_orderkey") % 6 == 0).alias("missing")),
     }
 
@@ -55,8 +55,8 @@ def items_not_trashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.not_trashed(c["items"], c["trash"])
 
 
-@query("""WITH f AS (SELECT o_custkey AS id, arg_min(CASE WHEN o_orderkey % 4 = 0 THEN 'named' ELSE 'scan.' || o_orderkey END, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3 ELSE -1 END * 100000000 + o_orderkey) AS file FROM orders GROUP BY o_custkey)
-SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Title ' || c_custkey ELSE coalesce(file, 'Item ' || c_custkey) END AS title FROM customer LEFT JOIN f ON f.id = c_custkey""")
+@query("""WITH f AS (SELECT o_custkey AS id, arg_min(CASE WHEN o_orderkey % 4 = 0 THEN 'named' ELSE '' END, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3 ELSE -1 END * 100000000 + o_orderkey) AS file FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 9 <> 0 THEN 'Title ' || c_custkey ELSE coalesce(nullif(file, ''), 'Item ' || c_custkey) END AS title FROM customer LEFT JOIN f ON f.id = c_custkey""")
 def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _catalog(spark, sf_dir)
     return C.titles(c["items"], c["values"], c["photos"])

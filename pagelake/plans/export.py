@@ -9,13 +9,13 @@ from pagelake.operators import collect as X
 from pagelake.plans.registry import query, read
 
 
-@query("""WITH m AS (SELECT 'Item ' || (o_custkey % 30) || '/page_' || (o_orderkey % 400) AS key, o_orderkey AS ord, o_orderkey AS entry FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH m AS (SELECT 'Item ' || (o_custkey % 30) || '/page_' || (o_orderkey % 400) AS key, o_orderkey AS ord, o_orderkey AS entry FROM orders),
 k AS (SELECT key, max(ord) AS ord, arg_max(entry, ord) AS entry FROM m GROUP BY key), s AS (SELECT string_split(key, '/')[-1] AS stem, arg_max(key, ord) AS key, arg_max(entry, ord) AS entry FROM k GROUP BY 1),
 f AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'page_' || p_partkey ELSE 'Item ' || (p_partkey % 30) || '/page_' || (p_partkey % 400) END AS stem FROM part)
 SELECT p_partkey, coalesce(k.key, s.key) AS matched_key, coalesce(k.entry, s.entry) AS entry FROM f LEFT JOIN s ON s.stem = f.stem LEFT JOIN k ON k.key = f.stem""")
 def manifest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, p = F.col("o_orderkey"), F.col("p_partkey")
-    m = read(spark, sf_dir, "orders").where(o % 3 == 0).select(F.concat(F.lit("Item "), F.col("o_custkey") % 30, F.lit("/page_"), o % 400).alias("key"), o.alias("ord"))
+    m = read(spark, sf_dir, "orders").select(F.concat(F.lit("Item "), F.col("o_custkey") % 30, F.lit("/page_"), o % 400).alias("key"), o.alias("ord"))
     m = m.groupBy("key").agg(F.max("ord").alias("ord")).withColumn("entry", F.col("ord"))
     f = read(spark, sf_dir, "part").select("p_partkey", F.when(p % 2 == 0, F.concat(F.lit("page_"), p)).otherwise(F.concat(F.lit("Item "), p % 30, F.lit("/page_"), p % 400)).alias("stem"))
     return X.match_manifest(f, m).drop("stem")
@@ -34,12 +34,15 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.merge_manifest(p.where("p_partkey % 2 = 0").select("stem", F.col("p_size").alias("entry")), p.where("p_partkey % 3 = 0").select("stem", (-F.col("p_size")).alias("entry")))
 
 
-_SIDES = """c AS (SELECT 'c' || (conv_id % 60) AS label, arg_max(coalesce(text, ''), conv_id) AS o FROM conversations WHERE turn = 0 GROUP BY 1), t AS (SELECT 'c' || (conv_id % 60) AS label, arg_max(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)), conv_id) AS t FROM conversations WHERE turn = 1 AND conv_id % 5 <> 0 GROUP BY 1)"""
+#: Every conversation's first and second turn; two folders hold a file of each name, of which the last one counts.
+_SIDES = """c AS (SELECT 'c' || conv_id AS label, coalesce(text, '') AS o FROM conversations WHERE turn = 0), t AS (SELECT 'c' || conv_id AS label, replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)) AS t FROM conversations WHERE turn = 1)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = read(spark, sf_dir, "conversations").select(F.concat(F.lit("d"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("/c"), F.col("conv_id") % 60, F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), "turn", "conv_id")
-    return X.bilingual(k.where("turn = 0"), k.where("turn = 1 and conv_id % 5 <> 0").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n"))))
+    k = read(spark, sf_dir, "conversations").withColumn("folder", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    said = F.when(F.col("folder") == "b", F.coalesce("text", F.lit(""))).otherwise("an older version")
+    k = k.select(F.concat_ws("/", "folder", F.concat(F.lit("c"), "conv_id", F.lit(".txt"))).alias("path"), said.alias("text"), "turn")
+    return X.bilingual(k.where("turn = 0"), k.where("turn = 1").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n"))))
 
 
 @query(f"WITH {_SIDES} SELECT label, o AS original_text, coalesce(t, '') AS translated_text FROM c LEFT JOIN t USING (label)")

@@ -125,10 +125,10 @@ def open_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.open_work(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("stem")), done).select("o_orderkey")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'translated' WHEN doc_id % 2 = 0 THEN 'cleaned' WHEN length(coalesce(text, '')) > 0 THEN 'raw_ocr' END AS stage, CASE WHEN doc_id % 3 = 0 THEN 't' || doc_id WHEN doc_id % 2 = 0 THEN 'c' || doc_id ELSE nullif(left(text, 50), '') END AS page_text FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'translated' WHEN doc_id % 2 = 0 THEN 'cleaned' WHEN length(coalesce(text, '')) > 0 THEN 'raw_ocr' END AS stage, CASE WHEN doc_id % 3 = 0 THEN 't' || doc_id WHEN doc_id % 2 = 0 THEN 'c' || doc_id ELSE nullif(text, '') END AS page_text FROM documents""")
 def stage_fallback_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    texts = {"translated": F.when(k % 3 == 0, F.concat(F.lit("t"), k)).otherwise(""), "cleaned": F.when(k % 2 == 0, F.concat(F.lit("c"), k)), "raw_ocr": F.left("text", F.lit(50))}
+    texts = {"translated": F.when(k % 3 == 0, F.concat(F.lit("t"), k)).otherwise(""), "cleaned": F.when(k % 2 == 0, F.concat(F.lit("c"), k)), "raw_ocr": F.col("text")}
     name, text = R.best_stage("translated", texts)
     return read(spark, sf_dir, "documents").select("doc_id", name.alias("stage"), text.alias("page_text"))
 

@@ -59,13 +59,24 @@ def accuracy_pairs(images: DataFrame, truths: DataFrame) -> tuple[DataFrame, Dat
 
 
 def uploads(files: DataFrame, taken: DataFrame, order: str) -> DataFrame:
-    """files (name, length) with status and a free name: _1, _2 and so on for a name that is taken or came before."""
+    """files (name, length) with status and a free name: the lowest free of name, name_1, name_2 and so on, for each in its turn.
+
+    A name's numbers that are in use, among the taken names or the files' own, are gathered by the name they'd come from,
+    and a file gets the number at its place among those that are left.
+    """
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("name").orderBy(order)) - 1
-    f = files.withColumn("n", nth).join(taken.select("name", F.lit(1).alias("t")).distinct(), "name", "left").withColumn("n", F.col("n") + F.coalesce("t", F.lit(0)))
-    named = F.when(F.col("n") > 0, F.concat(stem_of(F.col("name")), F.lit("_"), F.col("n").cast("string"), F.regexp_extract("name", r"(?<=[^.])(\.[^.]*)$", 1))).otherwise(F.col("name"))
-    return f.withColumn("saved_as", named).withColumn("status", F.when(F.col("length") > UPLOAD_BYTES, "too_large").otherwise("ok")).drop("n", "t")
+    suffix = lambda c: F.regexp_extract(c, r"(?<=[^.])(\.[^.]*)$", 1)
+    f = files.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(order)) - 1)
+    names = taken.select("name", F.lit(True).alias("t")).union(files.select("name", F.lit(False).alias("t")))
+    numbered = F.regexp_extract(stem_of(F.col("name")), r"^(.*)_([1-9][0-9]{0,8})$", 2)
+    used = names.where(numbered != "").select(F.concat(F.regexp_extract(stem_of(F.col("name")), r"^(.*)_([1-9][0-9]{0,8})$", 1), suffix("name")).alias("name"), numbered.cast("int").alias("k"))
+    used = used.union(names.where("t").select("name", F.lit(0).alias("k"))).groupBy("name").agg(F.collect_set("k").alias("used"))
+    f = f.join(used, "name", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(0), F.col("nth") + F.size("used")), F.col("used"))
+    n = F.get(free, F.col("nth"))
+    named = F.when(n > 0, F.concat(stem_of(F.col("name")), F.lit("_"), n.cast("string"), suffix("name"))).otherwise(F.col("name"))
+    return f.withColumn("saved_as", named).withColumn("status", F.when(F.col("length") > UPLOAD_BYTES, "too_large").otherwise("ok")).drop("nth", "used")
 
 
 def stage_folder(root: str, stage: str, kind: str = "text", canonical: bool = True) -> str:
