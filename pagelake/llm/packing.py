@@ -62,9 +62,7 @@ class TextIds:
     def one(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: set[bytes], keep: bool = False) -> None:
-        if len(self.known) > CACHE_TOKENS and not keep:
-            self.known.clear()
+    def learn(self, parts: set[bytes]) -> None:
         words = [w for w in parts if w[-1:].isalpha() and w[:1] != b"'" or w[-1] >= 0xDF]
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
         texts = [b" ".join(g).decode("latin-1") for g in groups]
@@ -79,19 +77,13 @@ class TextIds:
         self.known.update((w, self.one(w.decode("latin-1"))) for w in parts.difference(words))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text; the texts' new parts are learnt together."""
+        """Ids of each UTF-8 text; the texts' new parts are learnt together, before any is looked up."""
+        if len(self.known) > CACHE_TOKENS:
+            self.known.clear()
         split = [self._split(t) for t in texts]
-        get = self.known.get
-        found = [[list(map(get, x)) if k % 2 == 0 else [self.one(x)] for k, x in enumerate(parts)] for parts in split]
-        open_ = [(a, k) for a, parts in enumerate(found) for k, ids in enumerate(parts) if None in ids]
-        if open_:
-            self.learn({t for a, k in open_ for t, ids in zip(split[a][k], found[a][k], strict=True) if ids is None})
-            for a, k in open_:
-                if None in (again := list(map(get, split[a][k]))):  # the cache was emptied
-                    self.learn({t for t, ids in zip(split[a][k], again, strict=True) if ids is None}, keep=True)
-                    again = list(map(get, split[a][k]))
-                found[a][k] = again
-        return [b"".join(chain.from_iterable(parts)) if len(parts) > 1 else b"".join(parts[0]) for parts in found]
+        self.learn(set().union(*(x for parts in split for x in parts[::2])).difference(self.known))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, parts[0])) if len(parts) == 1 else b"".join(chain.from_iterable(map(ids, x) if k % 2 == 0 else (self.one(x),) for k, x in enumerate(parts))) for parts in split]
 
     def _split(self, text: bytes) -> list:
         """Parts found here at even places, runs for the tokenizer at odd ones."""
