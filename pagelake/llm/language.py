@@ -96,12 +96,13 @@ def train(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], seed: int =
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             i, step = order[k : k + BATCH], step + 1
-            g = -target[i] / (1 + np.exp(target[i] * (x[i] @ w + b))) * cost[i][:, None] / len(i)
-            grad = x[i].T @ g + 1e-5 * w
+            a = x[i].astype(np.float32)  # x may be in 16 bits
+            g = -target[i] / (1 + np.exp(target[i] * (a @ w + b))) * cost[i][:, None] / len(i)
+            grad = a.T @ g + 1e-5 * w
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             b -= RATE * g.sum(0)
-    lost = np.logaddexp(0, -target * (x @ w + b)).mean(0)
+    lost = sum(np.logaddexp(0, -target[k : k + 1000] * (x[k : k + 1000].astype(np.float32) @ w + b)).sum(0) for k in range(0, n, 1000)) / n
     trust = 1 / (lost + 0.01)
     return Decoder(languages, code, w, b, trust / trust.mean())
 
@@ -128,8 +129,11 @@ def fit(documents: DataFrame, held_out: Column, sample: int = SAMPLE) -> Decoder
     languages = tuple(sorted({g[1] for g in got}))
     if not languages:
         return Decoder((), np.zeros((0, 1), np.int8), np.zeros((NGRAM_BINS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    x = np.frombuffer(b"".join(g[2] for g in got), np.float16).reshape(-1, NGRAM_BINS).astype(np.float32)
-    return train(x, np.array([languages.index(g[1]) for g in got]), languages)
+    y = np.array([languages.index(g[1]) for g in got])
+    x = np.empty((len(got), NGRAM_BINS), np.float16)
+    for k in reversed(range(len(got))):  # a row's bytes go as it is taken
+        x[k] = np.frombuffer(got.pop()[2], np.float16)
+    return train(x, y, languages)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
