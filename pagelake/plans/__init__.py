@@ -1,6 +1,6 @@
 """Every query of the engine by name."""
 
-from pagelake.plans import catalog, export, history, ordering, pages, text
+from pagelake.plans import catalog, export, files, history, ordering, pages, runs, text
 from pagelake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "export", "history", "ordering", "pages", "text"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "export", "files", "history", "ordering", "pages", "runs", "text"]

@@ -13,14 +13,15 @@ def write_stage(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("stage").parquet(path)
 
 
-def write_files(df: DataFrame, folder: str) -> None:
+def write_files(df: DataFrame, folder: str, suffix: str = ".txt") -> None:
     """A text file for each row (stem, text); each task writes its own rows, to a folder all executors see."""
+    base = folder.removeprefix("file:")
 
     def save(rows) -> None:
         from pathlib import Path
 
         for r in rows:
-            p = Path(folder) / f"{r['stem']}.txt"
+            p = Path(base) / f"{r['stem']}{suffix}"
             p.parent.mkdir(parents=True, exist_ok=True)
             p.write_text(r["text"] or "", encoding="utf-8")
 
