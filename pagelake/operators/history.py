@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import ascii_lower
@@ -64,6 +64,39 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
 
 
+def started(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """new runs (ord and any fields) with run_id, counted on from the table's highest; a start adds few rows, which one task numbers."""
+    top = runs.agg(F.coalesce(F.max("run_id"), F.lit(0))).scalar()
+    return new.withColumn("_nth", F.row_number().over(Window.orderBy("ord"))).withColumn("run_id", top + F.col("_nth")).drop("_nth")
+
+
+def recorded(items: DataFrame, finished: DataFrame) -> DataFrame:
+    """finished items (run_id, ord and any fields) with item_id, counted on from the table's highest: runs in turn, in each by ord.
+
+    Only counts of runs meet in one task, the items are numbered within their runs.
+    """
+    top = items.agg(F.coalesce(F.max("item_id"), F.lit(0))).scalar()
+    n = finished.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select("run_id", (F.sum("_n").over(Window.orderBy("run_id")) - F.col("_n")).alias("_before"))
+    j = finished.join(before, "run_id").withColumn("_nth", F.row_number().over(Window.partitionBy("run_id").orderBy("ord")))
+    return j.withColumn("item_id", top + F.col("_before") + F.col("_nth")).drop("_before", "_nth")
+
+
+def run_finished(runs: DataFrame, items: DataFrame, run_ids: DataFrame, now: Column) -> DataFrame:
+    """runs with finished, failed and elapsed (of their items) set where they have ended."""
+    of = items.join(run_ids, "run_id", "left_semi").groupBy("run_id").agg(F.count_if(F.col("state") == "failed").alias("_failed"), F.sum(F.coalesce("elapsed", F.lit(0.0))).alias("_elapsed"))
+    ended = run_ids.distinct().withColumn("_ended", F.lit(True)).join(of, "run_id", "left")
+    j = runs.join(ended, "run_id", "left")
+    new = {"finished": now, "failed": F.coalesce("_failed", F.lit(0)), "elapsed": F.coalesce("_elapsed", F.lit(0.0))}
+    return j.select(*[F.when(F.col("_ended"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in runs.columns])
+
+
+def latest_labels(items: DataFrame, runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flagged items with their runs' document type, the latest flagged first, as many as asked for."""
+    out = items.where("fabricated_result = 1").join(runs.select("run_id", "doc_type"), "run_id").orderBy(F.desc("fabricated_at"), F.desc("item_id"))
+    return out if limit is None else out.limit(limit)
+
+
 def delete_run(items: DataFrame, runs: DataFrame, run_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.join(run_ids, "run_id", "left_anti"), runs.join(run_ids, "run_id", "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators import collect as X
+from pagelake.operators import export as E
 from pagelake.plans.registry import query, read
 
 
@@ -87,3 +88,73 @@ def note_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PLAN} SELECT action, count(*) AS n FROM a GROUP BY action")
 def note_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stage_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(stems by brand, texts): some parts have a cleaned text, some only a raw or a translated one, a blank one, or none."""
+    p = read(spark, sf_dir, "part")
+    stem, k = F.concat(F.lit("p"), "p_partkey"), F.col("p_partkey") % 5
+    stems = p.select(F.col("p_brand").alias("batch"), F.col("p_partkey").alias("ord"), stem.alias("stem"), F.when(F.col("p_size") % 2 == 0, F.lit("Letters")).otherwise("").alias("item_title"))
+    side = lambda stage, cond: p.where(cond).select(stem.alias("stem"), F.lit(stage).alias("stage"), F.when((k == 3) & (F.lit(stage) == "cleaned"), " ").otherwise(F.concat(F.lit(f"{stage} "), "p_partkey")).alias("text"))
+    return stems, side("cleaned", k.isin(0, 3)).union(side("raw_ocr", k.isin(0, 1, 3))).union(side("translated", k.isin(1, 2)))
+
+
+_CHOSEN = "b AS (SELECT p_brand AS batch, p_partkey AS k, 'p' || p_partkey AS stem, p_size % 2 = 0 AS titled, CASE p_partkey % 5 WHEN 0 THEN 'cleaned' WHEN 1 THEN 'raw_ocr' WHEN 2 THEN 'translated' WHEN 3 THEN 'raw_ocr' END AS stage FROM part)"
+
+
+@query(f"WITH {_CHOSEN} SELECT stem, stage, stage || ' ' || k AS text FROM b")
+def collected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part, those without any text too."""
+    found, lost = E.collected(*_stage_texts(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    return found.select("stem", "stage", "text").unionByName(lost.select("stem", none.alias("stage"), none.alias("text")))
+
+
+@query(f"""WITH {_CHOSEN}, p AS (SELECT *, row_number() OVER w AS n, lag(titled) OVER w AS before FROM b WHERE stage IS NOT NULL WINDOW w AS (PARTITION BY batch ORDER BY k)),
+h AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY k) = min(CASE WHEN titled THEN n END) OVER (PARTITION BY batch) AS first FROM p),
+g AS (SELECT batch, CASE WHEN bool_or(titled) THEN 'Letters' END AS title, string_agg(CASE WHEN first THEN '## Letters' || chr(10) || chr(10) ELSE '' END || '### Page ' || n || chr(10) || chr(10) || '[' || stem || ']' || chr(10) || chr(10) || stage || ' ' || k || chr(10), chr(10) ORDER BY k) AS body FROM h GROUP BY batch),
+s AS (SELECT batch, count(*) FILTER (stage IS NULL) AS n_skipped FROM b GROUP BY batch)
+SELECT batch, md5('# ' || coalesce(title, batch) || chr(10) || chr(10) || body) AS markdown_md5, n_skipped FROM g JOIN s USING (batch)""")
+def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book of each brand, and how many of its parts have no text."""
+    books, lost = E.export_batches(*_stage_texts(spark, sf_dir))
+    return books.join(lost, "batch", "left").select("batch", F.md5("markdown").alias("markdown_md5"), F.coalesce("n_skipped", F.lit(0)).alias("n_skipped"))
+
+
+@query("SELECT 'Box: ' || p_brand || '/p' || p_partkey AS stem, CASE WHEN p_partkey % 3 <> 0 THEN 'Box_ ' || p_brand || '_p' || p_partkey || '.xml' END AS file FROM part")
+def exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.concat(F.lit("Box: "), "p_brand", F.lit("/p"), "p_partkey")
+    p = read(spark, sf_dir, "part").select(stem.alias("stem"), "p_partkey")
+    found, lost = E.page_documents(p.select("stem"), p.where("p_partkey % 3 <> 0").select("stem", F.lit("<x/>").alias("xml")))
+    return found.select("stem", "file").unionByName(lost.select("stem", F.lit(None).cast("string").alias("file")))
+
+
+@query("SELECT 'p' || p_partkey AS stem, CASE p_partkey % 4 WHEN 0 THEN '/out/box/text' WHEN 1 THEN '/out/box' WHEN 2 THEN '/out/box' END AS root, CASE p_partkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'box' END AS page FROM part")
+def nearest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beside the texts, one or two folders up, unreadable ones (which end the search), and none."""
+    stem, k = F.concat(F.lit("p"), "p_partkey").alias("stem"), F.col("p_partkey") % 4
+    p = read(spark, sf_dir, "part")
+    at = lambda root, page, cond: p.where(cond).select(F.lit(root).alias("root"), stem, F.lit(page).cast("string").alias("page"))
+    documents = at("/out/box/text", "own", k == 0).union(at("/out/box", "box", k < 2)).union(at("/out/box", None, k == 2)).union(at("/out", "top", k.isin(1, 2))).union(at("/other", "x", k == 3))
+    return E.nearest_document(p.select(F.lit("/out/box/text/").alias("folder"), stem), documents).select("stem", "root", "page")
+
+
+@query("SELECT CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 2 END AS INTEGER) AS place, '/data/' || n_name AS path FROM nation WHERE n_nationkey % 4 < 2")
+def recent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state text for each nation: lists with entries of other kinds, no lists, broken ones."""
+    n, k = F.col("n_name"), F.col("n_nationkey") % 4
+    path = F.concat(F.lit('"/data/'), n, F.lit('"'))
+    text = F.when(k == 0, F.concat(F.lit('{"recent":['), path, F.lit(',"/gone"]}'))).when(k == 1, F.concat(F.lit('{"recent":[7,null,'), path, F.lit("]}"))).when(k == 2, F.concat(F.lit('{"recent":'), path, F.lit("}"))).otherwise("[")
+    d = read(spark, sf_dir, "nation")
+    return E.recent_projects(d.select(text.alias("text")), d.select(F.concat(F.lit("/data/"), n).alias("path")))
+
+
+@query("""WITH o AS (SELECT o_custkey, list('Box ' || CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE o_orderkey % 7 END || '/p') AS s, count(DISTINCT o_orderkey % 7) AS tops FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'batch' WHEN o_custkey % 3 = 0 OR tops = 1 THEN s[1][:-3] ELSE 'batch' END || '-20260101-1200' AS batch_name, 'box-' || o_custkey || '_bilingual.md' AS folder_name FROM o""")
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of batches, by the one folder all their pages lie in, and of a folder's two-language export."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    stem = F.when(c % 5 == 0, F.concat(F.lit("p"), k)).otherwise(F.concat(F.lit("Box "), F.when(c % 3 == 0, c).otherwise(k % 7), F.lit("/p")))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(stem).alias("s"))
+    folder = F.concat(F.lit("/out/Box "), c, F.lit("/"))
+    return o.select("o_custkey", X.batch_name(F.col("s"), F.lit("20260101-1200")).alias("batch_name"), E.default_name(folder, bilingual=True).alias("folder_name"))

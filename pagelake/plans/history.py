@@ -139,3 +139,32 @@ def event_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelake.streaming.run_events import fold
 
     return fold(read(spark, sf_dir, "events"))
+
+
+@query("SELECT o_custkey, o_orderkey, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS item_id FROM orders")
+def recorded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders play the items a run (their customer) has finished; they are numbered on from the highest id."""
+    o = read(spark, sf_dir, "orders")
+    r = H.recorded(o.select(F.col("o_orderkey").alias("item_id")), o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ord")))
+    return r.select(F.col("run_id").alias("o_custkey"), F.col("ord").alias("o_orderkey"), "item_id")
+
+
+@query("SELECT n_name, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY n_nationkey) AS run_id FROM nation")
+def started_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.started(_runs(spark, sf_dir), read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), "n_name")).select("n_name", "run_id")
+
+
+@query(f"""WITH {_RUNS}, {_ITEMS}, e AS (SELECT run_id, count(*) FILTER (state = 'failed') AS failed, sum(l_quantity) AS elapsed FROM items GROUP BY 1)
+SELECT run_id, coalesce(CAST(finished AS VARCHAR), '2026-01-01 00:00:00') AS finished, CASE WHEN finished IS NULL THEN coalesce(e.failed, 0) ELSE runs.failed END AS failed, CAST(CASE WHEN finished IS NULL THEN coalesce(e.elapsed, 0) ELSE runs.elapsed END AS DOUBLE) AS elapsed FROM runs LEFT JOIN e USING (run_id)""")
+def ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs that are still open end now, with what their items say."""
+    runs = _runs(spark, sf_dir)
+    items = _items(spark, sf_dir).select("run_id", "state", F.col("l_quantity").cast("double").alias("elapsed"))
+    out = H.run_finished(runs, items, runs.where("finished is null").select("run_id"), F.lit("2026-01-01").cast("timestamp"))
+    return out.select("run_id", F.date_format("finished", "yyyy-MM-dd HH:mm:ss").alias("finished"), "failed", "elapsed")
+
+
+@query(f"WITH {_RUNS}, {_ITEMS} SELECT DISTINCT item_id, doc_type FROM items JOIN runs USING (run_id) WHERE l_partkey % 9 = 0")
+def flagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _items(spark, sf_dir).withColumn("fabricated_at", F.col("l_partkey"))
+    return H.latest_labels(i, _runs(spark, sf_dir)).select("item_id", "doc_type").distinct()

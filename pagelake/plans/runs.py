@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelake.effects import phases
 from pagelake.effects import stages as S
 from pagelake.effects import structured as J
 from pagelake.operators.control import controlled
@@ -175,3 +176,13 @@ def controlled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = i.where(k < 2).select("run_id", "item_id", F.posexplode(F.when(k == 0, F.array(F.lit("skip"), F.lit("retry"))).otherwise(F.array(F.lit("retry"), F.lit("skip")))).alias("seq", "action"))
     whole = i.select("run_id").distinct().select("run_id", F.lit(None).cast("int").alias("item_id"), F.posexplode(said).alias("seq", "action"))
     return controlled(i, one.unionByName(whole))
+
+
+@query("SELECT 'p' || p_partkey AS stem, 'raw page ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' clean' ELSE ' late' END AS text FROM part")
+def phased_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two phases; in the first run the second phase leaves half of the items out, the repeated run works on these alone."""
+    items, folder = _texts(spark, sf_dir, "page ").select("stem", "text"), f"{shared_dir(spark)}/pagelake-phases-{uuid.uuid4().hex}"
+    read_ = lambda word: lambda d: d.select("stem", F.concat(F.lit(f"{word} "), "text").alias("text"))
+    even = F.regexp_extract("stem", "[0-9]$", 0).isin("0", "2", "4", "6", "8")
+    phases.run(items, [("raw", read_("raw")), ("clean", lambda d: d.where(even).select("stem", F.concat("text", F.lit(" clean")).alias("text")))], folder)
+    return phases.run(items, [("raw", read_("again")), ("clean", lambda d: d.select("stem", F.concat("text", F.lit(" late")).alias("text")))], folder)
