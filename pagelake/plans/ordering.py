@@ -100,7 +100,10 @@ def resolved_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page", F.array_join(O.resolved_order(F.col("listed"), F.col("ids")), ",").alias("reading_order"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REGIONS}, w AS (SELECT page, list(CASE WHEN x = 0 THEN 'region-' || lpad(CAST(i AS VARCHAR), 4, '0') WHEN x = 1 THEN 'region-0002' ELSE 'r' || (y % 3) END ORDER BY i) AS wish FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, CASE WHEN x = 0 THEN ' ' WHEN x = 1 THEN 'region-0002' ELSE 'r' || (y % 3) END) AS i FROM r) GROUP BY page),
+f AS (SELECT page, wish, 1 AS i, [wish[1]] AS ids FROM w
+UNION ALL SELECT page, wish, i + 1, list_append(ids, CASE WHEN list_contains(ids, wish[i + 1]) THEN wish[i + 1] || '-' || list_filter(range(1, i + 2), lambda k: NOT list_contains(ids, wish[i + 1] || '-' || k))[1] ELSE wish[i + 1] END) FROM f WHERE i < len(wish))
+SELECT page, array_to_string(ids, ',') AS ids FROM f WHERE i = len(wish)""")
 def region_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique ids in order; tests hold the fold against a loop."""
     wish = F.when(F.col("x") == 0, " ").when(F.col("x") == 1, "region-0002").otherwise(F.concat(F.lit("r"), F.col("y") % 3))

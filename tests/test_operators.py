@@ -243,6 +243,13 @@ def test_pixels():
     strength = I.residual(base, scan)
     parts = [d for p in I.components(strength > 0) if (d := I.described(p, strength, base))]
     assert [p["bbox"] for p in parts] == [(20, 33, 70, 3), (100, 60, 15, 15)] and parts[0]["has_ink_above"] and parts[0]["deviation_deg"] < 1
+    assert (I.aligned(base, I.moved(base, 4, -6)) == I.moved(base, 4, -6)).all() and (I.moved(base, 99, 0) == 255).all() and (I.moved(base, 0, -500) == 255).all()
+    for other, why in ((base[1:], "sizes"), (np.random.default_rng(1).integers(0, 256, base.shape), "shift")):
+        with pytest.raises(ValueError, match=why):
+            I.marks_of(base, other)
+    assert [m["bbox"] for m in I.marks_of(base, scan)] == [(20, 33, 70, 3), (100, 60, 15, 15)]
+    bgr = np.stack([base, base // 2, base // 3], 2)
+    assert (I.channel(bgr, "green") == base // 2).all() and I.channel(bgr)[0, 0] == round(0.114 * 255 + 0.587 * 127 + 0.299 * 85)
     dy, dx, sure = I.shift_of(np.roll(base, (3, -5), (0, 1)), base)
     assert (abs(dy), abs(dx)) == (3, 5) and sure > 0.5
     assert I.flattened(np.array([[10, 20], [30, 40]]), gamma=1.2).max() == 255
