@@ -186,7 +186,12 @@ def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("doc_id", U.diff_ranges("raw", "cleaned").alias("d")).select("doc_id", F.to_json("d.raw").alias("raw_ranges"), F.to_json("d.cleaned").alias("cleaned_ranges"))
 
 
-@query()
+_MARKED = ", ".join("'" + m.replace("'", "''") + "'" for m in T.MARKERS if m != "...")
+
+
+@query(f"""WITH {_D}, w AS (SELECT doc_id, lower(text) AS low FROM d), p AS (SELECT doc_id, m, string_split(low, m) AS parts FROM w JOIN (SELECT unnest([{_MARKED}]) AS m) k ON contains(low, m)),
+i AS (SELECT *, unnest(range(1, len(parts))) AS i FROM p), s AS (SELECT doc_id, m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(m) AS INTEGER) AS start FROM i)
+SELECT doc_id, start, CAST(start + length(m) AS INTEGER) AS "end", 'marker' AS tag FROM s""")
 def marker_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("doc_id", F.explode(U.marker_ranges("text")).alias("r")).select("doc_id", "r.*")
 

@@ -116,3 +116,13 @@ def test_diff_ranges_of_the_table_by_plain_python(spark, sf_dir):
                 assert last <= f["start"] < f["end"] <= len(whole) and f["tag"] in ("replace_", "delete_", "insert_")
                 last = f["end"]
     assert U.lost_nouns("der Alte Berg", "der Berg") == ["Alte"]
+
+
+def test_chunks_of_the_table_lose_no_word(spark, sf_dir):
+    from pagelake.plans.text import _pages
+
+    texts = {r["doc_id"]: r["text"] or "" for r in _pages(spark, sf_dir).collect()}
+    n = Counter(r["doc_id"] for r in QUERIES["chunk_pages"](spark, sf_dir).collect())
+    r = U.chunk_rows(_pages(spark, sf_dir), dedupe=True).groupBy("doc_id").agg(U.reassembled().alias("t")).collect()
+    assert {x["doc_id"]: x["t"].split() for x in r} == {k: t.split() for k, t in texts.items()}
+    assert all((n[k] > 1) == (int(len(t) / 3.5) > 3500) for k, t in texts.items())
