@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, html, jaccard, language, mixing, packing, quality, rules, topk, urls
+from pagelake.llm import chat, html, jaccard, language, lm, mixing, packing, quality, resample, rules, topk, turns, urls
 
 URL_RULES = (
     urls.Rule("allow", "org", "/"),
@@ -82,6 +82,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.fit(documents, held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with planted faults, by a hash of conversation and turn; a turn that is dropped stays as a row with present false."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")), F.lit(20))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    rows = conversations.withColumn("kind", kind)
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), (F.col("kind") != 0).alias("present"), "kind")
+    return rows.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))).drop("kind", "again")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(damaged(read(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = read(spark, sf_dir, "documents"), remainder(5) == 1
+    scored = lm.score(documents, lm.fit(documents, held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablation(rules.ledger(read(spark, sf_dir, "documents")), rules.STRICT)
 
@@ -120,7 +144,7 @@ def op8_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op9_rule_ablation, op1_jaccard_links, op3_mixed_layouts, op8_url_aliases)
+    for f in (op1_jaccard_join, op2_mix_sources, op3_chat_format, op4_html_text, op5_best_fit_packing, op6_exact_top_k, op7_quality, op8_url_filter, op9_quality_rules, op10_language_id, op11_turn_repair, op12_importance_resampling, op13_lm_scores, op9_rule_ablation, op1_jaccard_links, op3_mixed_layouts, op8_url_aliases)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -217,3 +241,46 @@ alias AS (SELECT a, bool_or(v = 'allow') AS allowed, bool_or(v = 'block') AS blo
 fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM k JOIN rules ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT k.page_id, host, path, rule, coalesce(v, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
 FROM k LEFT JOIN fit USING (page_id) LEFT JOIN alias ON alias.a = host || tail"""
+
+#: CRC-32 of a list of bytes, by a table of its 256 steps.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS steps FROM (SELECT b, list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) AS c FROM range(256) t(b)))"
+_CRC = "xor(list_reduce({}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _edit(state: str, cost: str, letter: str, said: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letter}, 't': {state}.t || {said}}}"
+
+
+_NEVER = "{'c': 1000000000, 'a': '', 't': ''}"
+_KEPT = "role || ':' || text || chr(10)"
+_AS = "'{}:' || text || chr(10)"
+ORACLES["op11_turn_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT * FROM k UNION ALL SELECT * FROM k WHERE kind = 3) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS own, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+  i > 1 AND lag(left(role, 1), 1, '') OVER (PARTITION BY conv_id ORDER BY i) || '-' || left(role, 1) NOT IN ('s-u', 'u-a', 'a-u') AS illegal FROM o),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {_NEVER.replace("1000000000", "0")} AS e0, {_NEVER} AS e1, {_NEVER} AS e2, {_NEVER} AS e3 FROM (SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL SELECT conv_id, i, {_edit("e0", "3", "'D'")}, list_min([{_edit("e1", "3", "'D'")}, CASE WHEN ok AND own = 's' THEN {_edit("e0", "x", "'K'", _KEPT)} ELSE {_NEVER} END]),
+  list_min([{_edit("i2", "3", "'D'")}, CASE WHEN NOT ok THEN {_NEVER} WHEN own = 'u' THEN {_edit("list_min([e0, e1, i3])", "x", "'K'", _KEPT)} ELSE {_edit("list_min([e0, e1, i3])", "x + 2", "'R'", _AS.format("user"))} END]),
+  list_min([{_edit("i3", "3", "'D'")}, CASE WHEN NOT ok THEN {_NEVER} WHEN own = 'a' THEN {_edit("i2", "x", "'K'", _KEPT)} ELSE {_edit("i2", "x + 2", "'R'", _AS.format("assistant"))} END])
+ FROM (SELECT *, list_min([e3, {_edit("i2", "2", "'I'", "'assistant:' || chr(10)")}]) AS i3 FROM (SELECT s.conv_id, f.i, e0, e1, e2, e3, role, text, own, fault NOT IN ('blank', 'duplicate') AS ok, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS x,
+  list_min([e2, {", ".join(_edit(e, "2", "'I'", "'user:' || chr(10)") for e in ("e0", "e1", "e3"))}]) AS i2 FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1))),
+z AS (SELECT s.conv_id, g.*, list_min([e0, e3, {_edit("e2", "2", "'I'", "'assistant:' || chr(10)")}, {_edit("e1", "4", "'II'", "'user:' || chr(10) || 'assistant:' || chr(10)")}]) AS e FROM s LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.i = coalesce(g.n, 0))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(e.c AS BIGINT) AS cost, e.a AS audit, sha256(left(e.t, greatest(length(e.t) - 1, 0))) AS repaired_sha256 FROM z"""
+
+ORACLES["op12_importance_resampling"] = rf"""
+WITH {_CRC_TABLE},
+w AS MATERIALIZED (SELECT *, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark)),
+x AS MATERIALIZED (SELECT r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS x FROM w WHERE len(ws) > 0),
+b AS MATERIALIZED (SELECT x, {_CRC.format("list_transform(range(0, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER) + 1, 2) AS BIGINT))")} % 10000 AS bucket FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM x)), crc),
+y AS MATERIALIZED (SELECT r, bucket FROM x JOIN b USING (x)),
+c AS (SELECT bucket, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM y GROUP BY bucket),
+a AS (SELECT count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM y),
+n AS (SELECT bucket, CAST(floor(1000 * ln((c.t + 1.0::DOUBLE) * (a.s + 10000.0::DOUBLE) / ((c.s + 1.0::DOUBLE) * (a.t + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM c, a),
+m AS (SELECT r, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM y JOIN n USING (bucket) WHERE r > 0 GROUP BY r),
+v AS (SELECT r, doc_id, len(ws) >= 20 AS ok, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN m USING (r) WHERE r > 0),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS n FROM v WHERE ok)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM v LEFT JOIN p USING (r)"""
