@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,15 @@ from pagelake.llm.text import folded_hashes, give_back, mix
 
 #: A pair's level is 1 + floor(log c / log BASE); each level is PROBES bits, and 1 / ln 2 bits of filter go to each bit set, so half are.
 BASE, PROBES = 1.5, 8
-#: Weight of the token's own probability against the pair's count (a Dirichlet prior).
-PRIOR = 2.0
+#: Bounds of what each pair's count is lowered by; what that frees goes to the token's own probability.
+DISCOUNTS = (0.1, 0.95)
 #: Filter and token counts that are broadcast at most; text that one shard gets, on average; tokens counted, or asked for, at once.
 FILTER_BYTES, SHARD_CHARS, TOKENS = 1 << 28, 1 << 24, 1 << 20
-START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+END = np.uint64(0xC3A5C85C97CB3127)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-WORDS, PAIRS = 0, 1
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+#: Kinds of rows: counts of words, the filter of pairs, and, on the way, how many different tokens follow each.
+WORDS, PAIRS, FOLLOWERS = 0, 1, 2
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -39,8 +42,9 @@ def tokens(text: bytes) -> np.ndarray:
 
 
 def pairs(found: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; the first has the start before it."""
-    return mix(np.concatenate([[START], found[:-1]]) * _STEP + found)
+    """A key of each token with the one before it: half a hash of both, half the upper one of the former. The first has an end before it."""
+    before = np.concatenate([[END], found[:-1]])
+    return (mix(before * _STEP + found) & ~_LOW) | (before >> _HALF)
 
 
 def levels(count: np.ndarray) -> np.ndarray:
@@ -88,7 +92,7 @@ def read_levels(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return ((keys >> _HALF) * np.uint64(shards)) >> _HALF
 
 
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
@@ -107,12 +111,13 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Model:
-    """shards: table of kind, shard, data (for words their keys and counts, for pairs the filter). total: N, different: V."""
+    """shards: table of kind, shard, data (of words their keys, counts and followers, of pairs the filter). total: N, different: V."""
 
     shards: DataFrame
     n_shards: int
     total: int
     different: int
+    discount: float
     size: int
     cached: dict = field(default_factory=dict)
 
@@ -127,7 +132,6 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
     texts = documents.select(F.col(text).cast("binary").alias("text"), held_out.alias("held")).where(~F.coalesce(F.col("held"), F.lit(False)))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    names = ["kind", "shard", "keys", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -138,8 +142,7 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
             for kind, parts in ((WORDS, held), (PAIRS, [pairs(t) for t in held])):
                 keys, times = np.unique(np.concatenate(parts), return_counts=True)
                 rows += _packed(kind, keys, times.astype(np.uint32), shards)
-            for k in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000], strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+            yield from _batches(rows, ("kind", "shard", "keys", "counts"))
 
         for b in batches:
             for t in b.column(0):
@@ -153,43 +156,84 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
         give_back()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "shard", "n", "different", "data"]
-
-        def out(kind: int, shard: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-            own, times = _added(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64))
-            data = own.tobytes() + times.tobytes() if kind == WORDS else bloom(own, times).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int64()), pa.array([int(times.sum())]), pa.array([len(own)]), pa.array([data], pa.binary())], names=names)
-
-        now, keys, counts = None, [], []
-        for b in batches:
-            for row in b.to_pylist():
-                if now is not None and now != (row["kind"], row["shard"]):
-                    yield out(*now, keys, counts)
-                    keys, counts = [], []
-                now = row["kind"], row["shard"]
-                keys.append(row["keys"]), counts.append(row["counts"])
-        if now is not None:
-            yield out(*now, keys, counts)
+        """Of each shard's words their counts; of its pairs the filter, how many were seen once and twice, and the followers."""
+
+        def out(kind: int, shard: int, rows: list[dict]) -> Iterator[tuple]:
+            own, times = _added(*(np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", np.uint64), ("counts", np.uint32))))
+            if kind == WORDS:
+                yield kind, shard, int(times.sum()), len(own), own.tobytes(), times.tobytes()
+                return
+            yield kind, shard, int((times == 1).sum()), int((times == 2).sum()), bloom(own, times).tobytes(), b""
+            before, follow = np.unique(own << _HALF, return_counts=True)
+            for row in _packed(FOLLOWERS, before, follow, shards):
+                yield *row[:2], 0, 0, *row[2:]
+
+        for rows in _together(batches):
+            yield from _batches(out(*rows[0], rows[1]), ("kind", "shard", "a", "b", "keys", "counts"))
         give_back()
 
-    spark = documents.sparkSession
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard of words with the number of different tokens that follow each."""
+        for (_, shard), rows in _together(batches, by_kind=False):
+            words = next((r for r in rows if r["kind"] == WORDS), {"keys": b"", "counts": b""})
+            before, follow = _added(*(np.frombuffer(b"".join(r[c] for r in rows if r["kind"] == FOLLOWERS), t) for c, t in (("keys", np.uint64), ("counts", np.int64))))
+            own = np.frombuffer(words["keys"], np.uint64)
+            data = words["keys"] + words["counts"] + _found(before, follow, own & ~_LOW).tobytes()
+            yield from _batches([(WORDS, shard, data)], ("kind", "shard", "data"))
+
+    spark, table = documents.sparkSession, "kind int, shard long, a long, b long, keys binary, counts binary"
     with arrow_rows(spark, 500):
         counted = texts.select("text").mapInArrow(count, "kind int, shard long, keys binary, counts binary")
-        dealt = counted.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
-        found = stash(dealt.mapInArrow(build, "kind int, shard long, n long, different long, data binary"), "lm")
-    words = F.col("kind") == WORDS
-    sums = found.agg(F.sum(F.when(words, F.col("n"))), F.sum(F.when(words, F.col("different"))), F.sum(F.length("data"))).first()
-    return Model(found.select("kind", "shard", "data"), shards, sums[0] or 0, sums[1] or 0, sums[2] or 0)
+        built = stash(counted.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(build, table), "lm")
+        halves = built.where(F.col("kind") != PAIRS).select("kind", "shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard", "kind")
+        words = stash(halves.mapInArrow(join, "kind int, shard long, data binary"), "lm")
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    total, different, once, twice = built.agg(*(of(kind, c) for kind in (WORDS, PAIRS) for c in "ab")).first()
+    filters = built.where(F.col("kind") == PAIRS).select("kind", "shard", F.col("keys").alias("data"))
+    shards_ = words.unionByName(filters)
+    least, most = DISCOUNTS
+    discount = min(most, max(least, once / (once + 2 * twice))) if once else most
+    return Model(shards_, shards, total, different, discount, shards_.agg(F.sum(F.length("data"))).first()[0] or 0)
+
+
+def _together(batches: Iterator[pa.RecordBatch], by_kind: bool = True) -> Iterator[tuple[tuple, list[dict]]]:
+    """Kind and shard, and its rows, of rows in that order: one shard at a time in memory."""
+    now, rows = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            own = (row["kind"] if by_kind else None, row["shard"])
+            if rows and own != now:
+                yield now, rows
+                rows = []
+            now = own
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _batches(rows: Iterator[tuple] | list[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Record batches of up to 1,000 rows of whole numbers and bytes; the first number, the kind, has 32 bits."""
+    rows = iter(rows)
+    while some := list(islice(rows, 1000)):
+        columns = [pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int32() if n == "kind" else pa.int64()) for n, c in zip(names, zip(*some, strict=True), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=list(names))
+
+
+def _found(own: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The value of each key; 0 for one that isn't among the sorted own keys."""
+    if not len(own):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    return np.where(own[at] == keys, values[at], 0)
 
 
 def _answer(kind: int, data: bytes, keys: np.ndarray) -> np.ndarray:
-    """Of words their counts, of pairs their levels."""
+    """A row for each key: of words the count and the followers, of pairs the level."""
     if kind == PAIRS:
-        return read_levels(np.frombuffer(data, np.uint8), keys).astype(np.int64)
-    half = len(data) // 2
-    own, times = np.frombuffer(data[:half], np.uint64), np.frombuffer(data[half:], np.int64)
-    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-    return np.where(own[at] == keys, times[at], 0)
+        return read_levels(np.frombuffer(data, np.uint8), keys).astype(np.int64)[:, None]
+    third = len(data) // 3
+    own, *values = (np.frombuffer(data[k * third : (k + 1) * third], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+    return np.stack([_found(own, v, keys) for v in values], 1)
 
 
 def _asked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,15 +242,15 @@ def _asked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([len(f) for f in found]), np.concatenate(found), np.concatenate([pairs(f) for f in found])
 
 
-def _scored(lengths: np.ndarray, count: np.ndarray, level: np.ndarray, total: int, different: int) -> list[np.ndarray]:
-    """n_tokens, n_known, train_tokens, base_score and score of texts that lie end to end; count and level: of every token and pair."""
-    starts = np.cumsum(lengths) - lengths
+def _scored(lengths: np.ndarray, words: np.ndarray, level: np.ndarray, total: int, different: int, discount: float) -> list[np.ndarray]:
+    """n_tokens, n_known, train_tokens, base_score and score of texts that lie end to end. words: count and followers of every token, level: of every pair."""
+    starts, count = np.cumsum(lengths) - lengths, words[:, 0]
     alone = (count + 0.5) / (total + 0.5 * (different + 1))
-    before = np.concatenate([[0], count[:-1]])
-    before[starts] = count[starts + lengths - 1]  # a text starts as often as it ends
+    before, followers = np.concatenate([[[0, 0]], words[:-1]]).T
+    before[starts], followers[starts] = words[starts + lengths - 1].T  # an end stands before each text
     both = np.minimum(MIDDLE[level], np.minimum(before, count))  # no more often than either token
-    p = (both + PRIOR * alone) / (before + PRIOR)
-    p = np.where(before > 0, p, alone)
+    some = np.maximum(before, 1)
+    p = np.where(before > 0, np.maximum(both - discount, 0) / some + discount * np.clip(followers, 1, some) / some * alone, alone)
     return [lengths, np.add.reduceat((count > 0).astype(np.int64), starts), np.full(len(lengths), total), np.add.reduceat(np.log10(alone), starts), np.add.reduceat(np.log10(p), starts)]
 
 
@@ -214,9 +258,11 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     """The columns of `keep`, and n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Tokens are words, A-Z lower-cased, and an end. base_score sums log10 of (c + 1/2) / (N + (V + 1) / 2), c being the exact
-    count of a token in training; n_known counts those with c > 0. score sums log10 of the pair's smoothed probability,
-    (count of the pair + PRIOR * the token's own) / (count of the token before + PRIOR), the pair's count read from the
-    filter and no higher than either token's. Null and empty texts are an end alone; null ids and repeated rows are rows like
+    count of a token in training; n_known counts those with c > 0. score sums log10 of the token's probability behind
+    the one before (the first: behind an end), by absolute discounting: (c - D) / n + D * T / n * the token's own, c being the
+    pair's count as read from the filter, and no higher than either token's, n the exact count of the token before and T how
+    many different tokens follow it; D is n1 / (n1 + 2 n2) of the pairs seen once and twice. Behind a token that training
+    doesn't have, the token's own probability counts. Null and empty texts are an end alone; null ids and repeated rows are rows like
     others; long texts are read whole; further columns are ignored; an empty table gives none. Without training texts every
     token has probability 1.
     """
@@ -243,7 +289,7 @@ def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], sch
     spark = documents.sparkSession
     if "all" not in model.cached:
         model.cached["all"] = spark.sparkContext.broadcast([tuple(r) for r in model.shards.collect()])  # within FILTER_BYTES
-    everything, shards, total, different = model.cached["all"], model.n_shards, model.total, model.different
+    everything, shards, of = model.cached["all"], model.n_shards, (model.total, model.different, model.discount)
     rows, at = with_text(documents, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +297,7 @@ def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], sch
 
         def ask(kind: int, keys: np.ndarray) -> np.ndarray:
             own, place = np.unique(keys, return_inverse=True)
-            edges, out = np.searchsorted(_shard(own, shards), np.arange(shards + 1)).tolist(), np.zeros(len(own), np.int64)
+            edges, out = np.searchsorted(_shard(own, shards), np.arange(shards + 1)).tolist(), np.zeros((len(own), 2 if kind == WORDS else 1), np.int64)
             for s in range(shards):
                 if edges[s + 1] > edges[s] and (kind, s) in parts:
                     out[edges[s] : edges[s + 1]] = _answer(kind, parts[kind, s], own[edges[s] : edges[s + 1]])
@@ -259,7 +305,7 @@ def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], sch
 
         for columns, texts in _pieces(batches, at, len(keep)):
             lengths, words, twos = _asked(texts)
-            scores = _scored(lengths, ask(WORDS, words), ask(PAIRS, twos), total, different)
+            scores = _scored(lengths, ask(WORDS, words), ask(PAIRS, twos)[:, 0], *of)
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], names=schema.names)
         give_back()
 
@@ -268,7 +314,7 @@ def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], sch
 
 def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schema: T.StructType) -> DataFrame:
     """Pieces of the table, written with their different keys, send these to the shards and put the answers back in place."""
-    spark, shards, total, different = documents.sparkSession, model.n_shards, model.total, model.different
+    spark, shards, of = documents.sparkSession, model.n_shards, (model.total, model.different, model.discount)
     rows, at = with_text(documents, keep)
     own = unused("lm_", keep)
     number = T.LongType()
@@ -293,10 +339,7 @@ def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schem
             for piece, *keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for kind in (WORDS, PAIRS):
                     k = np.frombuffer(keys[kind], np.uint64)
-                    out = _packed(kind, k, k[:0], shards)
-                    for i in range(0, len(out), 1000):
-                        kinds, places, data, _ = zip(*out[i : i + 1000], strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array([piece] * len(kinds)), pa.array(data, pa.binary())], names=["kind", "shard", "piece", "data"])
+                    yield from _batches(((kind, s, piece, own) for _, s, own, _ in _packed(kind, k, k[:0], shards)), ("kind", "shard", "piece", "data"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, data = None, b""
@@ -307,18 +350,18 @@ def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schem
                     shard, data = (row["kind"], row["shard"]), row["data"]
                     continue
                 keys = np.frombuffer(row["data"], np.uint64)
-                found = _answer(row["kind"], data, keys) if (row["kind"], row["shard"]) == shard else np.zeros(len(keys), np.int64)
+                none = np.zeros((len(keys), 2 if row["kind"] == WORDS else 1), np.int64)
+                found = _answer(row["kind"], data, keys) if (row["kind"], row["shard"]) == shard else none
                 out.append((row["piece"], row["kind"], row["shard"], found.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["piece", "kind", "shard", "found"])
+            yield from _batches(out, ("piece", "kind", "shard", "found"))
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 lengths, words_at, pairs_at = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in ((1, np.int64), (4, np.uint32), (5, np.uint32)))
                 got = sorted(b.column(b.num_columns - 1)[k].as_py(), key=lambda r: (r["kind"], r["shard"]))
-                count, level = (np.frombuffer(b"".join(r["found"] for r in got if r["kind"] == kind), np.int64) for kind in (WORDS, PAIRS))
-                scores = _scored(lengths, count[words_at], level[pairs_at], total, different)
+                words, level = (np.frombuffer(b"".join(r["found"] for r in got if r["kind"] == kind), np.int64) for kind in (WORDS, PAIRS))
+                scores = _scored(lengths, words.reshape(-1, 2)[words_at], level[pairs_at], *of)
                 yield pa.RecordBatch.from_arrays([*(b.column(6 + i)[k].values for i in range(len(keep))), *map(pa.array, scores)], names=schema.names)
 
     with arrow_rows(spark, 2000):

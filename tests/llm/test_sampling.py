@@ -168,18 +168,21 @@ def plain_scores(rows, training):
     count, both = Counter(), Counter()
     for text in training:
         found = plain_tokens(text)
-        count.update(found), both.update(zip([0, *found], found, strict=False))
+        count.update(found), both.update(zip([None, *found], found, strict=False))
     total, different = count.total(), len(count)
+    seen_n = Counter(both.values())
+    discount = min(0.95, max(0.1, seen_n[1] / (seen_n[1] + 2 * seen_n[2])))
+    followers = Counter(v for v, _ in both)
     middle = {c: lm.MIDDLE[int(lm.levels(np.array([c]))[0])] for c in set(both.values())}
     out = []
     for text in rows:
         found, base, own = plain_tokens(text), 0.0, 0.0
-        for v, w in zip([None, *found], found, strict=False):  # a text starts as often as one ends
+        for v, w in zip([None, *found], found, strict=False):  # None is an end, also the one before a text
             alone = (count[w] + 0.5) / (total + 0.5 * (different + 1))
             base += math.log10(alone)
-            pair = both[0 if v is None else v, w]
+            pair = both[v, w]
             seen = min(middle[pair], count[v], count[w]) if pair else 0
-            own += math.log10((seen + lm.PRIOR * alone) / (count[v] + lm.PRIOR) if count[v] else alone)
+            own += math.log10((max(seen - discount, 0) + discount * followers[v] * alone) / count[v] if count[v] else alone)
         out.append((len(found), sum(count[w] > 0 for w in found), total, base, own))
     return out
 
