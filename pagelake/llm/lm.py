@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.store import arrow_rows, discard, schema_of, stash, unused, with_text
-from pagelake.llm.text import folded_hashes, give_back, mix
+from pagelake.llm.text import folded_texts, give_back, mix
 
-#: A pair's level is 1 + floor(log c / log BASE); each level is PROBES bits, and 1 / ln 2 bits of filter go to each bit set, so half are.
+#: A pair's level is 1 + floor(log c / log BASE); each level is PROBES bits, half of them in each of two words. 1 / ln 2 bits of filter go to each bit set, so half are.
 BASE, PROBES = 1.5, 8
 #: Bounds of what each pair's count is lowered by; what that frees goes to the token's own probability.
 DISCOUNTS = (0.1, 0.95)
-#: Filter and token counts that are broadcast at most; text that one shard gets, on average; tokens counted, or asked for, at once.
-FILTER_BYTES, SHARD_CHARS, TOKENS = 1 << 28, 1 << 24, 1 << 20
+#: Filter and token counts that are broadcast at most; text that one shard gets, on average; bytes of text counted, or scored, at once.
+FILTER_BYTES, SHARD_CHARS, TEXT = 1 << 28, 1 << 24, 1 << 22
 END = np.uint64(0xC3A5C85C97CB3127)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -36,13 +36,14 @@ _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 WORDS, PAIRS, FOLLOWERS = 0, 1, 2
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """A hash of each word, A-Z lower-cased, and of the end."""
-    return np.append(folded_hashes(text), END)
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, A-Z lower-cased, and an end after each text, end to end; and the number of tokens of each text."""
+    found, lengths = folded_texts(texts)
+    return np.insert(found, np.cumsum(lengths), END), lengths + 1
 
 
 def pairs(found: np.ndarray) -> np.ndarray:
-    """A key of each token with the one before it: half a hash of both, half the upper one of the former. The first has an end before it."""
+    """A key of each token with the one before it: half a hash of both, half the upper one of the former. Before the first token of a text there is an end."""
     before = np.concatenate([[END], found[:-1]])
     return (mix(before * _STEP + found) & ~_LOW) | (before >> _HALF)
 
@@ -57,35 +58,37 @@ _LOWEST = np.ceil(BASE ** np.arange(120) - 1e-9)
 MIDDLE = np.concatenate([[0.0], (_LOWEST[:-1] + _LOWEST[1:] - 1) / 2])
 
 
-def _bits(keys: np.ndarray, level: np.ndarray | int, probe: int, size: int) -> np.ndarray:
-    """Where a key's level has its probe-th bit."""
-    h = mix(keys + np.asarray(level, np.uint64) * _STEP)
-    return ((h >> np.uint64(32)) + np.uint64(probe) * (h | np.uint64(1))) % np.uint64(size)
+#: Half of a level's bits, as set in one word of the filter.
+_MASKS = np.bitwise_or.reduce(np.uint64(1) << np.random.default_rng(8).random((4096, 64)).argsort(1)[:, : PROBES // 2].astype(np.uint64), axis=1)
+
+
+def _places(keys: np.ndarray, level: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two words, of `size`, where a key's level has bits, and these bits."""
+    h = keys + np.full(1, level, np.uint64) * _STEP
+    for _ in range(2):
+        h = mix(h)
+        yield ((h >> _HALF) * np.uint64(size)) >> _HALF, _MASKS[h & np.uint64(4095)]
 
 
 def bloom(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The filter of different keys and their counts, as bytes."""
+    """The filter of different keys and their counts, in 64-bit words."""
     level = levels(counts)
-    size = max(64, math.ceil(int(level.sum()) * PROBES / math.log(2)))
-    bits = np.zeros(size, bool)
+    filter_ = np.zeros(max(1, math.ceil(int(level.sum()) * PROBES / math.log(2) / 64)), np.uint64)
     for now in range(1, int(level.max(initial=0)) + 1):
-        some = keys[level >= now]
-        for probe in range(PROBES):
-            bits[_bits(some, now, probe, size)] = True
-    return np.concatenate([np.frombuffer(np.int64(size).tobytes(), np.uint8), np.packbits(bits)])
+        for at, bits in _places(keys[level >= now], now, len(filter_)):
+            np.bitwise_or.at(filter_, at, bits)
+    return filter_
 
 
 def read_levels(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The level of each key: levels are asked for in turn, those that have one go on to the next."""
-    size, raw = int(filter_[:8].view(np.int64)[0]), filter_[8:]
-    level, alive = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
     now = 1
     while len(alive):
-        for probe in range(PROBES):
-            at = _bits(keys[alive], now, probe, size)
-            alive = alive[(raw[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                break
+        there = np.ones(len(alive), bool)
+        for at, bits in _places(keys[alive], now, len(filter_)):
+            there &= filter_[at] & bits == bits
+        alive = alive[there]
         level[alive] = now
         now += 1
     return level
@@ -125,7 +128,7 @@ class Model:
 def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
     """Counts of all tokens and pairs of texts that aren't held out.
 
-    Each task sorts and counts TOKENS tokens at a time, so a frequent token is a number before anything is shuffled; a shard
+    Each task sorts and counts TEXT bytes at a time, so a frequent token is a number before anything is shuffled; a shard
     gets about as many keys as SHARD_CHARS of text have, however large the input. Null and empty texts are an end alone;
     repeated rows count again.
     """
@@ -134,25 +137,13 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
     shards = max(1, math.ceil(chars / SHARD_CHARS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
+        for _, some in _pieces(batches, 0, 0):
+            found, _ = tokens(some)
             rows: list[tuple] = []
-            for kind, parts in ((WORDS, held), (PAIRS, [pairs(t) for t in held])):
-                keys, times = np.unique(np.concatenate(parts), return_counts=True)
+            for kind, keys in ((WORDS, found), (PAIRS, pairs(found))):
+                keys, times = np.unique(keys, return_counts=True)
                 rows += _packed(kind, keys, times.astype(np.uint32), shards)
             yield from _batches(rows, ("kind", "shard", "keys", "counts"))
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(tokens(t.as_py() or b""))
-                n += len(held[-1])
-                if n >= TOKENS:
-                    yield from out()
-                    held, n = [], 0
-        if held:
-            yield from out()
         give_back()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,24 +221,18 @@ def _found(own: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _answer(kind: int, data: bytes, keys: np.ndarray) -> np.ndarray:
     """A row for each key: of words the count and the followers, of pairs the level."""
     if kind == PAIRS:
-        return read_levels(np.frombuffer(data, np.uint8), keys).astype(np.int64)[:, None]
+        return read_levels(np.frombuffer(data, np.uint64), keys)[:, None]
     third = len(data) // 3
     own, *values = (np.frombuffer(data[k * third : (k + 1) * third], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
     return np.stack([_found(own, v, keys) for v in values], 1)
 
 
-def _asked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts: the number of tokens of each, all tokens and all pairs, end to end."""
-    found = [tokens(t) for t in texts]
-    return np.array([len(f) for f in found]), np.concatenate(found), np.concatenate([pairs(f) for f in found])
-
-
-def _scored(lengths: np.ndarray, words: np.ndarray, level: np.ndarray, total: int, different: int, discount: float) -> list[np.ndarray]:
-    """n_tokens, n_known, train_tokens, base_score and score of texts that lie end to end. words: count and followers of every token, level: of every pair."""
-    starts, count = np.cumsum(lengths) - lengths, words[:, 0]
+def _scored(lengths: np.ndarray, values: np.ndarray, level: np.ndarray, total: int, different: int, discount: float) -> list[np.ndarray]:
+    """n_tokens, n_known, train_tokens, base_score and score of texts that lie end to end. values: count and followers of every token, level: of every pair."""
+    starts, count = np.cumsum(lengths) - lengths, values[:, 0]
     alone = (count + 0.5) / (total + 0.5 * (different + 1))
-    before, followers = np.concatenate([[[0, 0]], words[:-1]]).T
-    before[starts], followers[starts] = words[starts + lengths - 1].T  # an end stands before each text
+    before, followers = np.concatenate([[[0, 0]], values[:-1]]).T
+    before[starts], followers[starts] = values[starts + lengths - 1].T  # an end stands before each text
     both = np.minimum(MIDDLE[level], np.minimum(before, count))  # no more often than either token
     some = np.maximum(before, 1)
     p = np.where(before > 0, np.maximum(both - discount, 0) / some + discount * np.clip(followers, 1, some) / some * alone, alone)
@@ -272,13 +257,13 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], at: int, n: int) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
-    """The first n columns, and the texts in column `at`, of about TOKENS bytes of text at a time."""
+    """The first n columns, and the texts in column `at`, of about TEXT bytes of text at a time."""
     for b in batches:
         texts = b.column(at).cast(pa.binary())
         start = 0
         while start < b.num_rows:
             end, size, some = start, 0, []
-            while end < b.num_rows and size < TOKENS:
+            while end < b.num_rows and size < TEXT:
                 some.append(texts[end].as_py() or b"")
                 size, end = size + len(some[-1]), end + 1
             yield [c.slice(start, end - start) for c in b.columns[:n]], some
@@ -293,19 +278,19 @@ def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], sch
     rows, at = with_text(documents, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {(kind, shard): data for kind, shard, data in everything.value}
+        of_shard = {(kind, shard): data for kind, shard, data in everything.value}
 
         def ask(kind: int, keys: np.ndarray) -> np.ndarray:
             own, place = np.unique(keys, return_inverse=True)
             edges, out = np.searchsorted(_shard(own, shards), np.arange(shards + 1)).tolist(), np.zeros((len(own), 2 if kind == WORDS else 1), np.int64)
             for s in range(shards):
-                if edges[s + 1] > edges[s] and (kind, s) in parts:
-                    out[edges[s] : edges[s + 1]] = _answer(kind, parts[kind, s], own[edges[s] : edges[s + 1]])
+                if edges[s + 1] > edges[s] and (kind, s) in of_shard:
+                    out[edges[s] : edges[s + 1]] = _answer(kind, of_shard[kind, s], own[edges[s] : edges[s + 1]])
             return out[place]
 
         for columns, texts in _pieces(batches, at, len(keep)):
-            lengths, words, twos = _asked(texts)
-            scores = _scored(lengths, ask(WORDS, words), ask(PAIRS, twos)[:, 0], *of)
+            found, lengths = tokens(texts)
+            scores = _scored(lengths, ask(WORDS, found), ask(PAIRS, pairs(found))[:, 0], *of)
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], names=schema.names)
         give_back()
 
@@ -327,9 +312,9 @@ def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schem
 
         piece = TaskContext.get().partitionId() << 32
         for columns, texts in _pieces(batches, at, len(keep)):
-            lengths, words, twos = _asked(texts)
-            (words, word_at), (twos, pair_at) = (np.unique(x, return_inverse=True) for x in (words, twos))
-            values = [lengths.astype(np.int64), words, twos, word_at.astype(np.uint32), pair_at.astype(np.uint32)]
+            found, lengths = tokens(texts)
+            (words, word_at), (twos, pair_at) = (np.unique(x, return_inverse=True) for x in (found, pairs(found)))
+            values = [lengths, words, twos, word_at.astype(np.uint32), pair_at.astype(np.uint32)]
             listed = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.concat_arrays([c])) for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([v.tobytes()], pa.binary()) for v in values), *listed], names=asked_schema.names)
             piece += 1

@@ -80,24 +80,43 @@ def parts(text: bytes) -> Iterator[bytes]:
 
 def folded_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word of a text with A-Z lower-cased, without making the words."""
-    return np.concatenate([np.empty(0, np.uint64), *map(_part_hashes, parts(text))])
+    return np.concatenate([np.empty(0, np.uint64), *(_part_hashes(p)[0] for p in parts(text))])
+
+
+def folded_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, end to end, and the number of words of each; short texts cost little more than their bytes."""
+    found, lengths, at = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64), 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= PART:
+            size, end = size + len(texts[end]), end + 1
+        if end == at + 1:
+            hashes = folded_hashes(texts[at])
+            lengths[at] = len(hashes)
+        else:
+            hashes, start = _part_hashes(b"\n".join(texts[at:end]))
+            lengths[at:end] = np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts[at:end]])), prepend=0)
+        found.append(hashes)
+        at = end
+    return np.concatenate(found), lengths
 
 
-def _part_hashes(text: bytes) -> np.ndarray:
+def _part_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a part's words, and where these start."""
     raw = np.frombuffer(text, np.uint8)
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.concatenate([[True], blank, [True]])[1:] != np.concatenate([[True], blank, [True]])[:-1])
-    start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64)
-    raw, start, end = raw[start[0] : end[-1]], start - start[0], end - start[0]
+    begin, end = edge[0::2], edge[1::2]
+    if not len(begin):
+        return np.empty(0, np.uint64), begin
+    raw, start, end = raw[begin[0] : end[-1]], begin - begin[0], end - begin[0]
     value = _BYTE[raw]
     value[_SPACE[raw]] = 0
     place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
     value *= _POWER[place & 4095]
     if place.max() > 4095:  # further places of a very long word get multipliers of their own
         value *= mix((place >> 12).astype(np.uint64)) | np.uint64(1)
-    return mix(np.add.reduceat(value, start))
+    return mix(np.add.reduceat(value, start)), begin
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -190,7 +190,7 @@ def plain_scores(rows, training):
 @pytest.mark.parametrize("limit", [lm.FILTER_BYTES, 0])
 def test_scores_equal_plain_counting(spark, texts, limit, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_CHARS", 100_000)  # many shards
-    monkeypatch.setattr(lm, "TOKENS", 5000)
+    monkeypatch.setattr(lm, "TEXT", 5000)
     held = F.coalesce(F.col("doc_id"), F.lit(0)) == 7
     model = lm.fit(texts, held)
     assert model.n_shards > 10
