@@ -16,7 +16,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ BASE, PROBES = 1.5, 8
 DISCOUNTS = (0.1, 0.95)
 #: Filter and token counts that are broadcast at most; text that one shard gets, on average; bytes of text counted, or scored, at once.
 FILTER_BYTES, SHARD_CHARS, TEXT = 1 << 28, 1 << 24, 1 << 22
+#: Bytes of one broadcast, about.
+SENT = 1 << 24
 END = np.uint64(0xC3A5C85C97CB3127)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -270,15 +273,28 @@ def _pieces(batches: Iterator[pa.RecordBatch], at: int, n: int) -> Iterator[tupl
             start = end
 
 
+def _sent(spark: SparkSession, shards: DataFrame) -> Iterator[Broadcast]:
+    """Broadcasts of some shards each; the driver reads a part of the table at a time, and keeps none."""
+    some, size = [], 0
+    for row in shards.toLocalIterator():
+        some.append(tuple(row))
+        size += len(row["data"])
+        if size >= SENT:
+            yield spark.sparkContext.broadcast(some)
+            some, size = [], 0
+    if some:
+        yield spark.sparkContext.broadcast(some)
+
+
 def _by_broadcast(documents: DataFrame, model: Model, keep: tuple[str, ...], schema: T.StructType) -> DataFrame:
     spark = documents.sparkSession
     if "all" not in model.cached:
-        model.cached["all"] = spark.sparkContext.broadcast([tuple(r) for r in model.shards.collect()])  # within FILTER_BYTES
+        model.cached["all"] = list(_sent(spark, model.shards))
     everything, shards, of = model.cached["all"], model.n_shards, (model.total, model.different, model.discount)
     rows, at = with_text(documents, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_shard = {(kind, shard): data for kind, shard, data in everything.value}
+        of_shard = {(kind, shard): data for sent in everything for kind, shard, data in sent.value}
 
         def ask(kind: int, keys: np.ndarray) -> np.ndarray:
             own, place = np.unique(keys, return_inverse=True)
