@@ -2,13 +2,15 @@
 
 A ModelFn maps a list of texts to a list of answers; it runs in Arrow batches, one client a partition. Rows that
 need no call are split off before it, as Spark would run a Python function inside when() for every row. A failed
-call is an error column on its row, never a failed job.
+call is an error column on its row, never a failed job. What a model has said is written before anything reads it, so
+no call is made twice; rows are told apart by a number of their own, so ids may be null or repeat.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,17 +18,19 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.functions.repair import repair
-from pagelake.functions.udf import chunk_rows, reassembled, words_deleted
+from pagelake.functions.udf import chunk_rows, reassembled, word_changes
+from pagelake.store import small, stash
 
 ModelFn = Callable[[list[str]], list[str]]
-#: Temperatures of repeated reading attempts.
-LADDER = tuple(round(0.1 * k, 1) for k in range(1, 9))
+TemperedFn = Callable[[list[str], float], list[str]]
+#: Number of a row, in tables that are written once and read by it.
+ROW = "_row"
 
 
 def ladder(start: float = 0.1, step: float = 0.1, most: float = 0.8, rungs: int = 50) -> list[float]:
-    """Rising temperatures; a step below 0.01 counts as 0.01, and there are 50 rungs at most."""
-    step, out, t = max(step, 0.01), [], start
-    while t <= most + 1e-9 and len(out) < rungs:
+    """Rising temperatures; a step that isn't above 0.01 counts as 0.01, and there are 50 rungs at most, none if the start is above the end."""
+    step, out, t = step if step > 0.01 else 0.01, [], start
+    while t <= most + 1e-9 and len(out) < (rungs if start <= most else 0):
         out.append(round(t, 4))
         t += step
     return out
@@ -69,69 +73,123 @@ def call(df: DataFrame, model: ModelFn, text: str = "text", out: str = "answer",
     return df.select(*dict.fromkeys([*keys, text])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{out}` string, error string")
 
 
-def read_pages(pages: DataFrame, vision: ModelFn, fallback: ModelFn | None = None, text: str = "image", blank: str = "blank") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, engine, error), rejected: blank pages give '' without a call; loops go to the second engine, then out."""
-    def judged(d: DataFrame) -> DataFrame:
-        t = F.coalesce("answer", F.lit(""))
-        return d.withColumn("reason", F.coalesce(F.when(F.col("error").isNotNull(), "error"), T.repetition_reason(t, T.ngram_tokens(t), T.lines(t))))
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written once, with a number for each row; as it is if it has one."""
+    return df if ROW in df.columns else stash(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
-    todo = pages.where(~F.col(blank))
-    first = judged(call(todo, vision, text)).withColumn("engine", F.lit("vision"))
-    bad = first.where("reason is not null")
-    out = first.where("reason is null")
+
+def asked(df: DataFrame, model: ModelFn, text: str, out: str = "answer", keys: tuple[str, ...] = (ROW,)) -> DataFrame:
+    """What call gives, written: each row is sent to the model once, however often its answer is read."""
+    return stash(call(df, model, text, out, keys), "answers")
+
+
+def judged(said: DataFrame, guard: bool = True) -> DataFrame:
+    """Answers with the reason why they can't be used: a failed call, or a loop."""
+    t = F.coalesce("answer", F.lit(""))
+    loop = T.repetition_reason(t, T.ngram_tokens(t), T.lines(t)) if guard else F.lit(None).cast("string")
+    return said.withColumn("reason", F.coalesce(F.when(F.col("error").isNotNull(), "error"), loop))
+
+
+def read_pages(pages: DataFrame, vision: ModelFn | TemperedFn, fallback: ModelFn | None = None, text: str = "image", blank: str = "blank", temperatures: list[float] | None = None, guard: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, error, engine, temperature, attempts), rejected (doc_id, rejected_text, reason, error, attempts): every page is in one of them, once.
+
+    Blank pages give '' without a call; a null `blank` is no blank page. With temperatures, vision takes one and a page whose
+    answer loops goes on to the next; a failed call ends its climb. Pages that are left go to the second engine, whose answer
+    counts unless it is blank, fails or loops. Ids may be null or repeat. Each round works on the pages still open and writes
+    its answers first: the model sees a page once at each temperature.
+    """
+    rows = numbered(pages.select("doc_id", F.col(text).alias("_image"), F.coalesce(F.col(blank), F.lit(False)).alias("_blank")))
+    open_ = rows.where(~F.col("_blank"))
+    columns = [ROW, "answer", "error", "reason", "temperature", "attempts"]
+    rounds: list[tuple[float | None, ModelFn]] = [(None, vision)] if temperatures is None else [(t, lambda texts, t=t: vision(texts, t)) for t in temperatures]
+    accepted, failed = [], []
+    for k, (t, model) in enumerate(rounds, 1):
+        said = stash(judged(call(open_, model, "_image", keys=(ROW,)), guard), "answers").withColumns({"temperature": F.lit(t).cast("double"), "attempts": F.lit(k)})
+        accepted.append(said.where("reason is null").select(columns))
+        failed.append(said.where("error is not null").select(columns))
+        loops = said.where("reason is not null and error is null").select(columns)
+        if k == len(rounds):
+            failed.append(loops)
+        elif loops.isEmpty():
+            break
+        open_ = rows.join(small(loops.select(ROW)), ROW, "left_semi")
+    if not rounds:
+        failed.append(open_.select(ROW, F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"), F.lit("no temperature").alias("reason"), F.lit(None).cast("double").alias("temperature"), F.lit(0).alias("attempts")))
+    bad = reduce(DataFrame.unionByName, failed).withColumn("engine", F.lit("vision"))
+    good = reduce(DataFrame.unionByName, accepted).withColumn("engine", F.lit("vision")) if accepted else bad.limit(0)
     if fallback is not None:
-        again = judged(call(todo.join(bad.select("doc_id"), "doc_id", "left_semi"), fallback, text)).withColumn("engine", F.lit("fallback"))
-        out, bad = out.unionByName(again.where("reason is null")), again.where("reason is not null")
-    empty = pages.where(F.col(blank)).select("doc_id", F.lit("").alias("answer"), F.lit(None).cast("string").alias("error"), F.lit("blank").alias("engine"))
-    good = out.select("doc_id", "answer", "error", "engine").unionByName(empty).withColumnRenamed("answer", "text")
-    return good, bad.select("doc_id", F.col("answer").alias("rejected_text"), "reason", "error")
+        bad = stash(bad, "answers")
+        again = judged(asked(rows.join(small(bad.select(ROW)), ROW, "left_semi"), fallback, "_image"), guard)
+        there = F.trim(F.coalesce("answer", F.lit(""))) != ""
+        again = again.select(ROW, *[F.col(c).alias(f"_{c}") for c in ("answer", "error", "reason")], (F.col("reason").isNull() & there).alias("_usable"), there.alias("_there"))
+        both = bad.join(again, ROW)
+        good = good.unionByName(both.where("_usable").select(ROW, F.col("_answer").alias("answer"), F.col("_error").alias("error"), F.col("_reason").alias("reason"), "temperature", "attempts", F.lit("fallback").alias("engine")))
+        # a loop of the second engine is what is told, unless the first one's loop was found without a ladder
+        looped = F.col("_reason").isNotNull() & F.col("_there") & (F.lit(temperatures is not None) | F.col("error").isNotNull())
+        told = {c: F.when(looped, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("answer", "error", "reason")}
+        bad = both.where(~F.col("_usable")).withColumns(told).select(*columns, "engine")
+    ids = rows.select(ROW, "doc_id", "_blank")
+    good = ids.join(good, ROW).select("doc_id", F.coalesce("answer", F.lit("")).alias("text"), "error", "engine", "temperature", "attempts")
+    empty = ids.where("_blank").select("doc_id", F.lit("").alias("text"), F.lit(None).cast("string").alias("error"), F.lit("blank").alias("engine"), F.lit(None).cast("double").alias("temperature"), F.lit(0).alias("attempts"))
+    return good.unionByName(empty), ids.join(bad, ROW).select("doc_id", F.col("answer").alias("rejected_text"), "reason", "error", "attempts")
 
 
 def by_chunks(df: DataFrame, model: ModelFn, text: str, max_tokens: int = 3500, overlap: int = 200) -> DataFrame:
-    """df with answer and error: chunk, call, put together in order. Rows are told apart by doc_id and text, so equal ones share a call."""
-    row = df.withColumn("_row", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    once = row.select("doc_id", "_row", F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["doc_id", "_row"])
-    said = call(chunk_rows(once, text, max_tokens, overlap, keys=("doc_id", "_row")), model, "chunk", "said", ("doc_id", "_row", "chunk_id"))
-    said = said.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_of")).agg(reassembled("chunk_id", "said").alias("answer"), F.first("error", ignorenulls=True).alias("error"))
-    return row.join(said, (F.col("_row") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_row", "_of", "_id")
+    """df, its rows numbered, with answer and error: chunk, call, put together in order."""
+    rows = numbered(df)
+    said = asked(chunk_rows(rows.select(ROW, F.coalesce(F.col(text), F.lit("")).alias(text)), text, max_tokens, overlap, keys=(ROW,)), model, "chunk", "said", (ROW, "chunk_id"))
+    said = said.groupBy(ROW).agg(reassembled("chunk_id", "said").alias("answer"), F.first("error", ignorenulls=True).alias("error"))
+    return rows.join(said, ROW)
 
 
-def clean(pages: DataFrame, model: ModelFn) -> DataFrame:
-    """doc_id, cleaned, ok, error: repairs, then the model, then the guard; what it rejects keeps the repaired text."""
-    r = repair(pages.select("doc_id", "text")).select("doc_id", F.col("repaired").alias("text"))
+def clean(pages: DataFrame, model: ModelFn, guard: bool = True) -> DataFrame:
+    """doc_id, cleaned, ok, error: repairs, then the model, then the guard; what it rejects keeps the repaired text.
+
+    Without the guard every answer counts, unless the call failed.
+    """
+    r = numbered(repair(pages.select("doc_id", "text")).select("doc_id", F.col("repaired").alias("text")))
     j = by_chunks(r, model, "text").withColumn("answer", F.coalesce("answer", F.lit("")))
     a, b = F.col("text"), F.col("answer")
-    j = j.withColumn("gone", words_deleted(a, b))
-    ok = ~T.is_blank(b) & (F.col("gone") <= 2) & (T.letters_ratio(a, b) >= 0.97) & (F.size(T.dropped_nouns(a, b)) == 0) & ~T.accents_introduced(a, b) & F.col("error").isNull()
+    ok = F.col("error").isNull()
+    if guard:
+        j = j.withColumn("change", word_changes(a, b))
+        ok = ok & ~T.is_blank(b) & (F.col("change.words_deleted") <= 2) & (T.letters_ratio(a, b) >= 0.97) & (F.size("change.nouns_dropped") == 0) & ~T.accents_introduced(a, b)
     return j.select("doc_id", F.when(ok, b).otherwise(a).alias("cleaned"), ok.alias("ok"), "error")
 
 
-def structure(pages: DataFrame, model: ModelFn) -> DataFrame:
-    """doc_id, structured, ok: paragraphs only; if a word changes, the text stays as it was."""
-    j = by_chunks(pages.select("doc_id", "text"), model, "text", overlap=0).withColumn("answer", F.coalesce("answer", F.lit("")))
+def structure(pages: DataFrame, model: ModelFn, done: DataFrame | None = None) -> DataFrame:
+    """doc_id, structured, ok: paragraphs only; if a word changes, the text stays as it was.
+
+    Pages whose doc_id is in `done` (doc_id, structured, ok: an earlier result) keep that and aren't sent again; a null id is never done.
+    """
+    rows = numbered(pages.select("doc_id", "text"))
+    kept = None
+    if done is not None:
+        before = done.where("doc_id is not null").groupBy("doc_id").agg(F.first("structured").alias("structured"), F.first("ok").alias("ok"))
+        kept = rows.join(before, "doc_id").select("doc_id", "structured", "ok")
+        rows = rows.join(before, "doc_id", "left_anti")
+    j = by_chunks(rows, model, "text", overlap=0).withColumn("answer", F.coalesce("answer", F.lit("")))
     v = T.structure_verdict(F.col("text"), F.col("answer"), T.words(F.col("text")), T.words(F.col("answer")))
-    return j.select("doc_id", F.when(v["ok"], F.col("answer")).otherwise(F.col("text")).alias("structured"), v["ok"].alias("ok"))
+    out = j.select("doc_id", F.when(v["ok"], F.col("answer")).otherwise(F.col("text")).alias("structured"), v["ok"].alias("ok"))
+    return out if kept is None else out.unionByName(kept)
 
 
 def translate(pages: DataFrame, detect: ModelFn, model: ModelFn, assess: ModelFn | None = None) -> DataFrame:
     """doc_id, source_language, translated, skipped, score: English texts are split off before any call.
 
     score: 60 : 40 of the markers in both texts and the score that assess gives them (a number from 0 to 100 first thing in
-    its answer; a failed call: 50), without assess of the markers alone.
+    its answer; a failed call: 50), without assess of the markers alone. Each row is detected, translated and assessed once.
     """
-    p = pages.select("doc_id", "text").withColumn("_head", F.coalesce(F.left("text", F.lit(2000)), F.lit("")))
-    said = call(p.select("doc_id", "_head").distinct(), detect, "_head", "code", ("doc_id", "_head"))
-    said = said.select(F.col("doc_id").alias("_id"), F.col("_head").alias("_of"), T.language_code(F.coalesce("code", F.lit(""))).alias("source_language"))
-    p = p.join(said, (F.col("_head") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_of", "_head")
-    todo = p.where("source_language <> 'en'")
-    done = by_chunks(todo, model, "text").withColumn("both", F.concat_ws(" ", "text", "answer"))
+    rows = numbered(pages.select("doc_id", "text"))
+    said = asked(rows.select(ROW, F.coalesce(F.left("text", F.lit(2000)), F.lit("")).alias("head")), detect, "head", "code")
+    p = rows.join(said.select(ROW, T.language_code(F.coalesce("code", F.lit(""))).alias("source_language")), ROW)
+    done = by_chunks(p.where("source_language <> 'en'"), model, "text").withColumn("both", F.concat_ws(" ", "text", "answer"))
     score = T.heuristic_score(T.marker_count(F.col("both")), T.word_count(F.col("both")))
     own = score
     if assess is not None:
-        said = call(done.select("doc_id", "both").distinct(), assess, "both", "rated", ("doc_id", "both"))
+        said = asked(done.select(ROW, "both"), assess, "both", "rated")
         rated = F.when(F.col("error").isNull(), F.nullif(F.regexp_extract("rated", r"^\D*(\d{1,3})", 1), F.lit("")).cast("int"))
-        said = said.select(F.col("doc_id").alias("_id"), F.col("both").alias("_both"), F.when(rated.isNotNull(), F.least(rated, F.lit(100))).alias("_rated"))
-        done = done.join(said, (F.col("both") == F.col("_both")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        done = done.join(said.select(ROW, F.when(rated.isNotNull(), F.least(rated, F.lit(100))).alias("_rated")), ROW)
         own = F.col("_rated")
     score = T.overall_score(score, own)
     out = done.select("doc_id", "source_language", F.col("answer").alias("translated"), F.lit(False).alias("skipped"), score.alias("score"))
@@ -140,26 +198,49 @@ def translate(pages: DataFrame, detect: ModelFn, model: ModelFn, assess: ModelFn
 
 
 def titles(pages: DataFrame, model: ModelFn, most: int = 120) -> DataFrame:
-    """doc_id, title, generated: an answer that fails, is no JSON with a title, or loops gives the page's stem. The model sees 2,000 characters."""
-    said = call(pages.withColumn("text", F.left("text", F.lit(2000))), model, "text", "said")
-    title = F.left(F.trim(F.get_json_object(T.fenced_json(F.col("said")), "$.title")), F.lit(most))
-    j = pages.select("doc_id", "stem").join(said.select("doc_id", title.alias("t")), "doc_id", "left")
-    good = F.coalesce(F.col("t"), F.lit("")) != ""
-    good = good & ~T.title_repeats(F.coalesce("t", F.lit("")))
-    return j.select("doc_id", F.when(good, F.col("t")).otherwise(F.col("stem")).alias("title"), good.alias("generated"))
+    """doc_id, title, generated, language, truncated, accent_warning, error: an answer that fails, is no JSON with a title, or loops gives the page's stem, and why.
+
+    The model sees 2,000 characters. A title of more than `most` characters is cut; one with accents where the page's 2,000
+    characters have none is kept with a warning.
+    """
+    rows = numbered(pages.select("doc_id", "stem", F.left("text", F.lit(2000)).alias("text")))
+    json = T.fenced_json(F.col("said"))
+    said = asked(rows, model, "text", "said").select(ROW, F.trim(F.get_json_object(json, "$.title")).alias("said_title"), F.get_json_object(json, "$.language").alias("said_language"), F.col("error").alias("call_error"))
+    whole = F.coalesce("said_title", F.lit(""))
+    j = rows.join(said, ROW).withColumn("t", F.left(whole, F.lit(most)))
+    why = F.coalesce("call_error", F.when(F.col("t") == "", "no JSON with a title"), F.when(T.title_repeats(F.col("t")), F.concat(F.lit("repetition loop: "), "t")))
+    good, source = why.isNull(), F.coalesce("text", F.lit(""))
+    return j.select(
+        "doc_id", F.when(good, F.col("t")).otherwise(F.col("stem")).alias("title"), good.alias("generated"), F.when(good, F.coalesce("said_language", F.lit(""))).otherwise("").alias("language"),
+        (good & (F.length(whole) > most)).alias("truncated"), (good & (source != "") & T.accents_introduced(source, F.col("t"))).alias("accent_warning"), why.alias("error"),
+    )
 
 
 def resolve_model(installed: DataFrame, recommended: DataFrame, chosen: str | None = None) -> DataFrame:
-    """role, model, how: the user's choice, if it is installed, else the first recommendation that is; else none.
+    """role, model, how of each role in recommended: a model that is installed, under the name it has there, or null.
 
-    installed: name. recommended: role, name, ord. Names compare with ':' as '-'.
+    The user's choice, if it is installed (user), else none (configured_missing); without a choice the first recommendation that
+    is installed (recommended), else the first installed model that may fit (fallback), else none. An embedding role takes names
+    with `embed` alone, vision is never guessed, other roles take any other name. installed: name, and ord where the order isn't
+    that of names. recommended: role, name, ord, and vision where only some can see: a vision role takes no others. The same
+    name counts first, else one that differs in ':' and '-' only; of several such the first installed.
     """
-    same = lambda c: F.lower(F.replace(c, F.lit(":"), F.lit("-")))
-    have = installed.select(F.col("name").alias("model"), same(F.col("name")).alias("_k"))
-    best = recommended.withColumn("_k", same(F.col("name"))).join(have, "_k").groupBy("role").agg(F.min_by("model", "ord").alias("model"))
-    out = recommended.select("role").distinct().join(best, "role", "left")
-    if chosen is None:
-        return out.select("role", "model", F.when(F.col("model").isNotNull(), "recommended").otherwise("none").alias("how"))
-    own = have.groupBy("_k").agg(F.first("model").alias("_own"))
-    j = out.withColumn("_k", same(F.lit(chosen))).join(own, "_k", "left")
-    return j.select("role", F.col("_own").alias("model"), F.when(F.col("_own").isNotNull(), "user").otherwise("configured_missing").alias("how"))
+    same = lambda c: F.replace(c, F.lit(":"), F.lit("-"))
+    ord_ = F.col("ord") if "ord" in installed.columns else F.col("name")
+    have = installed.where("name is not null").groupBy(F.col("name").alias("_name")).agg(F.min(ord_).alias("_ord")).withColumn("_same", same(F.col("_name")))
+    wanted = recommended if "vision" in recommended.columns else recommended.withColumn("vision", F.lit(True))
+    roles = recommended.select("role").distinct()
+    if chosen:
+        wanted, how = roles.select("role", F.lit(chosen).alias("name"), F.lit(0).alias("ord")), "user"
+    else:
+        wanted, how = wanted.where("role <> 'vision' or vision").select("role", "name", "ord"), "recommended"
+    found = wanted.join(have, same(F.col("name")) == F.col("_same"))
+    best = found.groupBy("role").agg(F.min_by("_name", F.struct("ord", F.col("_name") != F.col("name"), "_ord")).alias("_best"))
+    out = roles.join(best, "role", "left")
+    if chosen:
+        return out.select("role", F.col("_best").alias("model"), F.when(F.col("_best").isNotNull(), how).otherwise("configured_missing").alias("how"))
+    embeds = F.contains(F.lower("_name"), F.lit("embed"))
+    spare = have.agg(F.min_by(F.when(embeds, F.col("_name")), F.when(embeds, F.col("_ord"))).alias("_embeds"), F.min_by(F.when(~embeds, F.col("_name")), F.when(~embeds, F.col("_ord"))).alias("_others"))
+    j = out.join(F.broadcast(spare))  # one row
+    guess = F.when(F.col("role") == "embedding", F.col("_embeds")).when(F.col("role") != "vision", F.col("_others"))
+    return j.select("role", F.coalesce("_best", guess).alias("model"), F.when(F.col("_best").isNotNull(), how).when(guess.isNotNull(), "fallback").otherwise("none").alias("how"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagelake.effects import phases
 from pagelake.effects import stages as S
 from pagelake.effects import structured as J
+from pagelake.functions.text import ACCENTS, MARKERS
 from pagelake.operators.control import controlled
 from pagelake.plans.registry import query, read
 from pagelake.store import shared_dir
@@ -83,7 +84,7 @@ def _title(texts: list[str]) -> list[str]:
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS doc_id, CASE WHEN p_partkey % 2 = 1 THEN 'p' || p_partkey ELSE 'About letter ' || p_partkey END AS title, p_partkey % 2 = 0 AS generated FROM part")
 def title_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.titles(_texts(spark, sf_dir, "letter "), _title)
+    return S.titles(_texts(spark, sf_dir, "letter "), _title).select("doc_id", "title", "generated")
 
 
 def _in_mode(mode: str, texts: list[str]) -> list[str]:
@@ -122,14 +123,92 @@ def segmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("errors", F.array_join(F.transform("errors", lambda e: F.concat_ws(": ", e["region"], e["error"])), ", "))
 
 
-@query("SELECT 'ocr' AS role, (SELECT min_by('m-' || p_brand, p_partkey) FROM part) AS model, 'recommended' AS how UNION ALL SELECT 'chat', NULL, 'none'")
+@query("""WITH i AS (SELECT DISTINCT 'm-' || p_brand AS name, p_brand AS ord FROM part)
+SELECT 'ocr' AS role, (SELECT min_by('m-' || p_brand, p_partkey) FROM part) AS model, 'recommended' AS how UNION ALL SELECT 'chat', (SELECT max(name) FROM i), 'fallback' UNION ALL SELECT 'vision', NULL, 'none' UNION ALL SELECT 'embedding', 'nomic-embed:v1', 'fallback'""")
 def chosen_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One role has a recommendation that is installed under another spelling, the others fall back, but vision is never guessed."""
     p = read(spark, sf_dir, "part")
-    installed = p.select(F.concat(F.lit("m-"), "p_brand").alias("name")).distinct()
-    wanted = p.select(F.lit("ocr").alias("role"), F.concat(F.lit("M:"), "p_brand").alias("name"), F.col("p_partkey").alias("ord")).union(p.select(F.lit("chat"), F.concat(F.lit("x"), "p_partkey"), "p_partkey"))
+    brands = p.select("p_brand").distinct()
+    nth = F.row_number().over(Window.orderBy(F.desc("p_brand")))
+    installed = brands.select(F.concat(F.lit("m-"), "p_brand").alias("name"), nth.alias("ord")).union(spark.createDataFrame([("nomic-embed:v1", 0)], "name string, ord int"))
+    wanted = p.select(F.lit("ocr").alias("role"), F.concat(F.lit("m:"), "p_brand").alias("name"), F.col("p_partkey").alias("ord"), F.lit(True).alias("vision"))
+    for role in ("chat", "vision", "embedding"):
+        wanted = wanted.union(p.select(F.lit(role), F.concat(F.lit("m-"), "p_brand") if role == "vision" else F.concat(F.lit("x"), "p_partkey"), "p_partkey", F.lit(False)))
     return S.resolve_model(installed, wanted)
 
 
+def _of_text(text: str, n: int) -> int:
+    """A number below n that a text has, whatever its id."""
+    return len(text) % n
+
+
+def _tempered(texts: list[str], temperature: float) -> list[str]:
+    """Fails on some pages, loops on others until it is warm enough, on a few always."""
+    if any(_of_text(t, 12) == 11 for t in texts):
+        raise ValueError("unreadable")
+    return ["again\n" * 40 if _of_text(t, 12) > round(10 * temperature) else f"{len(t)} at {temperature}" for t in texts]
+
+
+def _plain(texts: list[str]) -> list[str]:
+    return ["again\n" * 40 if _of_text(t, 7) == 0 else " " if _of_text(t, 7) == 1 else f"second {len(t)}" for t in texts]
+
+
+@query("""WITH p AS (SELECT CASE WHEN doc_id % 9 > 0 THEN doc_id // 2 END AS doc_id, text, length(text) AS n, length(text) % 12 AS r, length(text) % 7 AS q, coalesce(lang = 'de', false) AS blank FROM documents)
+SELECT doc_id, CASE WHEN blank THEN '' WHEN r <= 8 THEN n || ' at 0.' || greatest(r, 1) WHEN q > 1 THEN 'second ' || n END AS text, CASE WHEN blank THEN 'blank' WHEN r <= 8 THEN 'vision' WHEN q > 1 THEN 'fallback' ELSE 'rejected' END AS engine,
+ CASE WHEN blank THEN 0 WHEN r <= 8 THEN greatest(r, 1) WHEN r = 11 THEN 1 ELSE 8 END AS attempts, CASE WHEN blank OR r <= 8 OR q > 1 THEN NULL WHEN q = 0 THEN 'lines' WHEN r = 11 THEN 'error' ELSE 'lines' END AS reason FROM p""")
+def read_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pages, ids null or twice: read at rising temperatures, then by the second engine, each once and nowhere twice."""
+    d = read(spark, sf_dir, "documents")
+    blank = F.when(F.col("lang") == "de", True).when(F.col("lang").isNull() | (F.col("lang") == "fr"), F.lit(None)).otherwise(False)
+    pages = d.select(F.when(F.col("doc_id") % 9 > 0, F.floor(F.col("doc_id") / 2)).alias("doc_id"), F.col("text").alias("image"), blank.alias("blank"))
+    good, bad = S.read_pages(pages, _tempered, _plain, temperatures=S.ladder())
+    none = F.lit(None).cast("string")
+    return good.select("doc_id", "text", "engine", "attempts", none.alias("reason")).unionByName(bad.select("doc_id", none.alias("text"), F.lit("rejected").alias("engine"), "attempts", "reason"))
+
+
+def _titled(texts: list[str]) -> list[str]:
+    """No JSON, a loop, a title that is too long, one with accents, or a plain one."""
+    said = {1: "Letter letter LETTER on", 2: "T" * 150, 3: "Grüße"}
+    return ["no json" if _of_text(t, 5) == 0 else f'```json\n{{"title": " {said.get(_of_text(t, 5), f"About {len(t)}")} ", "language": "de"}}\n```' for t in texts]
+
+
+@query(f"""WITH p AS (SELECT CASE WHEN doc_id % 9 > 0 THEN doc_id // 2 END AS doc_id, 'p' || doc_id AS stem, left(text, 2000) AS t FROM documents), q AS (SELECT *, length(t) % 5 AS r FROM p)
+SELECT doc_id, CASE r WHEN 0 THEN stem WHEN 1 THEN stem WHEN 2 THEN repeat('T', 120) WHEN 3 THEN 'Grüße' ELSE 'About ' || length(t) END AS title, r > 1 AS generated, CASE WHEN r > 1 THEN 'de' ELSE '' END AS language, r = 2 AS truncated,
+ r = 3 AND t <> '' AND NOT regexp_matches(t, '[{ACCENTS}]') AS accent_warning, CASE r WHEN 0 THEN 'no JSON with a title' WHEN 1 THEN 'repetition loop: Letter letter LETTER on' END AS error FROM q""")
+def title_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of all documents with what was found wrong with them; ids null or twice."""
+    d = read(spark, sf_dir, "documents")
+    return S.titles(d.select(F.when(F.col("doc_id") % 9 > 0, F.floor(F.col("doc_id") / 2)).alias("doc_id"), F.concat(F.lit("p"), "doc_id").alias("stem"), "text"), _titled)
+
+
+def _language(texts: list[str]) -> list[str]:
+    return [("en", "German", "fr, en")[_of_text(t, 3)] for t in texts]
+
+
+def _said(texts: list[str]) -> list[str]:
+    return [f"{t} [illegible] perhaps" for t in texts]
+
+
+def _rated(texts: list[str]) -> list[str]:
+    if any(_of_text(t, 4) == 3 for t in texts):
+        raise ValueError("no answer")
+    return [f"{len(t) % 130} of 100" for t in texts]
+
+
+_MARKERS = " + ".join(f"least(3, (length(lower(b)) - length(replace(lower(b), '{m.replace(chr(39), chr(39) * 2)}', ''))) // {len(m)})" for m in MARKERS)
+
+
+@query(rf"""WITH c AS (SELECT conv_id AS doc_id, coalesce(text, '') AS t FROM conversations), p AS (SELECT *, t || ' ' || t || ' [illegible] perhaps' AS b FROM c),
+m AS (SELECT *, {_MARKERS} AS m, len(regexp_extract_all(b, '[^\s\x1c-\x1f]+')) AS n, CASE WHEN length(b) % 4 = 3 THEN 50 ELSE least(100, length(b) % 130) END AS own FROM p),
+h AS (SELECT *, greatest(0, CAST(trunc(100.0::DOUBLE * (1.0::DOUBLE - (m::DOUBLE / greatest(n, 1)) / 0.05::DOUBLE)) AS INTEGER)) AS h FROM m)
+SELECT doc_id, CASE length(t) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'unknown' ELSE 'fr' END AS source_language, CASE WHEN length(t) % 3 = 0 THEN t ELSE t || ' [illegible] perhaps' END AS translated, length(t) % 3 = 0 AS skipped,
+ CASE WHEN length(t) % 3 > 0 THEN CAST(trunc(0.6::DOUBLE * h + 0.4::DOUBLE * own) AS INTEGER) END AS score FROM h""")
+def translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns translated, with the score of what markers and a model say of the translation; a conversation's turns share its id."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return S.translate(turns, _language, _said, _rated)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A folder, and the events as a stream over four files written there."""
     base = f"{shared_dir(spark)}/pagelake-stream-{uuid.uuid4().hex}"

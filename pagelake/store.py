@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side of one or two numbers that may be broadcast (under 64 MB); above it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("pagelake_scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,8 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{tempfile.gettempdir()}/pagelake-checkpoints").rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that a path is in, and the path, as Hadoop has them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/pagelake-{name}-{uuid.uuid4().hex}"
+    path = f"{_scope.get() or shared_dir(df.sparkSession)}/pagelake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that are stashed inside lie in a folder of their own, which goes at the end: write what is to stay before that."""
+    folder = f"{shared_dir(spark)}/pagelake-scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        fs, p = file_system(spark, folder)
+        fs.delete(p, True)
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Delete this engine's folders in the shared one that nothing was written to for that long; the number of them."""
+    fs, p = file_system(spark, shared_dir(spark))
+    if not fs.exists(p):
+        return 0
+    old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("pagelake-") and s.getModificationTime() < (time.time() - 3600 * hours) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is within BROADCAST_ROWS, else df as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

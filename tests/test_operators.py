@@ -201,8 +201,8 @@ def test_effects(spark):
     good, bad = S.read_pages(images, lambda ts: ["again\n" * 40 if t == "loop" else "fine" for t in ts])
     assert sorted((r["doc_id"], r["text"], r["engine"]) for r in good.collect()) == [(1, "fine", "vision"), (3, "", "blank")] and [r["reason"] for r in bad.collect()] == ["lines"]
     have = spark.createDataFrame([("qwen:7b",), ("m-1",)], "name string")
-    want = spark.createDataFrame([("ocr", "x", 0), ("ocr", "QWEN-7b", 1), ("chat", "none", 0)], "role string, name string, ord int")
-    assert {r["role"]: (r["model"], r["how"]) for r in S.resolve_model(have, want).collect()} == {"ocr": ("qwen:7b", "recommended"), "chat": (None, "none")}
+    want = spark.createDataFrame([("ocr", "x", 0), ("ocr", "qwen-7b", 1), ("chat", "none", 0)], "role string, name string, ord int")
+    assert {r["role"]: (r["model"], r["how"]) for r in S.resolve_model(have, want).collect()} == {"ocr": ("qwen:7b", "recommended"), "chat": ("m-1", "fallback")}
     assert {r["how"] for r in S.resolve_model(have, want, "gone").collect()} == {"configured_missing"}
 
 
