@@ -178,8 +178,8 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
     spark, table = documents.sparkSession, "kind int, shard long, a long, b long, keys binary, counts binary"
     with arrow_rows(spark, 500):
         counted = texts.select("text").mapInArrow(count, "kind int, shard long, keys binary, counts binary")
-        built = stash(counted.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(build, table), "lm")
-        halves = built.where(F.col("kind") != PAIRS).select("kind", "shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard", "kind")
+        built = stash(counted.repartition(2 * shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(build, table), "lm")
+        halves = built.where(F.col("kind") != PAIRS).select("kind", "shard", "keys", "counts").repartition(shards, "shard").sortWithinPartitions("shard", "kind")
         words = stash(halves.mapInArrow(join, "kind int, shard long, data binary"), "lm")
     of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     total, different, once, twice = built.agg(*(of(kind, c) for kind in (WORDS, PAIRS) for c in "ab")).first()
@@ -369,7 +369,7 @@ def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schem
         asked = stash(rows.mapInArrow(ask, asked_schema), "asked")
     with arrow_rows(spark, 50):
         sent = asked.select(f"{own}piece", f"{own}words", f"{own}pairs").mapInArrow(send, "kind int, shard long, piece long, data binary")
-        both = sent.unionByName(model.shards.withColumn("piece", F.lit(None).cast("long"))).repartition("kind", "shard").sortWithinPartitions("kind", "shard", "piece")
+        both = sent.unionByName(model.shards.withColumn("piece", F.lit(None).cast("long"))).repartition(2 * shards, "kind", "shard").sortWithinPartitions("kind", "shard", "piece")
         answers = both.mapInArrow(answer, "piece long, kind int, shard long, found binary")
         together = answers.groupBy("piece").agg(F.collect_list(F.struct("kind", "shard", "found")).alias(f"{own}found")).withColumnRenamed("piece", f"{own}p")
         out = stash(asked.join(together, F.col(f"{own}piece") == F.col(f"{own}p")).drop(f"{own}p").mapInArrow(put_back, schema), "scores")
