@@ -90,8 +90,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.where(F.col("url").isNotNull() & html.rlike("(?i)canonical|http-equiv"))
     rows = rows.select("url", F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|$)", " ").alias("markup"))
-    every = lambda names: F.regexp_extract_all("markup", F.lit(rf"(?is)<(?:{names})(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"), F.lit(0))
-    rows = rows.select("url", F.try_element_at(every("base"), F.lit(1)).alias("base"), F.explode(every("link|meta")).alias("tag"))
+    # every tag is matched, with its values, so what looks like a tag inside a value is none
+    tags = F.regexp_extract_all("markup", F.lit(r"(?s)</?[a-zA-Z](?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>"), F.lit(0))
+    named = lambda names: F.filter("tags", lambda t: t.rlike(rf"(?is)^<(?:{names})[\s/]"))
+    rows = rows.withColumn("tags", F.filter(tags, lambda t: t.rlike(r"(?is)^<(?:base|link|meta)[\s/]")))
+    rows = rows.select("url", F.try_element_at(named("base"), F.lit(1)).alias("base"), F.explode(named("link|meta")).alias("tag"))
     tag = F.col("tag")
     canonical = attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
     refresh = F.lower(attribute(tag, "http-equiv")) == "refresh"
@@ -125,6 +128,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None
     decided = alias.join(decided, "component").where(F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).select(F.col("node").alias("blocked_key"))
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("key"))
     p = p.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    p = p.join(decided, p.key == decided.blocked_key, "left")
+    # rows without a host have no alias and all the same key, so they take no part in the join
+    p = p.where("host <> ''").join(decided, F.col("key") == F.col("blocked_key"), "left").unionByName(p.where("host = ''").withColumn("blocked_key", F.lit(None).cast("string")))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("blocked_key").isNotNull(), BLOCK).otherwise(ALLOW))
     return p.select("page_id", "host", "path", F.col("found.text").alias("rule"), verdict.alias("verdict"))
