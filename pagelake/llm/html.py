@@ -36,6 +36,8 @@ SIBLINGS = {
 SCOPE = frozenset("ul ol dl table select html body article section main div".split())
 #: Never part of an article, whatever their density.
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea input iframe object embed svg canvas dialog menu noembed noframes".split())
+#: What a mark takes from an element's weight: it stays out, unless its density sum is more than so many times that of the rest.
+LOWERED = 8.0
 #: Words in class, id or role that mark furniture.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar "
@@ -51,11 +53,11 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "headed", "kids", "link_chars", "link_tags", "name", "sum", "tags", "up")
+    __slots__ = ("all", "attrs", "chars", "density", "headed", "kids", "link_chars", "link_tags", "name", "sum", "tags", "up")
 
     def __init__(self, name: str, attrs: str, up: Node | None):
         self.name, self.attrs, self.up = name, attrs, up
-        self.kids: list[Node | str] = []
+        self.all = self.kids = []
 
     def marks(self) -> set[str]:
         found: set[str] = set()
@@ -143,23 +145,35 @@ def _open(at: Node | None, names: set[str], stop: frozenset[str] | set[str] = fr
     return at
 
 
-def _furniture(n: Node) -> bool:
-    if n.name in DROPPED:
-        return True
+def _never(n: Node) -> bool:
+    """Whether an element is no part of an article: by its kind, or as it isn't shown."""
     if n.name == "header":  # of the page, not of an article
         return _open(n.up, {"article", "main"}) is None
+    return n.name in DROPPED or (n.name not in KEPT and bool(n.attrs) and "\0hidden" in n.marks())
+
+
+def _marked(n: Node) -> bool:
+    """Whether a word in class, id or role says that an element is furniture."""
     if n.name in KEPT or not n.attrs:
         return False
     marks = n.marks()
-    return "\0hidden" in marks or bool(marks & MARKS) or (bool(marks & HEADER_MARKS) and _open(n.up, {"article", "main"}) is None)
+    return bool(marks & MARKS) or (bool(marks & HEADER_MARKS) and _open(n.up, {"article", "main"}) is None)
 
 
-def _weigh(root: Node) -> list[Node]:
-    """chars, tags, link_chars and link_tags of each node, without furniture; the nodes, parents first."""
-    order, stack = [], [root]
+def _weigh(root: Node, kept: set[Node]) -> tuple[list[Node], list[Node]]:
+    """chars, tags, link_chars and link_tags of each node, without furniture; the nodes, parents first, and what is left out for a mark alone."""
+    order, marked, stack = [], [], [root]
     while stack:
         n = stack.pop()
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _furniture(k)]
+        n.kids = []
+        for k in n.all:
+            if isinstance(k, str):
+                n.kids.append(k)
+            elif not _never(k):
+                if k in kept or not _marked(k):
+                    n.kids.append(k)
+                else:
+                    marked.append(k)
         order.append(n)
         stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
     for n in reversed(order):
@@ -174,7 +188,7 @@ def _weigh(root: Node) -> list[Node]:
                 n.tags += k.tags + (k.name in BLOCK or k.name == "a")  # bold, breaks and the like count as text
                 n.link_chars += k.chars if k.name == "a" else k.link_chars
                 n.link_tags += k.tags + 1 if k.name == "a" else k.link_tags
-    return order
+    return order, marked
 
 
 def _densities(order: list[Node], body: Node) -> None:
@@ -188,14 +202,33 @@ def _densities(order: list[Node], body: Node) -> None:
         n.sum = sum(k.density if k.name in BLOCK else k.sum for k in n.kids if not isinstance(k, str))
 
 
+def _weighed(body: Node) -> list[Node]:
+    """The nodes, weighed; a marked element is among them if it outweighs all the rest in spite of its mark."""
+    kept: set[Node] = set()
+    while True:
+        order, marked = _weigh(body, kept)
+        _densities(order, body)
+        rest = max(n.sum for n in order)
+        heaviest, most = None, LOWERED * rest
+        for n in marked:
+            own, _ = _weigh(n, kept)
+            _densities(own, n)
+            weight = max(max(k.sum for k in own), n.density)
+            # where there is nothing else, several paragraphs are an article
+            if weight > most and (rest > 0 or sum(k.name == "p" and k.chars > 0 for k in own) > 1):
+                heaviest, most = n, weight
+        if heaviest is None:
+            return order
+        kept.add(heaviest)
+
+
 def main_text(page: str | None) -> str:
     """Text of a page's article: blocks in page order joined by one space, white space inside them by one space."""
     if not page:
         return ""
     root = parse(page.replace("\0", ""))
     body = next((k for k in root.kids if not isinstance(k, str) and k.name == "body"), root)
-    order = _weigh(body)
-    _densities(order, body)
+    order = _weighed(body)
     best = max(order, key=lambda n: n.sum)
     if best.sum <= 0:
         best = body
@@ -209,7 +242,11 @@ def main_text(page: str | None) -> str:
     best = _outermost(best, body, "article") or _outermost(best, body, "main") or best
     while best is not body and (best.name not in BLOCK or any(_text(k, best, floor, thin) for k in best.up.kids)):
         best = best.up
-    best.kids = [k for k in best.kids if isinstance(k, str) or not (k.link_chars > 0.5 * k.chars and k.density < floor)]
+    # lists of links before and after the text go; those inside it belong to it
+    listed = [not isinstance(k, str) and k.link_chars > 0.5 * k.chars and k.density < floor for k in best.kids]
+    said = [i for i, k in enumerate(best.kids) if not listed[i] and (k.strip() if isinstance(k, str) else k.chars)]
+    if said:
+        best.kids = [k for i, k in enumerate(best.kids) if not listed[i] or said[0] < i < said[-1]]
     return " ".join(_blocks(best))
 
 
@@ -270,13 +307,13 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     carried along, so repeated rows and null keys stay as they are. An empty table gives an empty result. No shuffle.
     """
     out = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", html)]
-    rows = pages.select(*[F.col(f.name) for f in out], F.col(html).alias("_html_"))
+    rows = pages.select(*[F.col(f.name) for f in out], F.col(html))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h.as_py()) for h in b.column("_html_")]
-            cols = [b.column(f.name) for f in out] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            texts = [main_text(h.as_py()) for h in b.columns[-1]]
+            cols = [*b.columns[: len(out)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out] + ["text", "n_chars"])
 
     return rows.mapInArrow(run, schema)
