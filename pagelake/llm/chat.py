@@ -62,6 +62,9 @@ MAPPINGS = (
     Mapping(("messages[].role", "messages[].text"), listed=("messages", "role", "text")),
     Mapping(("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
     Mapping(("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Mapping(("instruction", "output", "system"), (("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping(("input", "instruction", "output", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping(("answer", "question", "system"), (("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))),
 )
 #: In order of precedence.
 RANKED = tuple(sorted(MAPPINGS, key=lambda m: (m.rows is None, m.listed is None, -len(m.paths))))
@@ -118,9 +121,30 @@ def json_paths(record: Column) -> Column:
     return F.array_sort(F.array_intersect(paths, F.array(*[F.lit(f) for f in FIELDS])))
 
 
+def json_unused(text: Column) -> Column:
+    """Sorted paths of a record's texts that its mapping doesn't take: of the record, and one level inside its objects and lists.
+
+    All of them where no mapping fits; null if the text is no JSON object. What is reported here isn't in the turns.
+    """
+    record = F.try_parse_json(text)
+    fields = lambda v: v.try_cast("map<string,variant>")
+    said = lambda v: (F.schema_of_variant(v) == "STRING") & (F.trim(F.coalesce(v.try_cast("string"), F.lit(""))) != "")
+    none = F.array().cast("array<variant>")
+    named = lambda m, k, sep: F.transform(F.filter(F.map_keys(m), lambda x: said(m[x])), lambda x: F.concat(k, F.lit(sep), x))
+    listed = lambda v, k: F.flatten(F.transform(F.coalesce(v.try_cast("array<variant>"), none), lambda e: F.when(said(e), F.array(F.concat(k, F.lit("[]")))).otherwise(F.coalesce(named(fields(e), k, "[]."), F.array().cast("array<string>")))))
+    every = lambda v, k: F.when(said(v), F.array(k)).otherwise(F.concat(F.coalesce(named(fields(v), k, "."), F.array().cast("array<string>")), listed(v, k)))
+    top = fields(record)
+    found = F.array_distinct(F.flatten(F.transform(F.map_keys(top), lambda k: every(top[k], k))))
+    taken = F.array().cast("array<string>")
+    for m in reversed([m for m in RANKED if m.rows is None]):
+        taken = F.when(F.size(F.array_intersect(json_paths(record), F.array(*map(F.lit, m.paths)))) == len(m.paths), F.array(*map(F.lit, m.paths))).otherwise(taken)
+    return F.array_sort(F.array_except(found, taken))
+
+
 def json_turns(text: Column) -> tuple[Column, Column]:
     """(fingerprint, turns) of a JSON text, each row by its own layout; turns are null if none maps it or it is no JSON.
 
+    Texts that the mapping doesn't own are left out; json_unused names them.
     The fingerprint is the chosen mapping's, else that of all known paths. Null fields are empty texts; a list without
     elements has no layout, so its turns are null too.
     """

@@ -195,3 +195,50 @@ def test_density_finds_articles_without_word_lists(spark, monkeypatch):
     inside = [re.search(r"<article>(.*)</article>", h, re.S)[1] for h in rows]
     want = [" ".join(entities.unescape(re.sub(r"</?(?:p|h1|br)[^>]*>", " ", re.sub(r"</?b>", "", x))).split()) for x in inside]
     assert sum(html.main_text(h) == w for h, w in zip(rows, want, strict=True)) >= 0.95 * len(rows)
+
+
+def test_texts_that_no_mapping_takes_are_named(spark):
+    rows = {
+        1: '{"instruction":"do","input":"this","output":"done","system":"be kind"}', 2: '{"data":{"prompt":"a","response":"b"}}', 3: '{"prompt":"a","response":"b","note":"c","n":3,"empty":" "}',
+        4: '{"messages":[{"role":"user","content":"a","tool":"t"}],"tags":["x",1]}', 5: "no json", 6: "[1]", 7: "{}", 8: None,
+    }
+    df = spark.createDataFrame(list(rows.items()), "id int, j string")
+    got = {r["id"]: r["u"] for r in df.select("id", chat.json_unused(F.col("j")).alias("u")).collect()}
+    assert got == {1: [], 2: ["data.prompt", "data.response"], 3: ["note"], 4: ["messages[].tool", "tags[]"], 5: None, 6: None, 7: [], 8: None}
+    turns = df.where("id = 1").select(chat.json_turns(F.col("j"))[1].alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in turns] == [("system", "be kind"), ("user", "do\n\nthis"), ("assistant", "done")]
+
+
+def test_tags_inside_attribute_values_are_none(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/1", "<p title='<link rel=canonical href=http://example.org/es/2>'>x</p>"), (2, "http://a.net/2", '<p title="it\'s > all"><link rel=canonical href="http://example.org/es/2">'),
+            (3, None, "<link rel=canonical href=http://example.org/es/2>"), (4, "none", "x"), (5, "http://a.net/5", "<a b='>'><LINK REL='canonical' HREF='http://example.org/es/2'>"),
+        ],
+        "page_id long, url string, html string",
+    )
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, queries.URL_RULES).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+
+
+PARAGRAPH = "The quick brown fox jumps over the lazy dog and runs far away into the deep green woods where nobody goes. " * 4
+
+
+@pytest.mark.parametrize("word", "social search share related notice ad menu reply comments sidebar banner promo alert dialog modal popup toolbar sharing sponsored subscription".split())
+def test_class_words_do_not_delete_an_article(word):
+    text = html.main_text(f'<body><p>A short lead.</p><div class="content {word}-history"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></body>')
+    assert text.count("quick brown fox") == 8
+    assert html.main_text(f'<body><div class="{word}">Buy this now and be happy.</div></body>') == ""
+
+
+def test_lists_of_references_stay_in_their_article():
+    links = "<ul>" + "".join(f'<li><a href="x{i}">Reference number {i}</a></li>' for i in range(4)) + "</ul>"
+    between = html.main_text(f"<body><article><p>{PARAGRAPH}</p>{links}<p>{PARAGRAPH}</p></article></body>")
+    after = html.main_text(f"<body><article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>{links}</article></body>")
+    assert "Reference number 3" in between and "Reference" not in after
+
+
+def test_extract_takes_any_column_names(spark):
+    pages = spark.createDataFrame([(1, "<p>Some words of text.</p>", "x", "y")], "page_id long, html string, _html_ string, text string")
+    r = html.extract(pages).first()
+    assert (r["_html_"], r["text"], r["n_chars"]) == ("x", "Some words of text.", 19)
