@@ -29,7 +29,7 @@ BASE, PROBES = 1.5, 8
 #: Bounds of what each pair's count is lowered by; what that frees goes to the token's own probability.
 DISCOUNTS = (0.1, 0.95)
 #: Filter and token counts that are broadcast at most; text that one shard gets, on average; bytes of text counted, or scored, at once.
-FILTER_BYTES, SHARD_CHARS, TEXT = 1 << 28, 1 << 24, 1 << 22
+FILTER_BYTES, SHARD_CHARS, TEXT = 1 << 28, 1 << 23, 1 << 21
 #: Bytes of one broadcast, about.
 SENT = 1 << 24
 END = np.uint64(0xC3A5C85C97CB3127)
@@ -117,7 +117,7 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Model:
-    """shards: table of kind, shard, data (of words their keys, counts and followers, of pairs the filter). total: N, different: V."""
+    """shards: table of kind, shard, data (of words their number, keys, counts and followers, of pairs the filter). total: N, different: V."""
 
     shards: DataFrame
     n_shards: int
@@ -172,7 +172,9 @@ def fit(documents: DataFrame, held_out: Column, text: str = "text") -> Model:
             words = next((r for r in rows if r["kind"] == WORDS), {"keys": b"", "counts": b""})
             before, follow = _added(*(np.frombuffer(b"".join(r[c] for r in rows if r["kind"] == FOLLOWERS), t) for c, t in (("keys", np.uint64), ("counts", np.int64))))
             own = np.frombuffer(words["keys"], np.uint64)
-            data = words["keys"] + words["counts"] + _found(before, follow, own & ~_LOW).tobytes()
+            values = [np.frombuffer(words["counts"], np.int64), _found(before, follow, own & ~_LOW)]
+            wide = np.int64 if values[0].max(initial=0) >> 32 else np.uint32  # nothing follows a word more often than it stands there
+            data = np.int64(len(own)).tobytes() + words["keys"] + b"".join(v.astype(wide).tobytes() for v in values)
             yield from _batches([(WORDS, shard, data)], ("kind", "shard", "data"))
 
     spark, table = documents.sparkSession, "kind int, shard long, a long, b long, keys binary, counts binary"
@@ -225,9 +227,10 @@ def _answer(kind: int, data: bytes, keys: np.ndarray) -> np.ndarray:
     """A row for each key: of words the count and the followers, of pairs the level."""
     if kind == PAIRS:
         return read_levels(np.frombuffer(data, np.uint64), keys)[:, None]
-    third = len(data) // 3
-    own, *values = (np.frombuffer(data[k * third : (k + 1) * third], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
-    return np.stack([_found(own, v, keys) for v in values], 1)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    own = np.frombuffer(data, np.uint64, n, 8)
+    values = np.frombuffer(data, np.uint32 if len(data) == 8 + 16 * n else np.int64, 2 * n, 8 + 8 * n)
+    return np.stack([_found(own, values[:n], keys), _found(own, values[n:], keys)], 1).astype(np.int64)
 
 
 def _scored(lengths: np.ndarray, values: np.ndarray, level: np.ndarray, total: int, different: int, discount: float) -> list[np.ndarray]:
