@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators import collect as X
 from pagelake.operators import export as E
 from pagelake.plans.registry import query, read
+from pagelake.sinks import notes as N
+from pagelake.store import shared_dir
 
 
 @query("""WITH m AS (SELECT 'Item ' || (o_custkey % 30) || '/page_' || (o_orderkey % 400) AS key, o_orderkey AS ord, o_orderkey AS entry FROM orders),
@@ -71,10 +76,13 @@ _PLAN = """e AS (SELECT l_orderkey * 10 + l_linenumber AS entry, l_partkey AS ph
 a AS (SELECT entry, CASE WHEN project <> 'mine' THEN 'foreign' WHEN trim(text) = '' THEN 'empty' WHEN photo_id % 10 = 0 THEN 'missing_photo' WHEN item_id IS NOT NULL AND item_id % 2 <> photo_id % 2 THEN 'item_mismatch' WHEN photo_id % 7 = 0 THEN 'duplicate' ELSE 'ready' END AS action FROM e)"""
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, n = read(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    return l.select((F.col("l_orderkey") * 10 + n).alias("entry"), F.col("l_partkey").alias("photo_id"), F.when(n % 4 != 0, F.col("l_suppkey") % 2).alias("item_id"), F.when(n == 2, "  ").otherwise(F.concat(F.lit("note  "), "l_partkey")).alias("text"), F.when(n == 3, "other").otherwise("mine").alias("project"))
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    n = F.col("l_linenumber")
-    e = l.select((F.col("l_orderkey") * 10 + n).alias("entry"), F.col("l_partkey").alias("photo_id"), F.when(n % 4 != 0, F.col("l_suppkey") % 2).alias("item_id"), F.when(n == 2, "  ").otherwise(F.concat(F.lit("note  "), "l_partkey")).alias("text"), F.when(n == 3, "other").otherwise("mine").alias("project"))
+    e, p = _entries(spark, sf_dir), read(spark, sf_dir, "part")
     photos = p.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("photo_id"), (F.col("p_partkey") % 2).alias("item"))
     notes = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("photo_id"), F.concat(F.lit("note "), "p_partkey", F.lit("\n")).alias("text"))
     return X.note_plan(e, photos, notes, "mine")
@@ -90,6 +98,27 @@ def note_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+_READY = _PLAN.replace("SELECT entry, CASE", "SELECT *, CASE")
+
+
+@query(f"""WITH {_READY} SELECT photo_id, '<p>note  ' || photo_id || '</p>' AS html, 'note  ' || photo_id AS text, CASE WHEN photo_id % 2 = 0 THEN 'de' ELSE 'fr' END AS language FROM (SELECT DISTINCT photo_id FROM a WHERE action = 'ready')
+UNION ALL SELECT photo_id, '<p>note ' || photo_id || '</p>', 'note ' || photo_id, 'en' FROM (SELECT p_partkey AS photo_id FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 10 <> 0)""")
+def committed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of notes after an earlier batch, a commit with the wrong count, which leaves nothing, the right one, and the same one once more."""
+    path = f"{shared_dir(spark)}/pagelake-notes-{uuid.uuid4().hex}"
+    p = read(spark, sf_dir, "part")
+    photos = p.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("photo_id"), (F.col("p_partkey") % 2).alias("item"))
+    k = F.col("p_partkey")
+    before = p.where("p_partkey % 7 = 0 and p_partkey % 10 <> 0").select(k.alias("photo_id"), F.lit(None).cast("long").alias("item_id"), F.concat(F.lit("note "), k, F.lit("\n")).alias("text"), F.lit("mine").alias("project"), F.lit("en").alias("language"))
+    N.commit_notes(before, photos, path, "mine", before.count(), "first")
+    entries = _entries(spark, sf_dir).withColumn("language", F.when(F.col("photo_id") % 2 == 0, "de").otherwise("fr"))
+    ready = _plan(spark, sf_dir).where("action = 'ready'").count()
+    for expected in (ready + 1, ready, ready):
+        with contextlib.suppress(N.CountChanged):
+            N.commit_notes(entries, photos, path, "mine", expected, "second")
+    return N.committed(spark, path)
+
+
 def _stage_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(stems by brand, texts): some parts have a cleaned text, some only a raw or a translated one, a blank one, or none."""
     p = read(spark, sf_dir, "part")

@@ -14,16 +14,17 @@ def write_stage(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_files(df: DataFrame, folder: str, suffix: str = ".txt") -> None:
-    """A text file for each row (stem, text); each task writes its own rows, to a folder all executors see."""
-    base = folder.removeprefix("file:")
+    """A text file for each row (stem, text); each task writes its own rows, to the file system that the folder's address names."""
 
     def save(rows) -> None:
-        from pathlib import Path
+        import pyarrow.fs as fs
 
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         for r in rows:
-            p = Path(base) / f"{r['stem']}{suffix}"
-            p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text(r["text"] or "", encoding="utf-8")
+            path = f"{base}/{r['stem']}{suffix}"
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write((r["text"] or "").encode())
 
     df.select("stem", "text").foreachPartition(save)
 
