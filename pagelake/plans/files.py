@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.plans.registry import query, read
+from pagelake.sinks import layout as L
 from pagelake.sinks import tables as B
 from pagelake.sinks.pagexml import to_page_xml
 from pagelake.sources import files as A
@@ -170,3 +171,29 @@ def handed_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, known = F.lit("2026-01-01 12:00:00+00:00").cast("timestamp"), ("reader", "writer", "editor")
     got = H.received(manifests, bodies, "writer", now, known).select("token", F.md5("body").alias("body_md5"))
     return H.judged_handovers(manifests, now, known).select("token", "source", "status").join(got, "token", "left")
+
+
+@query("""SELECT 'brand-' || lower(replace(p_brand, '#', '')) AS slug, 'Brand ' || upper(left(replace(p_brand, '#', ''), 1)) || lower(substr(replace(p_brand, '#', ''), 2)) AS name, count(*) AS runs, min(p_partkey) AS first_part FROM part GROUP BY p_brand""")
+def created_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each brand, made twice, and a run for each of its parts; read back from the folders."""
+    root = _folder(spark, "layout")
+    parts = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("k")).collect()  # a driver makes folders
+    for r in parts:
+        project = L.Project(spark, root, "brand-" + r["p_brand"].replace("#", "").lower())
+        project.ensure()
+        for k in r["k"]:
+            project.create_run({"part": k})
+    runs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "2*-*.json").text(root, wholetext=True)
+    slug = F.regexp_extract(F.col("_metadata.file_path"), "/projects/([^/]+)/run-history/", 1)
+    said = runs.select(slug.alias("slug"), F.get_json_object("value", "$.run_id").alias("run_id"), F.get_json_object("value", "$.part").cast("long").alias("part"))
+    said = said.groupBy("slug").agg(F.countDistinct("run_id").alias("runs"), F.min("part").alias("first_part"))
+    return H.projects(spark, root).select("slug", "name").join(said, "slug")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size % 7 = 0 THEN NULL ELSE md5('{"brand":"' || p_brand || '","list":[1,' || p_size || ',{"b":null,"ä":"ü"}],"size":' || p_partkey || '}') END AS canonical_md5, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(2 AS INTEGER) END AS depth, CASE WHEN p_size % 7 = 0 THEN 'no JSON' END AS error FROM part""")
+def canonical_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their keys in another order, and broken ones: canonical form, depth and error."""
+    p, key = read(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('{ "size" : '), key, F.lit(', "list": [1 , '), "p_size", F.lit(', {"b":null, "\\u00e4":"ü"}],\n"brand":"'), "p_brand", F.when(F.col("p_size") % 7 == 0, '"').otherwise('"}'))
+    b = J.json_budget("text")
+    return p.select(key.alias("path"), text.alias("text")).select("path", F.md5(J.canonical_json("text")).alias("canonical_md5"), F.when(b["error"].isNull(), b["depth"]).alias("depth"), b["error"].alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # File types of pages, and of images in an accuracy corpus in order of preference.
@@ -58,28 +58,39 @@ def accuracy_pairs(images: DataFrame, truths: DataFrame) -> tuple[DataFrame, Dat
     return truths.join(best, "stem"), truths.join(best, "stem", "left_anti")
 
 
+def upload_name(raw: Column) -> Column:
+    """The last part of a name, with either slash as separator; null if nothing but dots is left."""
+    parts = F.filter(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    last = F.try_element_at(parts, F.lit(-1))
+    return F.when(last != "..", last)
+
+
 def uploads(files: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     """files (name, length) with status and a free name: the lowest free of name, name_1, name_2 and so on, for each in its turn.
 
-    A name's numbers that are in use, among the taken names or the files' own, are gathered by the name they'd come from,
-    and a file gets the number at its place among those that are left.
+    Names are cut to their last part first; where none is left, the status is `invalid` and the name null. A number is in use if
+    a taken name, or one of the files' own, has it. Before the used number u, the i-th of its name, u - i + 1 numbers are free;
+    so the file at place n gets n and as many more as have no more than n free ones before them: a running count over
+    files and used numbers in one order, however often a name comes.
     """
-    from pyspark.sql import Window
-
     suffix = lambda c: F.regexp_extract(c, r"(?<=[^.])(\.[^.]*)$", 1)
-    f = files.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(order)) - 1)
-    names = taken.select("name", F.lit(True).alias("t")).union(files.select("name", F.lit(False).alias("t")))
-    numbered = F.regexp_extract(stem_of(F.col("name")), r"^(.*)_([1-9][0-9]{0,8})$", 2)
-    used = names.where(numbered != "").select(F.concat(F.regexp_extract(stem_of(F.col("name")), r"^(.*)_([1-9][0-9]{0,8})$", 1), suffix("name")).alias("name"), numbered.cast("int").alias("k"))
-    used = used.union(names.where("t").select("name", F.lit(0).alias("k"))).groupBy("name").agg(F.collect_set("k").alias("used"))
-    f = f.join(used, "name", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(0), F.col("nth") + F.size("used")), F.col("used"))
-    n = F.get(free, F.col("nth"))
-    named = F.when(n > 0, F.concat(stem_of(F.col("name")), F.lit("_"), n.cast("string"), suffix("name"))).otherwise(F.col("name"))
-    return f.withColumn("saved_as", named).withColumn("status", F.when(F.col("length") > UPLOAD_BYTES, "too_large").otherwise("ok")).drop("nth", "used")
-
-
-def stage_folder(root: str, stage: str, kind: str = "text", canonical: bool = True) -> str:
-    """Where a stage's texts or records lie; old layouts keep records in 'json'."""
-    base = f"{root}/pipeline/{stage}" if canonical else f"{root}/{stage}"
-    return f"{base}/{kind if kind == 'text' or canonical else 'json'}"
+    clash = [c for c in files.columns if c.startswith("_")]
+    if clash:
+        raise ValueError(f"columns {clash} begin with an underscore")
+    f = files.withColumn("_name", upload_name(F.col("name")))
+    bad, f = f.where("_name is null"), f.where("_name is not null")
+    f = f.withColumn("_place", F.row_number().over(Window.partitionBy("_name").orderBy(order)) - 1)
+    names = taken.select("name", F.lit(True).alias("t")).union(f.select("_name", F.lit(False)).distinct())
+    numbered = r"^(.*)_([1-9][0-9]{0,8})$"
+    used = names.where(stem_of(F.col("name")).rlike(numbered)).select(
+        F.concat(F.regexp_extract(stem_of(F.col("name")), numbered, 1), suffix("name")).alias("_name"), F.regexp_extract(stem_of(F.col("name")), numbered, 2).cast("long").alias("u")
+    )
+    used = used.union(names.where("t").select("name", F.lit(0).cast("long"))).distinct()
+    before = F.col("u") - F.row_number().over(Window.partitionBy("_name").orderBy("u")) + 1
+    both = f.withColumn("_used", F.lit(0)).unionByName(used.select("_name", before.cast("int").alias("_place"), F.lit(1).alias("_used")), allowMissingColumns=True)
+    passed = F.sum("_used").over(Window.partitionBy("_name").orderBy("_place", F.desc("_used")).rowsBetween(Window.unboundedPreceding, 0))
+    n = F.col("_place") + F.col("_passed")
+    named = F.when(n > 0, F.concat(stem_of(F.col("_name")), F.lit("_"), n.cast("string"), suffix("_name"))).otherwise(F.col("_name"))
+    status = F.when(F.col("length") > UPLOAD_BYTES, "too_large").otherwise("ok")
+    out = both.withColumn("_passed", passed).where("_used = 0").select(*files.columns, named.alias("saved_as"), status.alias("status"))
+    return out.unionByName(bad.select(*files.columns, F.lit(None).cast("string").alias("saved_as"), F.lit("invalid").alias("status")))

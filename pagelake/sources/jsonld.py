@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,28 +23,47 @@ SUFFIXES = (".json", ".jsonld")
 TITLE_KEYS = (TITLE_PROPERTIES[0], "title", "dc:title", TITLE_PROPERTIES[1])
 
 
+#: One step of a JSON text: a string, another scalar, a bracket that opens, one that closes, a comma or colon, or the end.
+_STEP = re.compile(
+    r'[ \t\n\r]*+(?:("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)|([\[{])|([\]}])|([,:])|(\Z))'
+)
+
+
 def budget(text: str) -> tuple[int, int, str | None]:
-    """Depth, nodes (objects and arrays) and error of a JSON text."""
-    try:
-        level = [json.loads(text)]
-    except RecursionError:
-        return 0, 0, "too deep to parse"
-    except ValueError:
-        return 0, 0, "no JSON"
-    if not isinstance(level[0], (dict, list)):
-        return 0, 1, "scalar root"
-    depth = nodes = 0
-    while level:
-        nodes += len(level)
-        if nodes > MOST_NODES:
-            return depth, nodes, "too many nodes"
-        below = [v for n in level for v in (n.values() if isinstance(n, dict) else n) if isinstance(v, (dict, list))]
-        if below:
-            depth += 1
-            if depth > MOST_DEPTH:
-                return depth, nodes, "too deep"
-        level = below
-    return depth, nodes, None
+    """Depth, nodes (objects and arrays) and error of a JSON text, read step by step: no tree is built, and reading ends with the first error."""
+    if len(text) > MOST_BYTES or (not text.isascii() and len(text) * 4 > MOST_BYTES and len(text.encode(errors="surrogatepass")) > MOST_BYTES):
+        return 0, 0, "too large"
+    at, depth, nodes, open_, want = int(text.startswith("\ufeff")), 0, 0, [], "value"
+    while True:
+        m = _STEP.match(text, at)
+        kind, at = (m.lastindex, m.end()) if m else (0, at)
+        if kind == 1 and want in ("key", "first key"):
+            want = "colon"
+        elif kind in (1, 2) and want in ("value", "first value"):
+            if not open_:
+                return (0, 1, "scalar root") if _STEP.match(text, at) and _STEP.match(text, at).lastindex == 6 else (0, 0, "no JSON")
+            want = "next"
+        elif kind == 3 and want in ("value", "first value"):
+            nodes += 1
+            if nodes > MOST_NODES:
+                return depth, nodes, "too many nodes"
+            if len(open_) > depth:
+                depth = len(open_)
+                if depth > MOST_DEPTH:
+                    return depth, nodes, "too deep"
+            open_.append(m[3])
+            want = "first key" if m[3] == "{" else "first value"
+        elif kind == 4 and open_ and m[4] == {"{": "}", "[": "]"}[open_[-1]] and want in ("next", "first key", "first value"):
+            open_.pop()
+            want = "next" if open_ else "end"
+        elif kind == 5 and m[5] == ":" and want == "colon":
+            want = "value"
+        elif kind == 5 and m[5] == "," and want == "next":
+            want = "key" if open_[-1] == "{" else "value"
+        elif kind == 6 and want == "end":
+            return depth, nodes, None
+        else:
+            return 0, 0, "no JSON"
 
 
 @F.pandas_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("nodes", T.IntegerType()), T.StructField("error", T.StringType())]))
@@ -51,15 +71,21 @@ def json_budget(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([budget(t or "") for t in text], columns=["depth", "nodes", "error"])
 
 
+def canonical(text: str | None) -> str | None:
+    """A JSON text with sorted keys, no spaces and letters as they are; null if it is none."""
+    try:
+        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
-    """Sorted keys, no spaces, letters as they are."""
-    return pd.Series([json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if t is not None else None for t in text])
+    return pd.Series([canonical(t) for t in text], dtype=object)
 
 
 def group_id(node: str, index: int) -> str:
-    text = json.dumps(json.loads(node), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return f"{hashlib.sha256(text.encode()).hexdigest()[:12]}:{index}"
+    return f"{hashlib.sha256(canonical(node).encode()).hexdigest()[:12]}:{index}"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
