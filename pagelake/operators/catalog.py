@@ -72,6 +72,10 @@ def lists_of(lists: DataFrame) -> DataFrame:
     return lists.where("list_id <> 0").orderBy("list_id")
 
 
+def tags_of(tags: DataFrame) -> DataFrame:
+    return tags.orderBy("tag_id")
+
+
 def is_absolute(path: Column) -> Column:
     return path.startswith("/") | path.startswith("\\") | path.rlike(r"^[A-Za-z]:[/\\]")
 

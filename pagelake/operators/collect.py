@@ -82,3 +82,17 @@ def note_plan(entries: DataFrame, photos: DataFrame, notes: DataFrame, target: s
         .when(F.col("item_id").isNotNull() & (F.coalesce("_item", F.lit(-1)) != F.col("item_id")), "item_mismatch").when(F.col("_same").isNotNull(), "duplicate").otherwise("ready")
     )
     return j.select(*entries.columns, action.alias("action"))
+
+
+# What may become of an entry.
+ACTIONS = ("ready", "duplicate", "empty", "foreign", "missing_photo", "item_mismatch", "error")
+
+
+def plan_counts(plan: DataFrame, selected: int) -> DataFrame:
+    """action, n of every action, none left out, and of `selected`, and `ineligible`: what was selected but can have no note."""
+    every = plan.sparkSession.createDataFrame([(a,) for a in ACTIONS], "action string")
+    n = plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    out = every.join(n, "action", "left").select("action", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    whole = F.lit(selected).cast("long")
+    rest = plan.agg((whole - F.count(F.lit(1))).alias("ineligible"), whole.alias("selected")).select(F.expr("stack(2, 'ineligible', ineligible, 'selected', selected) AS (action, n)"))
+    return out.unionByName(rest)

@@ -28,10 +28,20 @@ def stage_throughput(items: DataFrame) -> DataFrame:
     return s.groupBy("stage").agg(F.sum(F.coalesce("s.chars", F.lit(0))).alias("chars"), F.sum(F.coalesce("s.elapsed", F.lit(0.0))).alias("elapsed"), F.count(F.lit(1)).alias("n"))
 
 
+def stage_record(stages: Column) -> Column:
+    """The JSON that a history row keeps of a map of stages: state, elapsed to a thousandth, chars and error of each."""
+    return F.to_json(F.transform_values(stages, lambda _, s: F.struct(s["state"].alias("state"), F.round(s["elapsed"], 3).alias("elapsed"), s["chars"].alias("chars"), s["error"].alias("error"))))
+
+
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
     return runs.where("finished is not null").orderBy(F.desc("run_id")).limit(limit).select("run_id", "started", "total", "failed", "elapsed")
 
 
+def confidences(items: DataFrame) -> DataFrame:
+    """item_id, confidence of the items that have one, in order."""
+    return items.where("confidence is not null").select("item_id", "confidence").orderBy("item_id")
+
+
 def run_summary(items: DataFrame) -> DataFrame:
     """done, failed and reused items of each run; reused: a stage was skipped as its output existed."""
     reused = F.exists(F.map_values("skip"), lambda r: r == "already_exists")

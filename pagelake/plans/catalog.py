@@ -98,3 +98,11 @@ def photo_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey") % 5
     base = F.when(k == 1, "project").when(k == 2, "home").when(k == 3, "/abs/x/..").when(k == 4, "sub")
     return read(spark, sf_dir, "supplier").select("s_suppkey", C.photo_path(F.concat(F.lit(".\\KV\\"), "s_suppkey", F.lit(".pdf")), base, F.lit("/db"), "/home/user").alias("path"))
+
+
+@query("SELECT upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS name, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tags, and how many taggings each has."""
+    c = _catalog(spark, sf_dir)
+    n = c["taggings"].groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.tags_of(c["tags"]).join(n, "tag_id").select("name", "n")

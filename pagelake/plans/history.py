@@ -58,6 +58,11 @@ def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.recent_runs(_runs(spark, sf_dir))
 
 
+@query(f"WITH {_ITEMS} SELECT item_id, confidence FROM items WHERE confidence IS NOT NULL")
+def confidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.confidences(_items(spark, sf_dir))
+
+
 @query(f"WITH {_ITEMS} SELECT run_id, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (l_partkey % 4 = 0) AS reused FROM items GROUP BY run_id")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     skip = F.create_map(F.lit("raw_ocr"), F.when(F.col("l_partkey") % 4 == 0, "already_exists").otherwise("not_selected"))

@@ -60,7 +60,8 @@ class Project:
 
     def create_run(self, metadata: dict | None = None) -> str:
         """A run's id: its time and eight random digits, drawn again if another run has them; its file is in run-history."""
-        self.ensure()
+        if not canonical(self.spark, self.path):
+            self.ensure()
         while True:
             now = datetime.now(UTC)
             run_id = f"{now:%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:8]}"

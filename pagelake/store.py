@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def file_system(spark: SparkSession, path: str):
     """The file system that a path is in, and the path, as Hadoop has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
