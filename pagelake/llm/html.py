@@ -12,7 +12,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,9 +160,9 @@ def _marked(n: Node) -> bool:
     return bool(marks & MARKS) or (bool(marks & HEADER_MARKS) and _open(n.up, {"article", "main"}) is None)
 
 
-def _weigh(root: Node, kept: set[Node]) -> tuple[list[Node], list[Node]]:
-    """chars, tags, link_chars and link_tags of each node, without furniture; the nodes, parents first, and what is left out for a mark alone."""
-    order, marked, stack = [], [], [root]
+def _weigh(root: Node, kept: Set[Node] = frozenset(), marked: list[Node] | None = None) -> list[Node]:
+    """chars, tags, link_chars and link_tags of each node, without furniture; the nodes, parents first. marked: gets what is left out for a mark alone; what is in `kept` isn't."""
+    order, stack = [], [root]
     while stack:
         n = stack.pop()
         n.kids = []
@@ -172,7 +172,7 @@ def _weigh(root: Node, kept: set[Node]) -> tuple[list[Node], list[Node]]:
             elif not _never(k):
                 if k in kept or not _marked(k):
                     n.kids.append(k)
-                else:
+                elif marked is not None:
                     marked.append(k)
         order.append(n)
         stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
@@ -188,7 +188,7 @@ def _weigh(root: Node, kept: set[Node]) -> tuple[list[Node], list[Node]]:
                 n.tags += k.tags + (k.name in BLOCK or k.name == "a")  # bold, breaks and the like count as text
                 n.link_chars += k.chars if k.name == "a" else k.link_chars
                 n.link_tags += k.tags + 1 if k.name == "a" else k.link_tags
-    return order, marked
+    return order
 
 
 def _densities(order: list[Node], body: Node) -> None:
@@ -206,12 +206,13 @@ def _weighed(body: Node) -> list[Node]:
     """The nodes, weighed; a marked element is among them if it outweighs all the rest in spite of its mark."""
     kept: set[Node] = set()
     while True:
-        order, marked = _weigh(body, kept)
+        marked: list[Node] = []
+        order = _weigh(body, kept, marked)
         _densities(order, body)
         rest = max(n.sum for n in order)
         heaviest, most = None, LOWERED * rest
         for n in marked:
-            own, _ = _weigh(n, kept)
+            own = _weigh(n, kept)
             _densities(own, n)
             weight = max(max(k.sum for k in own), n.density)
             # where there is nothing else, several paragraphs are an article
