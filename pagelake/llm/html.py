@@ -160,6 +160,10 @@ def _marked(n: Node) -> bool:
     return bool(marks & MARKS) or (bool(marks & HEADER_MARKS) and _open(n.up, {"article", "main"}) is None)
 
 
+def _furniture(n: Node) -> bool:
+    return _never(n) or _marked(n)
+
+
 def _weigh(root: Node, kept: Set[Node] = frozenset(), marked: list[Node] | None = None) -> list[Node]:
     """chars, tags, link_chars and link_tags of each node, without furniture; the nodes, parents first. marked: gets what is left out for a mark alone; what is in `kept` isn't."""
     order, stack = [], [root]
@@ -167,13 +171,10 @@ def _weigh(root: Node, kept: Set[Node] = frozenset(), marked: list[Node] | None
         n = stack.pop()
         n.kids = []
         for k in n.all:
-            if isinstance(k, str):
+            if isinstance(k, str) or k in kept or not _furniture(k):
                 n.kids.append(k)
-            elif not _never(k):
-                if k in kept or not _marked(k):
-                    n.kids.append(k)
-                elif marked is not None:
-                    marked.append(k)
+            elif marked is not None and not _never(k):
+                marked.append(k)
         order.append(n)
         stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
     for n in reversed(order):
