@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.store import arrow_rows, discard, schema_of, stash, unused, with_text
+from pagelake.llm.store import WIDE_ROWS, arrow_rows, discard, schema_of, stash, unused, wide_rows, with_text
 from pagelake.llm.text import folded_texts, give_back, mix
 
 #: A pair's level is 1 + floor(log c / log BASE); each level is PROBES bits, half of them in each of two words. 1 / ln 2 bits of filter go to each bit set, so half are.
@@ -356,25 +356,42 @@ def _by_shuffle(documents: DataFrame, model: Model, keep: tuple[str, ...], schem
                 keys = np.frombuffer(row["data"], np.uint64)
                 none = np.zeros((len(keys), 2 if row["kind"] == WORDS else 1), np.int64)
                 found = _answer(row["kind"], data, keys) if (row["kind"], row["shard"]) == shard else none
-                out.append((row["piece"], row["kind"], row["shard"], found.tobytes()))
+                out.append((row["piece"], row["kind"], row["shard"], (found if row["kind"] == WORDS else found.astype(np.uint8)).tobytes()))
             yield from _batches(out, ("piece", "kind", "shard", "found"))
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece, then its answers in order of shards: one piece at a time in memory."""
+        piece, got = None, {WORDS: [], PAIRS: []}
+
+        def out() -> pa.RecordBatch:
+            (lengths, words_at, pairs_at), columns = piece
+            words, level = (np.frombuffer(b"".join(got[kind]), t) for kind, t in ((WORDS, np.int64), (PAIRS, np.uint8)))
+            scores = _scored(lengths, words.reshape(-1, 2)[words_at], level[pairs_at], *of)
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, scores)], names=schema.names)
+
         for b in batches:
-            for k in range(b.num_rows):
-                lengths, words_at, pairs_at = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in ((1, np.int64), (4, np.uint32), (5, np.uint32)))
-                got = sorted(b.column(b.num_columns - 1)[k].as_py(), key=lambda r: (r["kind"], r["shard"]))
-                words, level = (np.frombuffer(b"".join(r["found"] for r in got if r["kind"] == kind), np.int64) for kind in (WORDS, PAIRS))
-                scores = _scored(lengths, words.reshape(-1, 2)[words_at], level[pairs_at], *of)
-                yield pa.RecordBatch.from_arrays([*(b.column(6 + i)[k].values for i in range(len(keep))), *map(pa.array, scores)], names=schema.names)
+            for k, kind in enumerate(b.column(1).to_pylist()):
+                if kind in got:
+                    got[kind].append(b.column(3)[k].as_py())
+                    continue
+                if piece:
+                    yield out()
+                numbers = [np.frombuffer(b.column(4 + i)[k].as_py(), t) for i, t in enumerate((np.int64, np.uint32, np.uint32))]
+                piece, got = (numbers, [b.column(7 + i)[k].values for i in range(len(keep))]), {WORDS: [], PAIRS: []}
+        if piece:
+            yield out()
+        give_back()
 
     with arrow_rows(spark, 2000):
-        asked = stash(rows.mapInArrow(ask, asked_schema), "asked")
-    with arrow_rows(spark, 50):
+        asked = stash(rows.mapInArrow(ask, asked_schema), "asked", **WIDE_ROWS)
+    n = asked.count()
+    with wide_rows(spark), arrow_rows(spark, 2000):
         sent = asked.select(f"{own}piece", f"{own}words", f"{own}pairs").mapInArrow(send, "kind int, shard long, piece long, data binary")
         both = sent.unionByName(model.shards.withColumn("piece", F.lit(None).cast("long"))).repartition(2 * shards, "kind", "shard").sortWithinPartitions("kind", "shard", "piece")
         answers = both.mapInArrow(answer, "piece long, kind int, shard long, found binary")
-        together = answers.groupBy("piece").agg(F.collect_list(F.struct("kind", "shard", "found")).alias(f"{own}found")).withColumnRenamed("piece", f"{own}p")
-        out = stash(asked.join(together, F.col(f"{own}piece") == F.col(f"{own}p")).drop(f"{own}p").mapInArrow(put_back, schema), "scores")
+        heads = asked.select(F.col(f"{own}piece").alias("piece"), F.lit(-1).alias("kind"), F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("found"), *(f"{own}{c}" for c in ("lengths", "word_at", "pair_at")), *(F.col(c).alias(f"{own}{k}") for k, c in enumerate(keep)))
+        together = heads.union(answers.select("*", *(F.lit(None).cast(f.dataType) for f in heads.schema.fields[4:])))
+        together = together.repartition(max(1, math.ceil(n / 4)), "piece").sortWithinPartitions("piece", "kind", "shard")
+        out = stash(together.mapInArrow(put_back, schema), "scores")
     discard(asked)
     return out

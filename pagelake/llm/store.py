@@ -44,11 +44,15 @@ def schema_of(documents: DataFrame, keep: tuple[str, ...], **added: T.DataType)
     return T.StructType([*(documents.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added.items())])
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below the shared folder and read again."""
+#: Writing rows of several MB each: their size is looked at row by row, not every 100 rows, and a row group has 32 MB.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.block.size": str(1 << 25)}
+
+
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet below the shared folder, with the writer's options, and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,13 +70,29 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Fewer rows in each batch that goes to Python, for what runs inside: rows with whole texts or sets are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    with _no_more(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows}):
+        yield
+
+
+@contextlib.contextmanager
+def wide_rows(spark: SparkSession) -> Iterator[None]:
+    """For rows of several MB each: Parquet is read 8 of them at a time (4,096 before), and a batch for Python has about 16 MB."""
+    with _no_more(spark, {"spark.sql.parquet.columnarReaderBatchSize": 8, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 24}):
+        yield
+
+
+@contextlib.contextmanager
+def _no_more(spark: SparkSession, limits: dict[str, int]) -> Iterator[None]:
+    """Settings that are numbers lowered to these limits for what runs inside; 0 and less stand for no limit."""
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, most in limits.items():
+        now = int(before[k].rstrip("Bb"))
+        spark.conf.set(k, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
 from pagelake.llm import lm, queries, resample, turns
+from pagelake.llm.store import WIDE_ROWS, stash, wide_rows
 
 LONG = " ".join(f"word{i % 9973}" for i in range(300_000))
 TEXTS = [
@@ -232,3 +234,23 @@ def test_scores_without_training(spark, texts):
     for limit in (lm.FILTER_BYTES, 0):
         got = lm.score(texts.where("doc_id = 1"), model, limit=limit).collect()
         assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got} == {(7, 0, 0, 0.0, 0.0)}
+
+
+def test_rows_of_several_megabytes_go_through_a_few_at_a_time(spark):
+    """A row group or a batch with a hundred of a model's pieces takes more than an executor has."""
+    import pyarrow.parquet as pq
+
+    noise = lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(k).bytes(4_000_000)])], names=["data"]) for b in batches for k in b.column(0).to_pylist())
+    made = stash(spark.range(0, 30, 1, 1).mapInArrow(noise, "data binary"), "wide", **WIDE_ROWS)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in made.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 30 and max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) <= 12
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    with wide_rows(spark):
+        assert max(r["n"] for r in made.mapInArrow(sizes, "n long").collect()) <= 6 * 4_000_000
+
+
+def test_scores_by_shuffle_keep_columns_of_any_name(spark):
+    texts = spark.createDataFrame([(k, f"w{k % 3} a b c", 2 * k, k + 1) for k in range(40)], "doc_id long, text string, kind int, piece long")
+    model = lm.fit(texts, F.lit(False))
+    one, other = (sorted(lm.score(texts, model, keep=("doc_id", "kind", "piece"), limit=n).collect()) for n in (lm.FILTER_BYTES, 0))
+    assert one == other and len(one) == 40
