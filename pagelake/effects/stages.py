@@ -174,16 +174,19 @@ def structure(pages: DataFrame, model: ModelFn, done: DataFrame | None = None) -
     return out if kept is None else out.unionByName(kept)
 
 
-def translate(pages: DataFrame, detect: ModelFn, model: ModelFn, assess: ModelFn | None = None) -> DataFrame:
+def translate(pages: DataFrame, detect: ModelFn, model: ModelFn, assess: ModelFn | None = None, head: int | None = 2000, max_tokens: int = 3500) -> DataFrame:
     """doc_id, source_language, translated, skipped, score: English texts are split off before any call.
 
+    head: how many characters the language is told by, None for all; texts above max_tokens are translated in chunks.
+
     score: 60 : 40 of the markers in both texts and the score that assess gives them (a number from 0 to 100 first thing in
     its answer; a failed call: 50), without assess of the markers alone. Each row is detected, translated and assessed once.
     """
     rows = numbered(pages.select("doc_id", "text"))
-    said = asked(rows.select(ROW, F.coalesce(F.left("text", F.lit(2000)), F.lit("")).alias("head")), detect, "head", "code")
+    seen = F.col("text") if head is None else F.left("text", F.lit(head))
+    said = asked(rows.select(ROW, F.coalesce(seen, F.lit("")).alias("head")), detect, "head", "code")
     p = rows.join(said.select(ROW, T.language_code(F.coalesce("code", F.lit(""))).alias("source_language")), ROW)
-    done = by_chunks(p.where("source_language <> 'en'"), model, "text").withColumn("both", F.concat_ws(" ", "text", "answer"))
+    done = by_chunks(p.where("source_language <> 'en'"), model, "text", max_tokens).withColumn("both", F.concat_ws(" ", "text", "answer"))
     score = T.heuristic_score(T.marker_count(F.col("both")), T.word_count(F.col("both")))
     own = score
     if assess is not None:

@@ -11,6 +11,7 @@ from pagelake.plans import ORACLES, QUERIES
 PART = "SELECT * REPLACE (p_partkey + {0} AS p_partkey) FROM '/root/testdata/sf0.001/part.parquet'"
 MADE = {
     "structure_stage": {"part": f"{PART.format(999_990)} UNION ALL {PART.format(123_456_781)}"},
+    "translation_scores": {"conversations": "SELECT k AS conv_id, 1 AS turn, 'user' AS role, repeat('Ein Wort ', k * 100) || repeat('x', k % 3) AS text FROM range(215, 230) r(k) UNION ALL SELECT k, 1, 'user', repeat('Ein Satz. ', k) FROM range(1400, 1403) r(k)"},
 }
 
 
