@@ -239,3 +239,11 @@ def test_marks_on_a_turned_scan():
     scan[60:72, 40:56] = 0
     found = I.marks_of(sheet, scan, align=lambda r, s: G.aligned(r, s, "features"))
     assert any(abs(m["bbox"][0] - 40) <= 3 and abs(m["bbox"][1] - 60) <= 3 for m in found)
+
+
+@pytest.mark.parametrize("k", [20574, 20509, 20424])
+def test_angles_of_scans_are_exact_to_a_tenth_of_a_degree(k):
+    """By corners alone these were 0.44, 0.43 and 0.41 degrees off, nearly a whole degree when rounded."""
+    h, _, _ = G.registered(*turned(k, k % 21 - 10, 1.1), "features")
+    at, side = G.put(h, np.array([[60.0, 75.0], [61.0, 75.0]]))
+    assert abs(np.degrees(np.arctan2(*(side - at)[::-1])) - (k % 21 - 10)) < 0.1 and np.hypot(*(at - [60, 75])) < 0.1
