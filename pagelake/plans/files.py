@@ -8,11 +8,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.plans.registry import query, read
 from pagelake.sinks import layout as L
 from pagelake.sinks import tables as B
-from pagelake.sinks.pagexml import to_page_xml
+from pagelake.sinks.pagexml import page_xml
 from pagelake.sources import files as A
 from pagelake.sources import jsonld as J
 from pagelake.sources import pagexml as P
@@ -142,7 +143,7 @@ def page_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", region.alias("r")))).alias("r"))
     when = F.lit("2026-01-02 03:04:05").cast("timestamp")
     page = F.struct(F.lit("p.jpg"), F.lit(997), F.lit(613), F.lit("pagelake"), when, when, F.array().cast("array<struct<name:string,value:string,date:timestamp>>"), F.col("r.r"), F.reverse(F.col("r.r.id")), F.lit("order"), null.cast("string")).cast(_PAGE)
-    back = P.parse(g.select(F.col("l_orderkey").alias("id"), to_page_xml(page).cast("string").alias("xml")))
+    back = P.parse(g.select(F.col("l_orderkey").alias("id"), page.alias("p")).select("id", page_xml(F.col("p"), T._parse_datatype_string(_PAGE)).cast("string").alias("xml")))
     first = F.array_min(F.transform("page.regions", lambda r: F.concat_ws(",", r["polygon"][0]["x"], r["polygon"][0]["y"])))
     return back.select("id", "error", P.page_text(F.col("page"), 0).alias("text"), F.size("page.regions").alias("regions"), first.alias("first_point")).withColumnRenamed("id", "page")
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from typing import Any, NamedTuple
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,3 +124,101 @@ def render(page: dict) -> bytes:
 @F.pandas_udf(T.BinaryType())
 def to_page_xml(page: pd.DataFrame) -> pd.Series:
     return pd.Series([render(row) for row in page.to_dict("records")])
+
+
+def page_xml(page: Column, kind: T.StructType) -> Column:
+    """What render gives, as an expression without Python, for pages of a struct type; fields that the type lacks aren't given.
+
+    Times of the session's zone come as UTC. A null polygon has no points.
+    """
+    field = lambda row, t, f: (row[f], t[f].dataType) if f in t.names else (F.lit(None).cast("string"), T.StringType())
+    text = lambda row, t, f: field(row, t, f)[0].cast("string")
+    return F.concat(F.lit("<?xml version='1.0' encoding='utf-8'?>\n"), _document(page, kind, field, text), F.lit("\n")).cast("binary")
+
+
+def _escaped(c: Column, also: tuple[tuple[str, str], ...] = ()) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *also):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _attribute(name: str, c: Column, otherwise: str | None = None) -> Column:
+    """The attribute, or, for a null, one with another value or none."""
+    quoted = F.concat(F.lit(f' {name}="'), _escaped(c, (('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;"))), F.lit('"'))
+    return F.coalesce(quoted, F.lit("" if otherwise is None else f' {name}="{otherwise}"'))
+
+
+def _element(name: str, depth: int, attributes: list[Column], children: Column | None = None, inner: Column | None = None, bare: Column | None = None) -> Column:
+    """An element on a line of its own, with lines of children (bare: whether there are none) or with a text. Each part stands in the expression once."""
+    line = "\n" + "  " * depth
+    head = F.concat(F.lit(f"{line if depth else ''}<{name}"), *attributes)
+    if inner is not None:
+        return F.concat(head, F.coalesce(F.concat(F.lit(">"), _escaped(F.nullif(inner, F.lit(""))), F.lit(f"</{name}>")), F.lit(" />")))
+    if children is None:
+        return F.concat(head, F.lit(" />"))
+    full = F.concat(F.lit(">"), children, F.lit(f"{line}</{name}>"))
+    return F.concat(head, full if bare is None else F.when(bare, " />").otherwise(full))
+
+
+def _number(c: Column) -> Column:
+    """A double as Python writes it, from 0.00001 to 10,000,000 as far as the engine's digits are the same."""
+    said, e = c.cast("double").cast("string"), lambda k: F.concat(F.lit(r"E-"), F.lit(str(k)))
+    small = F.concat(F.lit("0.000"), F.regexp_replace(F.regexp_replace(said, "E-4$", ""), r"\.0?(?=$)|\.", ""))
+    tiny = F.regexp_replace(F.regexp_replace(said, r"(\.0)?E-([5-9])$", "e-0$2"), r"(\.0)?E-(\d\d+)$", "e-$2")
+    return F.when(F.endswith(said, e(4)), small).when(F.contains(said, F.lit("E-")), tiny).otherwise(said)
+
+
+def _moment(c: Column) -> Column:
+    t = F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+    fraction = F.when(F.unix_micros(t) % 1_000_000 != 0, F.date_format(t, ".SSSSSS")).otherwise("")
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+
+
+def _document(page: Column, kind: T.StructType, field: Callable, text: Callable) -> Column:
+    some = lambda c: F.nullif(c, F.lit(""))
+
+    def each(row: Column, t: T.StructType, name: str, make: Callable[[Column, T.DataType], Column]) -> Column:
+        rows, type_ = field(row, t, name)
+        return F.coalesce(F.array_join(F.transform(rows, lambda r: make(r, type_.elementType)), ""), F.lit("")) if isinstance(type_, T.ArrayType) else F.lit("")
+
+    def points(row: Column, t: T.StructType, name: str) -> Column:
+        rows, type_ = field(row, t, name)
+        at = lambda p, c: F.coalesce(p[c].cast("string"), F.lit("None"))
+        return F.array_join(F.transform(F.filter(rows, lambda p: p.isNotNull()), lambda p: F.concat(at(p, "x"), F.lit(","), at(p, "y"))), " ") if isinstance(type_, T.ArrayType) else F.lit("")
+
+    def equivs(row: Column, t: T.StructType, depth: int) -> Column:
+        rows, type_ = field(row, t, "equivs")
+        if not isinstance(type_, T.ArrayType):
+            return F.lit("")
+        in_order = F.array_sort(F.transform(rows, lambda e, i: F.struct(e["index"].alias("k"), i.alias("i"), e["unicode"].cast("string").alias("u"))))
+        made = F.transform(in_order, lambda e: _element("TextEquiv", depth, [_attribute("index", e["k"].cast("string"), "None")], _element("Unicode", depth + 1, [], inner=e["u"])))
+        return F.coalesce(F.array_join(made, ""), F.lit(""))
+
+    def line(row: Column, t: T.StructType) -> Column:
+        base = points(row, t, "baseline")
+        given_ = F.size(field(row, t, "baseline")[0]) > 0 if "baseline" in t.names else F.lit(False)
+        baseline = F.when(given_, _element("Baseline", 4, [_attribute("points", base, "")])).otherwise("")
+        return _element("TextLine", 3, [_attribute("id", text(row, t, "id"), "None")], F.concat(_element("Coords", 4, [_attribute("points", points(row, t, "polygon"), "")]), baseline, equivs(row, t, 4)))
+
+    def region(row: Column, t: T.StructType) -> Column:
+        sure = text(row, t, "confidence")
+        own = [_attribute("id", text(row, t, "id"), "None"), _attribute("type", some(text(row, t, "type")), ELSE["type"]), _attribute("custom", some(text(row, t, "custom")))]
+        coords = _element("Coords", 3, [_attribute("points", points(row, t, "polygon"), ""), _attribute("conf", _number(F.nullif(sure, F.lit("NaN"))))])
+        return _element("TextRegion", 2, own, F.concat(coords, each(row, t, "lines", line), equivs(row, t, 3)))
+
+    def step(row: Column, t: T.StructType) -> Column:
+        date = _attribute("date", _moment(row["date"])) if "date" in t.names else F.lit("")
+        return _element("MetadataItem", 2, [_attribute("type", some(text(row, t, "type")), ELSE["type"]), _attribute("name", text(row, t, "name"), "None"), _attribute("value", text(row, t, "value"), "None"), date])
+
+    time = lambda name, f: _element(name, 2, [], inner=_moment(page[f]))
+    metadata = _element("Metadata", 1, [], F.concat(_element("Creator", 2, [], inner=page["creator"].cast("string")), time("Created", "created"), time("LastChange", "last_change"), each(page, kind, "steps", step)))
+    ids = F.transform(page["regions"], lambda r: r["id"].cast("string"))
+    order = F.when(F.size(page["reading_order"]) > 0, page["reading_order"]).otherwise(ids) if "reading_order" in kind.names else ids
+    refs = F.array_join(F.transform(order, lambda x, i: _element("RegionRefIndexed", 4, [_attribute("index", i.cast("string")), _attribute("regionRef", x, "None")])), "")
+    group = _element("OrderedGroup", 3, [_attribute("id", some(text(page, kind, "group_id")), ELSE["group_id"])], refs)
+    reading = F.when(F.size(order) > 0, _element("ReadingOrder", 2, [], group)).otherwise("")
+    size = [_attribute(a, text(page, kind, f), "None") for a, f in (("imageFilename", "image_filename"), ("imageWidth", "image_width"), ("imageHeight", "image_height"))]
+    bare = (F.coalesce(F.size(order), F.lit(0)) <= 0) & (F.coalesce(F.size(page["regions"]), F.lit(0)) <= 0)
+    sheet = _element("Page", 1, size, F.concat(reading, each(page, kind, "regions", region)), bare=bare)
+    names = F.lit(f' xmlns="{NAMESPACE}" xmlns:xsi="{XSI}" xsi:schemaLocation="{NAMESPACE} {NAMESPACE}/pagecontent.xsd"')
+    return _element("PcGts", 0, [names, _attribute("pcGtsId", some(text(page, kind, "pc_gts_id")))], F.concat(metadata, sheet))

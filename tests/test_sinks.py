@@ -247,3 +247,23 @@ def test_angles_of_scans_are_exact_to_a_tenth_of_a_degree(k):
     h, _, _ = G.registered(*turned(k, k % 21 - 10, 1.1), "features")
     at, side = G.put(h, np.array([[60.0, 75.0], [61.0, 75.0]]))
     assert abs(np.degrees(np.arctan2(*(side - at)[::-1])) - (k % 21 - 10)) < 0.1 and np.hypot(*(at - [60, 75])) < 0.1
+
+
+def test_pages_as_expressions_have_the_bytes_of_rendered_ones(spark):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from pagelake.plans.files import _PAGE
+    from pagelake.sinks.pagexml import page_xml, render
+
+    kind, when, odd = T._parse_datatype_string(_PAGE), dt.datetime(2026, 1, 2, 3, 4, 5), 'a&<>"\r\n\tä '
+    point, equiv = [{"x": 1, "y": -2}, None, {"x": 3, "y": 4}], [{"index": 2, "unicode": odd}, {"index": 0, "unicode": None}, {"index": 0, "unicode": ""}]
+    line = {"id": "l1", "polygon": point, "baseline": point[:1], "equivs": equiv}
+    regions = [{"id": odd if k else "r0", "type": "" if k == 1 else "other", "custom": odd if k else None, "polygon": point[:k], "confidence": c, "equivs": equiv[:k], "lines": [line, {**line, "baseline": []}][:k]} for k, c in enumerate((0.5, None, 1e-05, 0.0001, 0.000123, 0.99))]
+    full = {"image_filename": odd, "image_width": 5, "image_height": 7, "creator": odd, "created": when, "last_change": when.replace(microsecond=1200), "steps": [{"name": "n", "value": odd, "date": when}, {"name": "m", "value": "v", "date": None}], "regions": regions, "reading_order": ["x", odd], "group_id": "g", "pc_gts_id": odd}
+    pages = [full, {**full, "reading_order": [], "group_id": None, "pc_gts_id": None, "steps": []}, {**full, "regions": [], "reading_order": [], "creator": None}, {**full, "regions": regions[:1], "reading_order": None, "group_id": ""}]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("p", kind)]))
+    got = {r["k"]: bytes(r["x"]) for r in df.select("k", page_xml(F.col("p"), kind).alias("x")).collect()}
+    for k, p in enumerate(pages):
+        assert got[k].decode() == render(p).decode()
