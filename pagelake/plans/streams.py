@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pagelake.plans.registry import query, read
 from pagelake.sinks.keyed import KeyedTable
-from pagelake.store import shared_dir
+from pagelake.store import shared_dir, stash
 from pagelake.streaming import machine as M
 
 #: Hours after which a running item counts as given up, in the queries.
@@ -141,6 +141,7 @@ def history_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     items = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + nth).cast("long").alias("item_id"), F.col("l_orderkey").cast("long").alias("run_id"), F.col("l_linestatus").alias("state"), "l_extendedprice")
+    items = stash(items, "items")  # numbered once, read by three changes
     table = KeyedTable(spark, base, T._parse_datatype_string("item_id long, run_id long, state string, version int"), ("item_id",), 16)
     first = items.select("item_id", "run_id", "state", F.lit(1).alias("version"))
     table.upsert(first, "version", batch=0)

@@ -7,6 +7,9 @@ whose last row goes is replaced as well.
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -52,11 +55,31 @@ class KeyedTable:
         none = self.spark.createDataFrame([], self.schema)
         return touched, none if rows is None else rows.where(F.col(BUCKET).isin(touched) & F.col(LIVE)).drop(LIVE, BUCKET)
 
-    def _replace(self, touched: list[int], rows: DataFrame) -> None:
-        """The touched buckets with these rows alone: one file each, and its marker."""
-        marks = self.spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(False).alias(LIVE), BUCKET)
-        out = rows.select(*self.schema.names, F.lit(True).alias(LIVE), self._bucket().alias(BUCKET)).unionByName(marks)
-        out.repartition(len(touched), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/rows")
+    def _dealt(self, touched: list[int], rows: DataFrame, new: DataFrame) -> DataFrame:
+        """Rows (_new 0), new ones (_new 1) and a marker for each touched bucket, dealt by bucket: the one shuffle of a change."""
+        names = self.schema.names
+        marks = self.spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(False).alias(LIVE), BUCKET, F.lit(0).alias("_new"))
+        told = [d.select(*names, F.lit(True).alias(LIVE), self._bucket().alias(BUCKET), F.lit(n).alias("_new")) for n, d in enumerate((rows, new))]
+        return told[0].unionByName(told[1]).unionByName(marks).repartition(len(touched), BUCKET)
+
+    def _replace(self, rows: DataFrame) -> None:
+        """The buckets of the rows with these alone: one file each, and its marker."""
+        rows.select(*self.schema.names, LIVE, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/rows")
+
+    @contextlib.contextmanager
+    def _written(self, changes: DataFrame) -> Iterator[DataFrame]:
+        """Changes, worked out once: they are read for their buckets and again for their rows."""
+        path = f"{self.path}/changes-{uuid.uuid4().hex}"
+        changes.write.parquet(path)
+        try:
+            yield self.spark.read.schema(changes.schema).parquet(path)
+        finally:
+            fs, p = file_system(self.spark, path)
+            fs.delete(p, True)
+
+    def _same(self) -> list:
+        """What rows of one key share; they are in one bucket, so a window over it needs no shuffle of its own. A marker is none of them."""
+        return [BUCKET, LIVE, *self.key]
 
     def upsert(self, changes: DataFrame, version: str | None = None, batch: int | None = None) -> bool:
         """Rows of changes take the place of those with their key. With a version the highest wins, among changes too; without, keys come once.
@@ -65,27 +88,24 @@ class KeyedTable:
         """
         if batch is not None and self._seen(batch):
             return False
-        touched, rows = self._touched(changes)
-        if touched:
-            new = changes.select(*self.schema.names, F.lit(1).alias("_new"))
-            order = [F.desc(version)] if version else []
-            best = Window.partitionBy(*self.key).orderBy(*order, F.desc("_new"))
-            both = rows.withColumn("_new", F.lit(0)).unionByName(new).withColumn("_nth", F.row_number().over(best))
-            self._replace(touched, both.where("_nth = 1").drop("_new", "_nth"))
+        with self._written(changes.select(*self.schema.names)) as new:
+            touched, rows = self._touched(new)
+            if touched:
+                order = [F.desc(version)] if version else []
+                best = Window.partitionBy(*self._same()).orderBy(*order, F.desc("_new"))
+                self._replace(self._dealt(touched, rows, new).withColumn("_nth", F.row_number().over(best)).where("_nth = 1"))
         if batch is not None:
             self._mark(batch)
         return True
 
     def delete(self, keys: DataFrame) -> None:
         """Rows with these keys go."""
-        touched, rows = self._touched(keys)
-        if touched:
-            same = keys.select(*[F.col(k).alias(f"_{k}") for k in self.key]).distinct()
-            match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.key]
-            on = match[0]
-            for m in match[1:]:
-                on = on & m
-            self._replace(touched, rows.join(same, on, "left_anti"))
+        with self._written(keys.select(*self.key)) as gone:
+            touched, rows = self._touched(gone)
+            if touched:
+                rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in self.key]
+                both = self._dealt(touched, rows, gone.select("*", *rest))
+                self._replace(both.withColumn("_gone", F.max("_new").over(Window.partitionBy(*self._same()))).where("_gone = 0"))
 
     def _seen(self, batch: int) -> bool:
         fs, p = file_system(self.spark, f"{self.path}/batches/{batch}")

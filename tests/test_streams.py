@@ -152,3 +152,14 @@ def test_buckets_can_become_empty(spark, store):
     none = KeyedTable(spark, store.path + "-none", store.schema, ("id",), 4)
     none.delete(spark.createDataFrame([(1,)], "id long"))
     assert none.read().count() == 0
+
+
+def test_changes_of_a_keyed_table_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    made = lambda: spark.createDataFrame(spark.sparkContext.parallelize(range(10), 2).map(lambda k: (seen.add(1), (k % 7, k))[1]), "k long, version int")
+    table = KeyedTable(spark, str(tmp_path / "t"), made().schema, ("k",), 4)
+    table.upsert(made(), "version", batch=0)
+    assert seen.value == 10 and sorted(map(tuple, table.read().collect())) == [(0, 7), (1, 8), (2, 9), (3, 3), (4, 4), (5, 5), (6, 6)]
+    table.delete(made().where("k < 6"))
+    assert seen.value == 20 and [tuple(r) for r in table.read().collect()] == [(6, 6)]
+    assert all(len(f) == 1 for f in table.files().values())
