@@ -6,53 +6,85 @@ import bisect
 import difflib
 import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.functions.blocks import changes
 from pagelake.functions.text import MARKERS
 
 _WORD, _DIGIT = re.compile(r"[^\W\d_]+"), 3.5
+#: A whole word of four letters or more that doesn't start with a small ASCII letter.
+_NOUN = re.compile(r"[^a-z\W\d_](?<![^\W\d_].)[^\W\d_]{3,}")
+#: ASCII without letters, as blanks.
+_BLANK = {k: " " for k in range(128) if not chr(k).isalpha()}
 #: What stands before a sentence's first word.
 STARTS = frozenset(("", ".", "!", "?", ":", ";"))
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tag", T.StringType())]))
 
 
-def deleted_words(raw: str, cleaned: str) -> int:
-    """Words of raw that a word-level edit script deletes; replaced words don't count."""
-    a, b = _WORD.findall(raw), _WORD.findall(cleaned)
-    if a == b or not a or not b:
-        return 0 if b else len(a)
-    number = {w: k for k, w in enumerate({*a, *b})}  # whole numbers compare faster than words
-    blocks = difflib.SequenceMatcher(a=[number[w] for w in a], b=[number[w] for w in b], autojunk=False).get_matching_blocks()
-    i = j = gone = 0
-    for m in blocks:
-        gone += m.a - i if m.b == j else 0
-        i, j = m.a + m.size, m.b + m.size
-    return gone
+def _words(text: str) -> list[str]:
+    """Runs of letters; in ASCII what blanks leave, which takes a fifth of the time."""
+    return text.translate(_BLANK).split() if text.isascii() else _WORD.findall(text)
+
+
+def _numbered(sides: Iterable[tuple[list[str], list[str]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words as whole numbers, the same word always by the same one."""
+    number = defaultdict(itertools.count().__next__)
+    for pair in sides:
+        yield tuple(np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in pair)
+
+
+def word_edits(pairs: list[tuple[str, str]]) -> tuple[list[int], list[float]]:
+    """For each pair the words of the raw text that a word-level edit script deletes (replaced words don't count), and the letters of the cleaned text by those of the raw one."""
+    gone, ratios, at = [0] * len(pairs), [1.0] * len(pairs), []
+
+    def differing() -> Iterator[tuple[list[str], list[str]]]:
+        for k, (raw, cleaned) in enumerate(pairs):
+            a, b = _words(raw), _words(cleaned)
+            if a == b:
+                continue
+            if a:
+                ratios[k] = sum(map(len, b)) / sum(map(len, a))
+            if a and b:
+                at.append(k)
+                yield a, b
+            else:
+                gone[k] = len(a)
+
+    for n, (i, i_end, j, j_end) in enumerate(changes(_numbered(differing()))):
+        gone[at[n]] = int((i_end - i)[j == j_end].sum())
+    return gone, ratios
 
 
 @F.pandas_udf(T.IntegerType())
 def words_deleted(raw: pd.Series, cleaned: pd.Series) -> pd.Series:
-    return pd.Series([deleted_words(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)])
+    return pd.Series(word_edits([(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)])[0], dtype="int32")
 
 
 def lost_nouns(raw: str, cleaned: str) -> list[str]:
     """Sorted capitalised words of four letters or more, not at a sentence's start, that occur less often in the cleaned text."""
+    if raw == cleaned:
+        return []
     found = []
     for t in (raw, cleaned):
-        at = (m for m in _WORD.finditer(t) if m.end() - m.start() >= 4 and t[m.start()].isupper())
+        at = (m for m in _NOUN.finditer(t) if t[m.start()].isupper())
         found.append(Counter(m[0] for m in at if t[max(0, m.start() - 2) : m.start()].strip() not in STARTS))
     return sorted(found[0] - found[1])
 
 
-@F.pandas_udf(T.StructType([T.StructField("words_deleted", T.IntegerType()), T.StructField("nouns_dropped", T.ArrayType(T.StringType()))]))
+WORD_CHANGES = T.StructType([T.StructField("words_deleted", T.IntegerType()), T.StructField("length_ratio", T.DoubleType()), T.StructField("nouns_dropped", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(WORD_CHANGES)
 def word_changes(raw: pd.Series, cleaned: pd.Series) -> pd.DataFrame:
     pairs = [(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)]
-    return pd.DataFrame({"words_deleted": [deleted_words(a, b) for a, b in pairs], "nouns_dropped": [lost_nouns(a, b) for a, b in pairs]})
+    gone, ratios = word_edits(pairs)
+    return pd.DataFrame({"words_deleted": gone, "length_ratio": ratios, "nouns_dropped": [lost_nouns(a, b) for a, b in pairs]})
 
 
 def _spans(text: str) -> tuple[list[str], list[int]]:

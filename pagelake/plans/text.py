@@ -172,10 +172,10 @@ def proper_noun_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cleanup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole verdict; words deleted, defined by a sequence matcher's edit script, and lost nouns come from one pass in Python."""
+    """The whole verdict; words deleted, defined by a sequence matcher's edit script, letters and lost nouns come from one pass in Python."""
     a, b = F.col("raw"), F.col("cleaned")
-    p = _pairs(spark, sf_dir).select("*", U.word_changes(a, b).alias("c"), T.letters_ratio(a, b).alias("length_ratio"), T.accents_introduced(a, b).alias("accents"))
-    p = p.select("*", F.col("c.words_deleted").alias("words_deleted"), F.col("c.nouns_dropped").alias("dropped"))
+    p = _pairs(spark, sf_dir).select("*", U.word_changes(a, b).alias("c"), T.accents_introduced(a, b).alias("accents"))
+    p = p.select("*", F.col("c.words_deleted").alias("words_deleted"), F.col("c.length_ratio").alias("length_ratio"), F.col("c.nouns_dropped").alias("dropped"))
     empty = T.is_blank(b)
     ok = ~empty & (F.col("words_deleted") <= 2) & (F.col("length_ratio") >= 0.97) & (F.size("dropped") == 0) & ~F.col("accents")
     return p.select("doc_id", ok.alias("ok"), F.when(~empty, F.col("words_deleted")).alias("words_deleted"), F.when(~empty, F.round("length_ratio", 4)).alias("length_ratio"), F.slice("dropped", 1, 20).alias("nouns_dropped"), F.when(ok, b).otherwise(a).alias("kept"))
