@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import bisect
-import difflib
 import itertools
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import types as T
 from pagelake.functions.blocks import changes
 from pagelake.functions.text import MARKERS
 
-_WORD, _DIGIT = re.compile(r"[^\W\d_]+"), 3.5
+_WORD, _SOLID, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\S+"), 3.5
 #: A whole word of four letters or more that doesn't start with a small ASCII letter.
 _NOUN = re.compile(r"[^a-z\W\d_](?<![^\W\d_].)[^\W\d_]{3,}")
 #: ASCII without letters, as blanks.
@@ -87,35 +86,54 @@ def word_changes(raw: pd.Series, cleaned: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"words_deleted": gone, "length_ratio": ratios, "nouns_dropped": [lost_nouns(a, b) for a, b in pairs]})
 
 
-def _spans(text: str) -> tuple[list[str], list[int]]:
-    """Words, and where each one and at last the end is; places count from the first word."""
-    found = list(re.finditer(r"\S+\s*", text))
-    edges = [m.start() for m in found] + [len(text)]
-    return [m[0].rstrip() for m in found], [e - edges[0] for e in edges]
+def _starts(text: str) -> np.ndarray:
+    """Where each word starts, and at last the text's end; places count from the first word."""
+    edges = np.array([m.start() for m in _SOLID.finditer(text)] + [len(text)])
+    return edges - edges[0]
+
+
+def range_edits(pairs: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair the ranges between the runs of words that both texts have: from and to in either text, one of both may be empty.
+
+    Offsets count from the first word, not from the text's start.
+    """
+    kept: deque[tuple[np.ndarray, np.ndarray] | None] = deque()
+    none = tuple(np.empty(0, np.int64) for _ in range(4))
+
+    def differing() -> Iterator[tuple[list[str], list[str]]]:
+        for raw, cleaned in pairs:
+            a, b = raw.split(), cleaned.split()
+            kept.append(None if a == b else (_starts(raw), _starts(cleaned)))
+            if a != b:
+                yield a, b
+
+    for i, i_end, j, j_end in changes(_numbered(differing())):
+        while (edges := kept.popleft()) is None:
+            yield none
+        yield edges[0][i], edges[0][i_end], edges[1][j], edges[1][j_end]
+    yield from (none for _ in kept)
 
 
 def changed_ranges(raw: str, cleaned: str) -> dict[str, list[tuple[int, int, str]]]:
-    """Ranges of either text between the runs of words that both have. Offsets count from the first word, not from the text's start."""
-    sides = {"raw": _spans(raw), "cleaned": _spans(cleaned)}
-    runs = difflib.SequenceMatcher(a=sides["raw"][0], b=sides["cleaned"][0], autojunk=False).get_matching_blocks()
-    out: dict[str, list[tuple[int, int, str]]] = {side: [] for side in sides}
-    last = {side: 0 for side in sides}
-    for m in runs:
-        gap = {"raw": (last["raw"], m.a), "cleaned": (last["cleaned"], m.b)}
-        filled = [side for side, (i, j) in gap.items() if j > i]
-        tag = "replace_" if len(filled) == 2 else "delete_" if filled == ["raw"] else "insert_"
-        for side in filled:
-            edges = sides[side][1]
-            out[side].append((edges[gap[side][0]], edges[gap[side][1]], tag))
-        last = {"raw": m.a + m.size, "cleaned": m.b + m.size}
-    return out
+    """Ranges of either text that the other lacks, each with what became of it."""
+    i, i_end, j, j_end = next(range_edits([(raw, cleaned)]))
+    tags = _tags(i, i_end, j, j_end)
+    rows = lambda s, e: [(p, q, t) for p, q, t in zip(s.tolist(), e.tolist(), tags) if q > p]
+    return {"raw": rows(i, i_end), "cleaned": rows(j, j_end)}
+
+
+def _tags(i: np.ndarray, i_end: np.ndarray, j: np.ndarray, j_end: np.ndarray) -> list[str]:
+    return np.where(i == i_end, "insert_", np.where(j == j_end, "delete_", "replace_")).tolist()
 
 
 @F.pandas_udf(T.StructType([T.StructField("raw", RANGES), T.StructField("cleaned", RANGES)]))
 def diff_ranges(raw: pd.Series, cleaned: pd.Series) -> pd.DataFrame:
-    found = [changed_ranges(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)]
-    rows = lambda side: [[{"start": s, "end": e, "tag": t} for s, e, t in f[side]] for f in found]
-    return pd.DataFrame({"raw": rows("raw"), "cleaned": rows("cleaned")})
+    out: dict[str, list[list[dict]]] = {"raw": [], "cleaned": []}
+    for i, i_end, j, j_end in range_edits([(a or "", b or "") for a, b in zip(raw, cleaned, strict=True)]):
+        tags = _tags(i, i_end, j, j_end)
+        for side, s, e in (("raw", i, i_end), ("cleaned", j, j_end)):
+            out[side].append([{"start": p, "end": q, "tag": t} for p, q, t in zip(s.tolist(), e.tolist(), tags) if q > p])
+    return pd.DataFrame(out)
 
 
 def marked(text: str) -> list[tuple[int, int, str]]:

@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -64,3 +65,17 @@ def test_a_long_text_of_few_words_is_no_square(monkeypatch):
 def test_words_of_ascii_by_blanks():
     text = "".join(map(chr, range(128))) * 2 + "It's 3rd_try"
     assert U._words(text) == U._WORD.findall(text) and U._words(text + "ä") == U._WORD.findall(text + "ä")
+
+
+def test_ranges_of_many_texts_are_those_of_each():
+    """Equal, empty and blank texts between others, in one batch."""
+    rnd = random.Random(2)
+    some = lambda n: "".join(rnd.choice(["a", "the", "x\x1c", "ä", "d", " \n"]) + rnd.choice([" ", "", "\n"]) for _ in range(n))
+    pairs = [(t, rnd.choice([t, some(20), t.replace("a ", " "), "", " " + t, t.replace(" ", "\n")])) for t in map(some, [0, 1, 5, 30] * 100)]
+    got = list(U.range_edits(pairs))
+    assert len(got) == len(pairs)
+    for (a, b), found in zip(pairs, got):
+        x, y = ([m.start() for m in re.finditer(r"\S+", t)] + [len(t)] for t in (a, b))
+        codes = difflib.SequenceMatcher(a=a.split(), b=b.split(), autojunk=False).get_opcodes()
+        want = [(x[i] - x[0], x[i_end] - x[0], y[j] - y[0], y[j_end] - y[0]) for op, i, i_end, j, j_end in codes if op != "equal"]
+        assert list(zip(*(f.tolist() for f in found), strict=True)) == want
