@@ -61,27 +61,33 @@ def lines_to_regions(lines: DataFrame, regions: DataFrame, prefix: str = "kraken
     Lines without any point are left out.
     """
     has = lambda c: F.size(F.coalesce(c, F.array().cast(f"array<{POINT}>"))) > 0
-    kept = lines.where(has(F.col("boundary")) | has(F.col("baseline"))).withColumn("polygon", F.when(has(F.col("boundary")), F.col("boundary")).otherwise(F.col("baseline")))
-    nth = F.row_number().over(Window.partitionBy("page").orderBy("pos"))
-    kept = kept.select("page", "pos", "region_ids", "polygon", F.concat(F.lit(f"{prefix}-line-"), F.lpad(nth.cast("string"), 4, "0")).alias("line"))
-    known = regions.groupBy("page", "id").agg(F.max("nth").alias("nth"))
-    named = kept.select("page", "pos", F.posexplode("region_ids").alias("k", "id")).join(known, ["page", "id"])
-    owner = named.groupBy("page", "pos").agg(F.min_by("nth", "k").alias("nth"))
-    size = regions.groupBy("page").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    owned = kept.join(owner, ["page", "pos"], "left").join(size, "page", "left").withColumn("orphan", F.col("nth").isNull()).withColumn("nth", F.coalesce("nth", "n", F.lit(0)))
-    points = F.flatten(F.collect_list(F.when(F.col("orphan"), F.col("polygon"))))
-    each = owned.groupBy("page", "nth").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), points.alias("p"), F.max("orphan").alias("orphan"))
+    kept = lines.where(has(F.col("boundary")) | has(F.col("baseline")))
+    kept = kept.select("page", "pos", F.lit(True).alias("is_line"), F.col("region_ids").alias("ids"), F.when(has(F.col("boundary")), F.col("boundary")).otherwise(F.col("baseline")).alias("points"))
+    areas = regions.select("page", F.lit(False).alias("is_line"), F.array("id").alias("ids"), F.col("boundary").alias("points"), "nth", "type")
+    # lines and regions in one table, both dealt by page before they meet (the union keeps that): no row is shuffled again
+    page = Window.partitionBy("page")
+    kept = kept.withColumn("n", F.row_number().over(page.orderBy("pos")))
+    rows = kept.unionByName(areas.repartition("page"), allowMissingColumns=True)
+    rows = rows.withColumn("known", F.collect_list(F.when(~F.col("is_line"), F.struct(F.col("ids")[0].alias("id"), "nth"))).over(page))
+    nth_of = lambda known: F.array_max(F.transform(known, lambda r: r["nth"]))
+    owners = F.transform("ids", lambda i: nth_of(F.filter("known", lambda r: r["id"] == i)))
+    rows = rows.withColumn("owner", F.when(F.col("is_line"), F.get(F.filter(owners, lambda k: k.isNotNull()), F.lit(0))).otherwise(F.col("nth")))
+    rows = rows.select("*", F.col("owner").isNull().alias("orphan"), F.concat(F.lit(f"{prefix}-line-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("line"))
+    rows = rows.withColumn("nth", F.coalesce("owner", nth_of(F.col("known")) + 1, F.lit(0)))
+    points = F.flatten(F.collect_list(F.when(F.col("orphan"), F.col("points"))))
+    listed = F.array_sort(F.collect_list(F.when(F.col("is_line"), F.struct("pos", "line"))))
+    r = rows.groupBy("page", "nth").agg(
+        F.min("pos").alias("first"), listed.alias("l"), points.alias("p"), F.max("orphan").alias("orphan"), F.max("type").alias("type"),
+        F.first(F.when(~F.col("is_line"), F.col("points")), ignorenulls=True).alias("boundary"),
+    )
     x, y = F.transform("p", lambda v: v["x"]), F.transform("p", lambda v: v["y"])
     corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     box = F.array(corner(F.array_min(x), F.array_min(y)), corner(F.array_max(x), F.array_min(y)), corner(F.array_max(x), F.array_max(y)), corner(F.array_min(x), F.array_max(y)))
-    each = each.select("page", "nth", "first", "orphan", F.col("l.line").alias("lines"), F.when(F.col("orphan"), box).alias("box"))
-    r = regions.select("page", "nth", "type", "boundary").join(each, ["page", "nth"], "full")
-    page = Window.partitionBy("page")
     r = r.withColumn("seen", F.count("first").over(page))
     place = F.row_number().over(page.orderBy(F.coalesce(F.col("first"), F.col("seen")), "nth")) - 1
     return r.select(
         "page", F.concat(F.lit(f"{prefix}-"), F.lpad((F.col("nth") + 1).cast("string"), 4, "0")).alias("region"), F.coalesce("type", F.lit("unclassified")).alias("type"),
-        F.coalesce("boundary", "box").alias("polygon"), place.alias("order"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
+        F.coalesce("boundary", F.when(F.col("orphan"), box)).alias("polygon"), place.alias("order"), F.col("l.line").alias("lines"),
     )
 
 

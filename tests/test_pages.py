@@ -48,6 +48,12 @@ def test_lines_find_their_regions(spark):
     }
 
 
+def test_lines_and_regions_are_dealt_once(spark, sf_dir):
+    """Each side is shuffled by page before they meet, and no row again: two exchanges, no join."""
+    plan = QUERIES["lines_in_regions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_titles_are_stripped_and_blank_ones_fall_back(spark):
     items = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
     values = spark.createDataFrame([(1, C.TITLE_PROPERTIES[0], "  Spaced \n"), (2, C.TITLE_PROPERTIES[0], " "), (2, C.TITLE_PROPERTIES[1], "other"), (3, "x", "no title")], "id long, property string, text string")
