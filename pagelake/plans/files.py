@@ -178,15 +178,13 @@ def handed_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 def created_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project for each brand, made twice, and a run for each of its parts; read back from the folders."""
     root = _folder(spark, "layout")
-    parts = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("k")).collect()  # a driver makes folders
-    for r in parts:
-        project = L.Project(spark, root, "brand-" + r["p_brand"].replace("#", "").lower())
-        project.ensure()
-        for k in r["k"]:
-            project.create_run({"part": k})
-    runs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "2*-*.json").text(root, wholetext=True)
-    slug = F.regexp_extract(F.col("_metadata.file_path"), "/projects/([^/]+)/run-history/", 1)
-    said = runs.select(slug.alias("slug"), F.get_json_object("value", "$.run_id").alias("run_id"), F.get_json_object("value", "$.part").cast("long").alias("part"))
+    slug = F.concat(F.lit("brand-"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    parts = read(spark, sf_dir, "part").select(slug.alias("slug"), F.to_json(F.struct(F.col("p_partkey").alias("part"))).alias("metadata"))
+    for r in parts.select("slug").distinct().collect():  # a driver makes projects, tasks their runs
+        for _ in range(2):
+            L.Project(spark, root, r["slug"]).ensure()
+    L.create_runs(spark, root, parts)
+    said = H.runs(spark, root).select("slug", F.get_json_object("value", "$.run_id").alias("run_id"), F.get_json_object("value", "$.part").cast("long").alias("part"))
     said = said.groupBy("slug").agg(F.countDistinct("run_id").alias("runs"), F.min("part").alias("first_part"))
     return H.projects(spark, root).select("slug", "name").join(said, "slug")
 

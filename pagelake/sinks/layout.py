@@ -1,20 +1,22 @@
 """Project folders and their runs, made through the file system that the root's address names, whatever that is.
 
 A file is created only if it isn't there, in one step, so of two jobs that start at once one makes the project and both
-get runs of their own.
+get runs of their own. Many runs are made at once by tasks, with the same care (`create_runs`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import secrets
 import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.store import file_system
+from pagelake.store import dealt, file_system, stash, task_store
 
 LAYOUT_VERSION = 1
 # Stages and exports of a project, and where older names of stages lie in it.
@@ -22,6 +24,8 @@ STAGES = ("raw-ocr", "cleaned", "structured", "translated", "titles")
 EXPORTS = ("pdf", "markdown", "tropy", "ludwiglang", "graph", "obsidian", "transcript", "draft", "page")
 CANONICAL = {"raw_ocr": "raw-ocr", "title": "titles"}
 FOLDERS = ("run-history", "pipeline", "exports")
+#: Runs that a task makes, about.
+TASK_RUNS = 2_000
 
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
@@ -65,8 +69,7 @@ class Project:
         while True:
             now = datetime.now(UTC)
             run_id = f"{now:%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:8]}"
-            said = {"run_id": run_id, "layout_version": LAYOUT_VERSION, "started": now.isoformat(timespec="seconds"), **(metadata or {})}
-            if create(self.spark, f"{self.path}/run-history/{run_id}.json", json.dumps(said, indent=2, ensure_ascii=False) + "\n"):
+            if create(self.spark, f"{self.path}/run-history/{run_id}.json", _said(run_id, now, metadata)):
                 return run_id
 
     def stage(self, name: str) -> str:
@@ -80,6 +83,62 @@ class Project:
         return f"{self.path}/exports/{kind}"
 
 
+def _said(run_id: str, now: datetime, metadata: dict | None) -> str:
+    """The text of a run's file."""
+    return json.dumps({"run_id": run_id, "layout_version": LAYOUT_VERSION, "started": now.isoformat(timespec="seconds"), **(metadata or {})}, indent=2, ensure_ascii=False) + "\n"
+
+
+def _create_in_task(store, path: str, text: bytes) -> bool:
+    """Write a file unless another one is there. One with this text, or its beginning, is left by an earlier attempt of the task and is made whole.
+
+    In one step on a local or mounted folder; elsewhere a look comes before the writing, as object stores have it.
+    """
+    import pyarrow.fs as fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            with open(path, "xb") as out:
+                out.write(text)
+            return True
+        except FileExistsError:
+            pass
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        with store.open_input_stream(path) as f:
+            if not text.startswith(f.read()):
+                return False
+    with store.open_output_stream(path) as out:
+        out.write(text)
+    return True
+
+
+def create_runs(spark: SparkSession, root: str, runs: DataFrame) -> None:
+    """A run for each row of runs (slug, metadata: a JSON object or null), its file written by a task; projects that aren't there are made.
+
+    The digits are the row's number times an odd number, modulo 2 ** 32, so the ids of one call differ; where another call has
+    one, the next is drawn from a hash. A task that is repeated draws the same ids and knows its own files by their
+    text, so of two calls within one second, runs with the same metadata that also draw the same digits would be one.
+    """
+    now, start, step = datetime.now(UTC), secrets.randbits(32), secrets.randbits(32) | 1
+    rows = stash(dealt(runs.select("slug", "metadata"), TASK_RUNS), "runs")  # a repeated task has to find the same rows under the same numbers
+    for r in rows.select("slug").distinct().collect():
+        project = Project(spark, root, r["slug"])
+        if not canonical(spark, project.path):
+            project.ensure()
+
+    def save(numbered) -> None:
+        store, base = task_store(root)
+        for (slug, metadata), n in numbered:
+            digits, k = f"{(start + n * step) % 2**32:08x}", 0
+            while True:
+                run_id = f"{now:%Y%m%d-%H%M%S}-{digits}"
+                if _create_in_task(store, f"{base.rstrip('/')}/projects/{slug}/run-history/{run_id}.json", _said(run_id, now, json.loads(metadata or "null")).encode()):
+                    break
+                k += 1
+                digits = hashlib.sha256(f"{start} {step} {n} {k}".encode()).hexdigest()[:8]
+
+    rows.rdd.zipWithIndex().foreachPartition(save)
+
+
 def canonical(spark: SparkSession, folder: str) -> bool:
     """Whether a folder is a project: it has the file and the stages of one."""
     fs, at = file_system(spark, f"{folder}/project.json")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.store import task_store
+
 SCHEMA_VERSION = "1.0"
 
 
@@ -17,9 +19,7 @@ def write_files(df: DataFrame, folder: str, suffix: str = ".txt") -> None:
     """A text file for each row (stem, text); each task writes its own rows, to the file system that the folder's address names."""
 
     def save(rows) -> None:
-        import pyarrow.fs as fs
-
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = task_store(folder)
         for r in rows:
             path = f"{base}/{r['stem']}{suffix}"
             store.create_dir(path.rpartition("/")[0], recursive=True)

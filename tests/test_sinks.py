@@ -4,7 +4,9 @@ import json
 import random
 import struct
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -95,6 +97,37 @@ def test_two_starts_at_once_make_one_project_and_two_runs(spark, tmp_path):
     assert not L.create(spark, str(base / "project.json"), "{}") and json.loads((base / "project.json").read_text())["slug"] == "old-letters"
 
 
+def test_runs_are_made_by_tasks_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A call to the driver for each run took over 400 s for 20,000."""
+    from pagelake.sources import projects as H
+
+    made = []
+    monkeypatch.setattr(L, "create", lambda spark, path, text, create=L.create: made.append(path) or create(spark, path, text))
+    monkeypatch.setattr(L.secrets, "randbits", lambda n: 4)  # another call draws the same digits
+    monkeypatch.setattr(L, "datetime", SimpleNamespace(now=lambda tz: datetime(2026, 1, 2, 3, 4, 5, tzinfo=tz)))
+    root = str(tmp_path)
+    monkeypatch.setattr(L, "TASK_RUNS", 100)
+    for call in range(2):
+        L.create_runs(spark, root, spark.createDataFrame([(f"p{k % 3}", json.dumps({"part": k, "call": call}) if k + call else None) for k in range(600)], "slug string, metadata string"))
+    assert sorted(made) == [f"{root}/projects/p{k}/project.json" for k in range(3)]
+    (tmp_path / "projects/p0/run-history/notes.json").write_text("{}")
+    (tmp_path / "projects/empty/run-history").mkdir(parents=True)
+    got = [(r["slug"], r["file"], json.loads(r["value"])) for r in H.runs(spark, root).collect()]
+    assert sorted((s, v.get("part", 0)) for s, _, v in got) == sorted((f"p{k % 3}", k) for k in range(600) for _ in range(2))
+    assert len({(s, v["run_id"]) for s, _, v in got}) == 1200 and all(f == v["run_id"] + ".json" and v["layout_version"] == 1 for _, f, v in got)
+    for at in (root, f"file://{root}"):
+        assert sorted(map(tuple, H.projects(spark, at).collect())) == [(f"p{k}", f"P{k}", f"{root}/projects/p{k}") for k in range(3)] and H.runs(spark, at).count() == 1200
+
+
+def test_a_repeated_task_finds_its_own_runs(tmp_path):
+    from pyarrow.fs import LocalFileSystem
+
+    path, store = str(tmp_path / "r.json"), LocalFileSystem()
+    assert L._create_in_task(store, path, b"text") and L._create_in_task(store, path, b"text") and not L._create_in_task(store, path, b"other")
+    Path(path).write_bytes(b"te")  # broken off
+    assert not L._create_in_task(store, path, b"other") and L._create_in_task(store, path, b"text") and Path(path).read_bytes() == b"text"
+
+
 def test_paths_follow_the_layout(spark, tmp_path):
     project = L.Project(spark, str(tmp_path), "p")
     project.ensure()
