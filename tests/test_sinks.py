@@ -264,6 +264,32 @@ def test_what_does_not_belong_together_is_an_error():
     assert G.registered(sheet, I.moved(sheet, 2, -3))[1] == "shift"
 
 
+def test_pages_are_dealt_over_tasks_and_drawn_a_few_at_a_time(spark, sf_dir, monkeypatch):
+    """A table in one file was one task, which drew 10,000 pairs at once."""
+    import pandas as pd
+
+    from pagelake.plans import images as Q
+
+    keys = pd.DataFrame({"p_partkey": range(1, 201)})
+    drawn = list(Q._drawn(iter([keys])))
+    assert max(map(len, drawn)) <= Q.AT_ONCE and [k for d in drawn for k in d["p_partkey"]] == list(range(1, 201))
+    monkeypatch.setattr(Q, "TASK_PAGES", 50)
+    assert Q.marks_on_scans(spark, sf_dir).rdd.getNumPartitions() == 4  # 200 parts
+
+
+def test_residual_equals_a_square_laid_on_each_pixel():
+    rng = np.random.default_rng(2)
+    for h, w in ((1, 1), (2, 9), (17, 12), (40, 31)):
+        a, b = (np.kron(rng.integers(0, 2, (h, w)), np.ones((3, 2), int)) * 200 + rng.integers(0, 40, (3 * h, 2 * w)) for _ in range(2))
+        a, b = a.clip(0, 255).astype(np.uint8), b.clip(0, 255).astype(np.uint8)
+        d = np.abs(a.astype(int) - b)
+        mask = d > I.DIFFERENT
+        for op in (np.all, np.any, np.any, np.all):
+            p = np.pad(mask, 1)
+            mask = np.array([[op(p[y : y + 3, x : x + 3]) for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+        assert (I.residual(a, b) == np.where(mask, d, 0)).all()
+
+
 def test_marks_on_a_turned_scan():
     sheet, (h, w) = turned(5, 0, 1.0)[0].copy(), (150, 120)
     sheet[55:80, 30:66] = 255
