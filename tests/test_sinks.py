@@ -277,6 +277,19 @@ def test_pages_are_dealt_over_tasks_and_drawn_a_few_at_a_time(spark, sf_dir, mon
     assert Q.marks_on_scans(spark, sf_dir).rdd.getNumPartitions() == 4  # 200 parts
 
 
+def test_turned_sheets_are_dealt_over_tasks_and_drawn_a_few_at_a_time(spark, sf_dir, monkeypatch):
+    """Eight tasks drew all sheets, 10,000 pairs at once."""
+    import pandas as pd
+
+    from pagelake.plans import images as Q
+
+    monkeypatch.setattr(Q, "AT_ONCE", 3)
+    drawn = list(Q._turned(iter([pd.DataFrame({"s_suppkey": range(1, 9), "s_nationkey": 2})])))
+    assert [len(d) for d in drawn] == [3, 3, 2] and [k for d in drawn for k in d["s_suppkey"]] == list(range(1, 9))
+    monkeypatch.setattr(Q, "TASK_SHEETS", 1)
+    assert Q.turned_scans(spark, sf_dir).rdd.getNumPartitions() == 10  # suppliers
+
+
 def test_residual_equals_a_square_laid_on_each_pixel():
     rng = np.random.default_rng(2)
     for h, w in ((1, 1), (2, 9), (17, 12), (40, 31)):
