@@ -8,8 +8,10 @@ each share.
 
 from __future__ import annotations
 
+import heapq
+import time
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ STATES = "run_id long, item_id long, stage string, state string, attempts int, e
 #: The stage of rows that are about the item itself.
 ITEM = ""
 BUCKETS, IDLE_HOURS = 16, 24
+#: Events in one value of the state, and how many are sorted before they are cut into such values.
+CHUNK, SORTED = 1_000, 100_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,64 +90,96 @@ class Item:
 
 
 class Machine(StatefulProcessor):
-    """State of a share of a run: events that wait, items, their stages, and when running items count as given up."""
+    """State of a share of a run: events that wait, items with their stages, and when running items count as given up.
+
+    Every call of the state is a message to the JVM, so events wait in chunks and an item is one value. Chunks are sorted, and
+    are read when their time has come: one share may have more events than fit in memory.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, seq long", "item_id long, kind string, stage string, outcome string, error string, elapsed double, chars long")
-        self.items = handle.getMapState("items", "item_id long", "state string, attempts int, error string, last long, version long")
-        self.stages = handle.getMapState("stages", "item_id long, stage string", "state string, elapsed double, chars long, error string, skip_reason string")
+        event = "at:long,seq:long,item_id:long,kind:string,stage:string,outcome:string,error:string,elapsed:double,chars:long"
+        self.waiting = handle.getMapState("waiting", "first long, stamp long", f"events array<struct<{event}>>")
+        stage = "stage:string,state:string,elapsed:double,chars:long,error:string,skip_reason:string"
+        self.items = handle.getMapState("items", "item_id long", f"state string, attempts int, error string, last long, version long, stages array<struct<{stage}>>")
         self.due = handle.getMapState("due", "at long, item_id long", "nothing boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
+        first, some, stamp = None, [], time.time_ns()
         for r in rows:
-            at = int(r["at"])
-            self.waiting.updateValue((at, r["seq"]), (r["item_id"], r["kind"], r["stage"], r["outcome"], r["error"], r["elapsed"], r["chars"]))
-            first = at if first is None else min(first, at)
+            some.append((int(r["at"]), r["seq"], r["item_id"], r["kind"], r["stage"], r["outcome"], r["error"], r["elapsed"], r["chars"]))
+            first = some[-1][0] if first is None else min(first, some[-1][0])
+            if len(some) == SORTED:
+                stamp, some = self.wait(some, stamp), []
+        self.wait(some, stamp)
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()) + 1)
         return iter(())
 
+    def wait(self, events: list[tuple], stamp: int) -> int:
+        """Events as sorted chunks, each with a stamp of its own that grows with the time it came; the next stamp."""
+        events.sort(key=lambda e: e[:2])
+        for at in range(0, len(events), CHUNK):
+            self.waiting.updateValue((events[at][0], stamp), (events[at : at + CHUNK],))
+            stamp += 1
+        return stamp
+
+    def ready(self, chunks: Iterable[tuple[int, int]], now: int) -> Iterator[tuple]:
+        """Events before `now` in order, from chunks in order; what is later waits on. Of events with one time and number the last to come counts."""
+        heap, last, chunks = [], None, list(chunks)[::-1]
+        while heap or chunks:
+            while chunks and (not heap or chunks[-1][0] <= heap[0][0]):
+                first, stamp = chunks.pop()
+                events = [tuple(e) for e in self.waiting.getValue((first, stamp))[0]]
+                self.waiting.removeKey((first, stamp))
+                for k, e in enumerate(events):
+                    if e[0] >= now:
+                        self.waiting.updateValue((e[0], stamp), (events[k:],))
+                        self.later.append(e[0])
+                        break
+                    heapq.heappush(heap, (e[0], e[1], -stamp, -k, e))
+            e = heapq.heappop(heap)[-1]
+            if e[:2] != last:
+                yield e
+            last = e[:2]
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         self.open: dict[int, Item] = {}
         before = {tuple(k) for k in self.due.keys()}
         self.alarms = sorted(before)
         waiting = sorted(tuple(k) for k in self.waiting.keys())
-        ready = [k for k in waiting if k[0] < now]
-        for k in ready:
-            self.give_up(k[0])
-            item_id, *event = self.waiting.getValue(k)
-            self.waiting.removeKey(k)
+        self.later = [k[0] for k in waiting if k[0] >= now]
+        self.known, names = self.items.exists(), None
+        for at, _, item_id, *event in self.ready([k for k in waiting if k[0] < now], now):
+            self.give_up(at)
             if item_id is not None:
-                self.advance(item_id, (*event, k[0]))
+                self.advance(item_id, (*event, at))
             elif event[0] == "run_finished":
-                for i in {k[0] for k in self.items.keys()} | self.open.keys():
+                names = names if names is not None else {k[0] for k in self.items.keys()} if self.known else set()
+                for i in names | self.open.keys():
                     if self.item(i).state not in ENDED:
-                        self.advance(i, ("item_finished", None, CANCELLED, None, None, None, k[0]))
+                        self.advance(i, ("item_finished", None, CANCELLED, None, None, None, at))
         self.give_up(now)
         for i, item in self.open.items():
-            self.items.updateValue((i,), item.row())
-            for s in item.changed - {ITEM}:
-                self.stages.updateValue((i, s), item.stages[s])
+            self.items.updateValue((i,), (*item.row(), [(s, *item.stages[s]) for s in STAGES]))
         after = set(self.alarms)
         for k in before - after:
             self.due.removeKey(k)
         for k in after - before:
             self.due.updateValue(k, (True,))
-        later = [k[0] for k in waiting[len(ready) :][:1] + self.alarms[:1]]
+        later = self.later + [k[0] for k in self.alarms[:1]]
         if later:
             self.handle.registerTimer(max(min(later), now) + 1)
         return (row for i, item in self.open.items() for row in item.told(key[0], i))
 
     def item(self, i: int) -> Item:
         if i not in self.open:
-            own = self.items.getValue((i,)) if self.items.containsKey((i,)) else None
-            self.open[i] = Item(tuple(own), {s: tuple(self.stages.getValue((i, s))) for s in STAGES}) if own else Item()
+            own = self.items.getValue((i,)) if self.known else None
+            self.open[i] = Item(tuple(own[:5]), {s[0]: tuple(s[1:]) for s in own[5]}) if own else Item()
         return self.open[i]
 
     def advance(self, i: int, event: tuple) -> None:

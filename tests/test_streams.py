@@ -71,6 +71,60 @@ def test_stream_equals_a_loop_however_it_is_dealt(spark, tmp_path):
     assert table.files() == files
 
 
+class Handle:
+    """State in dictionaries that counts its calls, each of which is a message to the JVM."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps = 0, [], {}
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getMapState(self, name, *_):  # noqa: N802
+        kept, handle = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def __getattr__(self, call):
+                handle.calls += 1
+                return {"getValue": kept.get, "updateValue": kept.__setitem__, "removeKey": kept.pop, "containsKey": kept.__contains__, "keys": lambda: iter(list(kept)), "exists": lambda: bool(kept)}[call]
+
+        return Map()
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+@pytest.mark.parametrize("chunk, in_order", [(1_000, 100_000), (3, 10), (1, 1), (7, 25)])
+def test_a_share_asks_the_state_for_chunks_and_items_not_for_events(monkeypatch, chunk, in_order):
+    """Each event was written, read and removed by a message of its own."""
+    monkeypatch.setattr(M, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(M, "SORTED", in_order, raising=False)
+    names = "run_id item_id kind stage outcome error elapsed chars seq ts".split()
+    events, start = [e for e in made(300, 5) if e[0] == 1], datetime(1970, 1, 1)
+    events = [(*e[:7], e[7], e[8], e[9]) for e in events]
+    rows = [dict(zip(names, e, strict=True)) | {"at": int((e[9] - start).total_seconds() * 1000)} for e in events]
+    handle, told = Handle(), {}
+    machine = M.Machine(10 * 3_600_000)
+    machine.init(handle)
+    end = max(r["at"] for r in rows) + 300 * 86_400_000
+    cut = sorted(r["at"] for r in rows)[len(rows) // 2]
+    again = [{**r, "kind": "unknown"} for r in rows[:20]]  # come first, so the later ones with their time and number count
+    parts = [again + [r for r in rows if r["at"] <= cut], [r for r in rows if r["at"] > cut]]
+    for part, now in zip(parts, (cut - 5 * 3_600_000, end), strict=True):
+        random.Random(chunk).shuffle(part) if part is parts[1] else None
+        assert list(machine.handleInputRows((1, 0), iter(part), Clock(0))) == []
+        for row in machine.handleExpiredTimer((1, 0), Clock(now), None):
+            told[row["run_id"], row["item_id"], row["stage"]] = row["state"]
+    assert told == plain([*events, (-1, None, "tick", None, None, None, None, None, 0, start + timedelta(milliseconds=end))], 10)
+    assert not handle.maps["waiting"]
+    assert chunk < 1_000 or handle.calls < 80 < len(events)
+
+
 def test_item_goes_through_its_states():
     item = M.Item()
     for kind, stage, outcome in [("stage_started", "ocr", None), ("item_started", None, None), ("item_started", None, None), ("stage_started", "ocr", None), ("stage_finished", "ocr", M.DONE), ("stage_started", "title", None)]:
